@@ -35,16 +35,16 @@ from pyspark.sql import functions as F
 from footreach.llm.common import materialize, mix, slices
 
 #: Number words and units. Fixed values.
-NUMBER_WORDS = (
+NUMBER_WORDS = frozenset((
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
     "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
-).split()
-UNITS = (
+).split())
+UNITS = frozenset((
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms pound pounds ounce ounces lb lbs oz ml l "
     "liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours hr day days week weeks month months year years "
     "dollar dollars cent cents euro euros percent degree degrees volt volts watt watts joule joules newton newtons meter meters metre metres "
     "kilometer kilometers kilometre kilometres centimeter centimeters kmh mph"
-).split()
+).split())
 TOKEN = re.compile(r"[.!?:\n]|\d+(?:[.,]\d+)*|[^\W\d_]+")
 STOP, NUMBER, UNIT, CAPITAL = 1, 2, 4, 8
 BASE = 0x9E3779B97F4A7C15
@@ -58,38 +58,42 @@ class Templates:
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        self.hashes, self.kinds, self.words = [], [], []
-
-    def _new(self, token: str) -> int:
-        low = token.lower()
-        kind = 0
-        if not token[0].isalnum():
-            kind = STOP
-        elif token[0].isdigit() or low in NUMBER_WORDS:
-            kind = NUMBER
-        else:
-            kind = UNIT * (low in UNITS) | CAPITAL * (token[0].isupper() and token[1:].islower())
-        self.hashes.append(xxhash.xxh64_intdigest(low))
-        self.kinds.append(kind)
-        self.words.append(low)
-        self.index[token] = len(self.words) - 1
-        return len(self.words) - 1
+        self.words: list[str] = []
+        self.hash_array, self.kind_array = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+
+    def _learn(self, tokens: list[str]) -> None:
+        first = len(self.words)
+        kinds = []
+        for token in tokens:
+            low = token.lower()
+            if not token[0].isalnum():
+                kind = STOP
+            elif token[0].isdigit() or low in NUMBER_WORDS:
+                kind = NUMBER
+            else:
+                kind = (UNIT if low in UNITS else 0) | (CAPITAL if token[0] != low[0] and token[1:].islower() else 0)
+            kinds.append(kind)
+            self.words.append(low)
+        self.index.update(zip(tokens, range(first, len(self.words)), strict=True))
+        if len(self.words) > len(self.kind_array):
+            size = 2 * len(self.words)
+            self.hash_array, self.kind_array = np.resize(self.hash_array, size), np.resize(self.kind_array, size)
+        own = slice(first, len(self.words))
+        self.hash_array[own] = np.frombuffer(b"".join(map(xxhash.xxh64_digest, self.words[own])), ">u8")
+        self.kind_array[own] = kinds
 
     def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
         """(hashes of the plain template, of the one with names, slot kind of each token, index of its spelling)."""
         if len(self.index) > self.CACHE:
             self.__init__()
         tokens = TOKEN.findall(text or "")
-        at = list(map(self.index.get, tokens, repeat(-1)))
-        for i, k in enumerate(at):
-            if k < 0:
-                at[i] = self.index.get(tokens[i], -1)
-                if at[i] < 0:
-                    at[i] = self._new(tokens[i])
-        if len(self.kinds) != getattr(self, "known", -1):
-            self.known, self.kind_array, self.hash_array = len(self.kinds), np.array(self.kinds, np.int8), np.array(self.hashes, np.uint64)
-        which = np.array(at, np.int64)
-        kinds = self.kind_array[which] if len(which) else np.zeros(0, np.int8)
+        which = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
+        missing = np.flatnonzero(which < 0).tolist()
+        if missing:
+            new = [tokens[i] for i in missing]
+            self._learn(list(dict.fromkeys(new)))
+            which[missing] = [self.index[t] for t in new]
+        kinds = self.kind_array[which]
         stops = kinds == STOP
         opens = np.ones(len(which), bool)
         opens[1:] = stops[:-1]
@@ -99,19 +103,29 @@ class Templates:
         unit = np.zeros(len(which), bool)
         unit[1:] = number[:-1] & (kinds[1:] & UNIT > 0)
         name = (kinds & CAPITAL > 0) & ~opens & ~unit
-        plain = np.where(number, NUM, np.where(unit, UNI, self.hash_array[which] if len(which) else np.zeros(0, np.uint64)))
+        plain = np.where(number, NUM, np.where(unit, UNI, self.hash_array[which]))
         return plain, np.where(name, NAME, plain), number * NUMBER + unit * UNIT + name * CAPITAL, which
 
 
+def _powers(n: int, kept: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
+    """Powers 0 to n of the base and of its inverse modulo 2 ** 64; the lists only grow."""
+    if len(kept[0]) <= n:
+        size = 2 * n + 1024
+        for k, base in enumerate((BASE, pow(BASE, -1, 2**64))):
+            with np.errstate(over="ignore"):
+                kept[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size, base, np.uint64))))
+    return kept[0][: n + 1], kept[1][: n + 1]
+
+
 def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
-    n = len(tokens) - size + 1
-    if n <= 0:
+    """Polynomial hashes of all windows, from one running sum."""
+    n = len(tokens)
+    if n < size:
         return np.zeros(0, np.uint64)
+    powers, inverse = _powers(n)
     with np.errstate(over="ignore"):
-        h = np.full(n, size, np.uint64)
-        for k in range(size):
-            h = h * np.uint64(BASE) + tokens[k : k + n]
-    return mix(h)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens * inverse[:n])))
+        return mix((total[size:] - total[:-size]) * powers[: n - size + 1] + np.uint64(size))
 
 
 def windows_of(own: Templates, text: str | None, sizes: list[int], literals: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -119,9 +133,9 @@ def windows_of(own: Templates, text: str | None, sizes: list[int], literals: int
     plain, named, kinds, _ = own.read(text)
     for size in sizes:
         for which, tokens, slots in ((0, plain, kinds & (NUMBER | UNIT) > 0), (1, named, kinds > 0)):
-            hashes = window_hashes(tokens, size)
-            if not len(hashes):
+            if len(tokens) < size or which and not (kinds & CAPITAL).any():
                 continue
+            hashes = window_hashes(tokens, size)
             total = np.concatenate(([0], np.cumsum(slots)))
             held = total[size:] - total[:-size]
             use = size - held >= min(literals, size)

@@ -112,41 +112,94 @@ class Language:
 
 
 class Models:
-    """All languages, the calibration, and the scores of words seen lately."""
+    """All languages, the calibration, and the scores of words seen lately.
 
-    CACHE = 150_000
+    For scoring, the languages' arrays are laid side by side: for each order one array of hashes, sorted, with a
+    row of the languages' interpolated probabilities for each gram, and one with a row of back-off weights for each
+    context. The longest gram that any language knows then needs one search for all of them.
+    """
+
+    CACHE = 400_000
 
     def __init__(self, languages: dict[str, Language]):
         self.names = sorted(languages)
-        self.languages = [languages[k] for k in self.names]
+        own = [languages[k] for k in self.names]
+        self.base = np.log2([m.base for m in own])
+        self.tables = []
+        for n in range(len(own[0].tables)):
+            weights = [(m.tables[n][2], m.tables[n][3]) for m in own]
+            contexts = np.unique(np.concatenate([c for c, _ in weights]))
+            rows = np.zeros((len(contexts), len(own)), np.float32)  # log2 of 1: a context a language has not seen
+            for k, (names, weight) in enumerate(weights):
+                rows[np.searchsorted(contexts, names), k] = np.log2(weight)
+            self.tables.append([None, None, contexts, rows])
         self.slope, self.limits = 20.0, np.full(32, np.inf)
-        self.seen: dict[str, np.ndarray] = {}
+        self.index: dict[str, int] = {}
+        self.scores = np.zeros((0, len(own)))
+
+    def fill(self, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]], languages: dict[str, Language]) -> None:
+        """grams[n - 1]: gram, context and shorter-gram hashes of all languages' grams of length n, without repeats."""
+        own = [languages[k] for k in self.names]
+        below = None
+        for n, (names, contexts, shorter) in enumerate(grams):
+            by = np.argsort(names)
+            names, contexts, shorter = names[by], contexts[by], shorter[by]
+            lower = np.tile(self.base, (len(names), 1)) if below is None else below(shorter)
+            rows = lower + self._rows(self.tables[n][2], self.tables[n][3], contexts)[0]
+            for k, m in enumerate(own):
+                keys, values = m.tables[n][:2]
+                rows[np.searchsorted(names, keys), k] = np.log2(values)
+            self.tables[n][0], self.tables[n][1] = names, rows.astype(np.float32)
+
+            def below(hashes, names=names, rows=rows):
+                found, hit = self._rows(names, rows, hashes)
+                return np.where(hit[:, None], found, self.base)
+
+    @staticmethod
+    def _rows(keys: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the hashes among the keys (zeros where there is none), and which are there."""
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        hit = keys[at] == hashes
+        return np.where(hit[:, None], rows[at], 0), hit
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return self.__dict__ | {"index": {}, "scores": self.scores[:0]}
 
-    def learn_words(self, words: list[str]) -> dict[str, np.ndarray]:
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Sum of log2 probabilities of each word's characters, by language."""
         grams, contexts, which = gram_hashes(words)
-        sums = np.stack([np.bincount(which, weights=m.log2(grams, contexts), minlength=len(words)) for m in self.languages], axis=1)
-        return dict(zip(words, sums, strict=True))
+        out = np.zeros((len(which), len(self.names)), np.float32)
+        left = np.arange(len(which))
+        for n in range(len(self.tables) - 1, -1, -1):
+            names, rows, known, weights = self.tables[n]
+            found, hit = self._rows(names, rows, grams[n][left])
+            out[left] += found
+            left = left[~hit]
+            if not len(left):
+                break
+            out[left] += self._rows(known, weights, contexts[n][left])[0]
+        out[left] += self.base.astype(np.float32)
+        ends = np.flatnonzero(np.append(which[1:] != which[:-1], True))
+        return np.diff(np.cumsum(out, axis=0, dtype=np.float64)[ends], axis=0, prepend=0)
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy in bits a character of each text under each language, and the characters that count."""
         counts = [words_of(t) for t in texts]
-        new = list({w for own in counts for w in own} - self.seen.keys())
-        if len(self.seen) + len(new) > self.CACHE:
-            self.seen = {}
-            new = list({w for own in counts for w in own})
-        fresh = self.learn_words(new) if new else {}
-        if len(fresh) <= self.CACHE:
-            self.seen |= {w: v for w, v in fresh.items() if len(w) <= 40}
+        new = list(set().union(*counts) - self.index.keys())
+        if len(self.index) + len(new) > self.CACHE:
+            self.index, self.scores = {}, self.scores[:0]
+            new = list(set().union(*counts))
+        if new:
+            self.index.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
+            parts = [self.word_scores(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]
+            self.scores = np.concatenate([self.scores, *parts])
         rows, sizes = np.zeros((len(texts), len(self.names))), np.zeros(len(texts))
         for i, own in enumerate(counts):
             if own:
+                at = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
                 times = np.fromiter(own.values(), np.float64, len(own))
-                scores = np.array([self.seen[w] if w in self.seen else fresh[w] for w in own])
-                sizes[i] = times @ np.fromiter((len(w) + 1 for w in own), np.float64, len(own))
-                rows[i] = -(times @ scores) / sizes[i]
+                sizes[i] = times @ np.fromiter(map(len, own), np.float64, len(own)) + times.sum()
+                rows[i] = -(times @ self.scores[at]) / sizes[i]
         return rows, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +261,7 @@ def gram_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return parts.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count"), F.first("char").alias("char"))
 
 
-def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999, slack: float = 1.0) -> Models | None:
+def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999, slack: float = 2.5) -> Models | None:
     """Models and calibration from labelled rows of docs that are not held out; None without any."""
     from footreach.llm.common import materialize
 
@@ -222,6 +275,8 @@ def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999, slac
         parts = [own[own.n == n] for n in range(1, ORDER + 1)]
         languages[lang] = Language([(*(p[c].to_numpy().view(np.uint64) for c in ("gram", "context", "shorter")), p["count"].to_numpy()) for p in parts], alphabet)
     models = Models(languages)
+    whole = [counts[counts.n == n].drop_duplicates("gram") for n in range(1, ORDER + 1)]
+    models.fill([tuple(p[c].to_numpy().view(np.uint64) for c in ("gram", "context", "shorter")) for p in whole], languages)
     tests = sample.where("calibrates").select("lang", "text")
     calibrate(models, [tuple(r) for r in scored(tests, models).collect()], quantile, slack)
     return models

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footreach.llm import decontam, language_id, line_dedup, sentencepiece_codec, simhash
+from footreach.llm import chat_format, decontam, html_extract, language_id, license_scan, line_dedup, quality_rules, sentencepiece_codec, simhash, url_filter
 from footreach.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -52,7 +52,44 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_decontamination, op5_sentencepiece, op6_simhash, op9_language_id)}
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    out = chat_format.format_conversations(rows).select("*", chat_format.masked_text("formatted", "loss_spans").alias("loss"))
+    turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"), "identical",
+    )
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("rules", ",").alias("rules"), F.array_join("licenses", ",").alias("licenses"), "n_licenses")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "probability")
+
+
+#: The list that op8 looks URLs up in: whole sites, as canonical forms.
+LISTED_URLS = [f"{host}/" for host in ("casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "form string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_decontamination, op3_chat_format, op4_license_scan, op5_sentencepiece,
+    op6_simhash, op7_quality_rules, op8_url_filter, op9_language_id, op10_html_extract,
+)}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
@@ -67,4 +104,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
 FROM kept GROUP BY doc_id
 """,
+    "op3_chat_format": r"""
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+risky AS (
+  SELECT *, contains(text, '</s>') OR regexp_matches(text, '&[esblga];') OR regexp_matches(role, '</s>|&[esblga];|\] ') AS escapes FROM own),
+parts AS (
+  SELECT *, CASE WHEN escapes THEN replace(replace(replace(replace(role, '&', '&a;'), '</s>', '&e;'), '<s>', '&s;'), ']', '&b;') ELSE role END AS r,
+    CASE WHEN escapes THEN replace(replace(replace(replace(text, '&', '&a;'), '</s>', '&e;'), '<s>', '&s;'), ']', '&b;') ELSE text END AS t FROM risky)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(r) + length(t) + 10) AS BIGINT) AS formatted_chars, true AS identical
+FROM parts GROUP BY conv_id
+""",
+    "op8_url_filter": r"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, coalesce(regexp_extract(rest, '^[^/?#]*'), '') AS raw FROM a),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM b),
+rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
+  FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+listed(site) AS (VALUES %s),
+hits AS (SELECT c.page_id, max(site || '/') AS form FROM c JOIN listed ON host = site OR ends_with(host, '.' || site) WHERE host <> '' GROUP BY c.page_id)
+SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.v, CASE WHEN x.form IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN f.rule IS NULL THEN x.form END AS listed
+FROM c LEFT JOIN fits f ON c.page_id = f.page_id AND f.k = 1 LEFT JOIN hits x ON c.page_id = x.page_id
+"""
+    % ", ".join(f"('{u[:-1]}')" for u in LISTED_URLS),
 }

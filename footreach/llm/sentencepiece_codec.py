@@ -1,19 +1,16 @@
 """SentencePiece encoding and decoding with byte offsets.
 
-A text is normalised by longest-prefix look-up in the model's compiled character map; every normalised byte
-remembers the source byte it came from. The normalised text is cut where no piece can reach across (a position
-is cut if no piece of the vocabulary holds its two characters side by side), each part is merged by the model's
-scores, and a part's pieces are kept for the next time it turns up, as words repeat. Every piece is projected to
-the span of source bytes it stands for.
-
-Only BPE models are supported (others raise). Defined cases: null text counts as empty and gets the begin and
-end ids alone; texts of any length are encoded whole.
+A text is normalised here, by longest-prefix look-up in the model's compiled character map, and every normalised
+byte remembers the source byte it came from. The library then only merges: it gets the normalised text and a copy
+of the model whose own normaliser is switched off. Every piece it returns is projected to the span of source
+bytes it stands for; of the byte pieces of one character the last one carries its span, as in the library.
+
+Models with user-defined pieces, or with spaces as suffixes, raise. Defined cases: null text counts as empty and
+gets the begin and end ids alone; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
 
-import heapq
-import re
 import struct
 from collections.abc import Iterator
 
@@ -27,7 +24,7 @@ from footreach.llm.common import arrow_schema, extended, slices, with_columns
 
 SPACE = "▁"
 #: Kinds of pieces in a model file. Fixed values of the public file format.
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Ids and spans are packed as little-endian unsigned 32-bit integers; `unpacked` gives them as arrays.
 NEW = {"ids": T.BinaryType(), "begins": T.BinaryType(), "ends": T.BinaryType(), "decoded": T.StringType()}
 
@@ -93,50 +90,48 @@ class CharacterMap:
         return found[0], self.strings[start : self.strings.index(b"\0", start)]
 
 
-class Model:
-    """A BPE model read from the bytes of its file."""
+#: A normaliser message that does nothing: no character map, no prefix, spaces kept and not marked.
+PLAIN = b"\x12\x00\x18\x00\x20\x00\x28\x00"
+
 
-    CACHE = 150_000
+class Model:
+    """A model read from the bytes of its file."""
 
     def __init__(self, data: bytes):
-        self.pieces: list[tuple[str, float, int]] = []
+        import sentencepiece
+
+        pieces: list[tuple[str, int]] = []
         spec: dict[int, object] = {}
         trainer: dict[int, object] = {}
         for number, value in fields(data):
             if number == 1:
                 own = dict(fields(value))
-                self.pieces.append((own.get(1, b"").decode(), own.get(2, 0.0), own.get(3, NORMAL)))
+                pieces.append((own.get(1, b"").decode(), own.get(3, NORMAL)))
             elif number == 2:
                 trainer = dict(fields(value))
             elif number == 3:
                 spec = dict(fields(value))
-        if trainer.get(3, 1) != 2:
-            raise ValueError("only BPE models are supported")
-        if any(kind == USER_DEFINED for _, _, kind in self.pieces):
-            raise ValueError("models with user-defined pieces are not supported")
+        if any(kind == USER_DEFINED for _, kind in pieces) or trainer.get(24):
+            raise ValueError("models with user-defined pieces or spaces as suffixes are not supported")
         self.map = CharacterMap(spec.get(2, b""))
         self.dummy_prefix, self.squeeze, self.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
-        self.byte_fallback = bool(trainer.get(35, 0))
-        self.ranks = {p: (-score, i) for i, (p, score, kind) in enumerate(self.pieces) if kind == NORMAL}
-        self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
-        self.unknown = next(i for i, x in enumerate(self.pieces) if x[2] == UNKNOWN)
-        control = {p: i for i, (p, _, kind) in enumerate(self.pieces) if kind == CONTROL}
-        self.begin, self.end = control.get("<s>", -1), control.get("</s>", -1)
-        self.side_by_side = {p[i : i + 2] for p in self.ranks for i in range(len(p) - 1)}
-        # a part begins at a run of spaces, or at a line break if no piece holds one beside another character
-        alone = "".join(c for c in "\n\t\r" if not any(c in x for x in self.side_by_side))
-        inside = any(SPACE in p.lstrip(SPACE) for p in self.ranks)
-        self.parts = None if inside else re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-
-    def normalise(self, text: str) -> tuple[str, np.ndarray | None]:
-        """The normalised text with spaces as the space mark, and for each of its UTF-8 bytes (a space mark counts
-        as one) and the end, the source byte; None for the latter if only a prefix may have been put in front."""
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        # the fields of a message that comes again take the place of those read before
+        self.merger = sentencepiece.SentencePieceProcessor(model_proto=data + b"\x1a" + bytes([len(PLAIN)]) + PLAIN)
+        self.fallback = any(kind == BYTE for _, kind in pieces)
+        self.sizes = np.array([len(p.encode()) if kind == NORMAL else 0 for p, kind in pieces], np.int64)
+        self.bytes = np.array([int(p[3:5], 16) if kind == BYTE else -1 for p, kind in pieces], np.int64)
+        self.begin, self.end = self.library.bos_id(), self.library.eos_id()
+
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text, and for each of its UTF-8 bytes and the end the source byte it comes from."""
         if not self.map and not self.squeeze:
             if not text:
-                return "", None
-            out = (" " if self.dummy_prefix else "") + text
-            return out.replace(" ", SPACE) if self.escape else out, None
+                return "", np.zeros(1, np.int64)
+            data = text.encode()
+            if self.dummy_prefix:
+                return self._marked(b" " + data, np.maximum(np.arange(-1, len(data) + 1), 0))
+            return self._marked(data, np.arange(len(data) + 1))
         data = text.encode()
         out, source = bytearray(), []
         at = 0
@@ -154,90 +149,50 @@ class Model:
             at += size
         end = len(data)
         if self.squeeze:
-            while out and out[-1] == 32:
-                out.pop()
-                end = source.pop()
+            mark = SPACE.encode() if self.escape else b" "
+            while out.endswith((b" ", mark)):  # the library trims after it has set marks
+                size = 1 if out[-1] == 32 else len(mark)
+                end = source[-size]
+                del out[-size:], source[-size:]
         if not out:
             return "", np.zeros(1, np.int64)
         if self.dummy_prefix:
             out[:0] = b" "
             source.insert(0, source[0])
-        return out.decode().replace(" ", SPACE) if self.escape else out.decode(), np.array([*source, end], np.int64)
-
-    def merge(self, part: str) -> list[str]:
-        """The part's pieces: the best-scored neighbours are merged first, the leftmost of equal ones."""
-        ranks = self.ranks
-        symbols: list[str] = list(part)
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = [(*ranks[pair], i, i + 1, 2) for i in range(n - 1) if (pair := symbols[i] + symbols[i + 1]) in ranks]
-        queue = [(s, i, j, k) for s, _, i, j, k in queue]
-        heapq.heapify(queue)
-        while queue:
-            _, i, j, size = heapq.heappop(queue)
-            if not symbols[i] or j >= n or not symbols[j] or after[i] != j or len(symbols[i]) + len(symbols[j]) != size:
-                continue
-            symbols[i] += symbols[j]
-            symbols[j] = ""
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (rank := ranks.get(pair := symbols[a] + symbols[b])):
-                    heapq.heappush(queue, (rank[0], a, b, len(pair)))
-        return [s for s in symbols if s]
-
-    def encode_part(self, part: str) -> tuple[bytes, bytes]:
-        """Ids and, for each, the bytes of normalised text it takes, as little-endian 32-bit integers."""
-        ids, sizes, start = [], [], 0
-        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in self.side_by_side]
-        for stop in (*cuts, len(part)):
-            for piece in self.merge(part[start:stop]) if stop - start > 1 else (part[start:stop],):
-                own = piece.replace(SPACE, " ").encode() if self.escape else piece.encode()
-                if piece in self.ranks:
-                    ids.append(self.ranks[piece][1])
-                    sizes.append(len(own))
-                elif self.byte_fallback:  # the last byte's piece stands for the whole character
-                    ids += [self.bytes[b] for b in piece.encode()]
-                    sizes += [0] * (len(piece.encode()) - 1) + [len(own)]
-                else:
-                    ids.append(self.unknown)
-                    sizes.append(len(own))
-            start = stop
-        return np.array(ids, "<u4").tobytes(), np.array(sizes, "<u4").tobytes()
+        return self._marked(bytes(out), np.array([*source, end], np.int64))
+
+    def _marked(self, data: bytes, source: np.ndarray) -> tuple[str, np.ndarray]:
+        """Spaces become space marks, which are longer: each byte of a mark comes from where the space did."""
+        if not self.escape:
+            return data.decode(), source
+        times = np.where(np.frombuffer(data + b"\0", np.uint8) == 32, len(SPACE.encode()), 1)
+        return data.decode().replace(" ", SPACE), np.repeat(source, times)
+
+    def piece_sizes(self, normal: str, ids: np.ndarray) -> np.ndarray:
+        """Bytes of normalised text that each piece takes."""
+        if not self.fallback:  # an unknown piece may be any text
+            pieces = self.merger.encode(normal, out_type=str)
+            return np.array([len(p.encode()) for p in pieces], np.int64)
+        sizes, values = self.sizes[ids], self.bytes[ids]
+        leads = np.flatnonzero((values >= 0) & (values & 0xC0 != 0x80))
+        if len(leads):
+            own = values[leads]
+            length = 1 + (own >= 0xC0) + (own >= 0xE0) + (own >= 0xF0)
+            sizes[leads + length - 1] = length
+        return sizes
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and each one's first byte and end in the source; without begin and end ids."""
-        text = text or ""
-        normal, source = self.normalise(text)
-        if not normal:
-            return (np.zeros(0, "<u4"), *np.zeros((2, 0), np.int64))
-        parts = self.parts.findall(normal) if self.parts else [normal]
-        cache = self.cache
-        found = list(map(cache.get, parts))
-        if None in found:
-            if len(cache) > self.CACHE:
-                cache.clear()
-            for i, x in enumerate(found):
-                if x is None:
-                    x = cache.get(parts[i]) or self.encode_part(parts[i])
-                    found[i] = x
-                    if len(parts[i]) <= 40:
-                        cache[parts[i]] = x
-        ids = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
-        ends = np.cumsum(np.frombuffer(b"".join([x[1] for x in found]), "<u4"), dtype=np.int64)
-        begins = np.concatenate(([0], ends[:-1]))
-        if source is not None:
-            return ids, source[begins], source[ends]
-        shift = int(self.dummy_prefix)
-        return ids, np.maximum(begins - shift, 0), np.maximum(ends - shift, 0)
+        normal, source = self.normalise(text or "")
+        ids = np.array(self.merger.encode(normal), np.int64)
+        ends = np.cumsum(self.piece_sizes(normal, ids))
+        begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        return ids, source[begins], source[ends]
 
 
 def encode_documents(docs: DataFrame, model_path: str, begin: bool = True, end: bool = True) -> DataFrame:
     """docs with ids, begins and ends (spans of source bytes; begin and end ids are empty spans) and decoded, what
     the library's decode(ids) returns. One pass, no shuffle; the model file, of fixed size, is sent to the tasks."""
-    import sentencepiece
-
     with open(model_path, "rb") as f:
         data = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(data)
@@ -245,7 +200,7 @@ def encode_documents(docs: DataFrame, model_path: str, begin: bool = True, end:
     out = arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, library = Model(sent.value), sentencepiece.SentencePieceProcessor(model_proto=sent.value)
+        model = Model(sent.value)
         head, tail = [model.begin] * begin, [model.end] * end
         for batch in slices(batches, "text", 4 << 20):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -257,7 +212,7 @@ def encode_documents(docs: DataFrame, model_path: str, begin: bool = True, end:
                 made["ids"].append(ids.astype("<u4").tobytes())
                 made["begins"].append(np.concatenate(([0] * begin, begins, [size] * end)).astype("<u4").tobytes())
                 made["ends"].append(np.concatenate(([0] * begin, ends, [size] * end)).astype("<u4").tobytes())
-                made["decoded"].append(library.decode(ids.astype(np.int64).tolist()))
+                made["decoded"].append(model.library.decode(ids.astype(np.int64).tolist()))
             yield with_columns(batch, out, made)
 
     return docs.mapInArrow(rows, schema)
