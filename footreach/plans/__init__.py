@@ -1 +1,6 @@
+"""Registered queries, by group."""
 
+from footreach.plans import scalar  # noqa: F401
+from footreach.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
