@@ -22,8 +22,10 @@ def blind_cells(grid: DataFrame, places: DataFrame, groups: list[str], radius: f
     """(request_id, grp, ix, iy) of cells without a place (grp, x2, y2) of the group within the radius: an anti join on
     kilometre squares."""
     asked = grid.withColumn("grp", F.explode(F.array(*map(F.lit, groups)))).select("request_id", "grp", "ix", "iy", "px", "py")
-    near = cells(asked, "px", "py", radius, 1).join(cells(places, "x2", "y2", radius), ["grp", "cx", "cy"]).where(squared(F.col("px"), F.col("py"), F.col("x2"), F.col("y2")) <= radius * radius)
-    return asked.join(near.select("request_id", "grp", "ix", "iy").distinct(), ["request_id", "grp", "ix", "iy"], "left_anti").select("request_id", "grp", "ix", "iy")
+    around = cells(places.withColumnRenamed("grp", "grp2"), "x2", "y2", radius, 1).withColumnsRenamed({"cx": "cx2", "cy": "cy2"})
+    own = cells(asked, "px", "py", radius)
+    near = (F.col("grp") == F.col("grp2")) & (F.col("cx") == F.col("cx2")) & (F.col("cy") == F.col("cy2")) & (squared(F.col("px"), F.col("py"), F.col("x2"), F.col("y2")) <= radius * radius)
+    return own.join(around, near, "left_anti").select("request_id", "grp", "ix", "iy")
 
 
 def cell_id() -> F.Column:

@@ -85,7 +85,8 @@ def costs_within(sources: DataFrame, edges: DataFrame, cutoff: float, heap_arcs:
     row cannot be reached. Graphs of at most `heap_arcs` arcs are searched in tasks, larger ones in rounds."""
     arcs = both_ways(edges)
     if arcs.count() <= heap_arcs:
-        return costs_by_heap(sources.repartition(), arcs, cutoff)
+        # a search takes far longer than its row is long: rows are spread by number, not by size
+        return costs_by_heap(sources.repartition(4 * edges.sparkSession.sparkContext.defaultParallelism), arcs, cutoff)
     return costs_by_frontier(sources, written(arcs), cutoff)
 
 

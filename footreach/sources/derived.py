@@ -60,10 +60,10 @@ def community(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame
 
 
 def request(spark: SparkSession, sf_dir: str, wide: bool = False, varied: bool = False) -> DataFrame:
-    """Every tenth customer asks what can be reached on foot in 15 minutes, or in 5 to 30 if varied."""
+    """Every customer asks what can be reached on foot in 15 minutes, or in 5 to 30 if varied."""
     k = F.col("c_custkey")
     minutes = (5 + k % 26).cast("int") if varied else F.lit(15)
-    rows = table(spark, sf_dir, "customer").where(k % 10 == 0).select(k.alias("request_id"), minutes.alias("minutes"))
+    rows = table(spark, sf_dir, "customer").select(k.alias("request_id"), minutes.alias("minutes"))
     return located(rows, "request_id", wide)
 
 
@@ -123,7 +123,7 @@ _POI = (
     "CASE WHEN p_partkey % 11 = 0 THEN '购物;商铺' WHEN p_partkey % 13 = 0 THEN '旅游景点;公园' END AS tag FROM part"
 )
 _COMMUNITY = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS district, c_acctbal AS sale_avg FROM customer"
-_REQUEST = "SELECT c_custkey AS request_id, {m} AS minutes FROM customer WHERE c_custkey % 10 = 0"
+_REQUEST = "SELECT c_custkey AS request_id, {m} AS minutes FROM customer"
 _NODES = f"SELECT i * 1000 + j AS nid, i, j, (i * 100 + 50) * CAST({KX!r} AS DOUBLE) AS x, (j * 100 + 50) * CAST({KY!r} AS DOUBLE) AS y FROM range(67) a(i), range(50) b(j)"
 _EDGES = (
     "SELECT i * 1000 + j AS u, (i + 1) * 1000 + j AS v, CAST(60 + (31 * i + 17 * j) % 40 AS INTEGER) AS w, 'road' AS kind FROM range(66) a(i), range(50) b(j) UNION ALL "
