@@ -1 +1 @@
-
+"""Streams of clicks: sessions, and requests answered by micro-batch."""
