@@ -12,7 +12,8 @@ by one value throughout. So a question with new numbers or names is caught, and
 frame with unrelated values is not. A window must hold at least `literals` plain words.
 
 How it runs: benchmark items with equal texts are one item. Their window hashes are counted; up to `filter_windows`
-of them (8 MB) are sent to the tasks as a bitmap, so that almost only windows that will be joined leave Python.
+of them (8 MB, and their words) are sent to the tasks as a bitmap, so that almost only windows that will be joined leave
+Python.
 Above that all windows of the documents go to the join. The join is Spark's; a hash that many documents share
 may be split by it.
 
@@ -46,46 +47,58 @@ UNITS = frozenset((
     "kilometer kilometers kilometre kilometres centimeter centimeters kmh mph"
 ).split())
 TOKEN = re.compile(r"[.!?:\n]|\d+(?:[.,]\d+)*|[^\W\d_]+")
-STOP, NUMBER, UNIT, CAPITAL = 1, 2, 4, 8
+STOP, NUMBER, UNIT, CAPITAL, UNKNOWN = 1, 2, 4, 8, 16
 BASE = 0x9E3779B97F4A7C15
 NUM, UNI, NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<num>", "<unit>", "<name>"))
 
 
 class Templates:
-    """Tokens of texts as arrays; what a token is depends on its spelling alone and is kept for the next time."""
+    """Tokens of texts as arrays; what a token is depends on its spelling alone and is kept for the next time.
+
+    With a vocabulary (hashes of lower-cased words) all other words are the same unknown word, which no window of
+    the benchmark holds: most texts then have no window that is worth a hash.
+    """
 
     CACHE = 300_000
 
-    def __init__(self):
+    def __init__(self, vocabulary: frozenset[int] | None = None):
+        self.vocabulary = vocabulary
         self.index: dict[str, int] = {}
-        self.words: list[str] = []
+        # the first two codes: an unknown word, and one that begins with a capital
         self.hash_array, self.kind_array = np.zeros(1024, np.uint64), np.zeros(1024, np.int8)
+        self.kind_array[:2] = UNKNOWN, UNKNOWN | CAPITAL
+        self.codes = 2
 
     def _learn(self, tokens: list[str]) -> None:
-        first = len(self.words)
-        kinds = []
+        hashes, kinds, known = [], [], self.vocabulary
         for token in tokens:
             low = token.lower()
+            capital = CAPITAL if token[0] != low[0] and token[1:].islower() else 0
             if not token[0].isalnum():
                 kind = STOP
             elif token[0].isdigit() or low in NUMBER_WORDS:
                 kind = NUMBER
             else:
-                kind = (UNIT if low in UNITS else 0) | (CAPITAL if token[0] != low[0] and token[1:].islower() else 0)
+                kind = (UNIT if low in UNITS else 0) | capital
+            value = xxhash.xxh64_intdigest(low)
+            if known is not None and not kind & (STOP | NUMBER | UNIT) and value not in known:
+                self.index[token] = 1 if capital else 0
+                continue
+            self.index[token] = self.codes + len(kinds)
+            hashes.append(value)
             kinds.append(kind)
-            self.words.append(low)
-        self.index.update(zip(tokens, range(first, len(self.words)), strict=True))
-        if len(self.words) > len(self.kind_array):
-            size = 2 * len(self.words)
+        if self.codes + len(kinds) > len(self.kind_array):
+            size = 2 * (self.codes + len(kinds))
             self.hash_array, self.kind_array = np.resize(self.hash_array, size), np.resize(self.kind_array, size)
-        own = slice(first, len(self.words))
-        self.hash_array[own] = np.frombuffer(b"".join(map(xxhash.xxh64_digest, self.words[own])), ">u8")
-        self.kind_array[own] = kinds
+        own = slice(self.codes, self.codes + len(kinds))
+        self.hash_array[own], self.kind_array[own] = np.array(hashes, np.uint64), kinds
+        self.codes += len(kinds)
 
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        """(hashes of the plain template, of the one with names, slot kind of each token, index of its spelling)."""
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(hashes of the plain template, of the one with names, slot kind of each token, whether it is unknown,
+        the text's pieces, and which of them are tokens)."""
         if len(self.index) > self.CACHE:
-            self.__init__()
+            self.__init__(self.vocabulary)
         tokens = TOKEN.findall(text or "")
         which = np.fromiter(map(self.index.get, tokens, repeat(-1)), np.int64, len(tokens))
         missing = np.flatnonzero(which < 0).tolist()
@@ -95,16 +108,16 @@ class Templates:
             which[missing] = [self.index[t] for t in new]
         kinds = self.kind_array[which]
         stops = kinds == STOP
+        at = np.flatnonzero(~stops)
         opens = np.ones(len(which), bool)
         opens[1:] = stops[:-1]
-        kept = ~stops
-        which, kinds, opens = which[kept], kinds[kept], opens[kept]
+        which, kinds, opens = which[at], kinds[at], opens[at]
         number = kinds == NUMBER
         unit = np.zeros(len(which), bool)
         unit[1:] = number[:-1] & (kinds[1:] & UNIT > 0)
         name = (kinds & CAPITAL > 0) & ~opens & ~unit
         plain = np.where(number, NUM, np.where(unit, UNI, self.hash_array[which]))
-        return plain, np.where(name, NAME, plain), number * NUMBER + unit * UNIT + name * CAPITAL, which
+        return plain, np.where(name, NAME, plain), number * NUMBER + unit * UNIT + name * CAPITAL, kinds & UNKNOWN > 0, tokens, at
 
 
 def _powers(n: int, kept: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
@@ -128,28 +141,37 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
         return mix((total[size:] - total[:-size]) * powers[: n - size + 1] + np.uint64(size))
 
 
-def windows_of(own: Templates, text: str | None, sizes: list[int], literals: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(position, size, hash, template) arrays of a text's windows with enough plain words."""
-    plain, named, kinds, _ = own.read(text)
+def _runs(bad: np.ndarray, size: int) -> np.ndarray:
+    """How many of each window's tokens are bad."""
+    total = np.concatenate(([0], np.cumsum(bad)))
+    return total[size:] - total[:-size]
+
+
+def windows_of(read: tuple, sizes: list[int], literals: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(position, size, hash, template) arrays of the windows with enough plain words and no unknown one."""
+    plain, named, kinds, unknown = read[:4]
+    name = kinds & CAPITAL > 0
     for size in sizes:
-        for which, tokens, slots in ((0, plain, kinds & (NUMBER | UNIT) > 0), (1, named, kinds > 0)):
-            if len(tokens) < size or which and not (kinds & CAPITAL).any():
+        if len(plain) < size:
+            continue
+        for which, tokens, slots, bad in ((0, plain, kinds & (NUMBER | UNIT) > 0, unknown), (1, named, kinds > 0, unknown & ~name)):
+            if which and not name.any():
+                continue  # without a name both templates give the same windows
+            use = _runs(bad, size) == 0
+            if not use.any():
                 continue
-            hashes = window_hashes(tokens, size)
-            total = np.concatenate(([0], np.cumsum(slots)))
-            held = total[size:] - total[:-size]
-            use = size - held >= min(literals, size)
-            if which:  # without a name both templates give the same window
-                names = np.concatenate(([0], np.cumsum(kinds & CAPITAL > 0)))
-                use &= names[size:] - names[:-size] > 0
+            use &= size - _runs(slots, size) >= min(literals, size)
+            if which:
+                use &= _runs(name, size) > 0
             at = np.flatnonzero(use)
-            yield at, np.full(len(at), size), hashes[at], np.full(len(at), which)
+            yield at, np.full(len(at), size), window_hashes(tokens, size)[at], np.full(len(at), which)
 
 
-def _slot_values(own: Templates, text: str | None) -> tuple[list[str], list[str]]:
+def _slot_values(read: tuple) -> tuple[list[str], list[str]]:
     """The words in the slots of either template, and empty strings between them."""
-    _, _, kinds, which = own.read(text)
-    return tuple([own.words[k] if s & mask else "" for k, s in zip(which, kinds, strict=True)] for mask in (NUMBER | UNIT, NUMBER | UNIT | CAPITAL))
+    _, _, kinds, _, tokens, at = read
+    own = [tokens[k].lower() for k in at]
+    return tuple([w if s & mask else "" for w, s in zip(own, kinds, strict=True)] for mask in (NUMBER | UNIT, NUMBER | UNIT | CAPITAL))
 
 
 def _emit(ids: list, positions: list, sizes: list, hashes: list, templates: list, slots: list, tokens: list) -> pa.RecordBatch:
@@ -164,30 +186,28 @@ ROWS = "id long, pos int, size int, hash long, template int, slots array<string>
 
 def text_windows(texts: DataFrame, window: int, sizes: list[int] | None, literals: int, min_tokens: int, keep=None) -> DataFrame:
     """Windows of (id, text) rows. sizes: None for the benchmark's own (each item's is the lesser of window and its
-    length). keep: a broadcast bitmap of hashes; others stay behind."""
+    length). keep: a broadcast pair of the benchmark's words and a bitmap of its windows; others stay behind."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Templates()
-        bitmap = keep.value if keep is not None else None
+        words, bitmap = keep.value if keep is not None else (None, None)
+        own = Templates(words)
         mask = np.uint64(len(bitmap) - 1) if bitmap is not None else None
         for batch in slices(batches, "text", 4 << 20):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                plain = None
-                lengths = sizes
-                if sizes is None:
-                    plain = own.read(text)[0]
-                    lengths = [min(window, len(plain))] if len(plain) >= min_tokens else []
+                read = own.read(text)
+                n = len(read[0])
+                lengths = sizes if sizes is not None else [min(window, n)] if n >= min_tokens else []
                 values = None
-                for at, size, hashes, which in windows_of(own, text, lengths, literals):
+                for at, size, hashes, which in windows_of(read, lengths, literals):
                     if bitmap is not None:
                         hit = bitmap[hashes & mask]
                         at, size, hashes, which = at[hit], size[hit], hashes[hit], which[hit]
                     if not len(at):
                         continue
-                    values = _slot_values(own, text) if values is None else values
-                    n = len(at)
-                    for column, x in zip(out, ([key] * n, at.tolist(), size.tolist(), hashes.view(np.int64).tolist(), which.tolist(), [values[w][a : a + s] for a, s, w in zip(at.tolist(), size.tolist(), which.tolist(), strict=True)], [len(values[0])] * n), strict=True):
+                    values = _slot_values(read) if values is None else values
+                    k = len(at)
+                    for column, x in zip(out, ([key] * k, at.tolist(), size.tolist(), hashes.view(np.int64).tolist(), which.tolist(), [values[w][a : a + s] for a, s, w in zip(at.tolist(), size.tolist(), which.tolist(), strict=True)], [n] * k), strict=True):
                         column += x
             if out[0]:
                 yield _emit(*out)
@@ -195,6 +215,17 @@ def text_windows(texts: DataFrame, window: int, sizes: list[int] | None, literal
     return texts.mapInArrow(rows, ROWS)
 
 
+def word_hashes(texts: DataFrame) -> DataFrame:
+    """(hash) of each different lower-cased word of (id, text) rows."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            words = {w.lower() for text in batch.column(1).to_pylist() for w in TOKEN.findall(text or "")}
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64))], names=["hash"])
+
+    return texts.mapInArrow(rows, "hash long").distinct()
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, window: int = 8, coverage: float = 0.5, literals: int = 4, min_tokens: int = 5, filter_windows: int = 1_000_000
 ) -> DataFrame:
@@ -207,7 +238,8 @@ def contaminated(
     if total <= filter_windows:
         bitmap = np.zeros(1 << 23 if total > 20_000 else 1 << 20, bool)
         bitmap[np.array([r[0] for r in known.select("hash").collect()], np.int64).view(np.uint64) & np.uint64(len(bitmap) - 1)] = True
-        keep = spark.sparkContext.broadcast(bitmap)
+        words = frozenset(r[0] % 2**64 for r in word_hashes(items).collect())  # fewer than windows and their length
+        keep = spark.sparkContext.broadcast((words, bitmap))
     found = text_windows(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), window, sorted(lengths or []), literals, min_tokens, keep)
     item = known.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "size", "hash", "template", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
     pairs = found.join(item, ["hash", "size", "template"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
