@@ -10,18 +10,23 @@ from pyspark.sql import functions as F
 
 def click_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     """Parquet files of clicks as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must have a zone
 
 
-def sessions(clicks: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+def timed(clicks: DataFrame, late: str = "1 hour") -> DataFrame:
+    """A stream whose rows may be late by so much; set once, before the functions below."""
+    return clicks.withWatermark("ts", late) if clicks.isStreaming else clicks
+
+
+def sessions(clicks: DataFrame, gap: str = "30 minutes") -> DataFrame:
     """(user_id, start, end, clicks, total): clicks of a user without a longer pause. Late rows are dropped on streams."""
-    own = clicks.withWatermark("ts", late) if clicks.isStreaming else clicks
-    return own.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("clicks"), F.round(F.sum("value"), 6).alias("total")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "clicks", "total")
+    return clicks.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("clicks"), F.round(F.sum("value"), 6).alias("total")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "clicks", "total")
 
 
-def once_each(clicks: DataFrame, late: str = "1 hour") -> DataFrame:
+def once_each(clicks: DataFrame) -> DataFrame:
     """Requests without repeats of an event within the watermark: the stream form of a cache with a time limit."""
-    return clicks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if clicks.isStreaming else clicks.dropDuplicates(["event_id"])
+    return clicks.dropDuplicatesWithinWatermark(["event_id"]) if clicks.isStreaming else clicks.dropDuplicates(["event_id"])
 
 
 def answer(clicks: DataFrame, respond: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
