@@ -11,13 +11,14 @@ from footreach.operators.spatial import radius_join
 
 
 def cleaned(pois: DataFrame) -> DataFrame:
-    """Known categories without noise, one row for each uid of a category (the first in seq), with cat_total."""
+    """Known categories without noise, one row for each uid of a category (the first in seq), with cat_total and
+    the traits of ranked_traits()."""
     known = pois.where(F.col("category").isin(*C.CATEGORIES) & ~T.is_noise(F.col("category"), F.col("name"), F.col("tag")))
     key = F.coalesce(F.concat(F.lit("u:"), "uid"), F.concat(F.lit("s:"), F.col("seq").cast("string")))
     first = Window.partitionBy("category", "__key").orderBy("seq")
     once = known.withColumn("__key", key).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__key")
     totals = once.groupBy("category").agg(F.count("*").cast("int").alias("cat_total"))
-    return once.join(totals, "category")
+    return ranked_traits(once.join(totals, "category"))
 
 
 def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:
@@ -53,12 +54,15 @@ def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: flo
 
 
 def walk_minutes(pairs: DataFrame, costs: DataFrame, nodes: DataFrame, radius: float = C.EDGE_ACCESS_M, estimate_speed: float = C.WALK_SPEED) -> DataFrame:
-    """pairs (request_id, id, x2, y2, d) with raw_min and estimated: the least of a node's cost and the straight rest of
-    the way to the place, over nodes within the radius; the straight way where there is none."""
+    """pairs (start, id, x2, y2, d, ...) with raw_min and estimated: the least of a node's cost and the straight rest of
+    the way to the place, over nodes within the radius; the straight way where there is none.
+
+    costs: (start, nid, cost_s). Requests that begin at one node share their minutes, so they are worked out once for
+    each start and place."""
     places = pairs.select("id", "x2", "y2").distinct()
     near = radius_join(places, nodes.select("nid", F.col("x").alias("nx"), F.col("y").alias("ny")), radius, ("x2", "y2"), ("nx", "ny")).select("id", "nid", (F.col("d") / estimate_speed).alias("rest"))
-    by_node = near.join(costs, "nid").groupBy("request_id", "id").agg(F.min(F.col("cost_s") / 60 + F.col("rest")).alias("graph_min"))
-    return pairs.join(by_node, ["request_id", "id"], "left").withColumns({"raw_min": F.coalesce("graph_min", F.col("d") / estimate_speed), "estimated": F.col("graph_min").isNull()}).drop("graph_min")
+    by_node = near.join(costs, "nid").groupBy("start", "id").agg(F.min(F.col("cost_s") / 60 + F.col("rest")).alias("graph_min"))
+    return pairs.join(by_node, ["start", "id"], "left").withColumns({"raw_min": F.coalesce("graph_min", F.col("d") / estimate_speed), "estimated": F.col("graph_min").isNull()}).drop("graph_min")
 
 
 def merge_key(category: Column, name: Column, kind: Column, rid: Column) -> Column:
@@ -70,8 +74,13 @@ def merge_key(category: Column, name: Column, kind: Column, rid: Column) -> Colu
     )
 
 
-def rank_order() -> list[Column]:
-    """The order of a category's places: by category first by stage, kind or core, then closed ones last, then minutes."""
+MERGED = ("transport", "public")
+STAGED = ("education", "transport", "public")
+
+
+def ranked_traits(places: DataFrame) -> DataFrame:
+    """places with what their order depends on besides minutes, worked out once for each place: merge (the smallest id
+    that counts as the same), lead (stage, kind or core) and closed."""
     closed = F.col("name").contains(T.CLOSED).cast("int")
     lead = (
         F.when(F.col("category") == "education", T.edu_stage(F.col("edu_kind"), F.col("name")))
@@ -79,18 +88,26 @@ def rank_order() -> list[Column]:
         .when(F.col("category") == "public", (~F.col("name").rlike(T.PUBLIC_CORE)).cast("int"))
         .otherwise(F.lit(0))
     )
-    plain = F.when(F.col("category").isin("education", "transport", "public"), F.lit(0.0)).otherwise(F.col("raw_min"))
-    return [lead, plain, closed, F.col("raw_min"), F.col("seq")]
+    own = places.withColumns({"lead": lead, "closed": closed, "__key": merge_key(F.col("category"), F.col("name"), F.col("transport_kind"), F.col("id"))})
+    same = own.where(F.col("category").isin(*MERGED)).groupBy("category", "__key").agg(F.min("id").alias("merge"))
+    return own.join(same, ["category", "__key"], "left").withColumn("merge", F.coalesce("merge", "id")).drop("__key")
 
 
 def selected(views: DataFrame, cap: int = C.CAP_PER_CATEGORY) -> DataFrame:
-    """Places within the minutes, merged, ranked by category and cut at the cap; within_total counts before the cut."""
+    """Places within the minutes, merged, ranked by category and cut at the cap; within_total counts before the cut.
+
+    views: request_id, minutes, category, id, seq, raw_min and the traits. Only merged categories are sorted for the
+    merge; the cut is a row number alone, which Spark takes by task before it shuffles."""
     within = views.where(F.col("raw_min") <= F.col("minutes"))
-    once = Window.partitionBy("request_id", "category", "__key").orderBy("raw_min", "seq")
-    merged = within.withColumn("__key", merge_key(F.col("category"), F.col("name"), F.col("transport_kind"), F.col("id"))).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n", "__key")
-    group = Window.partitionBy("request_id", "category")
-    ranked = merged.withColumns({"rank": F.row_number().over(group.orderBy(*rank_order())), "within_total": F.count("*").over(group).cast("int")})
-    return ranked.where(F.col("rank") <= cap)
+    some = F.col("category").isin(*MERGED)
+    once = Window.partitionBy("request_id", "category", "merge").orderBy("raw_min", "seq")
+    first = within.where(some).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    merged = within.where(~some).unionByName(first)
+    staged = F.col("category").isin(*STAGED)
+    order = Window.partitionBy("request_id", "category").orderBy("lead", F.when(staged, F.lit(0.0)).otherwise(F.col("raw_min")), "closed", "raw_min", "seq")
+    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    totals = merged.groupBy("request_id", "category").agg(F.count("*").cast("int").alias("within_total"))
+    return ranked.join(totals, ["request_id", "category"])
 
 
 def nearest_in_category(pairs: DataFrame, n: int = 20) -> DataFrame:

@@ -26,12 +26,16 @@ def sources(spark, sf_dir) -> DataFrame:
     return D.request(spark, sf_dir).select("request_id", D.node_of(F.col("xi"), F.col("yi")).alias("nid"))
 
 
+def costs_by_start(spark, sf_dir) -> DataFrame:
+    """(start, nid, cost_s) from each node at which a request begins."""
+    starts = sources(spark, sf_dir).select("nid").distinct().select(F.col("nid").alias("request_id"), "nid")
+    return G.costs_within(starts, D.lattice_edges(spark), CUTOFF).withColumnRenamed("request_id", "start")
+
+
 def costs(spark, sf_dir) -> DataFrame:
-    """Costs of all requests. Requests at one node share a search: nodes are searched from, then joined back."""
-    own = sources(spark, sf_dir)
-    starts = own.select("nid").distinct().select(F.col("nid").alias("request_id"), "nid")
-    found = G.costs_within(starts, D.lattice_edges(spark), CUTOFF).select(F.col("request_id").alias("start"), F.col("nid").alias("to"), "cost_s")
-    return own.join(found, own.nid == found.start).select("request_id", F.col("to").alias("nid"), "cost_s")
+    """Costs of all requests. Requests at one node share a search."""
+    own = sources(spark, sf_dir).withColumnRenamed("nid", "start")
+    return own.join(costs_by_start(spark, sf_dir), "start").select("request_id", "nid", "cost_s")
 
 
 @query(with_sql("request lattice_edge", COST_SQL + " SELECT request_id, nid, CAST(cost_s AS BIGINT) AS cost_s FROM cost", recursive=True))

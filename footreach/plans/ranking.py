@@ -48,12 +48,14 @@ def dedup_greedy(spark, sf_dir):
     return P.greedy_apart(rows, ["category"], ["seq"], 200.0).select(F.col("rid").alias("id"))
 
 
-def views(spark, sf_dir, radius: float = REACH) -> DataFrame:
-    """Pairs of requests and clean places within the radius, with straight minutes."""
-    asked = D.request(spark, sf_dir).select("request_id", "minutes", "x", "y")
-    places = P.cleaned(D.poi(spark, sf_dir))
-    pairs = S.radius_join(asked, as2(places, **{c: c for c in ("id", "seq", "name", "category", "edu_kind", "transport_kind", "cat_total")}), radius)
-    return pairs.withColumn("raw_min", F.col("d") / C.WALK_SPEED)
+TRAITS = ("id", "seq", "category", "transport_kind", "merge", "lead", "closed", "cat_total")
+
+
+def views(spark, sf_dir, *more: str, radius: float = REACH) -> DataFrame:
+    """Pairs of requests and clean places within the radius, with straight minutes. Names stay behind unless asked for."""
+    asked = D.request(spark, sf_dir).select("request_id", "minutes", "x", "y", D.node_of(F.col("xi"), F.col("yi")).alias("start"))
+    places = as2(P.cleaned(D.poi(spark, sf_dir)), **{c: c for c in (*TRAITS, *more)})
+    return S.radius_join(asked, places, radius).withColumn("raw_min", F.col("d") / C.WALK_SPEED)
 
 
 VIEW_SQL = CLEAN_SQL + f", v AS (SELECT request_id, minutes, b.id, b.seq, b.name, b.category, b.edu_kind, b.transport_kind, b.cat_total, {DIST} AS d, {DIST} / 70.0::DOUBLE AS raw_min FROM request a JOIN clean b ON {DIST} <= {REACH})"
@@ -79,9 +81,9 @@ def transport_mode(spark, sf_dir):
 
 def merged(spark, sf_dir, category: str) -> DataFrame:
     own = views(spark, sf_dir).where(F.col("category") == category)
-    first = Window.partitionBy("request_id", "key").orderBy("raw_min", "seq")
-    keyed = own.withColumn("key", P.merge_key(F.col("category"), F.col("name"), F.col("transport_kind"), F.col("id")))
-    return keyed.withColumn("n", F.row_number().over(first)).where("n = 1").select("request_id", "key", "id")
+    first = Window.partitionBy("request_id", "merge").orderBy("raw_min", "seq")
+    names = D.poi(spark, sf_dir).where(F.col("category") == category).select("id", P.merge_key(F.col("category"), F.col("name"), F.col("transport_kind"), F.col("id")).alias("key"))
+    return own.withColumn("n", F.row_number().over(first)).where("n = 1").select("request_id", "id").join(names, "id").select("request_id", "key", "id")
 
 
 MERGE_SQL = VIEW_SQL + f", m AS (SELECT request_id, key, id, category FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category, key ORDER BY raw_min, seq) AS n FROM (SELECT *, {KEY_SQL} AS key FROM v)) WHERE n = 1)"
@@ -181,7 +183,7 @@ WALK_SQL = graphs.COST_SQL + VIEW_SQL + NODE_PAIR_SQL + (
 def walked(spark, sf_dir) -> DataFrame:
     from footreach.operators.graph import written
 
-    return P.walk_minutes(views(spark, sf_dir), written(graphs.costs(spark, sf_dir)), D.lattice_nodes(spark))
+    return P.walk_minutes(views(spark, sf_dir), written(graphs.costs_by_start(spark, sf_dir)), D.lattice_nodes(spark))
 
 
 @query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + " SELECT request_id, id, round(raw_min, 6) AS raw_min, estimated FROM walk", recursive=True))
@@ -198,7 +200,7 @@ def area_ratios(costs: DataFrame) -> DataFrame:
     import math
 
     cell = 100 * D.KX * 100 * D.KY
-    return costs.groupBy("request_id").agg(F.least(F.lit(1.0), F.count("*") * cell / (math.pi * (15 * C.CIRCLE_SPEED) ** 2)).alias("area_ratio"))
+    return costs.groupBy("start").agg(F.least(F.lit(1.0), F.count("*") * cell / (math.pi * (15 * C.CIRCLE_SPEED) ** 2)).alias("area_ratio"))
 
 
 @query(
@@ -208,16 +210,17 @@ def life_circle(spark, sf_dir):
     """From a point and minutes to a score: costs, minutes to places, selection, coverage, score."""
     from footreach.operators.graph import written
 
-    costs = written(graphs.costs(spark, sf_dir))
+    costs = written(graphs.costs_by_start(spark, sf_dir))
     walk = P.walk_minutes(views(spark, sf_dir), costs, D.lattice_nodes(spark))
     cover = V.coverage(D.request(spark, sf_dir), P.selected(walk), V.category_rows(spark))
-    return V.score(cover, area_ratios(costs))
+    ratios = area_ratios(costs).join(graphs.sources(spark, sf_dir).withColumnRenamed("nid", "start"), "start").select("request_id", "area_ratio")
+    return V.score(cover, ratios)
 
 
 @query(with_sql("request poi", VIEW_SQL + f", t AS (SELECT request_id, name, min(raw_min) AS m FROM v WHERE category = 'education' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY m, name) AS k FROM t) SELECT request_id, array_to_string(list(name ORDER BY k), ',') AS names FROM k WHERE k <= 5 GROUP BY 1"))
 def hot_names(spark, sf_dir):
     """The five nearest different school names of each request."""
-    near = views(spark, sf_dir).where("category = 'education'").groupBy("request_id", "name").agg(F.min("raw_min").alias("m"))
+    near = views(spark, sf_dir, "name").where("category = 'education'").groupBy("request_id", "name").agg(F.min("raw_min").alias("m"))
     first = near.withColumn("k", F.row_number().over(Window.partitionBy("request_id").orderBy("m", "name"))).where("k <= 5")
     own = first.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", "name"))).alias("own"))
     return own.select("request_id", F.array_join(F.transform("own", lambda x: x["name"]), ",").alias("names"))

@@ -221,14 +221,14 @@ def test_selection_orders(spark):
         (1, 15, 11, 11, "便利店(已关闭)", "convenience", None, None, 9, 1.0), (1, 15, 12, 12, "便利店", "convenience", None, None, 9, 1.0),
     ]
     got = {}
-    for r in poi.selected(spark.createDataFrame(rows, SELECT)).orderBy("category", "rank").collect():
+    for r in poi.selected(poi.ranked_traits(spark.createDataFrame(rows, SELECT))).orderBy("category", "rank").collect():
         got.setdefault(r.category, []).append(r.id)
     assert got == {"convenience": [12, 11], "education": [2, 1, 3], "public": [10, 8], "transport": [7, 5]}
 
 
 def test_cap_and_total(spark):
     rows = [(1, 15, i, i, f"店{i}", "leisure", None, None, 50, float(i % 15)) for i in range(1, 31)]
-    out = poi.selected(spark.createDataFrame(rows, SELECT)).collect()
+    out = poi.selected(poi.ranked_traits(spark.createDataFrame(rows, SELECT))).collect()
     assert len(out) == 20 and {r.within_total for r in out} == {30}
 
 
