@@ -50,6 +50,8 @@ BOILER = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead topbar footer bottom copyright sidebar aside widget related recommended trending popular more comment comments disqus reply replies respond discussion form search pagination pager tags toolbar skip hidden".split()
 )
+#: Beginnings that also count inside longer words, such as cookiebar or siteFooter.
+STEMS = re.compile("cookie|consent|advert|sponsor|promo|banner|newslet|subscri|social|sidebar|comment|footer|header|masthead|navbar|navigat|menu|breadcrumb|recommend|popup|modal|signup|copyright|paginat|disqus|widget|notice")
 CONTENT = frozenset("article content post entry story body main text articlebody maincontent page blog paragraph".split())
 ABOVE = ("nav", "footer", "aside", "form", "article", "main")
 FEATURES = 2 * len(TAG_KINDS) + len(ABOVE) + 4 + 18
@@ -170,8 +172,9 @@ class Page:
             own = 0
             if self.attributes[i]:
                 for a in ATTRIBUTE.findall(self.attributes[i]):
-                    tokens = set(TOKEN.findall("".join(a).lower()))
-                    own |= 1 * bool(tokens & BOILER) | 2 * bool(tokens & CONTENT)
+                    value = "".join(a).lower()
+                    tokens = set(TOKEN.findall(value))
+                    own |= 1 * bool(tokens & BOILER or STEMS.search(value)) | 2 * bool(tokens & CONTENT)
             inherited = flags[p] & 12 if p >= 0 else 0
             flags[i] = own | inherited | (4 if own & 1 else 0) | (8 if own & 2 else 0)
         at = 2 * t
@@ -313,7 +316,7 @@ def made_page(rng: random.Random) -> str:
         kind = rng.random()
         link = rng.choice(["", "", f' <a href="/x">{words(1, 4)}</a> {words(1, 9)}'])
         if kind < 0.7:
-            return rng.choice([f"<p data-in>{words(1, 90)}{link}</p>", f"<p data-in><b>{words(1, 60)}<br>", f"<p data-in>{words(1, 60)}{link}", f'<p data-in class="{rng.choice(["intro", "lead", "x1", "paragraph"])}">{words(3, 70)}</p>'])
+            return rng.choice([f"<p data-in>{words(1, 3)}</p>", f"<p data-in>{words(1, 90)}{link}</p>", f"<p data-in>{words(1, 4)}", f"<p data-in><b>{words(1, 60)}<br>", f"<p data-in>{words(1, 60)}{link}", f'<p data-in class="{rng.choice(["intro", "lead", "x1", "paragraph"])}">{words(3, 70)}</p>'])
         if kind < 0.78:
             return f"<h2 data-in>{words(1, 8)}</h2>"
         if kind < 0.84:
@@ -332,7 +335,7 @@ def made_page(rng: random.Random) -> str:
             inner.insert(rng.randint(0, len(inner)), rng.choice([advert, notice, side, form])())
         if rng.random() < 0.15:
             inner.append(rng.choice([comments, lambda: f"<div{must(['share', 'social', 'tags'])}><ul>{linked(1, 5)}</ul></div>"])())
-        title = rng.choice([f"<h1 data-in>{words(1, 12)}</h1>"] * 3 + [f"<h2 data-in>{words(1, 12)}</h2>", f"<header data-in><h1 data-in>{words(1, 12)}</h1></header>", ""])
+        title = rng.choice([f"<h1 data-in>{words(1, 12)}</h1>"] * 3 + [f"<h2 data-in>{words(1, 12)}</h2>", f"<header data-in><h1 data-in>{words(1, 12)}</h1></header>", f'<div data-in class="entry-header"><h1 data-in>{words(1, 12)}</h1></div>', ""])
         names = ["article", "content", "post", "entry-content", "story", "article-body", "main-content", "post-body"]
         tag = rng.choice(["article", "article", "main", "div", "div", "section"])
         outer = attribute(names) if tag in ("article", "main") else must(names)
