@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footreach import config as C
 from footreach.functions import text as T
-from footreach.operators.spatial import radius_join
+from footreach.operators.spatial import radius_join, spread
 
 
 def cleaned(pois: DataFrame) -> DataFrame:
@@ -61,8 +61,11 @@ def walk_minutes(pairs: DataFrame, costs: DataFrame, nodes: DataFrame, radius: f
     each start and place."""
     places = pairs.select("id", "x2", "y2").distinct()
     near = radius_join(places, nodes.select("nid", F.col("x").alias("nx"), F.col("y").alias("ny")), radius, ("x2", "y2"), ("nx", "ny")).select("id", "nid", (F.col("d") / estimate_speed).alias("rest"))
-    by_node = near.join(costs, "nid").groupBy("start", "id").agg(F.min(F.col("cost_s") / 60 + F.col("rest")).alias("graph_min"))
-    return pairs.join(by_node, ["start", "id"], "left").withColumns({"raw_min": F.coalesce("graph_min", F.col("d") / estimate_speed), "estimated": F.col("graph_min").isNull()}).drop("graph_min")
+    from footreach.operators.graph import written
+
+    # read several times by what follows, and small beside the pairs it is made from
+    by_node = spread(near, "nid").join(spread(costs, "nid"), "nid").groupBy("start", "id").agg(F.min(F.col("cost_s") / 60 + F.col("rest")).alias("graph_min"))
+    return pairs.join(written(by_node), ["start", "id"], "left").withColumns({"raw_min": F.coalesce("graph_min", F.col("d") / estimate_speed), "estimated": F.col("graph_min").isNull()}).drop("graph_min")
 
 
 def merge_key(category: Column, name: Column, kind: Column, rid: Column) -> Column:

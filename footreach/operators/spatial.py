@@ -21,10 +21,16 @@ def squared(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return (x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by number of rows. A row here becomes many: by its size alone, a few tasks would get all of them,
+    whichever side is broadcast. Rows are dealt once more before the join for it, which is little beside its pairs."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, a: tuple[str, str] = ("x", "y"), b: tuple[str, str] = ("x2", "y2")) -> DataFrame:
     """Pairs at most `radius` apart, with column d. Column names must differ between the sides."""
     # cells of half the radius: 25 of them hold less around the circle than 9 of its full size
-    pairs = cells(left, *a, radius / 2, 2).join(cells(right, *b, radius / 2), ["cx", "cy"]).drop("cx", "cy")
+    pairs = cells(spread(left), *a, radius / 2, 2).join(cells(spread(right), *b, radius / 2), ["cx", "cy"]).drop("cx", "cy")
     return pairs.withColumn("d", F.sqrt(squared(*map(F.col, (*a, *b))))).where(F.col("d") <= radius)
 
 
