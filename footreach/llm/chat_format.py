@@ -7,8 +7,8 @@ A conversation becomes one string. Each turn is
 with `&` as the start of an escape. The parser cuts the string at every `</s>`, and a piece into role and text at
 its first `] `; then it undoes the escapes `&s;` (for `<s>`), `&e;` (for `</s>`), `&b;` (for `]`) and `&a;` (for
 `&`). Each turn is first rendered as it stands, then parsed; a turn that does not come back identical has its
-control strings and `&` escaped, which is minimal, and one that still does not has every `<`, `]` and `&`
-escaped. The result tells the level of each turn, and is checked again as a whole.
+control strings and `&` escaped, which is minimal, and one that still does not has every `<`, `>`, `]` and `&`
+escaped (`&l;` and `&g;` beside those above). The result tells the level of each turn, and is checked again as a whole.
 
 All of it is string functions of the DataFrame API: one grouping by conversation, no Python.
 

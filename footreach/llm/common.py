@@ -59,7 +59,7 @@ def with_columns(batch: pa.RecordBatch, schema: pa.Schema, made: dict[str, objec
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def extended(df: DataFrame, new: dict[str, T.DataType], replace: tuple[str, ...] = ()) -> T.StructType:
+def extended(df: DataFrame, new: dict[str, T.DataType]) -> T.StructType:
     """df's schema with the new fields at the end; a column of df that has the name of a new one gives way to it."""
     kept = [f for f in df.schema.fields if f.name not in new]
     return T.StructType([*kept, *(T.StructField(k, v) for k, v in new.items())])

@@ -8,7 +8,7 @@ or out, everything below one that is out is out, and the sum of log-odds over th
 blocks of nodes that are in are the result.
 
 The trees are trained when the operator is called, on pages made from a seed by a generator of layouts with known
-states: `TRAINING_PAGES` of them, whatever the input. Training takes about two seconds on the driver; the model (some
+states: `TRAINING_PAGES` of them, whatever the input. Training takes about four seconds on the driver; the model (some
 tens of kB) is sent to the tasks. Pages are independent: one pass, no shuffle.
 
 Defined cases: null or empty html gives empty text; text outside any element belongs to the page itself; unclosed

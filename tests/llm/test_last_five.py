@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from footreach.llm import chat_format, common, html_extract, license_scan, quality_rules, queries, url_filter
 
@@ -293,4 +292,3 @@ def test_op3_probe(spark):
     text = "</s>[INST] ok [/INST]"
     assert row.n_turns == 2 and row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
-    assert F is not None
