@@ -8,8 +8,8 @@ per character wins; ties go to the name that sorts first.
 Training. Rows with a language and a text are labelled rows. The models learn from a bounded sample of them, at
 most about `sample_docs` whole documents a language, chosen by a hash of the id; gram counts are summed by Spark
 and their number is bounded by the sample. A tenth of the sample is held back for calibration: it fixes the
-slope that turns the lead of the best language over the second into a score, and, for each length class, the
-cross-entropy that a text of a known language does not exceed.
+slope that turns the lead of the best language over the second into a score, and, for each length class, a limit
+of cross-entropy: half way between what texts reach in their own language and what they reach when it is left out.
 
 Prediction is one pass over the documents without a shuffle. Words repeat, so each task keeps the scores of
 words it has seen (bounded; it only saves time), and scores new ones together with numpy.
@@ -261,7 +261,7 @@ def gram_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
     return parts.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("shorter").alias("shorter"), F.sum("count").alias("count"), F.first("char").alias("char"))
 
 
-def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999, slack: float = 2.5) -> Models | None:
+def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999) -> Models | None:
     """Models and calibration from labelled rows of docs that are not held out; None without any."""
     from footreach.llm.common import materialize
 
@@ -278,12 +278,12 @@ def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999, slac
     whole = [counts[counts.n == n].drop_duplicates("gram") for n in range(1, ORDER + 1)]
     models.fill([tuple(p[c].to_numpy().view(np.uint64) for c in ("gram", "context", "shorter")) for p in whole], languages)
     tests = sample.where("calibrates").select("lang", "text")
-    calibrate(models, [tuple(r) for r in scored(tests, models).collect()], quantile, slack)
+    calibrate(models, [tuple(r) for r in scored(tests, models).collect()], quantile)
     return models
 
 
 def scored(rows: DataFrame, models: Models) -> DataFrame:
-    """(size, low, lead, right) of the calibration rows, scored by Spark."""
+    """(size, low, lead, right, out) of the calibration rows, scored by Spark: out is the lowest entropy without the row's language."""
     sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(models))
 
     def score(batches):
@@ -292,27 +292,32 @@ def scored(rows: DataFrame, models: Models) -> DataFrame:
             entropies, sizes = own.entropies(batch.column(1).to_pylist())
             order = np.sort(entropies, axis=1)
             lead = order[:, 1] - order[:, 0] if order.shape[1] > 1 else np.ones(len(order))
-            right = np.array([own.names[k] for k in entropies.argmin(axis=1)]) == np.array(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(order[:, 0]), pa.array(lead), pa.array(right)], names=["size", "low", "lead", "right"])
+            langs = np.array(batch.column(0).to_pylist())
+            right = np.array([own.names[k] for k in entropies.argmin(axis=1)]) == langs
+            out = np.where(langs[:, None] == np.array(own.names)[None, :], np.inf, entropies).min(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(order[:, 0]), pa.array(lead), pa.array(right), pa.array(out)], names=["size", "low", "lead", "right", "out"])
 
-    return rows.mapInArrow(score, "size double, low double, lead double, right boolean")
+    return rows.mapInArrow(score, "size double, low double, lead double, right boolean, out double")
 
 
-def calibrate(models: Models, rows: list[tuple], quantile: float, slack: float) -> None:
-    """Slope: the one under which the scores of the calibration rows are most likely. Limits: a high quantile of the
-    entropy in a length class and the ones next to it, and `slack` bits more; classes without rows take the nearest."""
+def calibrate(models: Models, rows: list[tuple], quantile: float, least: int = 20) -> None:
+    """Slope: the one under which the scores of the calibration rows are most likely. Limits, from the rows of a length
+    class and the ones around it, `least` rows if there are as many: half way from a high quantile of the entropy to the
+    low one of the same texts when their language is left out. Where the two overlap, or nothing can be left out, the
+    high quantile and a tenth of its distance from the median."""
     rows = [r for r in rows if r[0] > 0]
     if not rows:
         return
-    size, low, lead, right = (np.array(x) for x in zip(*rows, strict=True))
+    size, low, lead, right, out = (np.array(x) for x in zip(*rows, strict=True))
     slopes = np.exp2(np.arange(0, 9, 0.5))
     p = 1 / (1 + np.exp2(-np.minimum(60, slopes[:, None] * lead)))
     models.slope = float(slopes[np.where(right, np.log(p), np.log(np.maximum(1e-9, 1 - p))).mean(axis=1).argmax()])
     classes = length_class(size)
     for k in range(32):
         near = np.abs(classes - k)
-        own = near <= max(1, near.min())
-        models.limits[k] = np.quantile(low[own], quantile) + slack
+        own = near <= max(1, near.min(), np.sort(near)[min(least, len(near)) - 1])
+        top, foreign = np.quantile(low[own], quantile), np.quantile(out[own], 1 - quantile)
+        models.limits[k] = (top + foreign) / 2 if top < foreign < np.inf else top + (top - np.median(low[own])) / 10
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
