@@ -5,7 +5,7 @@ goes on to the next `?`, `#` or the end. A rule (host, path, verdict) fits its h
 url's path starts with the rule's; of those that fit, the one with the longest host and path wins.
 
 A url that no rule fits is looked up in the list. Listed URLs are canonical: a host or one of its parents, and the
-whole path or a leading part of it up to a `/`. A url has at most `hosts` * `paths` such forms. They are tested in a
+whole path or a leading part of it up to a `/`. Those with no more labels and slashes than a listed one has are tested in a
 Bloom filter whose blocks are 512 bits, so a test reads one cache line; forms that pass, which are the listed ones
 and few others, go to an exact hash join with the list, and the url is blocked if one of its forms is in it.
 
@@ -54,14 +54,18 @@ def best_rule(host: F.Column, path: F.Column, rules: list[tuple[str, str, str]])
     return rule, verdict
 
 
-def canonical_forms(host: str, path: str, hosts: int = 6, paths: int = 8) -> list[str]:
-    """The listed URLs that cover a url: from its own host and path down to its last two labels and `/`."""
-    labels = host.split(".")
-    own = [host, *(".".join(labels[-k:]) for k in range(min(len(labels) - 1, hosts), 1, -1))]
-    parts = [path or "/"]
+def canonical_forms(host: str, path: str, labels: int | None = None, slashes: int | None = None) -> list[str]:
+    """The listed URLs that cover a url: from its own host and path down to its last two labels and `/`; only those
+    of at most so many labels and slashes, if given."""
+    names = host.split(".")
+    most = len(names) if labels is None else min(labels, len(names))
+    own = [".".join(names[-k:]) for k in range(most, 0, -1) if k > 1 or len(names) == 1]
+    whole = path or "/"
+    parts = [whole] if slashes is None or whole.count("/") <= slashes else []
     at = -1
-    while len(parts) < paths and (at := path.find("/", at + 1)) >= 0:
+    while (slashes is None or slashes > 0) and (at := path.find("/", at + 1)) >= 0:
         parts.append(path[: at + 1])
+        slashes = None if slashes is None else slashes - 1
     return list(dict.fromkeys(h + p for h in own if h for p in parts))
 
 
@@ -95,7 +99,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     """
     spark = pages.sparkSession
     listed = listed.where(F.col("form").isNotNull()).select("form").distinct()
-    entries = listed.count()
+    count = lambda text, of: F.char_length(text) - F.char_length(F.replace(text, F.lit(of)))
+    entries, labels, slashes = listed.agg(F.count("*"), F.max(count(F.substring_index("form", "/", 1), ".") + 1), F.max(count(F.col("form"), "/"))).first()
     blocks = max(1, -(-entries * BITS_PER_ENTRY // BLOCK_BITS))
     sent = None
     if blocks * BLOCK_BITS // 8 <= filter_bytes:
@@ -115,7 +120,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
         filter_ = sent.value if sent is not None else None
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
-            forms = [canonical_forms(h, p) if v is None and h else [] for h, p, v in zip(get("host"), get("path"), get("__verdict"), strict=True)]
+            forms = [canonical_forms(h, p, labels or 0, slashes or 0) if v is None and h else [] for h, p, v in zip(get("host"), get("path"), get("__verdict"), strict=True)]
             if filter_ is not None:
                 hashes = form_hashes([f for own in forms for f in own])
                 words = block_words(hashes)
