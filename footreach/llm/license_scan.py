@@ -1,6 +1,7 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences at line breaks and after `.`, `!`, `?` or `;` before white space. A sentence is normalised (lower case,
+Texts are cut into sentences at line breaks and after `.`, `!`, `?` or `;` before white space, and once more with the
+single line breaks of a paragraph joined, as licence texts are often wrapped; a rule may hold in either. A sentence is normalised (lower case,
 runs of anything but letters, digits, `.`, `+` and `-` as one space, no dots at the ends, years and holders after
 a copyright mark left out) and mapped to the identifier of a known licence sentence. The identifiers of a text,
 in order, are matched against ordered rules: a rule holds if its identifiers stand one after the other in the
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words one of which every known sentence holds. Fixed values.
-ANCHORS = "licen[sc]e|licensed|copyright|spdx|permission|warrant|redistribut|public domain|unlicense|liab|all rights reserved"
+ANCHORS = "licen[sc]e|licensed|copyright|spdx|permission|warrant|redistribut|public\\s+domain|unlicense|liab|all\\s+rights\\s+reserved|free\\s+software|cc0|cc[ -]by|creative\\s+commons"
 
 #: Known sentences: identifier and the normalised text's pattern (Java regular expression, whole sentence). Fixed values of public licence texts.
 SENTENCES: list[tuple[str, str]] = [
@@ -29,7 +30,7 @@ SENTENCES: list[tuple[str, str]] = [
     ("apache2-asis", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl3-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu general public licen[sc]e( as published by the free software foundation)?( version| v)? ?3(\.0)?( or( at your option)?( any)? later( version)?)?"),
     ("gpl2-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu general public licen[sc]e( as published by the free software foundation)?( version| v)? ?2(\.0)?( or( at your option)?( any)? later( version)?)?"),
-    ("gpl-free", r"this program is free software"),
+    ("gpl-free", r".{1,80} is free software"),
     ("gpl-redistribute3", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version"),
     ("gpl-redistribute2", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version"),
     ("lgpl-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu lesser general public licen[sc]e.*"),
@@ -66,9 +67,11 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("Apache-2.0", "notice", ["apache2-notice"]),
     ("Apache-2.0", "tag", ["spdx-apache2"]),
     ("GPL-3.0", "full", ["gpl-free", "gpl-redistribute3"]),
+    ("GPL-3.0", "notice", ["gpl-redistribute3"]),
     ("GPL-3.0", "notice", ["gpl3-notice"]),
     ("GPL-3.0", "tag", ["spdx-gpl3"]),
     ("GPL-2.0", "full", ["gpl-free", "gpl-redistribute2"]),
+    ("GPL-2.0", "notice", ["gpl-redistribute2"]),
     ("GPL-2.0", "notice", ["gpl2-notice"]),
     ("GPL-2.0", "tag", ["spdx-gpl2"]),
     ("LGPL", "notice", ["lgpl-notice"]),
@@ -96,7 +99,15 @@ GAP = 2
 
 def sentences(text: F.Column) -> F.Column:
     """The sentences of a text, in order, blank ones left out."""
-    return F.filter(F.split(text, "\n|(?<=[.!?;]|met:)[ \t\r]+", -1), lambda x: F.length(F.trim(x)) > 0)
+    return F.filter(F.split(text, "\n|(?<=[.!?;]|met:|software:)[ \t\r]+(?!either version)", -1), lambda x: F.length(F.trim(x)) > 0)
+
+
+def joined(text: F.Column) -> F.Column:
+    """The text with the single line breaks of its paragraphs as blanks. Copyright lines are paragraphs of their own, and
+    lines of nothing but comment marks are empty."""
+    apart = F.regexp_replace(text, "(?im)^(\\W*(?:copyright[ :]+(?:\\(c\\)|©|[0-9]{4}|by )|\\(c\\) |© ).*)$", "\n$1\n")
+    empty = F.regexp_replace(apart, "(?m)^[ \t*#/;-]+$|\r", "")
+    return F.regexp_replace(empty, "(?<!\n)\n(?!\n)", " ")
 
 
 def normalised(sentence: F.Column) -> F.Column:
@@ -129,18 +140,24 @@ def scan_licenses(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    ids = F.when(text.rlike(f"(?i){ANCHORS}"), F.transform(sentences(text), sentence_id)).otherwise(none)
-    rows = docs.withColumn("__ids", ids).withColumn("__code", _encoded(F.col("__ids")))
+    ids = lambda t, more: F.when(t.rlike(f"(?i){ANCHORS}") & more, F.transform(sentences(t), sentence_id)).otherwise(none)
+    rows = docs.withColumn("__lines", ids(text, F.lit(True))).withColumn("__whole", ids(joined(text), F.contains(text, F.lit("\n"))))
+    rows = rows.withColumn("__code", F.concat(_encoded(F.col("__lines")), F.lit("\n"), _encoded(F.col("__whole"))))
+    # those that only the joined text has come after the others
+    only = F.filter("__whole", lambda x: ~F.coalesce(F.array_contains("__lines", x), F.lit(False)))
+    rows = rows.withColumn("__ids", F.concat("__lines", only))
     hit = {k: F.col("__code").rlike(rule_pattern(names, gap)) for k, (_, _, names) in enumerate(RULES)}
+    inside = lambda short, long: any(long[i : i + len(short)] == short for i in range(len(long)))
     found = []
     for k, (license_, evidence, names) in enumerate(RULES):
         # what a longer rule of a licence of the same family says already isn't said again
-        over = [j for j, (other, _, longer) in enumerate(RULES) if j != k and len(longer) > len(names) and longer[: len(names)] == names and other.split("-")[0] == license_.split("-")[0]]
+        over = [j for j, (other, _, longer) in enumerate(RULES) if j != k and len(longer) > len(names) and inside(names, longer) and other.split("-")[0] == license_.split("-")[0]]
         own = hit[k]
         for j in over:
             own = own & ~hit[j]
         found.append(F.when(own, F.lit(f"{license_}:{evidence}")))
     rules = F.when(F.size(F.filter("__ids", lambda x: x.isNotNull())) > 0, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(none)
+    rules = F.array_distinct(rules)
     named = rows.withColumn("__rules", rules)
     licenses = F.array_distinct(F.transform("__rules", lambda x: F.substring_index(x, ":", 1)))
     new = {"sentence_ids": F.filter("__ids", lambda x: x.isNotNull()), "rules": F.col("__rules"), "licenses": licenses, "n_licenses": F.size(licenses)}
