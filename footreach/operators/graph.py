@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import heapq
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/footreach-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -31,38 +36,59 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return arcs.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
-def costs_by_heap(sources: DataFrame, arcs: DataFrame, cutoff: float) -> DataFrame:
+class Arcs:
+    """A graph as sorted arrays; a worker makes its lists of neighbours once."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
+        self.nodes = np.unique(np.concatenate((u, v)))
+        order = np.argsort(u, kind="stable")
+        self.starts = np.append(np.searchsorted(u[order], self.nodes), len(u))
+        self.to, self.weight = np.searchsorted(self.nodes, v[order]), w[order]
+
+    @cached_property
+    def neighbours(self) -> list[list[tuple[int, float]]]:
+        arcs = list(zip(self.to.tolist(), self.weight.tolist(), strict=True))
+        return [arcs[a:b] for a, b in itertools.pairwise(self.starts.tolist())]
+
+    def within(self, node: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes within the cutoff of a node, and their costs. A node without arcs reaches itself."""
+        at = int(np.searchsorted(self.nodes, node))
+        if at == len(self.nodes) or self.nodes[at] != node:
+            return np.array([node], np.int64), np.zeros(1)
+        best, queue, neighbours = {at: 0.0}, [(0.0, at)], self.neighbours
+        while queue:
+            cost, k = heapq.heappop(queue)
+            if cost > best[k]:
+                continue
+            for m, w in neighbours[k]:
+                new = cost + w
+                if new <= cutoff and new < best.get(m, np.inf):
+                    best[m] = new
+                    heapq.heappush(queue, (new, m))
+        return self.nodes[list(best)], np.array(list(best.values()))
+
+
+def costs_by_heap(sources: DataFrame, arcs: DataFrame, cutoff: float, rows: int = 20_000) -> DataFrame:
     """Each source's search runs in a task, over arrays of the whole graph. For graphs of a checked size only."""
-    rows = arcs.toPandas()
-    nodes = np.unique(np.concatenate((rows.u.to_numpy(), rows.v.to_numpy())))
-    order = np.argsort(rows.u.to_numpy(), kind="stable")
-    starts = np.searchsorted(rows.u.to_numpy()[order], nodes, side="left")
-    ends = np.searchsorted(rows.u.to_numpy()[order], nodes, side="right")
-    graph = (nodes, starts, ends, np.searchsorted(nodes, rows.v.to_numpy()[order]), rows.w.to_numpy()[order])
-    sent = sources.sparkSession.sparkContext.broadcast(graph)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        nodes, starts, ends, to, weight = sent.value
-        neighbours = [list(zip(to[a:b].tolist(), weight[a:b].tolist(), strict=True)) for a, b in zip(starts, ends, strict=True)]
+    own = arcs.toPandas()
+    sent = sources.sparkSession.sparkContext.broadcast(Arcs(own.u.to_numpy(), own.v.to_numpy(), own.w.to_numpy()))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph = sent.value
+        names = ["request_id", "nid", "cost_s"]
+        parts, size = [], 0
         for batch in batches:
-            for request, node in zip(batch.request_id, batch.nid, strict=True):
-                at = int(np.searchsorted(nodes, node))
-                if at == len(nodes) or nodes[at] != node:
-                    yield pd.DataFrame({"request_id": [request], "nid": [node], "cost_s": [0.0]})
-                    continue
-                best, queue = {at: 0.0}, [(0.0, at)]
-                while queue:
-                    cost, k = heapq.heappop(queue)
-                    if cost > best[k]:
-                        continue
-                    for m, w in neighbours[k]:
-                        new = cost + w
-                        if new <= cutoff and new < best.get(m, np.inf):
-                            best[m] = new
-                            heapq.heappush(queue, (new, m))
-                yield pd.DataFrame({"request_id": request, "nid": nodes[list(best)], "cost_s": list(best.values())})
-
-    return sources.select("request_id", "nid").mapInPandas(search, "request_id long, nid long, cost_s double")
+            for request, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                nodes, costs = graph.within(node, cutoff)
+                parts.append((np.full(len(nodes), request, np.int64), nodes, costs))
+                size += len(nodes)
+                if size >= rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+                    parts, size = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+
+    return sources.select(F.col("request_id").cast("long"), F.col("nid").cast("long")).mapInArrow(search, "request_id long, nid long, cost_s double")
 
 
 def costs_by_frontier(sources: DataFrame, arcs: DataFrame, cutoff: float, rounds: int = 10_000) -> DataFrame:

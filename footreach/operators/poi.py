@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ def cleaned(pois: DataFrame) -> DataFrame:
     return ranked_traits(once.join(totals, "category"))
 
 
-def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: float) -> DataFrame:
+def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: float, rounds: int = 100_000) -> DataFrame:
     """Of the rows of a group, in order, those that are not within the radius of one that was kept before.
 
     A pair that is near makes the later row depend on the earlier one. A row without such an earlier row stays; what
-    is near a row that stays goes; and so on in rounds over the rows still open, as joins, so that no group has to be
-    held by one task."""
+    is near a row that stays goes; and so on in rounds over the pairs still open, as joins, so that no group has to be
+    held by one task. The number of rounds is that of the longest chain; beyond `rounds` an error is raised."""
     from footreach.operators.graph import written
 
     ids = written(rows.select("rid", *keys, *order, "x", "y"))
@@ -37,20 +39,20 @@ def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: flo
 
     pairs = cells(ids, "x", "y", radius, 1).join(cells(other, "x2", "y2", radius), same).where(before & (F.sqrt(squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))) < radius))
     near = written(pairs.select("rid", "rid2"))
-    open_ = written(near.select("rid").distinct())
-    gone = None
-    for _ in range(1000):
-        # open rows whose earlier neighbours are all settled
-        waits = near.join(open_.withColumnRenamed("rid", "rid2"), "rid2", "left_semi").select("rid").distinct()
-        ready = open_.join(waits, "rid", "left_anti")
-        live = near if gone is None else near.join(gone.withColumnRenamed("rid", "rid2"), "rid2", "left_anti")
-        new = ready.join(live.select("rid"), "rid", "left_semi").select("rid")
-        gone = written(new if gone is None else gone.unionByName(new))
-        left = written(open_.join(ready.select("rid"), "rid", "left_anti"))
-        if not left.head(1):
+    gone: list[DataFrame] = []
+    for _ in range(rounds):
+        if not near.head(1):
             break
-        open_ = left
-    return rows.join(gone, "rid", "left_anti")
+        # an earlier row that depends on none any more stays, and what is near it goes
+        free = near.join(near.select(F.col("rid").alias("rid2")).distinct(), "rid2", "left_anti")
+        new = written(free.select("rid").distinct())
+        gone.append(new)
+        if len(gone) == 32:
+            gone = [written(reduce(DataFrame.unionByName, gone))]
+        near = written(near.join(new, "rid", "left_anti").join(new.withColumnRenamed("rid", "rid2"), "rid2", "left_anti"))
+    else:
+        raise RuntimeError(f"a chain of near rows is longer than {rounds}")
+    return rows.join(reduce(DataFrame.unionByName, gone), "rid", "left_anti") if gone else rows
 
 
 def walk_minutes(pairs: DataFrame, costs: DataFrame, nodes: DataFrame, radius: float = C.EDGE_ACCESS_M, estimate_speed: float = C.WALK_SPEED) -> DataFrame:

@@ -4,6 +4,8 @@ cells around it; it should be the smaller one. Skewed cells are left to adaptive
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,37 @@ def nearest(pairs: DataFrame, key: str, order: list[Column], values: list[str])
     return pairs.groupBy(key).agg(first.alias("__v")).select(key, *(F.col(f"__v.{v}").alias(v) for v in values))
 
 
-def nearest_unbounded(left: DataFrame, right: DataFrame, key: str, values: list[str], order: list[Column], size: float, rings: int = 6) -> DataFrame:
-    """The nearest right row of every left row, however far. Rings of cells are tried in turn: a row is settled once
-    its best distance is within the ring searched; only the rest goes on, to twice the reach."""
-    found = None
-    rest, reach = left, 1
-    for step in range(rings):
-        pairs = cells(rest, "x", "y", size, reach).join(cells(right, "x2", "y2", size), ["cx", "cy"]).withColumn("d", F.sqrt(squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))))
-        if step < rings - 1:
-            pairs = pairs.where(F.col("d") <= size * reach)
-        best = nearest(pairs, key, order, values)
-        found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select(key), key, "left_anti")
-        reach *= 2
-    return found
+def nearest_unbounded(left: DataFrame, right: DataFrame, key: str, values: list[str], order: list[Column], size: float) -> DataFrame:
+    """The nearest right row of every left row, however far. Rows with one within `size` are settled by a join of
+    neighbouring cells. The others go down a tree of cells, from one that holds everything to cells of that size: at
+    each level a row keeps the cells that may hold its nearest, which are those that begin no farther than the end of
+    another one. Few cells are kept for each row, wherever it stands. Without right rows there are no rows."""
+    from footreach.operators.graph import written
+
+    d = F.sqrt(squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")))
+    pairs = cells(left, "x", "y", size, 1).join(cells(right, "x2", "y2", size), ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= size)
+    found = written(nearest(pairs, key, order, values))
+    rest = written(left.join(found.select(key), key, "left_anti"))
+    ends = right.agg(F.min("x2"), F.min("y2"), F.greatest(F.max("x2") - F.min("x2"), F.max("y2") - F.min("y2"))).first()
+    if ends[0] is None or not rest.head(1):
+        return found
+    levels = max(0, math.ceil(math.log2(ends[2] / size))) if ends[2] > 0 else 0
+    leaves = right.withColumns({"qx": F.floor((F.col("x2") - ends[0]) / size).cast("long"), "qy": F.floor((F.col("y2") - ends[1]) / size).cast("long")})
+    boxes = written(leaves.groupBy("qx", "qy").agg(F.min("x2").alias("x0"), F.max("x2").alias("x1"), F.min("y2").alias("y0"), F.max("y2").alias("y1")))
+    open_ = rest.select(key, "x", "y", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
+    for level in range(levels, -1, -1):
+        down = lambda c, by: F.shiftright(c, by)
+        own = boxes.groupBy(down("qx", level).alias("kx"), down("qy", level).alias("ky")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+        own = own.withColumns({"px": down("kx", 1) if level < levels else F.lit(0).cast("long"), "py": down("ky", 1) if level < levels else F.lit(0).cast("long")})
+        low = box_distance(*map(F.col, ("x", "y", "x0", "y0", "x1", "y1")))
+        far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+        near = open_.join(own, ["px", "py"]).select(key, "x", "y", "kx", "ky", low.alias("low"), F.sqrt(far("x") * far("x") + far("y") * far("y")).alias("high"))
+        near = written(near)
+        least = near.groupBy(key).agg(F.min("high").alias("least"))
+        # a little more, as the bounds are rounded
+        open_ = written(near.join(least, key).where(F.col("low") <= F.col("least") * (1 + 1e-9)).select(key, "x", "y", F.col("kx").alias("px"), F.col("ky").alias("py")))
+    last = open_.join(leaves, (F.col("px") == F.col("qx")) & (F.col("py") == F.col("qy"))).withColumn("d", d)
+    return found.unionByName(nearest(last, key, order, values))
 
 
 def bbox_join(points: DataFrame, boxes: DataFrame, size: float, how: str = "inner") -> DataFrame:

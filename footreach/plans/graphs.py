@@ -15,7 +15,8 @@ from footreach.sources import derived as D
 from footreach.sources.derived import with_sql
 
 CUTOFF = 900
-SOURCE_SQL = ", src AS (SELECT request_id, (xi // 100) * 1000 + yi // 100 AS nid FROM request), arc AS (SELECT u, v, w FROM lattice_edge UNION ALL SELECT v, u, w FROM lattice_edge)"
+KEYS = 100_000_000_000  # more than any node has for an id
+SOURCE_SQL = f", src AS (SELECT request_id, (xi // 100) * {D.STEP} + yi // 100 AS nid FROM request), arc AS (SELECT u, v, w FROM lattice_edge UNION ALL SELECT v, u, w FROM lattice_edge)"
 COST_SQL = SOURCE_SQL + (
     f", d(s, n, c) USING KEY (s, n) AS (SELECT nid, nid, 0 FROM (SELECT DISTINCT nid FROM src) UNION (SELECT d.s, arc.v, min(d.c + arc.w) FROM d JOIN arc ON arc.u = d.n LEFT JOIN recurring.d o ON o.s = d.s AND o.n = arc.v "
     f"WHERE d.c + arc.w <= {CUTOFF} AND (o.c IS NULL OR d.c + arc.w < o.c) GROUP BY 1, 2)), cost AS (SELECT request_id, n AS nid, c AS cost_s FROM src JOIN d ON d.s = src.nid)"
@@ -29,7 +30,7 @@ def sources(spark, sf_dir) -> DataFrame:
 def costs_by_start(spark, sf_dir) -> DataFrame:
     """(start, nid, cost_s) from each node at which a request begins."""
     starts = sources(spark, sf_dir).select("nid").distinct().select(F.col("nid").alias("request_id"), "nid")
-    return G.costs_within(starts, D.lattice_edges(spark), CUTOFF).withColumnRenamed("request_id", "start")
+    return G.costs_within(starts, D.lattice_edges(spark, sf_dir), CUTOFF).withColumnRenamed("request_id", "start")
 
 
 def costs(spark, sf_dir) -> DataFrame:
@@ -53,19 +54,19 @@ def iso_layers(spark, sf_dir):
 @query(with_sql("request lattice_edge", COST_SQL + ", e AS (SELECT request_id, u, v FROM lattice_edge JOIN cost ON nid = u UNION SELECT request_id, u, v FROM lattice_edge JOIN cost ON nid = v) SELECT request_id, count(*) AS edges FROM e GROUP BY 1", recursive=True))
 def reachable_edges(spark, sf_dir):
     """How many edges have an end that is reached; one is enough, and edges are not cut."""
-    return G.reachable_edges(costs(spark, sf_dir), D.lattice_edges(spark)).groupBy("request_id").agg(F.count("*").alias("edges"))
+    return G.reachable_edges(costs(spark, sf_dir), D.lattice_edges(spark, sf_dir)).groupBy("request_id").agg(F.count("*").alias("edges"))
 
 
 @query(with_sql("lattice_edge", " SELECT nid, count(*) AS degree FROM (SELECT u AS nid FROM lattice_edge UNION ALL SELECT v FROM lattice_edge) GROUP BY nid"))
 def node_degree(spark, sf_dir):
-    return D.lattice_edges(spark).select(F.explode(F.array("u", "v")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
+    return D.lattice_edges(spark, sf_dir).select(F.explode(F.array("u", "v")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
 
 
 @query(with_sql("lattice_node lattice_edge", f"{joins.SEG_SQL}{joins.RAIL_SQL}, box AS (SELECT x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1, box FROM ({joins.BOXES_SQL})), ok AS (SELECT * FROM seg WHERE NOT EXISTS (SELECT 1 FROM box WHERE box % 5 = 0 AND {joins.HITS}) AND (kind = 'bridge' OR (NOT EXISTS (SELECT 1 FROM box WHERE box % 5 = 1 AND {joins.HITS}) AND NOT EXISTS (SELECT 1 FROM rail WHERE {joins.CROSS})))) SELECT u, v, kind, round(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) / 70 * 60, 6) AS seconds FROM ok"))
 def graph_edges(spark, sf_dir):
     """The graph's edges: streets without those that touch a wall, and, but for bridges, water or cross rail."""
     faces = joins.boxes(spark, sf_dir)
-    dry = joins.without_hits(joins.segments(spark), faces.where("box % 5 = 0"), 400.0)
+    dry = joins.without_hits(joins.segments(spark, sf_dir), faces.where("box % 5 = 0"), 400.0)
     plain = joins.without_hits(dry.where("kind <> 'bridge'"), faces.where("box % 5 = 1"), 400.0)
     cut = joins.crossings(plain, joins.rails(spark, sf_dir)).select("u", "v").distinct()
     kept = plain.join(cut, ["u", "v"], "left_anti").unionByName(dry.where("kind = 'bridge'"))
@@ -88,7 +89,7 @@ def contract_degree(spark, sf_dir):
 
 
 @query(
-    with_sql("request poi", joins.BLIND_SQL + ", cell AS (SELECT *, ((request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END) * 4096 + ix + 512) * 4096 + iy + 512 AS id FROM blind), "
+    with_sql("request_wide poi_wide", joins.BLIND_SQL + ", cell AS (SELECT *, ((request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END) * 4096 + ix + 512) * 4096 + iy + 512 AS id FROM blind), "
     "arc AS (SELECT a.id AS u, b.id AS v FROM cell a JOIN cell b ON b.request_id = a.request_id AND b.grp = a.grp AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1))), both_ AS (SELECT u, v FROM arc UNION ALL SELECT v, u FROM arc), "
     "r(n, root) USING KEY (n) AS (SELECT id, id FROM cell UNION (SELECT b.v, min(r.root) FROM r JOIN both_ b ON b.u = r.n JOIN recurring.r o ON o.n = b.v WHERE r.root < o.root GROUP BY 1)), "
     "named AS (SELECT request_id, grp, ix, iy, root FROM cell JOIN r ON r.n = cell.id), st AS (SELECT request_id, grp, root AS region, count(*) AS cells, CAST(max(ix) - min(ix) + 1 AS INTEGER) AS span_x, CAST(max(iy) - min(iy) + 1 AS INTEGER) AS span_y FROM named GROUP BY 1, 2, 3) "
@@ -109,7 +110,7 @@ def grid_components(spark, sf_dir):
     return G.components(rows)
 
 
-NODE = "CAST(floor(x / 100) * 1000 + floor(y / 100) AS BIGINT)"
+NODE = f"CAST(floor(x / 100) * {D.STEP} + floor(y / 100) AS BIGINT)"
 
 
 @query(
@@ -119,26 +120,26 @@ NODE = "CAST(floor(x / 100) * 1000 + floor(y / 100) AS BIGINT)"
 )
 def inject_path(spark, sf_dir):
     """Edges along each customer's path put into the graph, as a new table beside the old one."""
-    node = (F.floor(F.col("x") / 100) * 1000 + F.floor(F.col("y") / 100)).alias("nid")
+    node = (F.floor(F.col("x") / 100) * D.STEP + F.floor(F.col("y") / 100)).alias("nid")
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     own = paths(spark, sf_dir).select(F.col("o_custkey").alias("path_id"), F.row_number().over(order).alias("seq"), "x", "y", node)
-    return G.injected(D.lattice_edges(spark), own).withColumn("w", r6("w"))
+    return G.injected(D.lattice_edges(spark, sf_dir), own).withColumn("w", r6("w"))
 
 
 @query(
-    with_sql("request lattice_edge", COST_SQL + ", m AS (SELECT request_id, nid, nid // 1000 AS i, nid % 1000 AS j FROM cost WHERE cost_s <= 600 AND cost_s > 240), both_ AS (SELECT a.request_id, a.nid AS u, b.nid AS v FROM m a CROSS JOIN (VALUES (1), (-1), (1000), (-1000)) d(x) JOIN m b ON b.request_id = a.request_id AND b.nid = a.nid + x), "
+    with_sql("request lattice_edge", COST_SQL + f", m AS (SELECT request_id, nid FROM cost WHERE cost_s <= 600 AND cost_s > 240), both_ AS (SELECT a.request_id, a.nid AS u, b.nid AS v FROM m a CROSS JOIN (VALUES (1), (-1), ({D.STEP}), (-{D.STEP})) d(x) JOIN m b ON b.request_id = a.request_id AND b.nid = a.nid + x), "
     "r(q, n, root) USING KEY (q, n) AS (SELECT request_id, nid, nid FROM m UNION (SELECT b.request_id, b.v, min(r.root) FROM r JOIN both_ b ON b.u = r.n AND b.request_id = r.q JOIN recurring.r o ON o.n = b.v AND o.q = b.request_id WHERE r.root < o.root GROUP BY 1, 2)), "
     "s AS (SELECT q AS request_id, root, count(*) AS size FROM r GROUP BY 1, 2) SELECT request_id, count(*) AS parts, arg_min(root, [-size, root]) AS main, max(size) AS size FROM s GROUP BY 1", recursive=True)
 )
 def main_part(spark, sf_dir):
     """The ring between 4 and 10 minutes falls apart into parts: how many, and the largest (the first of equal ones)."""
-    ring = costs(spark, sf_dir).where("cost_s > 240 and cost_s <= 600").select("request_id", "nid", (F.col("request_id") * 100_000 + F.col("nid")).alias("key"))
+    ring = costs(spark, sf_dir).where("cost_s > 240 and cost_s <= 600").select("request_id", "nid", (F.col("request_id") * KEYS + F.col("nid")).alias("key"))
     step = lambda d: ring.select(F.col("key").alias("u"), (F.col("key") + d).alias("v"))
     own = G.written(ring)
     ring = own
-    links = step(1).unionByName(step(1000)).join(own.select(F.col("key").alias("v")), "v", "left_semi").select("u", "v")
+    links = step(1).unionByName(step(D.STEP)).join(own.select(F.col("key").alias("v")), "v", "left_semi").select("u", "v")
     roots = G.components(links)
     named = own.join(roots, own.key == roots.node, "left").select("request_id", "nid", F.coalesce("root", "key").alias("root"))
     parts = named.groupBy("request_id", "root").agg(F.count("*").alias("size"))
     best = parts.groupBy("request_id").agg(F.count("*").alias("parts"), F.min(F.struct((-F.col("size")).alias("s"), "root")).alias("m"))
-    return best.select("request_id", "parts", (F.col("m.root") - F.col("request_id") * 100_000).alias("main"), (-F.col("m.s")).alias("size"))
+    return best.select("request_id", "parts", (F.col("m.root") - F.col("request_id") * KEYS).alias("main"), (-F.col("m.s")).alias("size"))

@@ -78,7 +78,7 @@ TRY = "(request_id * 7919 + t * 104729 + c * 15485863) % 100003"
 
 
 @query(
-    with_sql("request", f", a AS (SELECT request_id, c, t, xi + ({TRY}) % 2401 - 1200 AS px, yi + ({TRY} * 7) % 2401 - 1200 AS py, xi, yi FROM request, range(3) b(c), range(30) d(t)), ok AS (SELECT *, row_number() OVER (PARTITION BY request_id, c ORDER BY t) AS n FROM a WHERE (px - xi) * (px - xi) + (py - yi) * (py - yi) <= 1440000 AND px BETWEEN 0 AND 6699 AND py BETWEEN 0 AND 4999) "
+    with_sql("request", f", a AS (SELECT request_id, c, t, xi + ({TRY}) % 2401 - 1200 AS px, yi + ({TRY} * 7) % 2401 - 1200 AS py, xi, yi FROM request, range(3) b(c), range(30) d(t)), ok AS (SELECT *, row_number() OVER (PARTITION BY request_id, c ORDER BY t) AS n FROM a WHERE (px - xi) * (px - xi) + (py - yi) * (py - yi) <= 1440000 AND px BETWEEN 0 AND (SELECT 6700 * s - 1 FROM town) AND py BETWEEN 0 AND (SELECT 5000 * s - 1 FROM town)) "
     "SELECT request_id, CAST(c AS INTEGER) AS c, CAST(n AS INTEGER) AS n, px, py FROM ok WHERE n <= 2 + (request_id + c) % 3")
 )
 def synth_poi(spark, sf_dir):
@@ -86,17 +86,17 @@ def synth_poi(spark, sf_dir):
     tries = D.request(spark, sf_dir).select("request_id", "xi", "yi").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(29))))
     m = (F.col("request_id") * 7919 + F.col("t") * 104729 + F.col("c") * 15485863) % 100003
     rows = tries.withColumns({"px": F.col("xi") + m % 2401 - 1200, "py": F.col("yi") + (m * 7) % 2401 - 1200})
-    dx, dy = F.col("px") - F.col("xi"), F.col("py") - F.col("yi")
-    ok = rows.where((dx * dx + dy * dy <= 1_440_000) & F.col("px").between(0, 6699) & F.col("py").between(0, 4999))
+    dx, dy, side = F.col("px") - F.col("xi"), F.col("py") - F.col("yi"), D.town_side(spark, sf_dir)
+    ok = rows.where((dx * dx + dy * dy <= 1_440_000) & F.col("px").between(0, 6700 * side - 1) & F.col("py").between(0, 5000 * side - 1))
     n = F.row_number().over(Window.partitionBy("request_id", "c").orderBy("t"))
     return ok.withColumn("n", n).where(F.col("n") <= 2 + (F.col("request_id") + F.col("c")) % 3).select("request_id", "c", "n", "px", "py")
 
 
-@query(with_sql("lattice_node", " SELECT a.nid AS a, b.nid AS b FROM lattice_node a JOIN lattice_node b ON (b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1)"))
+@query(with_sql("lattice_node", " SELECT a.nid AS a, b.nid AS b FROM lattice_node a JOIN lattice_node b ON b.i = a.i + 1 AND b.j = a.j UNION ALL SELECT a.nid, b.nid FROM lattice_node a JOIN lattice_node b ON b.i = a.i AND b.j = a.j + 1"))
 def grid_neighbor_pairs(spark, sf_dir):
     """Each node with its right and upper neighbour, the pairs that are sent to a router."""
-    n = D.lattice_nodes(spark).select("nid")
-    steps = n.select(F.col("nid").alias("a"), F.explode(F.array(F.col("nid") + 1000, F.col("nid") + 1)).alias("b"))
+    n = D.lattice_nodes(spark, sf_dir).select("nid")
+    steps = n.select(F.col("nid").alias("a"), F.explode(F.array(F.col("nid") + D.STEP, F.col("nid") + 1)).alias("b"))
     return steps.join(n.select(F.col("nid").alias("b")), "b", "left_semi").select("a", "b")
 
 
@@ -155,7 +155,7 @@ def score_merge(spark, sf_dir):
 @query(with_sql("lattice_node lattice_edge", joins.SEG_SQL + " SELECT kind, count(*) AS features, round(sum(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))) / 1000, 3) AS km FROM seg GROUP BY kind"))
 def layer_stats(spark, sf_dir):
     metres = F.sqrt(F.pow(F.col("x1") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y1") - F.col("y2"), F.lit(2.0)))
-    return joins.segments(spark).groupBy("kind").agg(F.count("*").alias("features"), F.round(F.sum(metres) / 1000, 3).alias("km"))
+    return joins.segments(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("features"), F.round(F.sum(metres) / 1000, 3).alias("km"))
 
 
 @query("WITH n AS (SELECT s_nationkey AS grp, s_suppkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier) SELECT grp, CAST(r // 10 AS INTEGER) AS batch, count(*) AS origins, min(k) AS first FROM n GROUP BY 1, 2")

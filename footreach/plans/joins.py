@@ -30,7 +30,7 @@ def radius_join(spark, sf_dir):
 @query(with_sql("request lattice_node", f" SELECT request_id, nid, round(d, 3) AS d FROM (SELECT request_id, nid, {DIST} AS d, row_number() OVER (PARTITION BY request_id ORDER BY {DIST}, nid) AS k FROM request a JOIN lattice_node b ON {DIST} <= 90) WHERE k = 1"))
 def snap(spark, sf_dir):
     """The nearest node within 90 m of each request; the smaller id of equally near ones."""
-    pairs = S.radius_join(D.request(spark, sf_dir).select("request_id", "x", "y"), as2(D.lattice_nodes(spark), nid="nid"), 90.0)
+    pairs = S.radius_join(D.request(spark, sf_dir).select("request_id", "x", "y"), as2(D.lattice_nodes(spark, sf_dir), nid="nid"), 90.0)
     return S.nearest(pairs, "request_id", [F.col("d"), F.col("nid")], ["nid", "d"]).select("request_id", "nid", F.round("d", 3).alias("d"))
 
 
@@ -94,10 +94,10 @@ SEG_SQL = ", seg AS (SELECT u, v, kind, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS
 HITS = "greatest(x1, x2) >= bx0 AND least(x1, x2) <= bx1 AND greatest(y1, y2) >= by0 AND least(y1, y2) <= by1"
 
 
-def segments(spark) -> DataFrame:
-    nodes = D.lattice_nodes(spark)
+def segments(spark, sf_dir) -> DataFrame:
+    nodes = D.lattice_nodes(spark, sf_dir)
     end = lambda n, k: nodes.select(F.col("nid").alias(n), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    return D.lattice_edges(spark).select("u", "v", "kind").join(end("u", 1), "u").join(end("v", 2), "v")
+    return D.lattice_edges(spark, sf_dir).select("u", "v", "kind").join(end("u", 1), "u").join(end("v", 2), "v")
 
 
 def without_hits(segs: DataFrame, walls: DataFrame, size: float) -> DataFrame:
@@ -112,13 +112,13 @@ def without_hits(segs: DataFrame, walls: DataFrame, size: float) -> DataFrame:
 @query(with_sql("lattice_node lattice_edge", f"{SEG_SQL}, box AS (SELECT x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1 FROM ({BOXES_SQL})) SELECT u, v FROM seg WHERE NOT EXISTS (SELECT 1 FROM box WHERE {HITS})"))
 def anti_walls(spark, sf_dir):
     """Streets that touch no wall; bridges are no exception."""
-    return without_hits(segments(spark), boxes(spark, sf_dir), 400.0).select("u", "v")
+    return without_hits(segments(spark, sf_dir), boxes(spark, sf_dir), 400.0).select("u", "v")
 
 
 @query(with_sql("lattice_node lattice_edge", f"{SEG_SQL}, box AS (SELECT x0 AS bx0, y0 AS by0, x1 AS bx1, y1 AS by1 FROM ({BOXES_SQL}) WHERE box % 2 = 0) SELECT u, v FROM seg WHERE kind = 'bridge' OR NOT EXISTS (SELECT 1 FROM box WHERE {HITS})"))
 def anti_water(spark, sf_dir):
     """Streets that touch no water, and bridges."""
-    segs, water = segments(spark), boxes(spark, sf_dir).where("box % 2 = 0")
+    segs, water = segments(spark, sf_dir), boxes(spark, sf_dir).where("box % 2 = 0")
     return without_hits(segs.where("kind <> 'bridge'"), water, 400.0).unionByName(segs.where("kind = 'bridge'")).select("u", "v")
 
 
@@ -149,7 +149,7 @@ def crossings(segs: DataFrame, lines: DataFrame, size: float = 500.0) -> DataFra
 @query(with_sql("lattice_node lattice_edge", f"{SEG_SQL}{RAIL_SQL} SELECT u, v FROM seg WHERE kind = 'bridge' OR NOT EXISTS (SELECT 1 FROM rail WHERE {CROSS})"))
 def anti_barrier(spark, sf_dir):
     """Streets that do not cross a rail line; touching it with an end is allowed, and so are bridges."""
-    segs = segments(spark)
+    segs = segments(spark, sf_dir)
     hit = crossings(segs, rails(spark, sf_dir)).where("kind <> 'bridge'").select("u", "v").distinct()
     return segs.join(hit, ["u", "v"], "left_anti").select("u", "v")
 
@@ -160,7 +160,7 @@ def anti_barrier(spark, sf_dir):
 )
 def noding(spark, sf_dir):
     """Crossing points put into the streets, by mileage: the number of parts of each street and its last cut."""
-    segs = segments(spark)
+    segs = segments(spark, sf_dir)
     num = (F.col("cx1") - F.col("x1")) * (F.col("cy2") - F.col("cy1")) - (F.col("cy1") - F.col("y1")) * (F.col("cx2") - F.col("cx1"))
     den = (F.col("x2") - F.col("x1")) * (F.col("cy2") - F.col("cy1")) - (F.col("y2") - F.col("y1")) * (F.col("cx2") - F.col("cx1"))
     cuts = crossings(segs, rails(spark, sf_dir)).select("u", "v", "rail", (num / den).alias("t")).dropDuplicates(["u", "v", "rail"])
@@ -180,13 +180,13 @@ def near_boxes(points: DataFrame, faces: DataFrame, radius: float) -> DataFrame:
 
 @query(with_sql("lattice_node", f", box AS ({BOXES_SQL}) SELECT nid, box, round({BOXD}, 3) AS d FROM lattice_node, box WHERE {BOXD} <= 250"))
 def dwithin_poly(spark, sf_dir):
-    return near_boxes(D.lattice_nodes(spark).select("nid", "x", "y"), boxes(spark, sf_dir), C.AREA_LEG_M).select("nid", "box", F.round("d", 3).alias("d"))
+    return near_boxes(D.lattice_nodes(spark, sf_dir).select("nid", "x", "y"), boxes(spark, sf_dir), C.AREA_LEG_M).select("nid", "box", F.round("d", 3).alias("d"))
 
 
 @query(with_sql("lattice_node", f", box AS ({BOXES_SQL}) SELECT box, count(*) AS nodes, min(nid) AS first FROM lattice_node, box WHERE {BOXD} <= 30 GROUP BY box"))
 def near_nodes(spark, sf_dir):
     """The nodes within 30 m of each building."""
-    return near_boxes(D.lattice_nodes(spark).select("nid", "x", "y"), boxes(spark, sf_dir), 30.0).groupBy("box").agg(F.count("*").alias("nodes"), F.min("nid").alias("first"))
+    return near_boxes(D.lattice_nodes(spark, sf_dir).select("nid", "x", "y"), boxes(spark, sf_dir), 30.0).groupBy("box").agg(F.count("*").alias("nodes"), F.min("nid").alias("first"))
 
 
 @query(with_sql("poi", f", box AS ({BOXES_SQL}) SELECT id, arg_max(box, [(x1 - x0) * (y1 - y0), -box]) AS box FROM poi, box WHERE category = 'public' AND {BOXD} <= 60 GROUP BY id"))
@@ -206,28 +206,33 @@ def calibrate(spark, sf_dir):
     return own.select("id", F.when(use, F.col("m")).otherwise(F.col("id") % 37).alias("minutes"), use.alias("measured"))
 
 
-PLACES_SQL = f"SELECT id, x, y, {GROUP_SQL} AS grp FROM poi WHERE tag IS NOT NULL"
-GRID_SQL = ", grid AS (SELECT request_id, ix, iy, x + ix * 100 AS px, y + iy * 100 AS py FROM request, range(-10, 11) a(ix), range(-10, 11) b(iy) WHERE ix * ix + iy * iy <= 100)"
-BLIND_SQL = f"{GRID_SQL}, places AS ({PLACES_SQL}), blind AS (SELECT request_id, grp, ix, iy FROM grid, (VALUES ('market'), ('pharmacy'), ('school')) g(grp) WHERE NOT EXISTS (SELECT 1 FROM places p WHERE p.grp = g.grp AND (px - p.x) * (px - p.x) + (py - p.y) * (py - p.y) <= 1000000))"
+PLACES_SQL = f"SELECT id, x, y, {GROUP_SQL} AS grp FROM poi_wide"
+GRID_SQL = ", grid AS (SELECT request_id, ix, iy, x + ix * 100 AS px, y + iy * 100 AS py FROM request_wide, range(-10, 11) a(ix), range(-10, 11) b(iy) WHERE ix * ix + iy * iy <= 100)"
+# kilometre squares keep the anti join from comparing every cell with every place
+BLIND_SQL = (
+    f"{GRID_SQL}, places AS ({PLACES_SQL}), around AS (SELECT grp, x, y, floor(x / 1000) + a AS kx, floor(y / 1000) + b AS ky FROM places, range(-1, 2) r(a), range(-1, 2) t(b)), "
+    "asked AS (SELECT *, floor(px / 1000) AS kx, floor(py / 1000) AS ky FROM grid, (VALUES ('market'), ('pharmacy'), ('school')) g(grp)), "
+    "blind AS (SELECT request_id, grp, ix, iy FROM asked q WHERE NOT EXISTS (SELECT 1 FROM around p WHERE p.grp = q.grp AND p.kx = q.kx AND p.ky = q.ky AND (px - p.x) * (px - p.x) + (py - p.y) * (py - p.y) <= 1000000))"
+)
 
 
 def blind_requests(spark, sf_dir) -> DataFrame:
-    return D.request(spark, sf_dir).select("request_id", "x", "y")
+    return D.request(spark, sf_dir, wide=True).select("request_id", "x", "y")
 
 
 def blind(spark, sf_dir) -> DataFrame:
     from footreach.operators import blind as B
 
-    places = D.poi(spark, sf_dir).where("tag is not null").select(text.blind_group(F.col("category"), F.col("name")).alias("grp"), F.col("x").alias("x2"), F.col("y").alias("y2")).where("grp is not null")
+    places = D.poi(spark, sf_dir, wide=True).select(text.blind_group(F.col("category"), F.col("name")).alias("grp"), F.col("x").alias("x2"), F.col("y").alias("y2")).where("grp is not null")
     return B.blind_cells(B.disc_cells(blind_requests(spark, sf_dir)), places, ["market", "pharmacy", "school"])
 
 
-@query(with_sql("request poi", BLIND_SQL + " SELECT request_id, grp, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM blind"))
+@query(with_sql("request_wide poi_wide", BLIND_SQL + " SELECT request_id, grp, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM blind"))
 def blind_cells(spark, sf_dir):
     return blind(spark, sf_dir)
 
 
-@query(with_sql("request poi", BLIND_SQL + ", n AS (SELECT request_id, grp, count(*) AS n FROM blind GROUP BY 1, 2) SELECT request_id, " + ", ".join(f"round(coalesce(max(n) FILTER (grp = '{g}'), 0) / {C.BLIND_DISC_CELLS}::DOUBLE, 6) AS {g}_share" for g in ("market", "pharmacy", "school")) + " FROM request LEFT JOIN n USING (request_id) GROUP BY request_id"))
+@query(with_sql("request_wide poi_wide", BLIND_SQL + ", n AS (SELECT request_id, grp, count(*) AS n FROM blind GROUP BY 1, 2) SELECT request_id, " + ", ".join(f"round(coalesce(max(n) FILTER (grp = '{g}'), 0) / {C.BLIND_DISC_CELLS}::DOUBLE, 6) AS {g}_share" for g in ("market", "pharmacy", "school")) + " FROM request_wide LEFT JOIN n USING (request_id) GROUP BY request_id"))
 def blind_summary(spark, sf_dir):
     from footreach.operators import blind as B
 
@@ -251,13 +256,24 @@ def asked_names(spark, sf_dir) -> DataFrame:
 
 
 def contained(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:
-    """Pairs of names one of which holds the other, both of at least `least` characters. Names are joined by their
-    grams of that length: the shorter name's first gram is one of the longer name's."""
+    """Pairs of names one of which holds the other, both of at least `least` characters. All grams of that length of the
+    shorter name are in the longer one, so the names are joined by the shorter name's gram that the fewest names on the
+    other side hold: what all names have in common, such as a brand, is no key."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - least + 1), lambda i: F.substring(F.col(c), i, F.lit(least))))
-    a, b = (df.where(F.char_length(c) >= least) for df, c in ((left, "norm"), (right, "norm2")))
-    one = a.withColumn("g", F.substring("norm", 1, least)).join(b.withColumn("g", F.explode(grams("norm2"))), "g").where(F.col("norm2").contains(F.col("norm")))
-    two = a.withColumn("g", F.explode(grams("norm"))).join(b.withColumn("g", F.substring("norm2", 1, least)), "g").where(F.col("norm").contains(F.col("norm2")))
-    return one.unionByName(two).drop("g").distinct()
+    a, b = (df.where(F.char_length(c) >= least).withColumn("row", F.struct(*df.columns)) for df, c in ((left, "norm"), (right, "norm2")))
+
+    def held_by(short: DataFrame, c: str, long: DataFrame, c2: str) -> DataFrame:
+        theirs = long.select("row", F.col(c2).alias("long"), F.explode(grams(c2)).alias("g"))
+        counts = theirs.groupBy("g").agg(F.count("*").alias("n"))
+        # names that occur many times look for their gram once
+        mine = short.select(F.col(c).alias("short")).distinct().select("short", F.explode(grams("short")).alias("g")).join(counts, "g", "left")
+        best = mine.groupBy("short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0").select("short", "m.g")
+        keyed = short.select(F.col("row").alias("own"), F.col(c).alias("short")).join(best, "short")
+        return keyed.join(theirs, "g").where(F.col("long").contains(F.col("short"))).select("own", F.col("row").alias("other"))
+
+    one = held_by(a, "norm", b, "norm2").select("own.*", "other.*")
+    two = held_by(b, "norm2", a, "norm").select("other.*", "own.*")
+    return one.unionByName(two).distinct()
 
 
 @query(with_sql("community", LOOK_SQL + " SELECT ask, CAST(count(*) AS BIGINT) AS hits, min(id) AS first FROM m GROUP BY ask"))

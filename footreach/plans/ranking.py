@@ -183,7 +183,7 @@ WALK_SQL = graphs.COST_SQL + VIEW_SQL + NODE_PAIR_SQL + (
 def walked(spark, sf_dir) -> DataFrame:
     from footreach.operators.graph import written
 
-    return P.walk_minutes(views(spark, sf_dir), written(graphs.costs_by_start(spark, sf_dir)), D.lattice_nodes(spark))
+    return P.walk_minutes(views(spark, sf_dir), written(graphs.costs_by_start(spark, sf_dir)), D.lattice_nodes(spark, sf_dir))
 
 
 @query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + " SELECT request_id, id, round(raw_min, 6) AS raw_min, estimated FROM walk", recursive=True))
@@ -211,7 +211,7 @@ def life_circle(spark, sf_dir):
     from footreach.operators.graph import written
 
     costs = written(graphs.costs_by_start(spark, sf_dir))
-    walk = P.walk_minutes(views(spark, sf_dir), costs, D.lattice_nodes(spark))
+    walk = P.walk_minutes(views(spark, sf_dir), costs, D.lattice_nodes(spark, sf_dir))
     cover = V.coverage(D.request(spark, sf_dir), P.selected(walk), V.category_rows(spark))
     ratios = area_ratios(costs).join(graphs.sources(spark, sf_dir).withColumnRenamed("nid", "start"), "start").select("request_id", "area_ratio")
     return V.score(cover, ratios)
@@ -253,9 +253,9 @@ def sectors(spark, sf_dir) -> DataFrame:
     """(request_id, direction, cells, gap_ratio): the reached area of each wedge, from lattice cells."""
     from footreach.functions import geo
 
-    nodes = D.lattice_nodes(spark).select("nid", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    nodes = D.lattice_nodes(spark, sf_dir).select("nid", F.col("x").alias("nx"), F.col("y").alias("ny"))
     own = D.request(spark, sf_dir).select("request_id", "x", "y")
-    at = graphs.costs(spark, sf_dir).join(F.broadcast(nodes), "nid").join(own, "request_id")  # the lattice is of fixed size
+    at = graphs.costs(spark, sf_dir).join(nodes, "nid").join(own, "request_id")
     dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     named = at.where(dx * dx + dy * dy <= 1_440_000).select("request_id", geo.direction8(dx, dy).alias("direction"))
     every = own.select("request_id", F.explode(F.array(*map(F.lit, C.DIRECTIONS))).alias("direction"))

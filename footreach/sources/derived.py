@@ -1,6 +1,7 @@
 """Domain tables derived from the star-schema tables by integer arithmetic, so that any engine gets the same ones.
 
-The unit is 1e-5 degree. Points lie in a dense box of about 5.7 by 5.6 km; `wide` spreads them over ten times that.
+The unit is 1e-5 degree. Points lie in a town of about 5.7 by 5.6 km times `town_side`, which grows with the square root
+of the number of places, so that towns of all sizes are equally dense; `wide` spreads them over ten times the side, whatever their number.
 """
 
 from __future__ import annotations
@@ -27,15 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def units(key: Column, wide: bool = False) -> tuple[Column, Column]:
-    scale = 10 if wide else 1
+#: Places of a town of side 1.
+PLACES = 2000
+#: Between the ids of nodes of neighbouring columns.
+STEP = 100_000
+
+
+def town_side(spark: SparkSession, sf_dir: str) -> int:
+    return max(1, math.ceil(math.sqrt(table(spark, sf_dir, "part").count() / PLACES)))
+
+
+def units(key: Column, scale: int = 1) -> tuple[Column, Column]:
     return (key * 7919) % (6700 * scale), (key * 104729) % (5000 * scale)
 
 
-def located(df: DataFrame, key: str, wide: bool = False) -> DataFrame:
+def located(df: DataFrame, key: str, spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """df with xi, yi (units), lng, lat (degrees), x, y (metres)."""
     lng0, lat0 = (116.05, 39.68) if wide else (LNG0, LAT0)
-    xi, yi = units(F.col(key).cast("long"), wide)
+    xi, yi = units(F.col(key).cast("long"), 10 if wide else town_side(spark, sf_dir))
     out = df.withColumns({"xi": xi, "yi": yi})
     return out.withColumns({"lng": lng0 + F.col("xi") / 1e5, "lat": lat0 + F.col("yi") / 1e5, "x": F.col("xi") * KX, "y": F.col("yi") * KY})
 
@@ -51,12 +61,12 @@ def poi(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
         F.when(k % 7 == 3, F.when(F.floor(k / 7) % 4 == 0, "kindergarten").otherwise("school")).alias("edu_kind"), F.when(k % 7 == 6, F.when(k % 3 == 0, "metro").otherwise("bus")).alias("transport_kind"),
         F.when(k % 11 == 0, "购物;商铺").when(k % 13 == 0, "旅游景点;公园").alias("tag"),
     )
-    return located(rows, "id", wide)
+    return located(rows, "id", spark, sf_dir, wide)
 
 
 def community(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("district"), F.col("c_acctbal").alias("sale_avg"))
-    return located(rows, "id", wide)
+    return located(rows, "id", spark, sf_dir, wide)
 
 
 def request(spark: SparkSession, sf_dir: str, wide: bool = False, varied: bool = False) -> DataFrame:
@@ -64,51 +74,50 @@ def request(spark: SparkSession, sf_dir: str, wide: bool = False, varied: bool =
     k = F.col("c_custkey")
     minutes = (5 + k % 26).cast("int") if varied else F.lit(15)
     rows = table(spark, sf_dir, "customer").select(k.alias("request_id"), minutes.alias("minutes"))
-    return located(rows, "request_id", wide)
+    return located(rows, "request_id", spark, sf_dir, wide)
 
 
 def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    return located(table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, "metro").otherwise("bus").alias("kind")), "id")
+    return located(table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), F.when(k % 3 == 0, "metro").otherwise("bus").alias("kind")), "id", spark, sf_dir)
 
 
 def click(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return located(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "user_id")
+    return located(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "user_id", spark, sf_dir)
 
 
-def lattice_nodes(spark: SparkSession) -> DataFrame:
-    """67 by 50 nodes, one for each cell of 100 units; nid = 1000 i + j."""
-    grid = spark.range(67 * 50).select((F.col("id") % 67).alias("i"), F.floor(F.col("id") / 67).alias("j"))
-    return grid.select((F.col("i") * 1000 + F.col("j")).alias("nid"), "i", "j", ((F.col("i") * 100 + 50) * KX).alias("x"), ((F.col("j") * 100 + 50) * KY).alias("y"))
+def lattice_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """67 by 50 nodes times the town's side, one for each cell of 100 units; nid = STEP i + j."""
+    side = town_side(spark, sf_dir)
+    grid = spark.range(67 * 50 * side * side).select((F.col("id") % (67 * side)).alias("i"), F.floor(F.col("id") / (67 * side)).alias("j"))
+    return grid.select((F.col("i") * STEP + F.col("j")).alias("nid"), "i", "j", ((F.col("i") * 100 + 50) * KX).alias("x"), ((F.col("j") * 100 + 50) * KY).alias("y"))
 
 
-def lattice_edges(spark: SparkSession) -> DataFrame:
-    """Streets between neighbours, in whole seconds. A river between rows 24 and 25 is crossed by three bridges."""
-    nodes = lattice_nodes(spark)
-    east = nodes.where("i < 66").select(F.col("nid").alias("u"), (F.col("nid") + 1000).alias("v"), (60 + (31 * F.col("i") + 17 * F.col("j")) % 40).cast("int").alias("w"), F.lit("road").alias("kind"))
-    bridge = (F.col("j") == 24) & F.col("i").isin(10, 30, 50)
-    north = nodes.where((F.col("j") < 49) & ((F.col("j") != 24) | bridge)).select(
-        F.col("nid").alias("u"), (F.col("nid") + 1).alias("v"), (60 + (13 * F.col("i") + 29 * F.col("j")) % 40).cast("int").alias("w"), F.when(bridge, "bridge").otherwise("road").alias("kind")
-    )
+def lattice_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets between neighbours, in whole seconds. A river above every row 24 of 50 is crossed by a bridge in every 20th column."""
+    side = town_side(spark, sf_dir)
+    nodes = lattice_nodes(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    east = nodes.where(i < 67 * side - 1).select(F.col("nid").alias("u"), (F.col("nid") + STEP).alias("v"), (60 + (31 * i + 17 * j) % 40).cast("int").alias("w"), F.lit("road").alias("kind"))
+    bridge = (j % 50 == 24) & (i % 20 == 10)
+    north = nodes.where((j < 50 * side - 1) & ((j % 50 != 24) | bridge)).select(F.col("nid").alias("u"), (F.col("nid") + 1).alias("v"), (60 + (13 * i + 29 * j) % 40).cast("int").alias("w"), F.when(bridge, "bridge").otherwise("road").alias("kind"))
     return east.unionByName(north)
 
 
 def node_of(xi: Column, yi: Column) -> Column:
-    """The lattice node of a point of the dense box."""
-    return F.floor(xi / 100) * 1000 + F.floor(yi / 100)
+    """The lattice node of a point of the town."""
+    return F.floor(xi / 100) * STEP + F.floor(yi / 100)
 
 
 # The same tables as common table expressions, for the oracle queries.
 
-_POINT = "{k} * 7919 % {mx} AS xi, {k} * 104729 % {my} AS yi"
-
-
 def _list(values) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
 def _located_sql(inner: str, key: str, wide: bool = False) -> str:
     mx, my, lng0, lat0 = (67000, 50000, 116.05, 39.68) if wide else (6700, 5000, LNG0, LAT0)
+    mx, my = (mx, my) if wide else (f"(SELECT {m} * s FROM town)" for m in (mx, my))
     return (
         f"SELECT *, CAST({lng0} AS DOUBLE) + xi / CAST(100000 AS DOUBLE) AS lng, CAST({lat0} AS DOUBLE) + yi / CAST(100000 AS DOUBLE) AS lat, xi * CAST({KX!r} AS DOUBLE) AS x, yi * CAST({KY!r} AS DOUBLE) AS y "
         f"FROM (SELECT *, CAST({key} AS BIGINT) * 7919 % {mx} AS xi, CAST({key} AS BIGINT) * 104729 % {my} AS yi FROM ({inner}))"
@@ -124,14 +133,16 @@ _POI = (
 )
 _COMMUNITY = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS district, c_acctbal AS sale_avg FROM customer"
 _REQUEST = "SELECT c_custkey AS request_id, {m} AS minutes FROM customer"
-_NODES = f"SELECT i * 1000 + j AS nid, i, j, (i * 100 + 50) * CAST({KX!r} AS DOUBLE) AS x, (j * 100 + 50) * CAST({KY!r} AS DOUBLE) AS y FROM range(67) a(i), range(50) b(j)"
+_TOWN = f"SELECT CAST(greatest(1, ceil(sqrt(count(*) / {PLACES}.0))) AS BIGINT) AS s FROM part"
+_GRID = "(SELECT unnest(range({a})) AS i FROM town) a, (SELECT unnest(range({b})) AS j FROM town) b"
+_NODES = f"SELECT i * {STEP} + j AS nid, i, j, (i * 100 + 50) * CAST({KX!r} AS DOUBLE) AS x, (j * 100 + 50) * CAST({KY!r} AS DOUBLE) AS y FROM {_GRID.format(a='67 * s', b='50 * s')}"
 _EDGES = (
-    "SELECT i * 1000 + j AS u, (i + 1) * 1000 + j AS v, CAST(60 + (31 * i + 17 * j) % 40 AS INTEGER) AS w, 'road' AS kind FROM range(66) a(i), range(50) b(j) UNION ALL "
-    "SELECT i * 1000 + j, i * 1000 + j + 1, CAST(60 + (13 * i + 29 * j) % 40 AS INTEGER), CASE WHEN j = 24 THEN 'bridge' ELSE 'road' END FROM range(67) a(i), range(49) b(j) WHERE j <> 24 OR i IN (10, 30, 50)"
+    f"SELECT i * {STEP} + j AS u, (i + 1) * {STEP} + j AS v, CAST(60 + (31 * i + 17 * j) % 40 AS INTEGER) AS w, 'road' AS kind FROM {_GRID.format(a='67 * s - 1', b='50 * s')} UNION ALL "
+    f"SELECT i * {STEP} + j, i * {STEP} + j + 1, CAST(60 + (13 * i + 29 * j) % 40 AS INTEGER), CASE WHEN j % 50 = 24 THEN 'bridge' ELSE 'road' END FROM {_GRID.format(a='67 * s', b='50 * s - 1')} WHERE j % 50 <> 24 OR i % 20 = 10"
 )
 
 SQL = {
-    "poi": _located_sql(_POI, "id"), "poi_wide": _located_sql(_POI, "id", True), "community": _located_sql(_COMMUNITY, "id"), "community_wide": _located_sql(_COMMUNITY, "id", True),
+    "town": _TOWN, "poi": _located_sql(_POI, "id"), "poi_wide": _located_sql(_POI, "id", True), "community": _located_sql(_COMMUNITY, "id"), "community_wide": _located_sql(_COMMUNITY, "id", True),
     "request": _located_sql(_REQUEST.format(m="15"), "request_id"), "request_wide": _located_sql(_REQUEST.format(m="15"), "request_id", True),
     "request_varied": _located_sql(_REQUEST.format(m="CAST(5 + c_custkey % 26 AS INTEGER)"), "request_id"), "lattice_node": _NODES, "lattice_edge": _EDGES,
     "hub": _located_sql("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'metro' ELSE 'bus' END AS kind FROM supplier", "id"),
@@ -141,6 +152,6 @@ SQL = {
 
 def with_sql(names: str, rest: str, recursive: bool = False) -> str:
     """A query over derived tables: their common table expressions, then `rest`, which may begin with more of them."""
-    head = ", ".join(f"{n} AS ({SQL[n]})" for n in names.split())
+    head = ", ".join(f"{n} AS ({SQL[n]})" for n in ["town", *names.split()])
     more = rest.strip()
     return f"WITH {'RECURSIVE ' if recursive else ''}{head}" + (f", {more[1:]}" if more.startswith(",") else f" {more}")
