@@ -1,20 +1,22 @@
-"""What the corpus operators share: tables, Arrow slices, written intermediates, components."""
+"""What the corpus operators share: tables, Arrow slices, kept and written intermediates, components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that a task holds as Python objects at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only on a single machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/footreach-{spark.sparkContext.applicationId}"
@@ -38,19 +42,65 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that materialize() has returned, once nothing reads it any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once and kept on the executors' disks for those who read it again. What is lost with an executor is
+    worked out anew from its lineage, which is short where this is used: rounds and chains of joins go to materialize()."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def scratch(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def cuts(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of a string column that hold about `limit` bytes, and one row at least."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype("float64")))
+    start = 0
+    while start < len(column):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield start, stop - start
+        start = stop
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in order, cut so that a slice holds about `limit` bytes of text, and one row at least."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        ends = np.cumsum(np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype("float64")))
-        start = 0
-        while start < batch.num_rows:
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        for start, size in cuts(batch.column(batch.schema.get_field_index(text)), limit):
+            yield batch.slice(start, size)
+
+
+def text_function(make: Callable[[], Callable[..., pa.Array]], returns: str) -> Callable[..., Column]:
+    """A function of columns, the first of which is a text. make() is called in each task, and what it returns gets slices
+    of the columns as lists. Other columns of a row stay in the JVM: only these go to Python and only the result comes back."""
+
+    def run(batches: Iterator) -> Iterator[pa.Array]:
+        each = make()
+        for batch in batches:
+            columns = batch if isinstance(batch, tuple) else (batch,)
+            parts = [each(*(c.slice(start, size).to_pylist() for c in columns)) for start, size in cuts(columns[0], SLICE_BYTES)]
+            yield pa.concat_arrays(parts or [each(*([] for _ in columns))])
+
+    def one(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(batches)
+
+    def two(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        return run(batches)
+
+    # a deterministic function would be called again for each filter and field that reads its result
+    return lambda *columns: F.arrow_udf(one if len(columns) == 1 else two, returns).asNondeterministic()(*columns)
 
 
 def with_columns(batch: pa.RecordBatch, schema: pa.Schema, made: dict[str, object]) -> pa.RecordBatch:
@@ -83,18 +133,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, task_rows: int = 500_000) -> DataFrame:
     """(node, root) for every end of the edges (u, v); root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps over the edge list. Each step is a minimum by node, which is
     partly taken before the shuffle, and a join that Spark may split where a node has many edges. A round is
-    written to the shared folder; the number of rounds grows with the logarithm of the longest path.
+    written to the shared folder, in files that follow the number of edges; the number of rounds grows with the
+    logarithm of the longest path.
     """
 
     def signature(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = first = held(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = signature(e)
     for _ in range(rounds):
         if not before[0]:
@@ -104,7 +155,13 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        new = materialize(new.coalesce(-(-before[0] // task_rows)))
+        if e is first:
+            first.unpersist()
+        else:
+            discard(e)
+        e = new
         now = signature(e)
         if now == before:
             break

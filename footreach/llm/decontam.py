@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footreach.llm.common import materialize, mix, slices
+from footreach.llm.common import held, mix, scratch, slices
 
 #: Number words and units. Fixed values.
 NUMBER_WORDS = frozenset((
@@ -59,7 +59,7 @@ class Templates:
     the benchmark holds: most texts then have no window that is worth a hash.
     """
 
-    CACHE = 300_000
+    CACHE = 50_000
 
     def __init__(self, vocabulary: frozenset[int] | None = None):
         self.vocabulary = vocabulary
@@ -192,7 +192,7 @@ def text_windows(texts: DataFrame, window: int, sizes: list[int] | None, literal
         words, bitmap = keep.value if keep is not None else (None, None)
         own = Templates(words)
         mask = np.uint64(len(bitmap) - 1) if bitmap is not None else None
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 read = own.read(text)
@@ -219,7 +219,7 @@ def word_hashes(texts: DataFrame) -> DataFrame:
     """(hash) of each different lower-cased word of (id, text) rows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text"):
             words = {w.lower() for text in batch.column(1).to_pylist() for w in TOKEN.findall(text or "")}
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64))], names=["hash"])
 
@@ -232,7 +232,7 @@ def contaminated(
     """(doc_id, item_id, windows, covered, tokens, slots, reparameterised) for each document and benchmark item in it."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("id")).select("id", "text")
-    known = materialize(text_windows(items, window, None, literals, min_tokens))
+    known = held(text_windows(items, window, None, literals, min_tokens))
     total, lengths = known.agg(F.count("*"), F.collect_set("size")).first()  # at most `window` lengths
     keep = None
     if total <= filter_windows:
@@ -257,5 +257,5 @@ def contaminated(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those that hold a benchmark item. A null doc_id that holds one takes all null ids with it."""
-    bad = materialize(contaminated(docs, benchmark, **how).select("doc_id").distinct())
+    bad = held(contaminated(docs, benchmark, **how).select("doc_id").distinct())
     return docs.join(bad.withColumnRenamed("doc_id", "__bad"), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")

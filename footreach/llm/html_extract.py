@@ -18,7 +18,6 @@ and misnested elements are closed as browsers do for the common cases; `<br>` co
 from __future__ import annotations
 
 import html
-import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -364,14 +363,14 @@ def train(seed: int = 7) -> Boosted:
 
 def extract_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """pages without html, with text (the main text) and n_chars."""
-    sent = pages.sparkSession.sparkContext.broadcast(pickle.dumps(model or train()))
+    sent = pages.sparkSession.sparkContext.broadcast(model or train())
     schema = extended(pages.drop("text", "n_chars"), {"text": T.StringType(), "n_chars": T.LongType()})
     schema = T.StructType([f for f in schema.fields if f.name != "html"])
     out = arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(sent.value)
-        for batch in slices(batches, "html", 4 << 20):
+        own = sent.value
+        for batch in slices(batches, "html"):
             read = [Page(h) for h in batch.column(batch.schema.get_field_index("html")).to_pylist()]
             features = [p.features() for p in read]
             ends = np.cumsum([len(f) for f in features])

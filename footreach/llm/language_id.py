@@ -5,9 +5,12 @@ Grams are 64-bit hashes; each order of each language is a pair of arrays sorted
 probability of each gram, and the back-off weight of each context. The language with the lowest cross-entropy
 per character wins; ties go to the name that sorts first.
 
-Training. Rows with a language and a text are labelled rows. The models learn from a bounded sample of them, at
-most about `sample_docs` whole documents a language, chosen by a hash of the id; gram counts are summed by Spark
-and their number is bounded by the sample. A tenth of the sample is held back for calibration: it fixes the
+A letter is a character of the Unicode categories L; a word may also hold numbers that are no decimal digits.
+
+Training. Rows with a language and a text are labelled rows. A value of `lang` is a language if at least
+`LEAST_ROWS` of them carry it, or as many as the commonest value if that has fewer; of more than `MOST_LANGUAGES`, the commonest are learned, so that junk values make no
+models. The models learn from a bounded sample, at most about `sample_docs` whole documents a language, chosen by a
+hash of the id; gram counts are summed by Spark and their number is bounded by the sample. A tenth of the sample is held back for calibration: it fixes the
 slope that turns the lead of the best language over the second into a score, and, for each length class, a limit
 of cross-entropy: half way between what texts reach in their own language and what they reach when it is left out.
 
@@ -21,7 +24,6 @@ rows everything is `und`.
 
 from __future__ import annotations
 
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,18 +32,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, extended, mix, slices, with_columns
+from footreach.llm.common import held, mix, scratch, slices, text_function
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDER = 5
 MARK = 2  # stands before and after a word; no letter has this code
-NEW = {"held_out": T.BooleanType(), "lang_pred": T.StringType(), "score": T.DoubleType(), "entropy": T.DoubleType(), "rejected": T.BooleanType()}
+NEW = ("lang_pred", "score", "entropy", "rejected")
+LEAST_ROWS = 20  # labelled rows that make a language
+MOST_LANGUAGES = 400
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    found = Counter(WORD.findall((text or "").lower()))
+    for word in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:  # such as "½²"
+        del found[word]
+    return found
 
 
 def gram_hashes(words: list[str], order: int = ORDER) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -119,7 +125,7 @@ class Models:
     context. The longest gram that any language knows then needs one search for all of them.
     """
 
-    CACHE = 400_000
+    CACHE = 60_000
 
     def __init__(self, languages: dict[str, Language]):
         self.names = sorted(languages)
@@ -191,7 +197,7 @@ class Models:
             new = list(set().union(*counts))
         if new:
             self.index.update(zip(new, range(len(self.scores), len(self.scores) + len(new)), strict=True))
-            parts = [self.word_scores(new[i : i + 50_000]) for i in range(0, len(new), 50_000)]
+            parts = [self.word_scores(new[i : i + 5_000]) for i in range(0, len(new), 5_000)]
             self.scores = np.concatenate([self.scores, *parts])
         rows, sizes = np.zeros((len(texts), len(self.names))), np.zeros(len(texts))
         for i, own in enumerate(counts):
@@ -227,12 +233,14 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def training_sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     """(lang, text, calibrates): about sample_docs labelled rows of each language, chosen by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}  # a row for each language
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    least = min(LEAST_ROWS, common[0][1]) if common else 0
+    sizes = {r[0]: r[1] for r in common if r[1] >= least}
     if not sizes:
         return known.select("lang", "text", F.lit(False).alias("calibrates")).where("false")
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / 1e6
-    return known.where(draw < share[F.col("lang")]).select("lang", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string")), F.lit(10)) == 0).alias("calibrates"))
+    return known.where(F.col("lang").isin(*sizes) & (draw < share[F.col("lang")])).select("lang", "text", (F.pmod(F.xxhash64(F.lit("calibrate"), F.col("doc_id").cast("string")), F.lit(10)) == 0).alias("calibrates"))
 
 
 def gram_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
@@ -263,9 +271,7 @@ def gram_counts(sample: DataFrame, order: int = ORDER) -> DataFrame:
 
 def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999) -> Models | None:
     """Models and calibration from labelled rows of docs that are not held out; None without any."""
-    from footreach.llm.common import materialize
-
-    sample = materialize(training_sample(docs, sample_docs))
+    sample = held(training_sample(docs, sample_docs))
     counts = gram_counts(sample.where("not calibrates")).toPandas()  # bounded by the sample
     if counts.empty:
         return None
@@ -278,16 +284,18 @@ def train(docs: DataFrame, sample_docs: int = 600, quantile: float = 0.999) -> M
     whole = [counts[counts.n == n].drop_duplicates("gram") for n in range(1, ORDER + 1)]
     models.fill([tuple(p[c].to_numpy().view(np.uint64) for c in ("gram", "context", "shorter")) for p in whole], languages)
     tests = sample.where("calibrates").select("lang", "text")
-    calibrate(models, [tuple(r) for r in scored(tests, models).collect()], quantile)
+    sent = docs.sparkSession.sparkContext.broadcast(models)
+    calibrate(models, [tuple(r) for r in scored(tests, sent).collect()], quantile)
+    sent.destroy()
+    sample.unpersist()
     return models
 
 
-def scored(rows: DataFrame, models: Models) -> DataFrame:
+def scored(rows: DataFrame, sent) -> DataFrame:
     """(size, low, lead, right, out) of the calibration rows, scored by Spark: out is the lowest entropy without the row's language."""
-    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(models))
 
     def score(batches):
-        own = pickle.loads(sent.value)
+        own = sent.value
         for batch in slices(batches, "text"):
             entropies, sizes = own.entropies(batch.column(1).to_pylist())
             order = np.sort(entropies, axis=1)
@@ -322,21 +330,19 @@ def calibrate(models: Models, rows: list[tuple], quantile: float, least: int = 2
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """docs with held_out, lang_pred, score (0 to 1), entropy (bits a character) and rejected."""
-    schema = extended(docs.withColumn("text", F.col("text").cast("string")), NEW)
-    out = arrow_schema(schema)
-    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))  # bounded by the training sample
-    first = docs.withColumn("__held", held_out())
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the training sample
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pickle.loads(sent.value)
-        for batch in slices(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            if own is None:
-                n = len(texts)
-                names, score, low, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-            else:
-                names, score, low, rejected = own.predict(texts)
-            held = batch.column(batch.schema.get_field_index("__held"))
-            yield with_columns(batch, out, {"held_out": held.to_numpy(zero_copy_only=False), "lang_pred": names, "score": score, "entropy": low, "rejected": rejected})
-
-    return first.mapInArrow(rows, schema)
+    def make():
+        own = sent.value
+
+        def each(texts: list[str | None]) -> pa.Array:
+            n = len(texts)
+            names, score, low, rejected = own.predict(texts) if own is not None else (["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool))
+            return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], list(NEW))
+
+        return each
+
+    found = scratch(docs, "found")
+    judged = docs.withColumn(found, text_function(make, "struct<lang_pred: string, score: double, entropy: double, rejected: boolean>")(F.col("text").cast("string")))
+    own = [c for c in docs.columns if c not in ("held_out", *NEW)]
+    return judged.select(*own, held_out().alias("held_out"), *(F.col(f"{found}.{c}").alias(c) for c in NEW))

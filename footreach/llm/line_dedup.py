@@ -5,18 +5,21 @@ A line's key is the line without ASCII white space at its ends and with A-Z in l
 the document with the largest id that holds it. Lines are split at \\n; a null or empty text is one empty line.
 
 How it runs:
-1. Each document sends the distinct 128-bit hashes of its long keys; a count and a maximum by hash, combined
-   before the shuffle, give the repeated keys, the number of their documents and the keeper.
+1. Each document sends the distinct 128-bit hashes of its long keys; a count of different documents and a maximum
+   by hash, combined before each shuffle, give the repeated keys, the number of their documents and the keeper.
 2. Repeated keys are dealt to shards of about `shard_keys` by their hash. Each shard builds a minimal perfect
    hash (levels of bits with ranks) over its keys, and arrays in slot order: a 64-bit fingerprint, a count and
    the keeper's id.
 3. Documents look their lines up in the arrays: slot from the first half of the hash, fingerprint against the
    second half. No lines are joined. Where all shards together stay under `broadcast_bytes` (measured first),
-   they are sent to every task; above it, each document's hashes travel to their shard instead, salted so that
+   they are sent to every worker; above it, each document's hashes travel to their shard instead, salted so that
    a frequent line is spread over `salts` copies of the shard, and only the hits travel back.
+4. Only the keeper of each repeated line comes back from Python; the texts are cut in the JVM, and only those that
+   hold such a line.
 
-Defined cases: each row counts as one document; rows that repeat a doc_id share its verdict. A null doc_id
-counts as the lowest id. Columns other than text pass through; a column named like a result gives way to it.
+Defined cases: rows that repeat a doc_id are one document: a line counts once for them, and all of them keep what
+the id keeps. Null ids are one document, with the lowest id. A null or empty text is one empty line. Columns other
+than text pass through; a column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -26,18 +29,16 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, extended, materialize, mix, slices, with_columns
+from footreach.llm.common import held, mix, scratch, slices, text_function
 
 WHITE = b" \t\n\x0b\x0c\r"
 LOWEST = -(2**63)
-NEW = {"n_lines": T.LongType(), "n_dropped": T.LongType()}
+NEW = ("n_lines", "n_dropped")
 
 
 def line_key(line: bytes) -> bytes:
@@ -102,12 +103,12 @@ class Shard:
         self.fingerprints, self.counts, self.keepers = np.zeros(len(hi), np.uint64), np.zeros(len(hi), np.uint32), np.zeros(len(hi), np.int64)
         self.fingerprints[at], self.counts[at], self.keepers[at] = lo, np.minimum(counts, 2**32 - 1), keepers
 
-    def repeated_elsewhere(self, hi: np.ndarray, lo: np.ndarray, docs: np.ndarray) -> np.ndarray:
-        """Whether each key is one of the shard and kept by another document."""
+    def look_up(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is one of the shard, and the document that keeps it."""
         at = self.hash.slots(hi, lo)
         known = at >= 0
         at = np.where(known, at, 0)
-        return known & (self.fingerprints[at] == lo) & (self.keepers[at] != docs)
+        return known & (self.fingerprints[at] == lo), self.keepers[at]
 
 
 def shard_of(hi: np.ndarray, shards: int) -> np.ndarray:
@@ -118,20 +119,34 @@ def _digests(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), dtype=np.uint64).reshape(-1, 2)
 
 
+def long_lines(texts: list[str | None], min_chars: int) -> tuple[list[int], list[list[int]], np.ndarray]:
+    """For each text its number of lines and which of them have long keys; and the hashes of all these keys in order."""
+    sizes, places, keys = [], [], []
+    for text in texts:
+        lines = (text or "").encode().split(b"\n")
+        own = []
+        for i, line in enumerate(lines):
+            if len(line) >= min_chars and long_enough(k := line_key(line), min_chars):
+                own.append(i)
+                keys.append(k)
+        sizes.append(len(lines))
+        places.append(own)
+    return sizes, places, _digests(keys)
+
+
 def long_line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(hi, lo, doc) for the distinct long keys of each document."""
+    """(hi, lo, doc) for the distinct long keys of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            keys: list[bytes] = []
-            counts = []
-            for text in batch.column(1).to_pylist():
-                own = {k for line in (text or "").encode().split(b"\n") if len(line) >= min_chars and long_enough(k := line_key(line), min_chars)}
-                keys += own
-                counts.append(len(own))
+            _, places, hashes = long_lines(batch.column(1).to_pylist(), min_chars)
+            rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+            by = np.lexsort((hashes[:, 1], hashes[:, 0], rows))
+            new = np.ones(len(by), bool)
+            new[1:] = (rows[by][1:] != rows[by][:-1]) | (hashes[by][1:] != hashes[by][:-1]).any(axis=1)
             ids = batch.column(0).fill_null(LOWEST).to_numpy(zero_copy_only=False)
-            hashes = _digests(keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(np.repeat(ids, counts))], names=["hi", "lo", "doc"])
+            own, hashes = rows[by][new], hashes[by][new].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(ids[own])], names=["hi", "lo", "doc"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "hi long, lo long, doc long")
 
@@ -140,84 +155,91 @@ def build_shards(repeated: DataFrame, keys: int, shard_keys: int) -> tuple[DataF
     """(shard, blob) from (hi, lo, n, keeper); a shard has about shard_keys keys however many there are."""
     shards = max(1, math.ceil(keys / shard_keys))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        arrays = [rows[c].to_numpy() for c in ("hi", "lo", "n", "keeper")]
-        shard = Shard(arrays[0].view(np.uint64), arrays[1].view(np.uint64), arrays[2], arrays[3])
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "blob": [pickle.dumps(shard)]})
+    def build(rows: pa.Table) -> pa.Table:
+        hi, lo, n, keepers = (rows.column(c).to_numpy() for c in ("hi", "lo", "n", "keeper"))
+        shard = Shard(hi.view(np.uint64), lo.view(np.uint64), n, keepers)
+        return pa.table({"shard": rows.column("shard").slice(0, 1), "blob": pa.array([pickle.dumps(shard)], pa.binary())})
 
     dealt = repeated.withColumn("shard", F.shiftrightunsigned("hi", 33) % F.lit(shards))
-    return dealt.groupBy("shard").applyInPandas(build, "shard long, blob binary"), shards
+    return dealt.groupBy("shard").applyInArrow(build, "shard long, blob binary"), shards
 
 
-def _rewrite(docs: DataFrame, flags) -> DataFrame:
-    """Documents without the lines that flags(batch, hi, lo, docs) marks."""
-    schema = extended(docs.withColumn("text", F.col("text").cast("string")), NEW)
-    out = arrow_schema(schema)
-    min_chars = flags.min_chars
+KEEPERS = "struct<keepers: array<bigint>>"
+
+
+def _keepers(sizes: list[int], places: list[list[int]], known: np.ndarray, keepers: np.ndarray) -> pa.Array:
+    """For each text that holds repeated lines, an array with a place for each of its lines: the keeper, or null."""
+    out: list[list[int | None] | None] = []
+    at = 0
+    for size, own in zip(sizes, places, strict=True):
+        hits = np.flatnonzero(known[at : at + len(own)])
+        line: list[int | None] | None = None
+        if len(hits):
+            line = [None] * size
+            for k in hits.tolist():
+                line[own[k]] = int(keepers[at + k])
+        out.append(line)
+        at += len(own)
+    return pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["keepers"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look_up = flags.open()
-        for batch in slices(batches, "text"):
-            lines = [(text or "").encode().split(b"\n") for text in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            where, keys = [], []
-            for d, own in enumerate(lines):
-                for i, line in enumerate(own):
-                    if len(line) >= min_chars and long_enough(k := line_key(line), min_chars):
-                        where.append((d, i))
-                        keys.append(k)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).fill_null(LOWEST).to_numpy(zero_copy_only=False)
-            hashes, at = _digests(keys), np.array(where, np.int64).reshape(-1, 2)
-            dropped = np.zeros(len(lines), np.int64)
-            gone: dict[int, set[int]] = {}
-            for k in np.flatnonzero(look_up(batch, hashes[:, 0], hashes[:, 1], at[:, 0], ids)):
-                d, i = where[k]
-                gone.setdefault(d, set()).add(i)
-                dropped[d] += 1
-            kept = [b"\n".join(x for i, x in enumerate(own) if i not in gone[d]) if d in gone else b"\n".join(own) for d, own in enumerate(lines)]
-            text = pa.array(kept, pa.binary()).cast(pa.string())
-            made = {"n_lines": np.array([len(x) for x in lines], np.int64), "n_dropped": dropped}
-            yield with_columns(batch.set_column(batch.schema.get_field_index("text"), "text", text), out, made)
 
-    return docs.mapInArrow(rows, schema)
+def from_arrays(sent, shards: int, min_chars: int):
+    """Keepers of a text's lines, looked up in shards that every worker holds."""
 
+    def make():
+        own = sent.value
 
-class _Arrays:
-    """Look-up in shards that every task holds."""
+        def each(texts: list[str | None]) -> pa.Array:
+            sizes, places, hashes = long_lines(texts, min_chars)
+            hi, lo = hashes[:, 0], hashes[:, 1]
+            known, keepers = np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
+            at = shard_of(hi, shards)
+            for k, shard in own.items():
+                mine = np.flatnonzero(at == k)
+                if len(mine):
+                    known[mine], keepers[mine] = shard.look_up(hi[mine], lo[mine])
+            return _keepers(sizes, places, known, keepers)
 
-    def __init__(self, blobs, shards: int, min_chars: int):
-        self.blobs, self.shards, self.min_chars = blobs, shards, min_chars
+        return each
 
-    def open(self):
-        shards = {k: pickle.loads(b) for k, b in self.blobs.value}
+    return text_function(make, KEEPERS)
 
-        def look_up(_, hi, lo, doc, ids):
-            out = np.zeros(len(hi), bool)
-            at = shard_of(hi, self.shards)
-            for k, shard in shards.items():
-                own = np.flatnonzero(at == k)
-                if len(own):
-                    out[own] = shard.repeated_elsewhere(hi[own], lo[own], ids[doc[own]])
-            return out
 
-        return look_up
+def from_hits(min_chars: int):
+    """Keepers of a text's lines among the hits (hi, lo, keeper) that came with it."""
 
+    def make():
+        def each(texts: list[str | None], hits: list) -> pa.Array:
+            sizes, places, hashes = long_lines(texts, min_chars)
+            pairs = hashes.view(np.int64).tolist()
+            told: list[int | None] = []
+            for own, mine in zip(places, hits, strict=True):
+                kept = {(x["hi"], x["lo"]): x["keeper"] for x in mine or ()}
+                told += [kept.get(tuple(pairs[len(told) + k])) for k in range(len(own))]
+            return _keepers(sizes, places, np.array([x is not None for x in told], bool), np.array([x or 0 for x in told], np.int64))
 
-class _Told:
-    """Look-up in the hits that came with each document."""
+        return each
 
-    def __init__(self, min_chars: int):
-        self.min_chars = min_chars
+    return text_function(make, KEEPERS)
 
-    def open(self):
-        def look_up(batch, hi, lo, doc, ids):
-            told = [{(x["hi"], x["lo"]) for x in own or ()} for own in batch.column(batch.schema.get_field_index("__hits")).to_pylist()]
-            return np.array([(a, b) in told[d] for a, b, d in zip(hi.view(np.int64).tolist(), lo.view(np.int64).tolist(), doc.tolist(), strict=True)], bool)
 
-        return look_up
+def _rewrite(docs: DataFrame, keepers: Column) -> DataFrame:
+    """docs without the lines that another document keeps."""
+    name = scratch(docs, "keepers")
+    text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
+    found = docs.withColumn(name, keepers["keepers"])
+    goes = lambda x: F.coalesce(x != doc, F.lit(False))
+    dropped = F.coalesce(F.size(F.filter(name, goes)), F.lit(0))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, i: ~goes(F.get(F.col(name), i))), "\n")
+    n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    new = {"n_lines": n_lines.cast("long"), "n_dropped": F.when(F.col(name).isNull(), 0).otherwise(dropped).cast("long")}
+    whole = F.when(new["n_dropped"] > 0, kept).otherwise(text)
+    own = [whole.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in NEW]
+    return found.select(*own, *(v.alias(k) for k, v in new.items()))
 
 
 def hits_by_shard(hashes: DataFrame, blobs: DataFrame, shards: int, salts: int) -> DataFrame:
-    """(doc, hi, lo) of the lines to drop: hashes travel to their shard's arrays, spread over salted copies."""
+    """(doc, hi, lo, keeper) of the lines to drop: hashes travel to their shard's arrays, spread over salted copies."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = shard = None
@@ -238,24 +260,28 @@ def hits_by_shard(hashes: DataFrame, blobs: DataFrame, shards: int, salts: int)
                     shard = pickle.loads(batch.column(6)[i].as_py())
                 if shard is not None:
                     own = np.arange(start, stop)[kinds[start:stop] == 1]
-                    own = own[shard.repeated_elsewhere(hi[own].view(np.uint64), lo[own].view(np.uint64), doc[own])]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(hi[own]), pa.array(lo[own])], names=["doc", "hi", "lo"])
+                    known, keepers = shard.look_up(hi[own].view(np.uint64), lo[own].view(np.uint64))
+                    gone = known & (keepers != doc[own])
+                    own = own[gone]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(hi[own]), pa.array(lo[own]), pa.array(keepers[gone])], names=["doc", "hi", "lo", "keeper"])
                 start = stop
 
     salted = hashes.select((F.shiftrightunsigned("hi", 33) % F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("doc", "lo"), F.lit(salts)).alias("salt"), F.lit(1).alias("kind"), "hi", "lo", "doc", F.lit(None).cast("binary").alias("blob"))
     copies = blobs.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("hi", "lo", "doc")), "blob")
-    return copies.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(rows, "doc long, hi long, lo long")
+    return copies.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(rows, "doc long, hi long, lo long, keeper long")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 200_000, broadcast_bytes: int = 128 << 20, salts: int = 16) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 200_000, broadcast_bytes: int = 16 << 20, salts: int = 16) -> DataFrame:
     """docs with the kept lines as text, and n_lines (before) and n_dropped. See the module's text."""
     hashes = long_line_hashes(docs, min_chars)
-    repeated = materialize(hashes.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs))
+    repeated = held(hashes.groupBy("hi", "lo").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs))
     blobs, shards = build_shards(repeated, repeated.count(), shard_keys)
-    blobs = materialize(blobs)
+    blobs = held(blobs)
     if (blobs.agg(F.sum(F.length("blob"))).first()[0] or 0) <= broadcast_bytes:
-        sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in blobs.collect()])
-        return _rewrite(docs, _Arrays(sent, shards, min_chars))
-    hits = hits_by_shard(hashes, blobs, shards, salts).groupBy("doc").agg(F.collect_list(F.struct("hi", "lo")).alias("__hits")).withColumnRenamed("doc", "__doc")
-    told = docs.join(hits, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col("__doc"), "left").drop("__doc")
-    return _rewrite(told, _Told(min_chars)).drop("__hits")
+        sent = docs.sparkSession.sparkContext.broadcast({k: pickle.loads(b) for k, b in blobs.collect()})
+        return _rewrite(docs, from_arrays(sent, shards, min_chars)(F.col("text").cast("string")))
+    hits = hits_by_shard(hashes, blobs, shards, salts).distinct()
+    doc, own = scratch(docs, "doc"), scratch(docs, "hits")
+    hits = hits.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(F.struct("hi", "lo", "keeper")).alias(own))
+    told = docs.join(hits, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)) == F.col(doc), "left").drop(doc)
+    return _rewrite(told, from_hits(min_chars)(F.col("text").cast("string"), F.col(own))).drop(own)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -190,22 +191,27 @@ class Model:
         return ids, source[begins], source[ends]
 
 
+@lru_cache(maxsize=1)
+def model_of(data: bytes) -> Model:
+    """The model of a file's bytes, made once in each worker."""
+    return Model(data)
+
+
 def encode_documents(docs: DataFrame, model_path: str, begin: bool = True, end: bool = True) -> DataFrame:
     """docs with ids, begins and ends (spans of source bytes; begin and end ids are empty spans) and decoded, what
     the library's decode(ids) returns. One pass, no shuffle; the model file, of fixed size, is sent to the tasks."""
     with open(model_path, "rb") as f:
-        data = f.read()
-    sent = docs.sparkSession.sparkContext.broadcast(data)
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+
     schema = extended(docs.withColumn("text", F.col("text").cast("string")), NEW)
     out = arrow_schema(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(sent.value)
+        model = model_of(sent.value)
         head, tail = [model.begin] * begin, [model.end] * end
-        for batch in slices(batches, "text", 4 << 20):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        for batch in slices(batches, "text"):
             made: dict[str, list] = {k: [] for k in NEW}
-            for text in texts:
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
                 ids, begins, ends = model.encode(text)
                 size = len((text or "").encode())
                 ids = np.concatenate((head, ids, tail))

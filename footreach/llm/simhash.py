@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, connected_components, extended, materialize, slices, with_columns
+from footreach.llm.common import arrow_schema, connected_components, extended, held, slices, with_columns
 
 SEED = 42
 
@@ -186,7 +186,7 @@ def links(fps: DataFrame, radius: int = 2, tile_rows: int = 16_384) -> DataFrame
     """(u, v): spanning links among the distinct values fps.fp within the radius."""
     popped = fps.select("fp", F.bit_count("fp").alias("pc"))
     keyed = popped.select("fp", "pc", F.explode(block_keys("fp", radius)).alias("x")).select("fp", "pc", "x.t", "x.key")
-    sizes = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows))
+    sizes = held(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows))
     plain = keyed.join(sizes.select("t", "key"), ["t", "key"], "left_anti") if sizes.head(1) else keyed
     near = plain.withColumn("side", F.lit(0)).repartition("t", "key").sortWithinPartitions("t", "key", "pc", "fp").mapInArrow(_links_of_sorted(radius, ["t", "key"]), "u long, v long")
     if not sizes.head(1):
@@ -211,9 +211,9 @@ def links(fps: DataFrame, radius: int = 2, tile_rows: int = 16_384) -> DataFrame
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, tile_rows: int = 16_384) -> DataFrame:
     """(doc_id, fp, group, component_id) for each row of docs; group is a fingerprint that names the component."""
-    own = materialize(fingerprints_of(docs, words))
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    members = materialize(connected_components(links(distinct, radius, tile_rows)))
+    own = held(fingerprints_of(docs, words))
+    distinct = held(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    members = connected_components(links(distinct, radius, tile_rows))
     grouped = distinct.join(members, distinct.fp == members.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("group"))
     names = grouped.where("group <> fp").select("group").distinct()
     linked = grouped.join(names, "group").groupBy("group").agg(F.min("least").alias("name"))
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, tile_rows:
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest doc_id."""
-    found = materialize(near_duplicates(docs, words, radius))
+    found = held(near_duplicates(docs, words, radius))
     stays = found.where("doc_id = component_id").select("doc_id")
     rows, ids, nulls = found.agg(F.count("*"), F.count_distinct("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
     if rows == ids:

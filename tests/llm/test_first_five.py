@@ -28,11 +28,11 @@ def frame(spark, rows, schema="doc_id long, text string"):
 
 def brute_lines(rows, min_chars=40, min_docs=5):
     key = lambda x: x.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for d, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
             if len(k) >= min_chars:
-                holders[k].append(d if d is not None else -(2**63))
+                holders[k].add(d if d is not None else -(2**63))
     out = []
     for d, t in rows:
         own = (t or "").split("\n")
@@ -50,6 +50,8 @@ def line_rows():
         rows.append((d, "\n".join(own)))
     hot = "The very same line, which stands in a third of all documents."
     rows += [(200 + i, f"{hot}\n{hot}\nown {i}") for i in range(60)]
+    few = "A line that five rows hold, four of which are one document's rows."
+    rows += [(300, few)] * 4 + [(301, few)]
     return [*rows, (500, None), (501, ""), (502, "\n\n"), (None, hot), (3, rows[3][1]), (3, rows[3][1]), (900, "long " * 40_000 + "\n" + hot)]
 
 
