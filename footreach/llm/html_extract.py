@@ -12,7 +12,9 @@ states: `TRAINING_PAGES` of them, whatever the input. Training takes about four
 tens of kB) is sent to the tasks. Pages are independent: one pass, no shuffle.
 
 Defined cases: null or empty html gives empty text; text outside any element belongs to the page itself; unclosed
-and misnested elements are closed as browsers do for the common cases; `<br>` counts as white space.
+and misnested elements are closed as browsers do for the common cases; `<br>` counts as white space. An element that
+closes itself (`<svg/>`) holds nothing. A muted or foreign element whose end tag never comes, or comes after the end
+of the element around it, ends there: what follows is read on.
 """
 
 from __future__ import annotations
@@ -30,10 +32,14 @@ from pyspark.sql import types as T
 from footreach.llm.common import arrow_schema, extended, slices, with_columns
 
 #: Elements by what they do to text. Fixed values of public HTML.
-RAW = "script style template noscript textarea select svg math object iframe canvas title audio video".split()
+RAW = "script style textarea title".split()
+#: Elements whose text isn't shown, or is that of a form. They end with their end tag, or with an element around them.
+MUTED = frozenset("template select datalist iframe canvas audio video".split())
+#: Elements with tags of their own, which don't cut the line they stand in.
+FOREIGN = frozenset(["svg", "math"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr area map base link meta param track embed".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr noscript object picture q rp rt ruby s samp small source span strike strong sub sup time tt u var wbr area map base link meta param track embed".split()
 )
 CLOSED_BY: dict[str, frozenset[str]] = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]), "th": frozenset(["tr", "table"]), "option": frozenset(["select"])}
 TAG = re.compile(
@@ -45,6 +51,8 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 TAG_KINDS = "html body div p li ul ol nav footer header aside article main section form h1 h2 h3 table td blockquote pre figure button dl".split()
+ENDS = {k: re.compile(f"</{k}", re.I) for k in MUTED | FOREIGN}
+KINDS = frozenset(TAG_KINDS) | {"dt", "dd", "hr", "tr", "th", "h4", "h5", "h6"}
 BOILER = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social menu nav navbar navigation breadcrumb breadcrumbs "
     "header masthead topbar footer bottom copyright sidebar aside widget related recommended trending popular more comment comments disqus reply replies respond discussion form search pagination pager tags toolbar skip hidden".split()
@@ -66,7 +74,7 @@ class Page:
         self._read(source or "")
 
     def _read(self, source: str) -> None:
-        stack, pieces, links, at = [0], [], 0, 0
+        stack, pieces, links, at, inside = [0], [], 0, 0, ""
 
         def flush() -> None:
             if pieces:
@@ -79,7 +87,7 @@ class Page:
                     self.own_stops[node] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
 
         for m in TAG.finditer(source):
-            if m.start() > at:
+            if m.start() > at and inside not in MUTED:
                 text = source[at : m.start()]
                 text = html.unescape(text) if "&" in text else text
                 pieces.append(text)
@@ -90,6 +98,20 @@ class Page:
             if name is None:
                 continue
             name = name.lower()
+            if inside:
+                if name == inside and m[2]:
+                    inside = ""
+                    continue
+                # an end tag of an element around it, or a block that can't stand in it, ends it
+                around = m[2] and name in (self.tags[k] for k in stack)
+                if not around and (m[2] or name not in KINDS or inside in MUTED - {"select"}):
+                    continue
+                inside = ""
+            if name in MUTED or name in FOREIGN:
+                if not m[2] and not m[4].endswith("/") and (name == "select" or ENDS[name].search(source, at)):
+                    inside = name
+                self.inline[stack[-1]] += 1
+                continue
             if name in INLINE:
                 if name == "a":
                     links = 0 if m[2] else 1
@@ -122,7 +144,7 @@ class Page:
                 column.append(0)
             if name not in VOID and not m[4].endswith("/"):
                 stack.append(len(self.tags) - 1)
-        if at < len(source):
+        if at < len(source) and inside not in MUTED:
             text = source[at:]
             pieces.append(html.unescape(text) if "&" in text else text)
         flush()

@@ -73,13 +73,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "probability")
 
 
-#: The list that op8 looks URLs up in: whole sites, as canonical forms.
-LISTED_URLS = [f"{host}/" for host in ("casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net")]
+#: Sites that the pages link to and op8 blocks.
+LISTED_SITES = ["casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "adult-x.example.net"]
+#: Made sites beside them, so that the list is as long as such lists are, and listed pages and folders of one domain.
+MADE_SITES, MADE_PATHS = 100_000, 200
+
+
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """The list that op8 looks URLs up in, as canonical forms."""
+    k = F.col("id").cast("string")
+    site = F.concat(F.lit("listed"), k, F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (F.col("id") % 3 + 1).cast("int")), F.lit("/"))
+    pages = spark.range(MADE_PATHS).select(F.explode(F.array(F.concat(F.lit("example.org/es/"), k), F.concat(F.lit("example.org/es/"), k, F.lit("/")))).alias("form"))
+    return spark.createDataFrame([(f"{x}/",) for x in LISTED_SITES], "form string").unionByName(spark.range(MADE_SITES).select(site.alias("form"))).unionByName(pages)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(u,) for u in LISTED_URLS], "form string")
-    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed_urls(spark)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,11 +136,19 @@ rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'
 fits AS (
   SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS k
   FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
-listed(site) AS (VALUES %s),
-hits AS (SELECT c.page_id, max(site || '/') AS form FROM c JOIN listed ON host = site OR ends_with(host, '.' || site) WHERE host <> '' GROUP BY c.page_id)
+listed(form) AS (
+  SELECT * FROM (VALUES %s) UNION ALL SELECT 'listed' || k || '.example.' || ['com', 'net', 'org'][k %% 3 + 1] || '/' FROM range(%d) t(k)
+  UNION ALL SELECT 'example.org/es/' || k FROM range(%d) t(k) UNION ALL SELECT 'example.org/es/' || k || '/' FROM range(%d) t(k)),
+hosts AS (
+  SELECT page_id, path, unnest(list_transform(range(1, greatest(2, len(labels))), lambda i: array_to_string(labels[i:], '.'))) AS h
+  FROM (SELECT page_id, path, string_split(host, '.') AS labels FROM c WHERE host <> '')),
+forms AS (
+  SELECT page_id, h || CASE WHEN path = '' THEN '/' ELSE path END AS form FROM hosts
+  UNION SELECT page_id, h || p FROM (SELECT page_id, h, unnest(list_transform(list_filter(range(1, length(path) + 1), lambda i: path[i:i] = '/'), lambda i: path[1:i])) AS p FROM hosts)),
+hits AS (SELECT page_id, arg_max(form, [lpad(length(form)::VARCHAR, 9, '0'), form]) AS form FROM forms JOIN listed USING (form) GROUP BY page_id)
 SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.v, CASE WHEN x.form IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
   CASE WHEN f.rule IS NULL THEN x.form END AS listed
 FROM c LEFT JOIN fits f ON c.page_id = f.page_id AND f.k = 1 LEFT JOIN hits x ON c.page_id = x.page_id
 """
-    % ", ".join(f"('{u[:-1]}')" for u in LISTED_URLS),
+    % (", ".join(f"('{u}/')" for u in LISTED_SITES), MADE_SITES, MADE_PATHS, MADE_PATHS),
 }

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, mix
+from footreach.llm.common import arrow_schema, held, mix, scratch
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 BITS = 8  # bits a form sets in its block
@@ -92,7 +92,7 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(BITS)))
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, filter_bytes: int = 64 << 20) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES, filter_bytes: int = 16 << 20) -> DataFrame:
     """(id columns of pages without url, host, path, rule, verdict, listed): listed is the listed URL that covers it.
 
     listed: column form, canonical URLs without scheme.
@@ -105,36 +105,36 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     sent = None
     if blocks * BLOCK_BITS // 8 <= filter_bytes:
         words = np.zeros((blocks, BITS), np.uint64)
-        for r in bloom_blocks(listed, blocks).collect():  # at most `blocks` rows
-            words[r[0]] = np.array(r[1:], np.int64).view(np.uint64)
+        found = bloom_blocks(listed, blocks).toArrow()  # at most `blocks` rows
+        for k in range(BITS):
+            words[found.column("block").to_numpy(), k] = found.column(f"w{k}").to_numpy().view(np.uint64)
         sent = spark.sparkContext.broadcast(words)
     host, path = host_and_path(F.col("url").cast("string"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
-    new = ("host", "path", "rule", "verdict", "listed")
+    new = ("host", "path", "rule", "verdict", "listed", "form")
     own = [c for c in pages.columns if c not in (*new, "url")]
-    rows = pages.select(*own, host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("__verdict", verdict)
-    schema = T.StructType([*rows.schema.fields, T.StructField("__forms", T.ArrayType(T.StringType()))])
+    ruled, own_forms, row, hit = (scratch(pages, c) for c in ("ruled", "forms", "row", "hit"))
+    rows = pages.select(*own, host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn(ruled, verdict)
+    schema = T.StructType([*rows.schema.fields, T.StructField(own_forms, T.ArrayType(T.StringType()))])
     out = arrow_schema(schema)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = sent.value if sent is not None else None
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731, B023
-            forms = [canonical_forms(h, p, labels or 0, slashes or 0) if v is None and h else [] for h, p, v in zip(get("host"), get("path"), get("__verdict"), strict=True)]
+            forms = [canonical_forms(h, p, labels or 0, slashes or 0) if v is None and h else [] for h, p, v in zip(get("host"), get("path"), get(ruled), strict=True)]
             if filter_ is not None:
                 hashes = form_hashes([f for own in forms for f in own])
                 words = block_words(hashes)
                 passes = iter(((filter_[(hashes % np.uint64(blocks)).astype(np.int64)] & words) == words).all(axis=1).tolist())
                 forms = [[f for f in own if next(passes)] for own in forms]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f or None for f in forms], out.field("__forms").type)], schema=out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f or None for f in forms], out.field(own_forms).type)], schema=out)
 
-    tested = rows.mapInArrow(candidates, schema)
-    keyed = tested.withColumn("__row", F.monotonically_increasing_id())
-    hits = keyed.where("__forms is not null")
-    plain = keyed.where("__forms is null").select(*own, "host", "path", "rule", F.coalesce("__verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("listed"))
+    keyed = held(rows.mapInArrow(candidates, schema).withColumn(row, F.monotonically_increasing_id()))  # read by both parts
+    plain = keyed.where(F.col(own_forms).isNull()).select(*own, "host", "path", "rule", F.coalesce(ruled, F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("listed"))
     # the list gives each form once: a row comes back once for each of its forms, and the longest that is listed counts
-    exploded = hits.withColumn("form", F.explode("__forms")).drop("__forms")
-    joined = exploded.join(listed.withColumn("__listed", F.col("form")), "form", "left")
-    best = joined.groupBy("__row").agg(*(F.first(c).alias(c) for c in (*own, "host", "path", "rule")), F.max(F.when(F.col("__listed").isNotNull(), F.struct(F.char_length("__listed"), "__listed"))).alias("x"))
-    judged = best.select(*own, "host", "path", "rule", F.when(F.col("x").isNotNull(), "block").otherwise("allow").alias("verdict"), F.col("x.__listed").alias("listed"))
+    exploded = keyed.where(F.col(own_forms).isNotNull()).withColumn("form", F.explode(own_forms)).drop(own_forms)
+    joined = exploded.join(listed.withColumn(hit, F.col("form")), "form", "left")
+    best = joined.groupBy(row).agg(*(F.first(c).alias(c) for c in (*own, "host", "path", "rule")), F.max(F.when(F.col(hit).isNotNull(), F.struct(F.char_length(hit), hit))).alias(ruled))
+    judged = best.select(*own, "host", "path", "rule", F.when(F.col(ruled).isNotNull(), "block").otherwise("allow").alias("verdict"), F.col(f"{ruled}.{hit}").alias("listed"))
     return plain.unionByName(judged)

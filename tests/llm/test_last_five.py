@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -140,20 +141,80 @@ def test_quality_verdicts(spark):
     quality = {r.doc_id: r.quality for r in common.table(spark, "/root/testdata/sf0.01", "labels").collect()}
     good = [r.kept or r.base_failed for r in rows if quality.get(r.doc_id) == 1]
     junk = [not r.kept for r in rows if quality.get(r.doc_id) == 0]
-    assert sum(good) / len(good) > 0.98 and sum(junk) / len(junk) > 0.6
+    assert sum(good) / len(good) > 0.98 and sum(junk) / len(junk) > 0.9
     assert quality_rules.judge(frame(spark, [])).count() == 0
     assert not quality_rules.judge(frame(spark, [(1, None)])).first().kept
 
 
-def test_estimation_finds_the_good_class():
+def posterior(model, votes):
+    shares, rates = model
+    joint = [math.exp(s + sum(r[k][v + 1] for k, v in enumerate(votes))) for s, r in zip(shares, rates)]
+    return joint[0] / sum(joint)
+
+
+def brute_model(patterns, pairs, rounds=400, smooth=2.0):
+    """The same mixture, one document pattern after the other, in plain numbers."""
+    n = len(patterns[0][0])
+    share = [0.9, *[0.1 / len(pairs)] * len(pairs)]
+    rate = [[[0.05, 0.1, 0.85] for _ in range(n)]] + [[[0.8, 0.1, 0.1] if k in pair else [0.25, 0.15, 0.6] for k in range(n)] for pair in pairs]
+    for _ in range(rounds):
+        total, table = [smooth] * len(share), [[[smooth] * 3 for _ in range(n)] for _ in share]
+        for votes, c in patterns:
+            joint = [s * math.prod(r[k][v + 1] for k, v in enumerate(votes)) for s, r in zip(share, rate)]
+            for z, x in enumerate(joint):
+                total[z] += c * x / sum(joint)
+                for k, v in enumerate(votes):
+                    table[z][k][v + 1] += c * x / sum(joint)
+        share = [x / sum(total) for x in total]
+        rate = [[[x / sum(row) for x in row] for row in own] for own in table]
+    return [math.log(x) for x in share], [[[math.log(x) for x in row] for row in own] for own in rate]
+
+
+def test_quality_posteriors_are_those_of_a_plain_mixture(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    votes = quality_rules.rules()
+    rows = quality_rules.counts(docs).select("doc_id", *(v.alias(k) for k, v in votes.items())).collect()
+    patterns = sorted(Counter(tuple(r)[1:] for r in rows).items())
+    pairs = quality_rules.seeds(np.array([v for v, _ in patterns]), np.array([c for _, c in patterns], float), 3, 2.0)
+    assert len(pairs) >= 2
+    model = brute_model(patterns, pairs)
+    want = {r.doc_id: posterior(model, tuple(r)[1:]) for r in rows}
+    got = {r.doc_id: r.probability for r in quality_rules.judge(docs).collect()}
+    assert all(abs(got[d] - p) < 1e-3 for d, p in want.items())
+    # one bad vote alone doesn't decide
+    single = [got[r.doc_id] >= 0.5 for r in rows if list(tuple(r)[1:]).count(-1) == 1]
+    assert any(single) and not all(single)
+
+
+def test_a_random_rule_weighs_nothing():
     rng = random.Random(4)
     patterns = Counter()
-    for _ in range(5000):
-        good = rng.random() < 0.85
-        patterns[tuple((1 if good or rng.random() < 0.3 else -1) if rng.random() < 0.8 else 0 for _ in range(5))] += 1
-    prior, weights = quality_rules.estimate(list(patterns.items()))
-    score = lambda p: prior + sum(w[v] for w, v in zip(weights, p))
-    assert score((1,) * 5) > 0 > score((-1, -1, 1, 0, 1)) and all(w[-1] <= 0 <= w[1] for w in weights)
+    for _ in range(20_000):
+        kind = rng.choices([0, 1, 2], [0.8, 0.12, 0.08])[0]
+        bad = [0.02] * 6
+        for k in ((0, 1, 2) if kind == 1 else (3, 4, 5) if kind == 2 else ()):
+            bad[k] = 0.8
+        patterns[(*(0 if rng.random() < 0.1 else -1 if rng.random() < p else 1 for p in bad), -1 if rng.random() < 0.3 else 1)] += 1
+    model = quality_rules.estimate(list(patterns.items()))
+    shares, rates = model
+    assert len(shares) >= 3 and abs(math.exp(shares[0]) - 0.8) < 0.03
+    for z in range(1, 3):
+        assert abs(rates[z][6][0] - rates[0][6][0]) < 0.25
+    good = (1,) * 6
+    assert posterior(model, (*good, -1)) > 0.95 and posterior(model, (-1, 1, 1, 1, 1, 1, -1)) > 0.5 > posterior(model, (-1, -1, 1, 1, 1, 1, 1))
+    assert posterior(model, (1, 1, 1, -1, -1, -1, 1)) < 0.05
+
+
+def test_estimation_without_agreement_keeps_all(spark):
+    shares, rates = quality_rules.estimate([((1, -1, 1), 5), ((1, 1, 1), 50), ((0, 1, 1), 3)])
+    assert len(shares) == 1
+    assert quality_rules.estimate([])[0].tolist() == [0.0]
+
+
+def test_quality_keeps_other_columns(spark):
+    data = spark.createDataFrame([(1, "some words " * 20 + ".", 5, "x", 3), (None, None, 6, "y", 4)], "doc_id long, text string, kept int, __hash string, n_marked int")
+    out = quality_rules.judge(data)
+    assert out.columns == ["doc_id", "__hash", *quality_rules.BASE, "base_failed", "probability", "kept"] and sorted(r["__hash"] for r in out.collect()) == ["x", "y"]
 
 
 # URLs
@@ -170,7 +231,9 @@ def brute_url(url, listed):
     fits = [(len(h + p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, *max(fits)[1:]
-    return host, path, None, "block" if any(f in listed for f in url_filter.canonical_forms(host, path)) else "allow"
+    parents = {host.split(".", k)[-1] for k in range(host.count("."))} or {host}
+    folders = {path or "/", *(path[: m.end()] for m in re.finditer("/", path))}
+    return host, path, None, "block" if host and any(h + p in listed for h in parents for p in folders) else "allow"
 
 
 URLS = [
@@ -266,6 +329,22 @@ def test_html_cases(spark, model):
     assert html_extract.extract_text(pages(spark, []), model).count() == 0
 
 
+RAW_CASES = [
+    ('<p>{0}</p><svg class="i"/><p>{1}</p>', "{0}\n{1}"), ('<p>{0} <svg class="i"/> more</p><p>{1}</p>', "{0} more\n{1}"), ("<p>{0}</p><select><option>one<p>{1}</p>", "{0}\n{1}"),
+    ("<p>{0}</p><div><svg><path d='x'></div><p>{1}</p>", "{0}\n{1}"), ("<p>{0}</p><p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands.</p><p>{1}</p>", "{0}\nHere x=2 stands.\n{1}"),
+    ("<p>{0}</p><video controls><source src=a>No video here</video><p>{1}</p>", "{0}\n{1}"), ("<p>{0}</p><iframe src='x'/><p>{1}</p>", "{0}\n{1}"), ("<p>{0} <noscript>and so on</noscript></p><p>{1}</p>", "{0} and so on\n{1}"),
+    ("<p>{0}</p><div><select><option>a</div><p>{1}</p></article><form><select><option>b</select></form><article>", "{0}\n{1}"), ("<p>{0}</p><object data=x>in <b>an</b> object</object><p>{1}</p>", "{0}\nin an object\n{1}"),
+    ("<p>{0}</p><SVG><TITLE>icon</TITLE><g></g></SVG><p>{1}</p>", "{0}\n{1}"), ("<p>{0}</p><canvas>{1}", "{0}\n{1}"), ("<p>{0}</p><audio/><p>{1}</p>", "{0}\n{1}"), ("<p>{0}</p><script>a('<p>')</script><style>p{{}}</style><p>{1}</p>", "{0}\n{1}"),
+]
+
+
+@pytest.mark.parametrize(("body", "want"), RAW_CASES)
+def test_html_elements_that_never_close(model, body, want):
+    one, two = "The first paragraph of the article, with some words in it.", "And a second one that goes on for some more words."
+    page = html_extract.Page(f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>The title</h1>{body.format(one, two)}</article></body></html>")
+    assert page.text(model.log_odds(page.features())) == "The title\n" + want.format(one, two)
+
+
 def test_html_decoding_is_the_best_consistent_choice():
     rng = random.Random(6)
     for _ in range(30):
