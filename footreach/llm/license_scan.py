@@ -2,8 +2,9 @@
 
 Texts are cut into sentences at line breaks and after `.`, `!`, `?` or `;` before white space, and once more with the
 single line breaks of a paragraph joined, as licence texts are often wrapped; a rule may hold in either. A sentence is normalised (lower case,
-runs of anything but letters, digits, `.`, `+` and `-` as one space, no dots at the ends, years and holders after
-a copyright mark left out) and mapped to the identifier of a known licence sentence. The identifiers of a text,
+no brackets, punctuation or list marks; programs, holders, years and organisations as placeholders) and looked up in a map
+from sentences to identifiers: whole, by its first words where the known sentence goes on in several ways, or by the
+licence and version that it names after words such as `licensed under`. The identifiers of a text,
 in order, are matched against ordered rules: a rule holds if its identifiers stand one after the other in the
 text, with no more than `gap` unknown sentences between two of them. Longer rules win over the shorter ones
 inside them, for the same licence.
@@ -20,46 +21,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words one of which every known sentence holds. Fixed values.
-ANCHORS = "licen[sc]e|licensed|copyright|spdx|permission|warrant|redistribut|public\\s+domain|unlicense|liab|all\\s+rights\\s+reserved|free\\s+software|cc0|cc[ -]by|creative\\s+commons"
-
-#: Known sentences: identifier and the normalised text's pattern (Java regular expression, whole sentence). Fixed values of public licence texts.
-SENTENCES: list[tuple[str, str]] = [
-    ("apache2-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?apache licen[sc]e( version|,? v)? ?2(\.0)?( the licen[sc]e)?"),
-    ("apache2-comply", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("apache2-copy", r"you may obtain a copy of the licen[sc]e at.*"),
-    ("apache2-asis", r"unless required by applicable law or agreed to in writing software distributed under the licen[sc]e is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl3-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu general public licen[sc]e( as published by the free software foundation)?( version| v)? ?3(\.0)?( or( at your option)?( any)? later( version)?)?"),
-    ("gpl2-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu general public licen[sc]e( as published by the free software foundation)?( version| v)? ?2(\.0)?( or( at your option)?( any)? later( version)?)?"),
-    ("gpl-free", r".{1,80} is free software"),
-    ("gpl-redistribute3", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 3 of the licen[sc]e or at your option any later version"),
-    ("gpl-redistribute2", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation either version 2 of the licen[sc]e or at your option any later version"),
-    ("lgpl-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu lesser general public licen[sc]e.*"),
-    ("agpl-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?gnu affero general public licen[sc]e.*"),
-    ("mpl2-notice", r"(this (work|file|project|software|program|text)|this source code form) is (licensed under|subject to the terms of) the mozilla public licen[sc]e v?(ersion )?\.? ?2\.0"),
-    ("mit-title", r"(the )?mit licen[sc]e( mit)?"),
-    ("mit-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the )?mit licen[sc]e"),
-    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction.*"),
-    ("mit-condition", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("mit-asis", r"the software is provided as is without warranty of any kind express or implied.*"),
-    ("bsd-notice", r"(this (work|file|project|software|program|text) is )?(licensed|released|distributed|available) under (the )?(terms of )?(the |a )?(3-clause |2-clause |new |modified |simplified )?bsd licen[sc]e"),
-    ("bsd-permit", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-source", r"([12]\.? )?redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("bsd-binary", r"([12]\.? )?redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("bsd-name", r"(3\.? )?neither the name of .* may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("cc0-notice", r".*(cc0|creative commons zero).*"),
-    ("cc-by-sa-notice", r".*(cc by-sa|cc-by-sa|creative commons attribution-? ?sharealike).*"),
-    ("cc-by-nc-notice", r".*(cc by-nc|cc-by-nc|creative commons attribution-? ?noncommercial).*"),
-    ("cc-by-notice", r".*(cc by|cc-by|creative commons attribution)( 4\.0| 3\.0)?( international)?( licen[sc]e)?.*"),
-    ("spdx-apache2", r"spdx-licen[sc]e-identifier apache-2\.0"),
-    ("spdx-mit", r"spdx-licen[sc]e-identifier mit"),
-    ("spdx-gpl3", r"spdx-licen[sc]e-identifier gpl-3\.0(-only|-or-later|\+)?"),
-    ("spdx-gpl2", r"spdx-licen[sc]e-identifier gpl-2\.0(-only|-or-later|\+)?"),
-    ("spdx-bsd3", r"spdx-licen[sc]e-identifier bsd-3-clause"),
-    ("reserved", r"(copyright.* )?all rights reserved"),
-    ("copyright", r"(c )?copyright .*"),
+ANCHORS = "licen[sc]e|copyright|spdx|permission|warrant|redistribut|public\\s+domain|unlicense|liab|all\\s+rights\\s+reserved|free\\s+software|cc0|cc[ -]by|creative\\s+commons|\\bmpl\\b|under\\s+(?:the\\s+)?(?:gnu|[al]?gpl|mit|expat|bsd|isc|apache)\\b"
+
+#: Known sentences as normalised() writes them, and their identifiers. Fixed values of public licence texts.
+SENTENCES: dict[str, str] = {
+    "you may not use this file except in compliance with the license": "apache2-comply",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-asis",
+    "it is free software": "gpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or any later version": "gpl-redistribute3",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or any later version": "gpl-redistribute2",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or any later version": "lgpl-notice",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or any later version": "lgpl-notice",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or any later version": "agpl-notice",
+    "mit license": "mit-title",
+    "the mit license": "mit-title",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-condition",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-permit",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of any may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "this software is provided as-is without any express or implied warranty": "zlib-asis",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "spdx-license-identifier apache-2.0": "spdx-apache2",
+    "spdx-license-identifier mit": "spdx-mit",
+    "spdx-license-identifier bsd-3-clause": "spdx-bsd3",
+    **{f"spdx-license-identifier gpl-{v}.0{end}": f"spdx-gpl{v}" for v in (2, 3) for end in ("", "+", "-only", "-or-later")},
+    "copyright all rights reserved": "reserved",
+    "all rights reserved": "reserved",
+    "copyright": "copyright",
+}
+
+#: Beginnings of known sentences that go on in several ways or with an address. Fixed values of public licence texts.
+HEADS: dict[str, str] = {
+    "you may obtain a copy of the license at": "apache2-copy",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied": "mit-asis",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-grant",
+    "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl2-copy",
+}
+
+#: Names after words such as `licensed under`, as notice() writes them, with the versions that they come with. Fixed values.
+NAMES: list[tuple[str, list[str], list[str]]] = [
+    ("apache2-notice", ["apache", "apache public"], ["2"]),
+    ("gpl3-notice", ["gnu general public", "gnu gpl", "gpl"], ["3", "v3"]),
+    ("gpl2-notice", ["gnu general public", "gnu gpl", "gpl"], ["2", "v2"]),
+    ("lgpl-notice", ["gnu lesser general public", "gnu lgpl", "lgpl"], ["", "2", "2.1", "3"]),
+    ("agpl-notice", ["gnu affero general public", "gnu agpl", "agpl"], ["", "3"]),
+    ("mpl2-notice", ["mozilla public", "mpl"], ["2"]),
+    ("mit-notice", ["mit", "expat", "mit x11"], [""]),
+    ("bsd-notice", ["bsd", "3-clause bsd", "2-clause bsd", "bsd 3-clause", "bsd 2-clause", "new bsd", "modified bsd", "simplified bsd"], [""]),
+    ("isc-notice", ["isc"], [""]),
+    ("unlicense", ["unlicense"], [""]),
+    ("cc0-notice", ["cc0", "creative commons zero"], ["", "1"]),
+    ("cc-by-notice", ["cc-by"], ["", "2", "3", "4"]),
+    ("cc-by-sa-notice", ["cc-by-sa"], ["", "2", "3", "4"]),
+    ("cc-by-nd-notice", ["cc-by-nd"], ["", "2", "3", "4"]),
+    ("cc-by-nc-notice", ["cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd"], ["", "2", "3", "4"]),
 ]
+NOTICES = {f"{name} {version}".strip(): id_ for id_, names, versions in NAMES for name in names for version in versions}
 
 #: Ordered rules: licence, kind of evidence, identifiers in order.
 RULES: list[tuple[str, str, list[str]]] = [
@@ -76,6 +97,7 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("GPL-2.0", "tag", ["spdx-gpl2"]),
     ("LGPL", "notice", ["lgpl-notice"]),
     ("AGPL-3.0", "notice", ["agpl-notice"]),
+    ("MPL-2.0", "full", ["mpl2-notice", "mpl2-copy"]),
     ("MPL-2.0", "notice", ["mpl2-notice"]),
     ("MIT", "full", ["mit-grant", "mit-condition", "mit-asis"]),
     ("MIT", "notice", ["mit-notice"]),
@@ -86,9 +108,13 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("BSD-2-Clause", "full", ["bsd-permit", "bsd-source", "bsd-binary"]),
     ("BSD", "notice", ["bsd-notice"]),
     ("ISC", "full", ["isc-grant"]),
+    ("ISC", "notice", ["isc-notice"]),
+    ("Zlib", "full", ["zlib-asis", "zlib-grant"]),
+    ("BSL-1.0", "full", ["bsl-grant"]),
     ("Unlicense", "full", ["unlicense"]),
     ("CC0-1.0", "notice", ["cc0-notice"]),
     ("CC-BY-SA", "notice", ["cc-by-sa-notice"]),
+    ("CC-BY-ND", "notice", ["cc-by-nd-notice"]),
     ("CC-BY-NC", "notice", ["cc-by-nc-notice"]),
     ("CC-BY", "notice", ["cc-by-notice"]),
     ("proprietary", "notice", ["reserved"]),
@@ -99,7 +125,7 @@ GAP = 2
 
 def sentences(text: F.Column) -> F.Column:
     """The sentences of a text, in order, blank ones left out."""
-    return F.filter(F.split(text, "\n|(?<=[.!?;]|met:|software:)[ \t\r]+(?!either version)", -1), lambda x: F.length(F.trim(x)) > 0)
+    return F.filter(F.split(text, "\n|(?<=[.!?;]|met:|software:)[ \t\r]+(?!either version|[0-9]+[.][0-9])", -1), lambda x: F.length(F.trim(x)) > 0)
 
 
 def joined(text: F.Column) -> F.Column:
@@ -110,18 +136,43 @@ def joined(text: F.Column) -> F.Column:
     return F.regexp_replace(empty, "(?<!\n)\n(?!\n)", " ")
 
 
+def _plain(sentence: F.Column) -> F.Column:
+    """Lower case, without what stands in brackets, marks of lists and quotes; commas stay."""
+    apart = F.regexp_replace(F.lower(sentence), "\\([^()]*\\)", " ")
+    words = F.regexp_replace(F.regexp_replace(apart, "licence", "license"), "[^\\p{L}\\p{N}.,+-]+", " ")
+    return F.regexp_replace(F.regexp_replace(words, "(?<![\\p{L}\\p{N}])[-.,+*]+|[-.+]+(?![\\p{L}\\p{N}.+-])(?<!\\d\\+)", " "), "^ *[0-9]+ (?=\\p{L})|^ *[a-c] (?=redist)", "")
+
+
 def normalised(sentence: F.Column) -> F.Column:
-    plain = F.regexp_replace(F.lower(sentence), "[^\\p{L}\\p{N}.+-]+", " ")
-    return F.trim(F.regexp_replace(plain, "^[ .*+-]+|[ .-]+$", ""))
+    """A sentence as the map knows it: names of programs, holders, years and organisations are placeholders."""
+    words = F.trim(F.regexp_replace(F.regexp_replace(_plain(sentence), ",", " "), " +", " "))
+    words = F.regexp_replace(words, "^(?:c )?copyright\\b(?!ed).*?( all rights reserved)?$", "copyright$1")
+    words = F.regexp_replace(words, "^.{1,80} is free software$", "it is free software")
+    return F.regexp_replace(words, "^neither the name of .* may be used", "neither the name of any may be used")
+
+
+def notice(sentence: F.Column) -> F.Column:
+    """What a sentence says that something is licensed under: the licence's name and version, or an empty text."""
+    under = "\\b(?:licensed|released|distributed|available|published|provided|dedicated|subject|covered) (?:under|to|by|with)(?: the)?(?: terms of)?(?: the| an?)? (.*)$"
+    name = F.trim(F.regexp_extract(F.regexp_replace(_plain(sentence), " +", " "), under, 1))
+    name = F.regexp_replace(F.regexp_replace(name, ",? ?\\b(?:version|v)[. ]*(?=\\d)", " "), ",.*$| as published by the free software foundation", "")
+    name = F.regexp_replace(name, "\\b(?:licenses?|international|unported|generic|only)\\b|(?: or| and)*(?: any)? later(?: version)?$|[.]0(?![0-9.])", " ")
+    name = F.regexp_replace(F.regexp_replace(name, "\\bcreative commons attribution\\b|\\bcc[ -]by\\b", "cc-by"), "[ -](?:share ?alike|sa)\\b", "-sa")
+    name = F.regexp_replace(F.regexp_replace(name, "[ -](?:non-?commercial|nc)\\b", "-nc"), "[ -](?:no-?deriv\\w*|nd)\\b", "-nd")
+    return F.trim(F.regexp_replace(name, " +", " "))
+
+
+def _map(values: dict[str, str]) -> F.Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
 def sentence_id(sentence: F.Column) -> F.Column:
-    """The identifier of a sentence that holds an anchor word, else null. The first pattern that fits wins."""
+    """The identifier of a sentence that holds an anchor word, else null: that of the sentence, else of its beginning, else
+    of the licence that it names."""
     own = normalised(sentence)
-    found = F.lit(None).cast("string")
-    for name, pattern in reversed(SENTENCES):
-        found = F.when(own.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(found)
-    return F.when(sentence.rlike(f"(?i){ANCHORS}"), found)
+    sizes = sorted({k.count(" ") + 1 for k in HEADS})
+    heads = [_map({k: v for k, v in HEADS.items() if k.count(" ") + 1 == n})[F.substring_index(own, " ", n)] for n in sizes]
+    return F.when(sentence.rlike(f"(?i){ANCHORS}"), F.coalesce(_map(SENTENCES)[own], *heads, _map(NOTICES)[notice(sentence)]))
 
 
 def _encoded(ids: F.Column) -> F.Column:
