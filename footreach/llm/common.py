@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,11 +142,9 @@ def connected_components(edges: DataFrame, rounds: int = 60, task_rows: int = 50
     logarithm of the longest path.
     """
 
-    def signature(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
+    marks = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")
     e = first = held(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = signature(e)
+    before = tuple(e.agg(*marks).first())
     for _ in range(rounds):
         if not before[0]:
             break
@@ -156,13 +154,13 @@ def connected_components(edges: DataFrame, rounds: int = 60, task_rows: int = 50
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(new.coalesce(-(-before[0] // task_rows)))
+        seen = Observation()
+        new = materialize(new.coalesce(-(-before[0] // task_rows)).observe(seen, *marks))
         if e is first:
             first.unpersist()
         else:
             discard(e)
-        e = new
-        now = signature(e)
+        e, now = new, (seen.get["n"], seen.get["hash"])
         if now == before:
             break
         before = now

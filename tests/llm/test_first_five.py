@@ -175,6 +175,8 @@ ITEMS = [
     (3, "every single night the lonely keeper climbs up"),
     (4, None),
     (5, ""),
+    (6, "Tom has 5 pears. Tom buys 3 more pears. Tom gives 2 pears to Ann. How many pears has Tom got left?"),
+    (7, "12 + 7 km = 19 km and 3 kg - 1 kg = 2 kg"),
 ]
 
 
@@ -202,10 +204,19 @@ def test_decontamination(spark, limit):
         (12, (pad * 3000) + ITEMS[3][1]),
         (12, pad),
     ]
+    docs += [
+        (13, "Said: too short here. Or not."), (14, "it is too short here"), (15, "Too, short; here!"),
+        (20, "A farmer has twenty five sheep and buys 7 more sheep at the market, then sells twenty five sheep to a friend. How many are left?"),
+        (21, ITEMS[1][1].replace("Alice", "Mary Jane Smith").replace("Robert", "Tom")),
+        (22, "Priya has 9 pears. Priya buys 12 more pears. Priya gives 4 pears to Mary Ann. How many pears has Priya got left?"),
+        (23, "Priya has 9 pears. Tom buys 12 more pears. Ann gives 4 pears to Mary Ann. How many pears has Jim got left?"),
+        (24, "so 12 + 7 km = 19 km and 3 kg - 1 kg = 2 kg there"), (25, "so 12 + 7 km = 18 km and 3 kg - 1 kg = 5 kg there"),
+    ]
     want = {(1, 0): False, (2, 0): False, (3, 0): True, (5, 1): True, (7, 3): False, (None, 3): False, (12, 3): False}
+    want |= {(8, 2): False, (13, 2): False, (15, 2): False, (20, 0): True, (21, 1): True, (22, 6): True, (24, 7): False}
     assert leaks(spark, docs, filter_windows=limit) == want
     left = decontam.drop_contaminated(frame(spark, docs), spark.createDataFrame(ITEMS, "item_id long, text string"), filter_windows=limit)
-    assert sorted(r.doc_id for r in left.collect()) == [4, 6, 8, 9, 10, 11]
+    assert sorted(r.doc_id for r in left.collect()) == [4, 6, 9, 10, 11, 14, 23, 25]
 
 
 def test_decontamination_of_and_by_nothing(spark):
@@ -213,6 +224,32 @@ def test_decontamination_of_and_by_nothing(spark):
     assert decontam.contaminated(frame(spark, [(1, "some text that stays as it is")]), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def reparameterised(rng, text):
+    """The text with every number and every name replaced, each value by one other throughout."""
+    number = lambda: rng.choice([str(rng.randrange(2, 5000)), f"{rng.randrange(2, 99)}.{rng.randrange(1, 9)}", "twenty seven", "ninety"])
+    numbers, names = {}, {}
+
+    def swap(m):
+        word, start = m[0], m.start()
+        if word[0].isdigit() or word.lower() in decontam.NUMBER_WORDS:
+            return numbers.setdefault(word.lower(), number())
+        if word[0].isupper() and word[1:].islower() and start and text[:start].rstrip()[-1:] not in ".!?:":
+            return names.setdefault(word, rng.choice(["Priya", "Mary Jane", "Oslo", "New York", "Zed"]) + rng.choice(["", " Smith"]))
+        return word
+
+    return decontam.re.sub(r"\d+(?:[.,]\d+)*|[^\W\d_]+", swap, text)
+
+
+def test_decontamination_recall_on_reparameterised_items(spark):
+    rng = random.Random(9)
+    items = common.table(spark, "/root/testdata/sf0.1", "benchmark").where("text is not null").collect()
+    pad = "Nothing of the kind stands in this part. "
+    docs = [(r.item_id, pad * rng.randrange(3) + reparameterised(rng, r.text) + " " + pad * rng.randrange(3)) for r in items]
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, docs), spark.createDataFrame(items)).collect()}
+    recall = sum((r.item_id, r.item_id) in found for r in items) / len(items)
+    assert recall >= 0.9, recall
+
+
 def test_decontamination_finds_planted_passages(spark):
     docs, items = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "benchmark")
     flat = lambda t: " ".join((t or "").lower().split())
