@@ -45,6 +45,14 @@ def regions(blind: DataFrame) -> DataFrame:
     return own.join(roots, own.cell == roots.node, "left").select("request_id", "grp", "ix", "iy", F.coalesce("root", "cell").alias("region"))
 
 
+def parts(cells: DataFrame) -> DataFrame:
+    """(grp, ix, iy) with part, which names the cells of a group that hang together by their sides."""
+    own = cells.withColumn("node", F.xxhash64("grp", "ix", "iy"))
+    beside = own.select("grp", F.explode(F.array(F.struct((F.col("ix") + 1).alias("ix"), "iy"), F.struct("ix", (F.col("iy") + 1).alias("iy")))).alias("c"), F.col("node").alias("v")).select("grp", "c.*", "v")
+    links = own.join(beside, ["grp", "ix", "iy"]).select(F.col("node").alias("u"), "v")
+    return own.join(graph.components(links), "node", "left").select("grp", "ix", "iy", F.coalesce("root", "node").alias("part"))
+
+
 def region_stats(named: DataFrame) -> DataFrame:
     """Cells and spans of each region; a region much longer than wide is a corridor."""
     sums = named.groupBy("request_id", "grp", "region").agg(F.count("*").alias("cells"), (F.max("ix") - F.min("ix") + 1).alias("span_x"), (F.max("iy") - F.min("iy") + 1).alias("span_y"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from footreach import config as C
 from footreach.operators import blind as B
 from footreach.operators import graph as G
+from footreach.operators import outline as O
 from footreach.plans import joins
 from footreach.plans.registry import query
 from footreach.plans.scalar import paths, r6
@@ -89,7 +90,7 @@ def contract_degree(spark, sf_dir):
 
 
 @query(
-    with_sql("request_wide poi_wide", joins.BLIND_SQL + ", cell AS (SELECT *, ((request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END) * 4096 + ix + 512) * 4096 + iy + 512 AS id FROM blind), "
+    with_sql("request_spread poi_spread", joins.BLIND_SQL + ", cell AS (SELECT *, ((request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END) * 4096 + ix + 512) * 4096 + iy + 512 AS id FROM blind), "
     "arc AS (SELECT a.id AS u, b.id AS v FROM cell a JOIN cell b ON b.request_id = a.request_id AND b.grp = a.grp AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1))), both_ AS (SELECT u, v FROM arc UNION ALL SELECT v, u FROM arc), "
     "r(n, root) USING KEY (n) AS (SELECT id, id FROM cell UNION (SELECT b.v, min(r.root) FROM r JOIN both_ b ON b.u = r.n JOIN recurring.r o ON o.n = b.v WHERE r.root < o.root GROUP BY 1)), "
     "named AS (SELECT request_id, grp, ix, iy, root FROM cell JOIN r ON r.n = cell.id), st AS (SELECT request_id, grp, root AS region, count(*) AS cells, CAST(max(ix) - min(ix) + 1 AS INTEGER) AS span_x, CAST(max(iy) - min(iy) + 1 AS INTEGER) AS span_y FROM named GROUP BY 1, 2, 3) "
@@ -143,3 +144,64 @@ def main_part(spark, sf_dir):
     parts = named.groupBy("request_id", "root").agg(F.count("*").alias("size"))
     best = parts.groupBy("request_id").agg(F.count("*").alias("parts"), F.min(F.struct((-F.col("size")).alias("s"), "root")).alias("m"))
     return best.select("request_id", "parts", (F.col("m.root") - F.col("request_id") * KEYS).alias("main"), (-F.col("m.s")).alias("size"))
+
+
+# What can be reached in ten minutes, as cells around the nodes, and its outline.
+
+ISO_SECONDS = 600
+CELL_KM2 = 100 * D.KX * 100 * D.KY / 1e6
+ISO_SQL = COST_SQL + f", cell AS (SELECT request_id AS grp, nid // {D.STEP} AS ix, nid % {D.STEP} AS iy FROM cost WHERE cost_s <= {ISO_SECONDS})"
+PARTS_SQL = (
+    ", named AS (SELECT *, (grp * 4096 + ix + 512) * 4096 + iy + 512 AS id FROM cell), tie AS (SELECT a.grp, a.id AS u, b.id AS v FROM named a JOIN named b ON b.grp = a.grp AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1))), "
+    "ties AS (SELECT u, v FROM tie UNION ALL SELECT v, u FROM tie), part(n, root) USING KEY (n) AS (SELECT id, id FROM named UNION (SELECT m.v, m.root FROM (SELECT b.v, min(p.root) AS root FROM part p JOIN ties b ON b.u = p.n GROUP BY 1) m JOIN recurring.part o ON o.n = m.v WHERE m.root < o.root)), "
+    "sized AS (SELECT n // 16777216 AS grp, root, count(*) AS n FROM part GROUP BY 1, 2)"
+)
+# cells less sides that two of them share plus full squares of four are parts less holes
+EULER_SQL = ", block AS (SELECT a.grp, count(*) AS n FROM named a JOIN named b ON b.id = a.id + 1 JOIN named c ON c.id = a.id + 4096 JOIN named d ON d.id = a.id + 4097 GROUP BY 1), shared AS (SELECT grp, count(*) AS n FROM tie GROUP BY 1)"
+SHAPE_SQL = EULER_SQL + (
+    ", total AS (SELECT grp, count(*) AS n FROM cell GROUP BY 1), piece AS (SELECT grp, count(*) AS n FROM sized GROUP BY 1), shape AS (SELECT t.grp, t.n AS cells, p.n AS parts, CAST(p.n - (t.n - coalesce(s.n, 0) + coalesce(b.n, 0)) AS BIGINT) AS holes, CAST(4 * t.n - 2 * coalesce(s.n, 0) AS BIGINT) AS sides "
+    "FROM total t JOIN piece p USING (grp) LEFT JOIN shared s USING (grp) LEFT JOIN block b USING (grp))"
+)
+
+
+def iso_cells(spark, sf_dir) -> DataFrame:
+    """(grp, ix, iy): the cells that a request reaches, grp is the request."""
+    within = costs(spark, sf_dir).where(F.col("cost_s") <= ISO_SECONDS)
+    return within.select(F.col("request_id").alias("grp"), F.floor(F.col("nid") / D.STEP).alias("ix"), (F.col("nid") % D.STEP).alias("iy"))
+
+
+def shapes(cells: DataFrame) -> DataFrame:
+    """(grp, cells, parts, holes, sides) from the outline of each group's cells."""
+    own = O.ring_stats(O.rings(cells)).groupBy("grp")
+    return own.agg(F.sum("area").alias("cells"), F.count_if(F.col("area") > 0).alias("parts"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("length").alias("sides"))
+
+
+@query(with_sql("request lattice_edge", ISO_SQL + PARTS_SQL + SHAPE_SQL + f" SELECT grp AS request_id, cells, round(cells * {CELL_KM2!r}::DOUBLE, 6) AS km2, parts, holes, sides FROM shape", recursive=True))
+def iso_outline(spark, sf_dir):
+    """The outline of what is reached in ten minutes: its area, parts, holes and length. Cells that meet in a corner alone
+    are parts of their own. The area is that of whole cells: off by at most the outline's length times a cell's side."""
+    own = shapes(iso_cells(spark, sf_dir))
+    return own.select(F.col("grp").alias("request_id"), "cells", r6(F.col("cells") * CELL_KM2).alias("km2"), "parts", "holes", "sides")
+
+
+@query(with_sql("request lattice_edge", ISO_SQL + PARTS_SQL + f" SELECT grp AS request_id, round(max(n) * {CELL_KM2!r}::DOUBLE, 6) AS main_km2, round((sum(n) - max(n)) * {CELL_KM2!r}::DOUBLE, 6) AS enclave_km2, count(*) - 1 AS enclaves FROM sized GROUP BY 1", recursive=True))
+def iso_parts(spark, sf_dir):
+    """The area of the main part and of the enclaves, which are reached over bridges."""
+    rings = O.ring_stats(O.rings(iso_cells(spark, sf_dir)))
+    # rings of holes lie in the part around them: parts are counted by cells
+    holes = rings.where("area < 0").select("grp").distinct()
+    whole = rings.join(holes, "grp", "left_anti").select("grp", F.col("area").alias("n"))
+    named = B.parts(iso_cells(spark, sf_dir).join(holes, "grp", "left_semi")).groupBy("grp", "part").agg(F.count("*").alias("n")).select("grp", "n")
+    own = whole.unionByName(named).groupBy("grp").agg(F.max("n").alias("main"), F.sum("n").alias("all"), F.count("*").alias("parts"))
+    return own.select(F.col("grp").alias("request_id"), r6(F.col("main") * CELL_KM2).alias("main_km2"), r6((F.col("all") - F.col("main")) * CELL_KM2).alias("enclave_km2"), (F.col("parts") - 1).alias("enclaves"))
+
+
+@query(
+    with_sql("request_spread poi_spread", joins.BLIND_SQL + ", cell AS (SELECT request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END AS grp, ix, iy FROM blind)" + PARTS_SQL + SHAPE_SQL + " SELECT grp // 4 AS request_id, ['market', 'pharmacy', 'school'][grp % 4] AS grp, cells, parts, holes, sides FROM shape", recursive=True)
+)
+def blind_outline(spark, sf_dir):
+    """The outline of the blind spots of each request and group."""
+    kinds = ("market", "pharmacy", "school")
+    key = F.col("request_id") * 4 + F.array_position(F.array(*map(F.lit, kinds)), F.col("grp"))
+    own = shapes(joins.blind(spark, sf_dir).select(key.alias("grp"), "ix", "iy"))
+    return own.select(F.floor(F.col("grp") / 4).alias("request_id"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("grp") % 4).cast("int")).alias("grp"), "cells", "parts", "holes", "sides")

@@ -206,8 +206,8 @@ def calibrate(spark, sf_dir):
     return own.select("id", F.when(use, F.col("m")).otherwise(F.col("id") % 37).alias("minutes"), use.alias("measured"))
 
 
-PLACES_SQL = f"SELECT id, x, y, {GROUP_SQL} AS grp FROM poi_wide"
-GRID_SQL = ", grid AS (SELECT request_id, ix, iy, x + ix * 100 AS px, y + iy * 100 AS py FROM request_wide, range(-10, 11) a(ix), range(-10, 11) b(iy) WHERE ix * ix + iy * iy <= 100)"
+PLACES_SQL = f"SELECT id, x, y, {GROUP_SQL} AS grp FROM poi_spread"
+GRID_SQL = ", grid AS (SELECT request_id, ix, iy, x + ix * 100 AS px, y + iy * 100 AS py FROM request_spread, range(-10, 11) a(ix), range(-10, 11) b(iy) WHERE ix * ix + iy * iy <= 100)"
 # kilometre squares keep the anti join from comparing every cell with every place
 BLIND_SQL = (
     f"{GRID_SQL}, places AS ({PLACES_SQL}), around AS (SELECT grp, x, y, floor(x / 1000) + a AS kx, floor(y / 1000) + b AS ky FROM places, range(-1, 2) r(a), range(-1, 2) t(b)), "
@@ -217,22 +217,22 @@ BLIND_SQL = (
 
 
 def blind_requests(spark, sf_dir) -> DataFrame:
-    return D.request(spark, sf_dir, wide=True).select("request_id", "x", "y")
+    return D.request(spark, sf_dir, spread=True).select("request_id", "x", "y")
 
 
 def blind(spark, sf_dir) -> DataFrame:
     from footreach.operators import blind as B
 
-    places = D.poi(spark, sf_dir, wide=True).select(text.blind_group(F.col("category"), F.col("name")).alias("grp"), F.col("x").alias("x2"), F.col("y").alias("y2")).where("grp is not null")
+    places = D.poi(spark, sf_dir, spread=True).select(text.blind_group(F.col("category"), F.col("name")).alias("grp"), F.col("x").alias("x2"), F.col("y").alias("y2")).where("grp is not null")
     return B.blind_cells(B.disc_cells(blind_requests(spark, sf_dir)), places, ["market", "pharmacy", "school"])
 
 
-@query(with_sql("request_wide poi_wide", BLIND_SQL + " SELECT request_id, grp, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM blind"))
+@query(with_sql("request_spread poi_spread", BLIND_SQL + " SELECT request_id, grp, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM blind"))
 def blind_cells(spark, sf_dir):
     return blind(spark, sf_dir)
 
 
-@query(with_sql("request_wide poi_wide", BLIND_SQL + ", n AS (SELECT request_id, grp, count(*) AS n FROM blind GROUP BY 1, 2) SELECT request_id, " + ", ".join(f"round(coalesce(max(n) FILTER (grp = '{g}'), 0) / {C.BLIND_DISC_CELLS}::DOUBLE, 6) AS {g}_share" for g in ("market", "pharmacy", "school")) + " FROM request_wide LEFT JOIN n USING (request_id) GROUP BY request_id"))
+@query(with_sql("request_spread poi_spread", BLIND_SQL + ", n AS (SELECT request_id, grp, count(*) AS n FROM blind GROUP BY 1, 2) SELECT request_id, " + ", ".join(f"round(coalesce(max(n) FILTER (grp = '{g}'), 0) / {C.BLIND_DISC_CELLS}::DOUBLE, 6) AS {g}_share" for g in ("market", "pharmacy", "school")) + " FROM request_spread LEFT JOIN n USING (request_id) GROUP BY request_id"))
 def blind_summary(spark, sf_dir):
     from footreach.operators import blind as B
 

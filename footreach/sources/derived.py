@@ -1,7 +1,8 @@
 """Domain tables derived from the star-schema tables by integer arithmetic, so that any engine gets the same ones.
 
 The unit is 1e-5 degree. Points lie in a town of about 5.7 by 5.6 km times `town_side`, which grows with the square root
-of the number of places, so that towns of all sizes are equally dense; `wide` spreads them over ten times the side, whatever their number.
+of the number of places, so that towns of all sizes are equally dense; `wide` spreads them over ten times the side, whatever their number,
+and `spread` over three times the town's side.
 """
 
 from __future__ import annotations
@@ -42,15 +43,15 @@ def units(key: Column, scale: int = 1) -> tuple[Column, Column]:
     return (key * 7919) % (6700 * scale), (key * 104729) % (5000 * scale)
 
 
-def located(df: DataFrame, key: str, spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+def located(df: DataFrame, key: str, spark: SparkSession, sf_dir: str, wide: bool = False, spread: bool = False) -> DataFrame:
     """df with xi, yi (units), lng, lat (degrees), x, y (metres)."""
     lng0, lat0 = (116.05, 39.68) if wide else (LNG0, LAT0)
-    xi, yi = units(F.col(key).cast("long"), 10 if wide else town_side(spark, sf_dir))
+    xi, yi = units(F.col(key).cast("long"), 10 if wide else town_side(spark, sf_dir) * (3 if spread else 1))
     out = df.withColumns({"xi": xi, "yi": yi})
     return out.withColumns({"lng": lng0 + F.col("xi") / 1e5, "lat": lat0 + F.col("yi") / 1e5, "x": F.col("xi") * KX, "y": F.col("yi") * KY})
 
 
-def poi(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+def poi(spark: SparkSession, sf_dir: str, wide: bool = False, spread: bool = False) -> DataFrame:
     """Places: part keys with a category, a name and, for some kinds, a subtype."""
     k = F.col("p_partkey")
     category = F.element_at(F.array(*map(F.lit, C.CATEGORIES)), (k % 7 + 1).cast("int"))
@@ -61,7 +62,7 @@ def poi(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
         F.when(k % 7 == 3, F.when(F.floor(k / 7) % 4 == 0, "kindergarten").otherwise("school")).alias("edu_kind"), F.when(k % 7 == 6, F.when(k % 3 == 0, "metro").otherwise("bus")).alias("transport_kind"),
         F.when(k % 11 == 0, "购物;商铺").when(k % 13 == 0, "旅游景点;公园").alias("tag"),
     )
-    return located(rows, "id", spark, sf_dir, wide)
+    return located(rows, "id", spark, sf_dir, wide, spread)
 
 
 def community(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
@@ -69,12 +70,12 @@ def community(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame
     return located(rows, "id", spark, sf_dir, wide)
 
 
-def request(spark: SparkSession, sf_dir: str, wide: bool = False, varied: bool = False) -> DataFrame:
+def request(spark: SparkSession, sf_dir: str, wide: bool = False, varied: bool = False, spread: bool = False) -> DataFrame:
     """Every customer asks what can be reached on foot in 15 minutes, or in 5 to 30 if varied."""
     k = F.col("c_custkey")
     minutes = (5 + k % 26).cast("int") if varied else F.lit(15)
     rows = table(spark, sf_dir, "customer").select(k.alias("request_id"), minutes.alias("minutes"))
-    return located(rows, "request_id", spark, sf_dir, wide)
+    return located(rows, "request_id", spark, sf_dir, wide, spread)
 
 
 def hub(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,9 +116,9 @@ def _list(values) -> str:
     return "[" + ", ".join("'" + v + "'" for v in values) + "]"
 
 
-def _located_sql(inner: str, key: str, wide: bool = False) -> str:
+def _located_sql(inner: str, key: str, wide: bool = False, spread: bool = False) -> str:
     mx, my, lng0, lat0 = (67000, 50000, 116.05, 39.68) if wide else (6700, 5000, LNG0, LAT0)
-    mx, my = (mx, my) if wide else (f"(SELECT {m} * s FROM town)" for m in (mx, my))
+    mx, my = (mx, my) if wide else (f"(SELECT {m * (3 if spread else 1)} * s FROM town)" for m in (mx, my))
     return (
         f"SELECT *, CAST({lng0} AS DOUBLE) + xi / CAST(100000 AS DOUBLE) AS lng, CAST({lat0} AS DOUBLE) + yi / CAST(100000 AS DOUBLE) AS lat, xi * CAST({KX!r} AS DOUBLE) AS x, yi * CAST({KY!r} AS DOUBLE) AS y "
         f"FROM (SELECT *, CAST({key} AS BIGINT) * 7919 % {mx} AS xi, CAST({key} AS BIGINT) * 104729 % {my} AS yi FROM ({inner}))"
@@ -142,7 +143,7 @@ _EDGES = (
 )
 
 SQL = {
-    "town": _TOWN, "poi": _located_sql(_POI, "id"), "poi_wide": _located_sql(_POI, "id", True), "community": _located_sql(_COMMUNITY, "id"), "community_wide": _located_sql(_COMMUNITY, "id", True),
+    "town": _TOWN, "poi": _located_sql(_POI, "id"), "poi_wide": _located_sql(_POI, "id", True), "poi_spread": _located_sql(_POI, "id", spread=True), "request_spread": _located_sql(_REQUEST.format(m="15"), "request_id", spread=True), "community": _located_sql(_COMMUNITY, "id"), "community_wide": _located_sql(_COMMUNITY, "id", True),
     "request": _located_sql(_REQUEST.format(m="15"), "request_id"), "request_wide": _located_sql(_REQUEST.format(m="15"), "request_id", True),
     "request_varied": _located_sql(_REQUEST.format(m="CAST(5 + c_custkey % 26 AS INTEGER)"), "request_id"), "lattice_node": _NODES, "lattice_edge": _EDGES,
     "hub": _located_sql("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'metro' ELSE 'bus' END AS kind FROM supplier", "id"),

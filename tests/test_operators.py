@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from footreach import config as C
 from footreach.functions import geo, text
-from footreach.operators import blind, coverage, graph, poi, spatial
+from footreach.operators import blind, coverage, graph, outline, poi, spatial
+from footreach.plans import joins
 from footreach.sources import geojson
 from footreach.streaming import clicks
 
@@ -110,6 +111,26 @@ def test_nearest_unbounded(spark, seed):
     assert got == {i: min(b, key=lambda p: math.hypot(x - p[1], y - p[2]))[0] for i, x, y in a}
 
 
+@few
+@given(st.integers(0, 10**6))
+def test_nearest_however_far(spark, seed):
+    rng = random.Random(seed)
+    a = points(rng, 20, 3000.0) + [(100 + i, rng.choice([-1, 1]) * rng.uniform(20_000, 200_000), rng.uniform(-200_000, 200_000)) for i in range(10)]
+    b = points(rng, 60, 1500.0) + [(900, 90_000.0, 90_000.0)]
+    left, right = spark.createDataFrame(a, "id long, x double, y double"), spark.createDataFrame(b, "id2 long, x2 double, y2 double")
+    got = {r.id: r.id2 for r in spatial.nearest_unbounded(left, right, "id", ["id2"], [F.col("d"), F.col("id2")], 100.0).collect()}
+    assert got == {i: min(b, key=lambda p: math.hypot(x - p[1], y - p[2]))[0] for i, x, y in a}
+
+
+def test_nearest_probes(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 100_000.0, 0.0), (3, None, 0.0)], "id long, x double, y double")
+    right = spark.createDataFrame([(1, 3290.0, 3290.0), (2, 3350.0, 0.0), (3, 3350.0, 0.0)], "id2 long, x2 double, y2 double")
+    near = lambda r: spatial.nearest_unbounded(left, r, "id", ["id2", "d"], [F.col("d"), F.col("id2")], 100.0).collect()
+    assert {r.id: (r.id2, r.d) for r in near(right)} == {1: (2, 3350.0), 2: (2, 96_650.0)}
+    assert near(right.where("false")) == []
+    assert {r.id: r.id2 for r in near(right.where("id2 = 3"))} == {1: 3, 2: 3}
+
+
 @few
 @given(st.integers(0, 10**6))
 def test_boxes(spark, seed):
@@ -210,6 +231,52 @@ def test_greedy(spark):
     assert sorted(r.rid for r in out.collect()) == [k[0] for k in kept]
 
 
+def test_greedy_over_a_long_chain(spark):
+    rows = [(i, "n", i, 10.0 * i, 0.0) for i in range(90)]
+    frame = spark.createDataFrame(rows, "rid long, base string, seq long, x double, y double")
+    assert sorted(r.rid for r in poi.greedy_apart(frame, ["base"], ["seq"], 15.0).collect()) == list(range(0, 90, 2))
+    with pytest.raises(RuntimeError):
+        poi.greedy_apart(frame, ["base"], ["seq"], 15.0, rounds=3)
+
+
+@few
+@given(st.integers(0, 10**6))
+def test_contained_names(spark, seed):
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(2, 12))) + rng.choice(["", "#00", "shop"])
+    left, right = [(i, name()) for i in range(40)], [(i, name()) for i in range(60)]
+    got = {(r.a, r.b) for r in joins.contained(spark.createDataFrame(left, "a long, norm string"), spark.createDataFrame(right, "b long, norm2 string")).collect()}
+    assert got == {(i, j) for i, n in left for j, m in right if min(len(n), len(m)) >= 4 and (n in m or m in n)}
+
+
+@few
+@given(st.integers(0, 10**6))
+def test_outlines(spark, seed):
+    rng = random.Random(seed)
+    groups = {g: {(rng.randrange(-6, 6), rng.randrange(-6, 6)) for _ in range(rng.randrange(1, 90))} for g in range(3)}
+    cells = spark.createDataFrame([(g, x, y) for g, own in groups.items() for x, y in own], "grp long, ix int, iy int")
+    found = outline.rings(cells)
+    stats = outline.ring_stats(found).collect()
+    for g, own in groups.items():
+        areas = [r.area for r in stats if r.grp == g]
+        assert sum(areas) == len(own) and sum(r.length for r in stats if r.grp == g) == sum((x + a, y + b) not in own for x, y in own for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+        seen, parts = set(), 0
+        for cell in own:
+            parts += cell not in seen
+            todo = [cell]
+            while todo:
+                x, y = todo.pop()
+                if (x, y) in own and (x, y) not in seen:
+                    seen.add((x, y))
+                    todo += [(x + 1, y), (x - 1, y), (x, y + 1), (x, y - 1)]
+        assert sum(a > 0 for a in areas) == parts
+    for r in outline.polygons(found).collect():
+        path = [(c.x, c.y) for c in r.corners]
+        turns = list(zip(path, path[1:] + path[:1]))
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in turns) / 2
+        assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in turns) and [s.area for s in stats if s.grp == r.grp and s.ring == r.ring] == [area]
+
+
 SELECT = "request_id long, minutes int, id long, seq long, name string, category string, edu_kind string, transport_kind string, cat_total int, raw_min double"
 
 
