@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words one of which every known sentence holds. Fixed values.
-ANCHORS = "licen[sc]e|copyright|spdx|permission|warrant|redistribut|public\\s+domain|unlicense|liab|all\\s+rights\\s+reserved|free\\s+software|cc0|cc[ -]by|creative\\s+commons|\\bmpl\\b|under\\s+(?:the\\s+)?(?:gnu|[al]?gpl|mit|expat|bsd|isc|apache)\\b"
+ANCHORS = "licen[sc]e|copyright|spdx|permission|warrant|redistribut|public\\s+domain|unlicense|liab|all\\s+rights\\s+reserved|free\\s+software|cc0|cc[ -]by|creative\\s+commons|\\smpl\\s|under\\s+(?:the\\s+)?(?:gnu|[al]?gpl|mit|expat|bsd|isc|apache)\\b"
 
 #: Known sentences as normalised() writes them, and their identifiers. Fixed values of public licence texts.
 SENTENCES: dict[str, str] = {
@@ -166,13 +166,15 @@ def _map(values: dict[str, str]) -> F.Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def sentence_id(sentence: F.Column) -> F.Column:
-    """The identifier of a sentence that holds an anchor word, else null: that of the sentence, else of its beginning, else
-    of the licence that it names."""
-    own = normalised(sentence)
+def sentence_ids(sentences_: F.Column) -> F.Column:
+    """The identifiers of sentences: null for one without an anchor word or an unknown one. First that of the whole
+    sentence counts, then that of its beginning, then that of the licence that it names."""
     sizes = sorted({k.count(" ") + 1 for k in HEADS})
-    heads = [_map({k: v for k, v in HEADS.items() if k.count(" ") + 1 == n})[F.substring_index(own, " ", n)] for n in sizes]
-    return F.when(sentence.rlike(f"(?i){ANCHORS}"), F.coalesce(_map(SENTENCES)[own], *heads, _map(NOTICES)[notice(sentence)]))
+    heads = lambda own: [_map({k: v for k, v in HEADS.items() if k.count(" ") + 1 == n})[F.substring_index(own, " ", n)] for n in sizes]
+    anchored = F.transform(sentences_, lambda x: F.when(x.rlike(f"(?i){ANCHORS}"), x))
+    # normalised once for all look-ups
+    forms = F.transform(anchored, lambda x: F.struct(normalised(x).alias("own"), notice(x).alias("names")))
+    return F.transform(forms, lambda x: F.coalesce(_map(SENTENCES)[x["own"]], *heads(x["own"]), _map(NOTICES)[x["names"]]))
 
 
 def _encoded(ids: F.Column) -> F.Column:
@@ -191,8 +193,9 @@ def scan_licenses(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    ids = lambda t, more: F.when(t.rlike(f"(?i){ANCHORS}") & more, F.transform(sentences(t), sentence_id)).otherwise(none)
-    rows = docs.withColumn("__lines", ids(text, F.lit(True))).withColumn("__whole", ids(joined(text), F.contains(text, F.lit("\n"))))
+    held = docs.withColumn("__has", text.rlike(f"(?i){ANCHORS}"))
+    ids = lambda t, more: F.when(F.col("__has") & more, sentence_ids(sentences(t))).otherwise(none)
+    rows = held.withColumn("__lines", ids(text, F.lit(True))).withColumn("__whole", ids(joined(text), F.contains(text, F.lit("\n"))))
     rows = rows.withColumn("__code", F.concat(_encoded(F.col("__lines")), F.lit("\n"), _encoded(F.col("__whole"))))
     # those that only the joined text has come after the others
     only = F.filter("__whole", lambda x: ~F.coalesce(F.array_contains("__lines", x), F.lit(False)))

@@ -407,6 +407,73 @@ def test_pipeline_stage_by_stage(spark):
     assert p.run(spark, SF).count() <= fourth.count()
 
 
+def five_word_sets(text):
+    tokens = (text or "").encode().lower().split()
+    return {tuple(tokens[i : i + 5]) for i in range(max(1, len(tokens) - 4))} if tokens else set()
+
+
+def brute_copies(rows):
+    """The (id, text) that stay of groups of near copies, by all pairs."""
+    sets = [five_word_sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+        if either == both or 5 * both >= 4 * either:
+            root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i])
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+def test_pipeline_chain_on_hard_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    own = [(r.doc_id, r.text, r.lang) for r in common.table(spark, SF, "documents").collect()]
+    item = common.table(spark, SF, "benchmark").where("text is not null").first().text
+    shared = "This very line is repeated by many of the documents, word for word."
+    base = next(t for _, t, _ in own if t and len(t.split()) > 150)
+    near = " ".join(w if i != 40 else "changed" for i, w in enumerate(base.split()))
+    rows = own + [
+        (None, None, None), (None, base + " of no id", None), (90_000, None, "en"), (90_001, "", "en"), (90_002, base, None), (90_002, base, None), (90_003, near, "en"), (90_004, near + "\n" + shared, None), (90_005, f"{base[:400]} {item} {base[400:800]}", "en"),
+        (90_006, " ".join(rng.sample(base.split() * 300, 20_000)), "en"), *((91_000 + i, f"{' '.join(rng.sample(base.split(), 60))}.\n{shared}", "en") for i in range(7)), (90_007, "1 2 3 ... 4", "en"), (90_007, "Ω ж 漢 字 ☃ ع", None),
+    ]
+    frame(spark, [(d, t, g, "src", len(t or ""), "x", True) for d, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long, keepers string, found boolean").write.parquet(f"{tmp_path}/documents.parquet")
+    common.table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = common.table(spark, str(tmp_path), "documents")
+    for name, stage in p.STAGES:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        out = stage(spark, docs, str(tmp_path))
+        if name == "sentencepiece":
+            assert out.count() == len(before)
+            break
+        assert out.columns == docs.columns, name
+        after = common.materialize(out)
+        got = sorted(((r.doc_id, r.text) for r in after.collect()), key=repr)
+        if name == "language_id":
+            kept = {repr(x) for x in got}
+            assert kept <= {repr(x) for x in before} and all(t and any(map(str.isalpha, t)) for _, t in got)
+            assert repr((90_003, near)) in kept and repr((90_007, "Ω ж 漢 字 ☃ ع")) not in kept
+        elif name == "line_dedup":
+            assert got == sorted(((d, t) for d, _, _, t in brute_lines(before)), key=repr)
+            assert sum(shared in t for _, t in got) == 1
+        elif name == "simhash_dedup":
+            assert [d for d, _ in got] == sorted((d for d, _ in brute_copies(before)), key=repr)
+        else:
+            gone = {d for d, _ in before} - {d for d, _ in got}
+            flat = " ".join(item.lower().split())
+            assert 90_005 in gone and all(d in gone for d, t in before if flat in " ".join(t.lower().split()))
+        docs = after
+    assert p.run(spark, str(tmp_path)).count() == len(before)
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     import corpus_pipeline as p
 
