@@ -1,6 +1,6 @@
 """Registered queries, by group."""
 
-from footreach.plans import graphs, ingest, joins, ranking, scalar  # noqa: F401
+from footreach.plans import graphs, ingest, joins, ranking, scalar, service  # noqa: F401
 from footreach.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
