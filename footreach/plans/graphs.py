@@ -24,13 +24,13 @@ COST_SQL = SOURCE_SQL + (
 )
 
 
-def sources(spark, sf_dir) -> DataFrame:
-    return D.request(spark, sf_dir).select("request_id", D.node_of(F.col("xi"), F.col("yi")).alias("nid"))
+def sources(spark, sf_dir, asked: DataFrame | None = None) -> DataFrame:
+    return (D.request(spark, sf_dir) if asked is None else asked).select("request_id", D.node_of(F.col("xi"), F.col("yi")).alias("nid"))
 
 
-def costs_by_start(spark, sf_dir) -> DataFrame:
+def costs_by_start(spark, sf_dir, asked: DataFrame | None = None) -> DataFrame:
     """(start, nid, cost_s) from each node at which a request begins."""
-    starts = sources(spark, sf_dir).select("nid").distinct().select(F.col("nid").alias("request_id"), "nid")
+    starts = sources(spark, sf_dir, asked).select("nid").distinct().select(F.col("nid").alias("request_id"), "nid")
     return G.costs_within(starts, D.lattice_edges(spark, sf_dir), CUTOFF).withColumnRenamed("request_id", "start")
 
 

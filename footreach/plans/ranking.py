@@ -51,9 +51,9 @@ def dedup_greedy(spark, sf_dir):
 TRAITS = ("id", "seq", "category", "transport_kind", "merge", "lead", "closed", "cat_total")
 
 
-def views(spark, sf_dir, *more: str, radius: float = REACH) -> DataFrame:
+def views(spark, sf_dir, *more: str, radius: float = REACH, asked: DataFrame | None = None) -> DataFrame:
     """Pairs of requests and clean places within the radius, with straight minutes. Names stay behind unless asked for."""
-    asked = D.request(spark, sf_dir).select("request_id", "minutes", "x", "y", D.node_of(F.col("xi"), F.col("yi")).alias("start"))
+    asked = (D.request(spark, sf_dir) if asked is None else asked).select("request_id", "minutes", "x", "y", D.node_of(F.col("xi"), F.col("yi")).alias("start"))
     places = as2(P.cleaned(D.poi(spark, sf_dir)), **{c: c for c in (*TRAITS, *more)})
     return S.radius_join(asked, places, radius).withColumn("raw_min", F.col("d") / C.WALK_SPEED)
 
@@ -208,12 +208,17 @@ def area_ratios(costs: DataFrame) -> DataFrame:
 )
 def life_circle(spark, sf_dir):
     """From a point and minutes to a score: costs, minutes to places, selection, coverage, score."""
+    return circles(spark, sf_dir, D.request(spark, sf_dir))
+
+
+def circles(spark, sf_dir, asked: DataFrame) -> DataFrame:
+    """The scores of these requests (request_id, minutes, xi, yi, x, y)."""
     from footreach.operators.graph import written
 
-    costs = written(graphs.costs_by_start(spark, sf_dir))
-    walk = P.walk_minutes(views(spark, sf_dir), costs, D.lattice_nodes(spark, sf_dir))
-    cover = V.coverage(D.request(spark, sf_dir), P.selected(walk), V.category_rows(spark))
-    ratios = area_ratios(costs).join(graphs.sources(spark, sf_dir).withColumnRenamed("nid", "start"), "start").select("request_id", "area_ratio")
+    costs = written(graphs.costs_by_start(spark, sf_dir, asked))
+    walk = P.walk_minutes(views(spark, sf_dir, asked=asked), costs, D.lattice_nodes(spark, sf_dir))
+    cover = V.coverage(asked, P.selected(walk), V.category_rows(spark))
+    ratios = area_ratios(costs).join(graphs.sources(spark, sf_dir, asked).withColumnRenamed("nid", "start"), "start").select("request_id", "area_ratio")
     return V.score(cover, ratios)
 
 
