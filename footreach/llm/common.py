@@ -42,6 +42,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_core(df: DataFrame) -> DataFrame:
+    """df, which comes from a shuffle, in no more partitions than there are cores, and so in as many files."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a table that materialize() has returned, once nothing reads it any more."""
     spark = df.sparkSession

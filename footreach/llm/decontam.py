@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from footreach.llm.common import held, mix, scratch, slices
+from footreach.llm.common import by_core, held, mix, scratch, slices
 
 #: Number words and units. Fixed values.
 NUMBER_WORDS = frozenset((
@@ -267,7 +267,7 @@ def contaminated(
     """(doc_id, item_id, windows, covered, tokens, slots, reparameterised) for each document and benchmark item in it."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("id")).select("id", "text")
-    known = held(text_windows(items, window, None, literals, min_tokens))
+    known = held(by_core(text_windows(items, window, None, literals, min_tokens)))
     total, lengths = known.agg(F.count("*"), F.collect_set(F.struct("template", "size"))).first()  # at most three templates of `window` lengths
     wanted = sorted((w, size, w == VERBATIM and size < min_tokens) for w, size in lengths)
     keep = None
@@ -288,7 +288,7 @@ def contaminated(
     consistent = F.size(F.array_distinct(F.transform("values", lambda x: x["a"]))) == F.size("values")
     hits = lines.where(consistent & (F.size("covered") >= F.least(F.col("tokens"), F.greatest(F.lit(min_tokens), F.ceil(F.col("tokens") * coverage)))))
     best = hits.select("doc_id", "item_id", F.struct(F.size("covered").alias("covered"), "windows", "tokens", F.size("values").alias("slots"), F.exists("values", lambda x: x["a"] != x["b"]).alias("reparameterised"), "shift").alias("x"))
-    return best.groupBy("doc_id", "item_id").agg(F.max("x").alias("x")).select("doc_id", "item_id", "x.windows", "x.covered", "x.tokens", "x.slots", "x.reparameterised")
+    return by_core(best.groupBy("doc_id", "item_id").agg(F.max("x").alias("x")).select("doc_id", "item_id", "x.windows", "x.covered", "x.tokens", "x.slots", "x.reparameterised"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, sent_ids: int = 1_000_000, **how) -> DataFrame:

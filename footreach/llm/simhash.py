@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, connected_components, extended, held, slices, with_columns
+from footreach.llm.common import arrow_schema, by_core, connected_components, extended, held, slices, with_columns
 
 SEED = 42
 
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, tile_rows:
     names = grouped.where("group <> fp").select("group").distinct()
     linked = grouped.join(names, "group").groupBy("group").agg(F.min("least").alias("name"))
     named = grouped.join(linked, "group", "left").select("fp", "group", F.coalesce("name", "least").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "group", "component_id")
+    return by_core(own.join(named, "fp").select("doc_id", "fp", "group", "component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

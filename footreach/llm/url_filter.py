@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, held, mix, scratch
+from footreach.llm.common import arrow_schema, by_core, held, mix, scratch
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 BITS = 8  # bits a form sets in its block
@@ -137,4 +137,4 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     joined = exploded.join(listed.withColumn(hit, F.col("form")), "form", "left")
     best = joined.groupBy(row).agg(*(F.first(c).alias(c) for c in (*own, "host", "path", "rule")), F.max(F.when(F.col(hit).isNotNull(), F.struct(F.char_length(hit), hit))).alias(ruled))
     judged = best.select(*own, "host", "path", "rule", F.when(F.col(ruled).isNotNull(), "block").otherwise("allow").alias("verdict"), F.col(f"{ruled}.{hit}").alias("listed"))
-    return plain.unionByName(judged)
+    return plain.unionByName(by_core(judged))
