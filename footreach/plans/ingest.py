@@ -205,5 +205,7 @@ def click_sessions(spark, sf_dir):
 def token_bucket(spark, sf_dir):
     """How many of each user's calls a token bucket lets through (ten-minute ticks, a quarter token each)."""
     tick = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 / 600).cast("double")
-    own = D.table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(tick)).alias("times"))
-    return own.select("user_id", clicks.tokens_left(F.col("times"), 0.25, 2.0).alias("passed"), F.size("times").cast("long").alias("calls"))
+    # calls of a tick are counted before a user's ticks meet in one row
+    ticks = D.table(spark, sf_dir, "events").groupBy("user_id", tick.alias("t")).agg(F.count("*").alias("n"))
+    own = ticks.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("ticks"), F.sum("n").alias("calls"))
+    return own.select("user_id", clicks.tokens_left_by_tick(F.col("ticks"), 0.25, 2.0).alias("passed"), "calls")

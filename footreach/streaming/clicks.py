@@ -44,3 +44,16 @@ def tokens_left(times, rate: float = 2.0, burst: float = 2.0):
         return F.struct(F.when(ok, level - 1).otherwise(level).alias("tokens"), t.alias("last"), (s["passed"] + ok.cast("long")).alias("passed"))
 
     return F.aggregate(times, start, step, lambda s: s["passed"])
+
+
+def tokens_left_by_tick(ticks, rate: float = 2.0, burst: float = 2.0):
+    """The same from `ticks`, an array of (t, n) sorted by t with the calls of each instant counted: its size follows the
+    time covered, not the number of calls."""
+    start = F.struct(F.lit(burst).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("passed"))
+
+    def step(s, x):
+        level = F.least(F.lit(burst), s["tokens"] + F.coalesce(x["t"] - s["last"], F.lit(0.0)) * rate)
+        through = F.least(x["n"], F.floor(level))
+        return F.struct((level - through).alias("tokens"), x["t"].alias("last"), (s["passed"] + through).alias("passed"))
+
+    return F.aggregate(ticks, start, step, lambda s: s["passed"])
