@@ -176,7 +176,7 @@ def window_hashes(tokens: np.ndarray, size: int) -> np.ndarray:
 def _runs(bad: np.ndarray, size: int) -> np.ndarray:
     """How many of each window's tokens are bad."""
     total = np.concatenate(([0], np.cumsum(bad)))
-    return total[size:] - total[:-size]
+    return total[size:] - total[:-size] if len(bad) >= size else total[:0]
 
 
 def windows_of(read: Read, which: int, size: int, literals: int, alone: bool = False) -> tuple[tuple, np.ndarray, np.ndarray]:
@@ -234,6 +234,9 @@ def text_windows(texts: DataFrame, window: int, wanted: list[tuple[int, int, boo
             out: tuple[list, ...] = ([], [], [], [], [], [], [])
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 read = own.read(text)
+                # a window needs as many words in a row that are known or, at best, names
+                if wanted and not (_runs(read.unknown & ~read.name, min(w[1] for w in wanted)) == 0).any():
+                    continue
                 for which, size, alone in wanted if wanted is not None else item_windows(read, window, literals, min_tokens):
                     (first, tokens, slots, _), at, hashes = windows_of(read, which, size, literals, alone)
                     if bitmap is not None:
