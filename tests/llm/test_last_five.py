@@ -255,6 +255,14 @@ def test_urls(spark, limit):
     assert got == Counter((i % 210, *brute_url(u, set(LISTED))) for i, u in enumerate(urls))
 
 
+def test_urls_with_null_ids_and_clashing_names(spark):
+    rows = [(None, "http://bad.example.com/a", "r1", 1, True), (None, "http://bad.example.com/a", "r1", 1, True), (1, None, "r2", 2, False), (None, "http://x.net/", "r3", 3, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, ruled string, row int, hit boolean")
+    out = url_filter.judge_urls(pages, spark.createDataFrame([("bad.example.com/",)], "form string"), RULES)
+    assert out.columns == ["page_id", "ruled", "row", "hit", "host", "path", "rule", "verdict", "listed"]
+    assert Counter((r.page_id, r.ruled, r.row, r.verdict, r.listed) for r in out.collect()) == Counter({(None, "r1", 1, "block", "bad.example.com/"): 2, (1, "r2", 2, "allow", None): 1, (None, "r3", 3, "block", None): 1})
+
+
 def test_urls_without_a_list(spark):
     out = url_filter.judge_urls(spark.createDataFrame([(1, "http://x.com/")], "page_id long, url string"), spark.createDataFrame([], "form string"))
     assert [r.verdict for r in out.collect()] == ["allow"]
@@ -345,6 +353,14 @@ def test_html_elements_that_never_close(model, body, want):
     assert page.text(model.log_odds(page.features())) == "The title\n" + want.format(one, two)
 
 
+def test_html_with_null_ids_and_repeated_rows(spark, model):
+    art = "<body><article><h1>A title</h1><p>Some words of an article that go on for a while, as they do.</p></article></body>"
+    data = spark.createDataFrame([(None, None, art, 5, "t"), (None, None, art, 5, "t"), (1, "u", None, 6, "t")], "page_id long, url string, html string, n_chars int, text string")
+    got = Counter(tuple(r) for r in html_extract.extract_text(data, model).collect())
+    text = "A title\nSome words of an article that go on for a while, as they do."
+    assert got == Counter({(None, None, text, len(text)): 2, (1, "u", "", 0): 1})
+
+
 def test_html_decoding_is_the_best_consistent_choice():
     rng = random.Random(6)
     for _ in range(30):
