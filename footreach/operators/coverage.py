@@ -21,29 +21,37 @@ def passed(nearest: Column, minutes: Column) -> Column:
 
 
 def coverage(requests: DataFrame, chosen: DataFrame, categories: DataFrame) -> DataFrame:
-    """A row for each request and each of the seven categories, also those without a place."""
-    metro = F.min(F.when((F.col("category") == "transport") & (F.col("transport_kind") == "metro"), F.col("raw_min")))
+    """A row for each request and each of the seven categories, also those without a place.
+
+    passed is the category's verdict: the nearest place in time, for everyday shops three of them, for transport a metro or
+    a bus stop in time. nearest_minutes of transport is the metro's, if there is one. in_time is what the score counts: the
+    nearest place alone."""
+    kind = F.coalesce("transport_kind", F.lit("bus"))
+    stop = lambda k: F.min(F.when((F.col("category") == "transport") & (kind == k), F.col("raw_min"))).alias(f"{k}_min")
     own = chosen.groupBy("request_id", "category").agg(
-        F.count("*").cast("int").alias("cnt"), F.max("within_total").alias("within_count"), F.max("cat_total").alias("total"), F.min("raw_min").alias("any_min"), metro.alias("metro_min")
+        F.count("*").cast("int").alias("cnt"), F.max("within_total").alias("within_count"), F.max("cat_total").alias("total"), F.min("raw_min").alias("any_min"), stop("metro"), stop("bus")
     )
     every = requests.select("request_id", "minutes").crossJoin(F.broadcast(categories))  # seven rows, fixed
-    # a metro stop counts for transport even if a bus stop is nearer
-    rows = every.join(own, ["request_id", "category"], "left").withColumn("nearest_minutes", F.coalesce("metro_min", "any_min"))
+    travel = F.col("category") == "transport"
+    rows = every.join(own, ["request_id", "category"], "left").withColumn("nearest_minutes", F.when(travel, F.coalesce("metro_min", "bus_min")).otherwise(F.col("any_min")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    ok = passed(F.col("nearest_minutes"), F.col("minutes"))
-    # everyday shops need three places
-    ok = ok & ((F.col("category") != "convenience") | (F.coalesce("within_count", F.lit(0)) >= 3))
-    return rows.select("request_id", "minutes", "category", "cat_no", zero("cnt"), zero("within_count"), zero("total"), "nearest_minutes", ok.alias("passed"), F.col("metro_min").isNotNull().alias("by_metro"))
+    within = lambda c: passed(F.col(c), F.col("minutes"))
+    in_time = within("nearest_minutes")
+    ok = F.when(travel, within("metro_min") | within("bus_min")).when(F.col("category") == "convenience", in_time & (F.coalesce("within_count", F.lit(0)) >= 3)).otherwise(in_time)
+    mode = F.when(travel, F.when(within("metro_min"), "metro").when(within("bus_min"), "bus"))
+    return rows.select("request_id", "minutes", "category", "cat_no", zero("cnt"), zero("within_count"), zero("total"), "nearest_minutes", ok.alias("passed"), in_time.alias("in_time"), mode.alias("mode"))
 
 
 def score(cover: DataFrame, areas: DataFrame | None = None) -> DataFrame:
-    """(request_id, score): 0 to 100 with one decimal. areas: (request_id, area_ratio), 0 where there is none."""
+    """(request_id, score): 0 to 100 with one decimal. areas: (request_id, area_ratio), 0 where there is none.
+
+    Categories and anchors count by their nearest place alone: one shop in time is enough here."""
     minutes = F.col("minutes").cast("double")
     anchor = F.col("category").isin(*C.ANCHORS)
     near = F.when(anchor, F.coalesce("nearest_minutes", minutes))
-    kind = F.when(F.col("category") == "transport", F.when(F.coalesce(F.col("nearest_minutes") <= minutes, F.lit(False)), F.when(F.col("by_metro"), 1.0).otherwise(C.BUS_FACTOR)).otherwise(0.0))
+    kind = F.when(F.col("mode") == "metro", 1.0).when(F.col("mode") == "bus", C.BUS_FACTOR).otherwise(0.0)
     sums = cover.groupBy("request_id").agg(
-        F.first("minutes").cast("double").alias("m"), F.sum(F.col("passed").cast("int")).alias("all_passed"), F.sum(F.when(anchor, F.col("passed").cast("int"))).alias("anchors_passed"), F.avg(near).alias("near"), F.max(kind).alias("transport")
+        F.first("minutes").cast("double").alias("m"), F.sum(F.col("in_time").cast("int")).alias("all_passed"), F.sum(F.when(anchor, F.col("in_time").cast("int"))).alias("anchors_passed"), F.avg(near).alias("near"), F.max(kind).alias("transport")
     )
     sums = sums.withColumn("area_ratio", F.lit(0.0)) if areas is None else sums.join(areas, "request_id", "left").withColumn("area_ratio", F.coalesce("area_ratio", F.lit(0.0)))
     w = C.WEIGHTS

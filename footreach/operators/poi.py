@@ -2,42 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach import config as C
 from footreach.functions import text as T
-from footreach.operators.spatial import radius_join, spread
+from footreach.operators.graph import written
+from footreach.operators.spatial import cells, radius_join, spread, squared
 
 
 def cleaned(pois: DataFrame) -> DataFrame:
-    """Known categories without noise, one row for each uid of a category (the first in seq), with cat_total and
-    the traits of ranked_traits()."""
+    """Known categories without noise, one row for each uid of a category (the first in seq), with cat_total and the traits
+    of ranked_traits(). A place without uid goes if one of its category and name that was kept before is within 30 m."""
     known = pois.where(F.col("category").isin(*C.CATEGORIES) & ~T.is_noise(F.col("category"), F.col("name"), F.col("tag")))
     key = F.coalesce(F.concat(F.lit("u:"), "uid"), F.concat(F.lit("s:"), F.col("seq").cast("string")))
     first = Window.partitionBy("category", "__key").orderBy("seq")
     once = known.withColumn("__key", key).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__key")
+    own = once.select(F.col("id").alias("rid"), "category", "name", "seq", "x", "y", F.col("uid").isNotNull().alias("firm"))
+    kept = greedy_apart(own, ["category", "name"], ["seq"], C.UID_MERGE_M, firm="firm").select(F.col("rid").alias("id"))
+    once = once.join(kept, "id", "left_semi")
     totals = once.groupBy("category").agg(F.count("*").cast("int").alias("cat_total"))
     return ranked_traits(once.join(totals, "category"))
 
 
-def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: float, rounds: int = 100_000) -> DataFrame:
-    """Of the rows of a group, in order, those that are not within the radius of one that was kept before.
+def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: float, rounds: int = 100_000, firm: str | None = None) -> DataFrame:
+    """Of the rows (rid, x, y) of a group, in order, those that are not within the radius of one that was kept before; rows
+    that are firm stay whatever is near.
 
     A pair that is near makes the later row depend on the earlier one. A row without such an earlier row stays; what
     is near a row that stays goes; and so on in rounds over the pairs still open, as joins, so that no group has to be
     held by one task. The number of rounds is that of the longest chain; beyond `rounds` an error is raised."""
-    from footreach.operators.graph import written
-
-    ids = written(rows.select("rid", *keys, *order, "x", "y"))
-    other = ids.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("rid", *order, "x", "y")))
+    other = rows.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("rid", *order, "x", "y")))
     before = F.struct(*(F.col(f"{c}2") for c in (*order, "rid"))) < F.struct(*(F.col(c) for c in (*order, "rid")))
     same = [*keys, "cx", "cy"]
-    from footreach.operators.spatial import cells, squared
-
-    pairs = cells(ids, "x", "y", radius, 1).join(cells(other, "x2", "y2", radius), same).where(before & (F.sqrt(squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))) < radius))
+    loose = rows if firm is None else rows.where(~F.col(firm))
+    pairs = cells(loose, "x", "y", radius, 1).join(cells(other, "x2", "y2", radius), same).where(before & (F.sqrt(squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))) < radius))
     near = written(pairs.select("rid", "rid2"))
     gone: list[DataFrame] = []
     for _ in range(rounds):
@@ -55,19 +58,59 @@ def greedy_apart(rows: DataFrame, keys: list[str], order: list[str], radius: flo
     return rows.join(reduce(DataFrame.unionByName, gone), "rid", "left_anti") if gone else rows
 
 
-def walk_minutes(pairs: DataFrame, costs: DataFrame, nodes: DataFrame, radius: float = C.EDGE_ACCESS_M, estimate_speed: float = C.WALK_SPEED) -> DataFrame:
-    """pairs (start, id, x2, y2, d, ...) with raw_min and estimated: the least of a node's cost and the straight rest of
-    the way to the place, over nodes within the radius; the straight way where there is none.
+def apart_in_order(rows: DataFrame, keys: list[str], order: list[str], radius: float, x: str = "x2", y: str = "y2") -> DataFrame:
+    """Like greedy_apart(), for groups that lie within one walk: a task reads each group in order and remembers only what it
+    keeps, of which as much as a walk's area has room for, radius apart. The radius itself counts as near."""
 
-    costs: (start, nid, cost_s). Requests that begin at one node share their minutes, so they are worked out once for
-    each start and place."""
-    places = pairs.select("id", "x2", "y2").distinct()
-    near = radius_join(places, nodes.select("nid", F.col("x").alias("nx"), F.col("y").alias("ny")), radius, ("x2", "y2"), ("nx", "ny")).select("id", "nid", (F.col("d") / estimate_speed).alias("rest"))
-    from footreach.operators.graph import written
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, kept = None, []
+        for batch in batches:
+            stays = []
+            for own, px, py in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(x).to_pylist(), batch.column(y).to_pylist(), strict=True):
+                if own != group:
+                    group, kept = own, []
+                stays.append(all((px - a) ** 2 + (py - b) ** 2 > radius * radius for a, b in kept))
+                if stays[-1]:
+                    kept.append((px, py))
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(keep, rows.schema)
+
+
+def walk_minutes(pairs: DataFrame, costs: DataFrame, nodes: DataFrame, radius: float = C.EDGE_ACCESS_M, estimate_speed: float = C.WALK_SPEED, faces: DataFrame | None = None, face_nodes: DataFrame | None = None) -> DataFrame:
+    """pairs (start, id, x2, y2, d, ...) with raw_min, estimated, edge_arrival and shown_min.
 
+    raw_min is the least of a node's cost and the straight rest of the way, over nodes within the radius of the place and,
+    for a place in a green face, within the radius of that face; it is null where no such node can be reached, and then
+    only shown_min has a figure, by the straight way. edge_arrival tells places that are reached at a face's edge or by a
+    last leg above the snapping distance. costs: (start, nid, cost_s); faces: (id, face); face_nodes: (face, nid, leg).
+    Requests that begin at one node share their minutes, so they are worked out once for each start and place or face."""
+    places = pairs.select("id", "x2", "y2").distinct()
+    near = radius_join(places, nodes.select("nid", F.col("x").alias("nx"), F.col("y").alias("ny")), radius, ("x2", "y2"), ("nx", "ny")).select("id", "nid", F.col("d").alias("leg"))
+    total = F.col("cost_s") / 60 + F.col("leg") / estimate_speed
+    snapped = F.col("leg") <= C.SNAP_MAX_M
+    by_node = spread(near, "nid").join(spread(costs, "nid"), "nid").groupBy("start", "id").agg(F.min(F.when(snapped, total)).alias("near_min"), F.min(F.when(~snapped, total)).alias("far_min"))
     # read several times by what follows, and small beside the pairs it is made from
-    by_node = spread(near, "nid").join(spread(costs, "nid"), "nid").groupBy("start", "id").agg(F.min(F.col("cost_s") / 60 + F.col("rest")).alias("graph_min"))
-    return pairs.join(written(by_node), ["start", "id"], "left").withColumns({"raw_min": F.coalesce("graph_min", F.col("d") / estimate_speed), "estimated": F.col("graph_min").isNull()}).drop("graph_min")
+    out = pairs.join(written(by_node), ["start", "id"], "left")
+    if faces is None:
+        out = out.withColumn("face_min", F.lit(None).cast("double"))
+    else:
+        by_face = face_nodes.join(costs, "nid").groupBy("start", "face").agg(F.min(total).alias("face_min"))
+        out = out.join(faces.select("id", "face"), "id", "left").join(by_face, ["start", "face"], "left").drop("face")
+    raw = F.least("near_min", "far_min", "face_min")
+    late = F.least("far_min", "face_min")
+    return out.withColumns({
+        "raw_min": raw, "estimated": raw.isNull(), "edge_arrival": F.coalesce(late < F.col("near_min"), late.isNotNull()), "shown_min": F.coalesce(raw, F.col("d") / estimate_speed),
+    }).drop("near_min", "far_min", "face_min")
+
+
+def calibrated(views: DataFrame, measured: DataFrame) -> DataFrame:
+    """views with measured minutes (request_id, id, measured_min) in place of their own, but not where an edge was reached:
+    who measures walks on to the place inside."""
+    use = F.col("measured_min").isNotNull() & ~F.col("edge_arrival")
+    fixed = views.join(measured.select("request_id", "id", "measured_min"), ["request_id", "id"], "left")
+    take = lambda c, other: F.when(use, other).otherwise(F.col(c))
+    return fixed.withColumns({"raw_min": take("raw_min", F.col("measured_min")), "shown_min": take("shown_min", F.col("measured_min")), "estimated": take("estimated", F.lit(False))}).drop("measured_min")
 
 
 def merge_key(category: Column, name: Column, kind: Column, rid: Column) -> Column:
@@ -80,7 +123,6 @@ def merge_key(category: Column, name: Column, kind: Column, rid: Column) -> Colu
 
 
 MERGED = ("transport", "public")
-STAGED = ("education", "transport", "public")
 
 
 def ranked_traits(places: DataFrame) -> DataFrame:
@@ -95,22 +137,37 @@ def ranked_traits(places: DataFrame) -> DataFrame:
     )
     own = places.withColumns({"lead": lead, "closed": closed, "__key": merge_key(F.col("category"), F.col("name"), F.col("transport_kind"), F.col("id"))})
     same = own.where(F.col("category").isin(*MERGED)).groupBy("category", "__key").agg(F.min("id").alias("merge"))
-    return own.join(same, ["category", "__key"], "left").withColumn("merge", F.coalesce("merge", "id")).drop("__key")
+    return crowded(own.join(same, ["category", "__key"], "left").withColumn("merge", F.coalesce("merge", "id")).drop("__key"))
+
+
+def crowded(places: DataFrame, radius: float = C.HEALTH_MERGE_M) -> DataFrame:
+    """places with clinic: the base name of a health place that has another one of that base name within the radius, else
+    null. Only those can be one clinic's departments."""
+    own = places.where("category = 'health'").select("id", "x", "y", T.clinic_base(F.col("name")).alias("base"))
+    other = own.select("base", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    near = (F.col("id") != F.col("id2")) & (squared(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= radius * radius)
+    some = cells(own, "x", "y", radius, 1).join(cells(other, "x2", "y2", radius), ["base", "cx", "cy"]).where(near).select("id", F.col("base").alias("clinic")).distinct()
+    return places.join(some, "id", "left")
 
 
 def selected(views: DataFrame, cap: int = C.CAP_PER_CATEGORY) -> DataFrame:
     """Places within the minutes, merged, ranked by category and cut at the cap; within_total counts before the cut.
 
-    views: request_id, minutes, category, id, seq, raw_min and the traits. Only merged categories are sorted for the
-    merge; the cut is a row number alone, which Spark takes by task before it shuffles."""
+    views: request_id, minutes, category, id, seq, raw_min, x2, y2 and the traits; raw_min null is not within. Stations and
+    public places of one merge key count once, and so do a clinic's departments within 200 m of one that is kept: always
+    the first by minutes, open ones before closed ones. Only merged categories are sorted for that; the cut is a row number
+    alone, which Spark takes by task before it shuffles. Schools are in stages and then open ones first; metro stops and
+    core public places lead; minutes come before closed for all but schools."""
     within = views.where(F.col("raw_min") <= F.col("minutes"))
-    some = F.col("category").isin(*MERGED)
-    once = Window.partitionBy("request_id", "category", "merge").orderBy("raw_min", "seq")
+    some, clinic = F.col("category").isin(*MERGED), F.col("clinic").isNotNull()
+    order = ["raw_min", "closed", "seq"]
+    once = Window.partitionBy("request_id", "category", "merge").orderBy(*order)
     first = within.where(some).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    merged = within.where(~some).unionByName(first)
-    staged = F.col("category").isin(*STAGED)
-    order = Window.partitionBy("request_id", "category").orderBy("lead", F.when(staged, F.lit(0.0)).otherwise(F.col("raw_min")), "closed", "raw_min", "seq")
-    ranked = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    clinics = apart_in_order(within.where(clinic), ["request_id", "clinic"], order, C.HEALTH_MERGE_M)
+    merged = within.where(~some & ~clinic).unionByName(first).unionByName(clinics)
+    schools = F.when(F.col("category") == "education", F.col("closed")).otherwise(0)
+    rank = F.row_number().over(Window.partitionBy("request_id", "category").orderBy("lead", schools, *order))
+    ranked = merged.withColumn("rank", rank).where(F.col("rank") <= cap)
     totals = merged.groupBy("request_id", "category").agg(F.count("*").cast("int").alias("within_total"))
     return ranked.join(totals, ["request_id", "category"])
 

@@ -40,19 +40,19 @@ def costs(spark, sf_dir) -> DataFrame:
     return own.join(costs_by_start(spark, sf_dir), "start").select("request_id", "nid", "cost_s")
 
 
-@query(with_sql("request lattice_edge", COST_SQL + " SELECT request_id, nid, CAST(cost_s AS BIGINT) AS cost_s FROM cost", recursive=True))
+@query(with_sql("request lattice_edge", COST_SQL + " SELECT request_id, nid, CAST(cost_s AS BIGINT) AS cost_s FROM cost"))
 def sssp_cutoff(spark, sf_dir):
     return costs(spark, sf_dir).select("request_id", "nid", F.col("cost_s").cast("long").alias("cost_s"))
 
 
-@query(with_sql("request lattice_edge", COST_SQL + " SELECT request_id, m AS minutes, count(*) AS nodes FROM cost, (VALUES (5), (10), (15)) t(m) WHERE cost_s <= m * 60 GROUP BY 1, 2", recursive=True))
+@query(with_sql("request lattice_edge", COST_SQL + " SELECT request_id, m AS minutes, count(*) AS nodes FROM cost, (VALUES (5), (10), (15)) t(m) WHERE cost_s <= m * 60 GROUP BY 1, 2"))
 def iso_layers(spark, sf_dir):
     """The nodes of each time layer, all from one search."""
     layer = F.explode(F.array(F.lit(5), F.lit(10), F.lit(15)))
     return costs(spark, sf_dir).withColumn("minutes", layer).where(F.col("cost_s") <= F.col("minutes") * 60).groupBy("request_id", "minutes").agg(F.count("*").alias("nodes"))
 
 
-@query(with_sql("request lattice_edge", COST_SQL + ", e AS (SELECT request_id, u, v FROM lattice_edge JOIN cost ON nid = u UNION SELECT request_id, u, v FROM lattice_edge JOIN cost ON nid = v) SELECT request_id, count(*) AS edges FROM e GROUP BY 1", recursive=True))
+@query(with_sql("request lattice_edge", COST_SQL + ", e AS (SELECT request_id, u, v FROM lattice_edge JOIN cost ON nid = u UNION SELECT request_id, u, v FROM lattice_edge JOIN cost ON nid = v) SELECT request_id, count(*) AS edges FROM e GROUP BY 1"))
 def reachable_edges(spark, sf_dir):
     """How many edges have an end that is reached; one is enough, and edges are not cut."""
     return G.reachable_edges(costs(spark, sf_dir), D.lattice_edges(spark, sf_dir)).groupBy("request_id").agg(F.count("*").alias("edges"))
@@ -94,7 +94,7 @@ def contract_degree(spark, sf_dir):
     "arc AS (SELECT a.id AS u, b.id AS v FROM cell a JOIN cell b ON b.request_id = a.request_id AND b.grp = a.grp AND ((b.ix = a.ix + 1 AND b.iy = a.iy) OR (b.ix = a.ix AND b.iy = a.iy + 1))), both_ AS (SELECT u, v FROM arc UNION ALL SELECT v, u FROM arc), "
     "r(n, root) USING KEY (n) AS (SELECT id, id FROM cell UNION (SELECT b.v, min(r.root) FROM r JOIN both_ b ON b.u = r.n JOIN recurring.r o ON o.n = b.v WHERE r.root < o.root GROUP BY 1)), "
     "named AS (SELECT request_id, grp, ix, iy, root FROM cell JOIN r ON r.n = cell.id), st AS (SELECT request_id, grp, root AS region, count(*) AS cells, CAST(max(ix) - min(ix) + 1 AS INTEGER) AS span_x, CAST(max(iy) - min(iy) + 1 AS INTEGER) AS span_y FROM named GROUP BY 1, 2, 3) "
-    "SELECT *, round(greatest(span_x, span_y) / least(span_x, span_y)::DOUBLE, 6) AS aspect, greatest(span_x, span_y) / least(span_x, span_y)::DOUBLE > 3 AS corridor FROM st", recursive=True)
+    "SELECT *, round(greatest(span_x, span_y) / least(span_x, span_y)::DOUBLE, 6) AS aspect, greatest(span_x, span_y) / least(span_x, span_y)::DOUBLE > 3 AS corridor FROM st")
 )
 def component_stats(spark, sf_dir):
     """The regions of blind cells: how large, how long, and whether they are corridors."""
@@ -130,7 +130,7 @@ def inject_path(spark, sf_dir):
 @query(
     with_sql("request lattice_edge", COST_SQL + f", m AS (SELECT request_id, nid FROM cost WHERE cost_s <= 600 AND cost_s > 240), both_ AS (SELECT a.request_id, a.nid AS u, b.nid AS v FROM m a CROSS JOIN (VALUES (1), (-1), ({D.STEP}), (-{D.STEP})) d(x) JOIN m b ON b.request_id = a.request_id AND b.nid = a.nid + x), "
     "r(q, n, root) USING KEY (q, n) AS (SELECT request_id, nid, nid FROM m UNION (SELECT b.request_id, b.v, min(r.root) FROM r JOIN both_ b ON b.u = r.n AND b.request_id = r.q JOIN recurring.r o ON o.n = b.v AND o.q = b.request_id WHERE r.root < o.root GROUP BY 1, 2)), "
-    "s AS (SELECT q AS request_id, root, count(*) AS size FROM r GROUP BY 1, 2) SELECT request_id, count(*) AS parts, arg_min(root, [-size, root]) AS main, max(size) AS size FROM s GROUP BY 1", recursive=True)
+    "s AS (SELECT q AS request_id, root, count(*) AS size FROM r GROUP BY 1, 2) SELECT request_id, count(*) AS parts, arg_min(root, [-size, root]) AS main, max(size) AS size FROM s GROUP BY 1")
 )
 def main_part(spark, sf_dir):
     """The ring between 4 and 10 minutes falls apart into parts: how many, and the largest (the first of equal ones)."""
@@ -176,7 +176,7 @@ def shapes(cells: DataFrame) -> DataFrame:
     return own.agg(F.sum("area").alias("cells"), F.count_if(F.col("area") > 0).alias("parts"), F.count_if(F.col("area") < 0).alias("holes"), F.sum("length").alias("sides"))
 
 
-@query(with_sql("request lattice_edge", ISO_SQL + PARTS_SQL + SHAPE_SQL + f" SELECT grp AS request_id, cells, round(cells * {CELL_KM2!r}::DOUBLE, 6) AS km2, parts, holes, sides FROM shape", recursive=True))
+@query(with_sql("request lattice_edge", ISO_SQL + PARTS_SQL + SHAPE_SQL + f" SELECT grp AS request_id, cells, round(cells * {CELL_KM2!r}::DOUBLE, 6) AS km2, parts, holes, sides FROM shape"))
 def iso_outline(spark, sf_dir):
     """The outline of what is reached in ten minutes: its area, parts, holes and length. Cells that meet in a corner alone
     are parts of their own. The area is that of whole cells: off by at most the outline's length times a cell's side."""
@@ -184,7 +184,7 @@ def iso_outline(spark, sf_dir):
     return own.select(F.col("grp").alias("request_id"), "cells", r6(F.col("cells") * CELL_KM2).alias("km2"), "parts", "holes", "sides")
 
 
-@query(with_sql("request lattice_edge", ISO_SQL + PARTS_SQL + f" SELECT grp AS request_id, round(max(n) * {CELL_KM2!r}::DOUBLE, 6) AS main_km2, round((sum(n) - max(n)) * {CELL_KM2!r}::DOUBLE, 6) AS enclave_km2, count(*) - 1 AS enclaves FROM sized GROUP BY 1", recursive=True))
+@query(with_sql("request lattice_edge", ISO_SQL + PARTS_SQL + f" SELECT grp AS request_id, round(max(n) * {CELL_KM2!r}::DOUBLE, 6) AS main_km2, round((sum(n) - max(n)) * {CELL_KM2!r}::DOUBLE, 6) AS enclave_km2, count(*) - 1 AS enclaves FROM sized GROUP BY 1"))
 def iso_parts(spark, sf_dir):
     """The area of the main part and of the enclaves, which are reached over bridges."""
     rings = O.ring_stats(O.rings(iso_cells(spark, sf_dir)))
@@ -197,7 +197,7 @@ def iso_parts(spark, sf_dir):
 
 
 @query(
-    with_sql("request_spread poi_spread", joins.BLIND_SQL + ", cell AS (SELECT request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END AS grp, ix, iy FROM blind)" + PARTS_SQL + SHAPE_SQL + " SELECT grp // 4 AS request_id, ['market', 'pharmacy', 'school'][grp % 4] AS grp, cells, parts, holes, sides FROM shape", recursive=True)
+    with_sql("request_spread poi_spread", joins.BLIND_SQL + ", cell AS (SELECT request_id * 4 + CASE grp WHEN 'market' THEN 1 WHEN 'pharmacy' THEN 2 ELSE 3 END AS grp, ix, iy FROM blind)" + PARTS_SQL + SHAPE_SQL + " SELECT grp // 4 AS request_id, ['market', 'pharmacy', 'school'][grp % 4] AS grp, cells, parts, holes, sides FROM shape")
 )
 def blind_outline(spark, sf_dir):
     """The outline of the blind spots of each request and group."""

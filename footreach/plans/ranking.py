@@ -11,14 +11,21 @@ from footreach.operators import coverage as V
 from footreach.operators import poi as P
 from footreach.operators import spatial as S
 from footreach.plans import graphs
-from footreach.plans.joins import DIST, as2
+from footreach.operators.graph import written
+from footreach.plans.joins import BOXD, BOXES_SQL, DIST, as2, boxes, near_boxes
 from footreach.plans.registry import query
 from footreach.plans.scalar import GROUP_SQL, PUBLIC_SQL, WS, paths, r6, trim_sql
 from footreach.sources import derived as D
 from footreach.sources.derived import with_sql
 
 NOISE_SQL = f"(category = 'public' AND (regexp_matches(replace(name, '健身园', '##'), '{PUBLIC_SQL}') OR regexp_matches(coalesce(tag, ''), '{text.PUBLIC_NOISE_TAG}'))) OR (category = 'transport' AND regexp_matches(name, '{text.TRANSPORT_NOISE}'))"
-CLEAN_SQL = f", clean AS (SELECT *, CAST(count(*) OVER (PARTITION BY category) AS INTEGER) AS cat_total FROM (SELECT *, row_number() OVER (PARTITION BY category, coalesce('u:' || uid, 's:' || seq) ORDER BY seq) AS n FROM poi WHERE NOT ({NOISE_SQL})) WHERE n = 1)"
+CLEAN_SQL = (
+    f", once AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY category, coalesce('u:' || uid, 's:' || seq) ORDER BY seq) AS n FROM poi WHERE NOT ({NOISE_SQL})) WHERE n = 1), "
+    f"same AS (SELECT a.id, b.id AS earlier FROM once a JOIN once b ON a.category = b.category AND a.name = b.name AND a.seq > b.seq AND a.uid IS NULL AND {DIST} < 30), "
+    "stays(id, state) USING KEY (id) AS (SELECT id, 'keep' FROM once WHERE id NOT IN (SELECT id FROM same) UNION (SELECT n.id, CASE WHEN bool_or(r.state = 'keep') THEN 'drop' ELSE 'keep' END FROM same n LEFT JOIN recurring.stays r ON r.id = n.earlier "
+    "WHERE n.id NOT IN (SELECT id FROM recurring.stays) GROUP BY n.id HAVING bool_or(r.state = 'keep') OR count(*) = count(r.state))), "
+    "clean AS (SELECT *, CAST(count(*) OVER (PARTITION BY category) AS INTEGER) AS cat_total FROM once WHERE id IN (SELECT id FROM stays WHERE state = 'keep'))"
+)
 
 
 def station_sql(name: str) -> str:
@@ -27,6 +34,7 @@ def station_sql(name: str) -> str:
     return f"CASE WHEN {bare} = '' OR {short} = '' THEN {trim_sql(name)} ELSE {short} END"
 
 
+CLOSED_SQL = f"CAST(contains(name, '{text.CLOSED}') AS INTEGER)"
 KEY_SQL = f"CASE WHEN category = 'transport' THEN {station_sql('name')} || '|' || coalesce(transport_kind, 'bus') WHEN category = 'public' THEN regexp_replace({trim_sql('name')}, '[-－—–·•\\s\\x{{3000}}]+', '', 'g') ELSE id::VARCHAR END"
 REACH = 1200.0
 
@@ -37,18 +45,17 @@ def dedup_uid(spark, sf_dir):
     return P.cleaned(D.poi(spark, sf_dir)).select("id", "category", "cat_total")
 
 
-@query(
-    with_sql("poi", ", p AS (SELECT * FROM poi WHERE uid IS NULL), near AS (SELECT a.id, b.id AS earlier FROM p a JOIN p b ON a.category = b.category AND a.seq > b.seq AND " + DIST + " < 200), "
-    "s(id, state) USING KEY (id) AS (SELECT id, 'keep' FROM p WHERE id NOT IN (SELECT id FROM near) UNION (SELECT n.id, CASE WHEN bool_or(r.state = 'keep') THEN 'drop' ELSE 'keep' END FROM near n LEFT JOIN recurring.s r ON r.id = n.earlier WHERE n.id NOT IN (SELECT id FROM recurring.s) "
-    "GROUP BY n.id HAVING bool_or(r.state = 'keep') OR count(*) = count(r.state))) SELECT id FROM s WHERE state = 'keep'", recursive=True)
-)
+@query(with_sql("poi", CLEAN_SQL + " SELECT once.id, clean.id IS NOT NULL AS stays FROM once LEFT JOIN clean USING (id) WHERE once.uid IS NULL"))
 def dedup_greedy(spark, sf_dir):
-    """Places without a uid, in order, that are not within 200 m of one of their category that was kept before."""
-    rows = D.poi(spark, sf_dir).where("uid is null").select(F.col("id").alias("rid"), "category", "seq", "x", "y")
-    return P.greedy_apart(rows, ["category"], ["seq"], 200.0).select(F.col("rid").alias("id"))
+    """Places without a uid, and whether they stay: not if one of their category and name, with or without a uid, that was
+    kept before stands within 30 m."""
+    pois = D.poi(spark, sf_dir)
+    own = pois.where(F.col("uid").isNull() & ~text.is_noise(F.col("category"), F.col("name"), F.col("tag"))).select("id")
+    kept = P.cleaned(pois).select("id", F.lit(True).alias("kept"))
+    return own.join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("stays"))
 
 
-TRAITS = ("id", "seq", "category", "transport_kind", "merge", "lead", "closed", "cat_total")
+TRAITS = ("id", "seq", "category", "transport_kind", "merge", "lead", "closed", "clinic", "cat_total")
 
 
 def views(spark, sf_dir, *more: str, radius: float = REACH, asked: DataFrame | None = None) -> DataFrame:
@@ -58,7 +65,7 @@ def views(spark, sf_dir, *more: str, radius: float = REACH, asked: DataFrame | N
     return S.radius_join(asked, places, radius).withColumn("raw_min", F.col("d") / C.WALK_SPEED)
 
 
-VIEW_SQL = CLEAN_SQL + f", v AS (SELECT request_id, minutes, b.id, b.seq, b.name, b.category, b.edu_kind, b.transport_kind, b.cat_total, {DIST} AS d, {DIST} / 70.0::DOUBLE AS raw_min FROM request a JOIN clean b ON {DIST} <= {REACH})"
+VIEW_SQL = CLEAN_SQL + f", v AS (SELECT request_id, minutes, b.id, b.seq, b.name, b.category, b.edu_kind, b.transport_kind, b.cat_total, b.x AS px, b.y AS py, {DIST} AS d, {DIST} / 70.0::DOUBLE AS raw_min FROM request a JOIN clean b ON {DIST} <= {REACH})"
 
 
 @query(with_sql("request poi", VIEW_SQL + " SELECT request_id, category, count(*) AS n, round(min(raw_min), 6) AS nearest FROM v GROUP BY 1, 2"))
@@ -81,12 +88,12 @@ def transport_mode(spark, sf_dir):
 
 def merged(spark, sf_dir, category: str) -> DataFrame:
     own = views(spark, sf_dir).where(F.col("category") == category)
-    first = Window.partitionBy("request_id", "merge").orderBy("raw_min", "seq")
+    first = Window.partitionBy("request_id", "merge").orderBy("raw_min", "closed", "seq")
     names = D.poi(spark, sf_dir).where(F.col("category") == category).select("id", P.merge_key(F.col("category"), F.col("name"), F.col("transport_kind"), F.col("id")).alias("key"))
     return own.withColumn("n", F.row_number().over(first)).where("n = 1").select("request_id", "id").join(names, "id").select("request_id", "key", "id")
 
 
-MERGE_SQL = VIEW_SQL + f", m AS (SELECT request_id, key, id, category FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category, key ORDER BY raw_min, seq) AS n FROM (SELECT *, {KEY_SQL} AS key FROM v)) WHERE n = 1)"
+MERGE_SQL = VIEW_SQL + f", m AS (SELECT request_id, key, id, category FROM (SELECT *, row_number() OVER (PARTITION BY request_id, category, key ORDER BY raw_min, {CLOSED_SQL}, seq) AS n FROM (SELECT *, {KEY_SQL} AS key FROM v)) WHERE n = 1)"
 
 
 @query(with_sql("request poi", MERGE_SQL + " SELECT request_id, key, id FROM m WHERE category = 'transport'"))
@@ -101,21 +108,19 @@ def park_merge(spark, sf_dir):
     return merged(spark, sf_dir, "public")
 
 
-@query(
-    with_sql("poi", f", h AS (SELECT id, seq, x, y, {trim_sql("regexp_replace(" + trim_sql('name') + ", '[-－—–].*$', '')")} AS base FROM poi WHERE category = 'health'), near AS (SELECT a.id, b.id AS earlier FROM h a JOIN h b ON a.base = b.base AND a.seq > b.seq AND " + DIST + " < 900), "
-    "s(id, state) USING KEY (id) AS (SELECT id, 'keep' FROM h WHERE id NOT IN (SELECT id FROM near) UNION (SELECT n.id, CASE WHEN bool_or(r.state = 'keep') THEN 'drop' ELSE 'keep' END FROM near n LEFT JOIN recurring.s r ON r.id = n.earlier WHERE n.id NOT IN (SELECT id FROM recurring.s) "
-    "GROUP BY n.id HAVING bool_or(r.state = 'keep') OR count(*) = count(r.state))) SELECT id, base FROM s JOIN h USING (id) WHERE state = 'keep'", recursive=True)
-)
-def clinic_merge(spark, sf_dir):
-    """Departments of one clinic that stand near each other count once, the first in order."""
-    rows = D.poi(spark, sf_dir).where("category = 'health'").select(F.col("id").alias("rid"), text.clinic_base(F.col("name")).alias("base"), "seq", "x", "y")
-    return P.greedy_apart(rows, ["base"], ["seq"], 900.0).select(F.col("rid").alias("id"), "base")
-
-
+BASE_SQL = trim_sql("regexp_replace(" + trim_sql("name") + ", '[-－—–].*$', '')")
 LEAD_SQL = f"CASE category WHEN 'education' THEN CASE WHEN edu_kind = 'kindergarten' THEN 0 WHEN contains(name, '小学') THEN 1 ELSE 2 END WHEN 'transport' THEN CASE WHEN transport_kind = 'metro' THEN 0 ELSE 1 END WHEN 'public' THEN CASE WHEN regexp_matches(name, '{text.PUBLIC_CORE}') THEN 0 ELSE 1 END ELSE 0 END"
-SELECT_SQL = (
-    f"w AS (SELECT *, row_number() OVER (PARTITION BY request_id, category, key ORDER BY raw_min, seq) AS n FROM (SELECT *, {KEY_SQL} AS key FROM {{v}} WHERE raw_min <= minutes)), "
-    f"chosen AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id, category ORDER BY {LEAD_SQL}, CASE WHEN category IN ('education', 'transport', 'public') THEN 0 ELSE raw_min END, raw_min, seq) AS INTEGER) AS rank, "
+CLINIC_SQL = (
+    f"wi AS (SELECT *, {KEY_SQL} AS key, {CLOSED_SQL} AS closed, {BASE_SQL} AS base FROM {{v}} WHERE raw_min <= minutes), "
+    "beside AS (SELECT a.request_id, a.id, b.id AS earlier FROM wi a JOIN wi b ON a.request_id = b.request_id AND a.base = b.base AND a.category = 'health' AND b.category = 'health' "
+    f"AND (a.raw_min > b.raw_min OR a.raw_min = b.raw_min AND (a.closed > b.closed OR a.closed = b.closed AND a.seq > b.seq)) AND (a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py) <= {C.HEALTH_MERGE_M * C.HEALTH_MERGE_M}), "
+    "ward(request_id, id, state) USING KEY (request_id, id) AS (SELECT request_id, id, 'keep' FROM wi WHERE category = 'health' AND (request_id, id) NOT IN (SELECT (request_id, id) FROM beside) "
+    "UNION (SELECT n.request_id, n.id, CASE WHEN bool_or(r.state = 'keep') THEN 'drop' ELSE 'keep' END FROM beside n LEFT JOIN recurring.ward r ON r.request_id = n.request_id AND r.id = n.earlier "
+    "WHERE (n.request_id, n.id) NOT IN (SELECT (request_id, id) FROM recurring.ward) GROUP BY n.request_id, n.id HAVING bool_or(r.state = 'keep') OR count(*) = count(r.state)))"
+)
+SELECT_SQL = CLINIC_SQL + (
+    ", w AS (SELECT wi.*, row_number() OVER (PARTITION BY wi.request_id, category, key ORDER BY raw_min, closed, seq) AS n FROM wi LEFT JOIN ward ON ward.request_id = wi.request_id AND ward.id = wi.id WHERE category <> 'health' OR state = 'keep'), "
+    f"chosen AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id, category ORDER BY {LEAD_SQL}, CASE WHEN category = 'education' THEN closed ELSE 0 END, raw_min, closed, seq) AS INTEGER) AS rank, "
     "CAST(count(*) OVER (PARTITION BY request_id, category) AS INTEGER) AS within_total FROM w WHERE n = 1) WHERE rank <= 20)"
 )
 
@@ -124,6 +129,15 @@ def select_sql(v: str) -> str:
     return SELECT_SQL.replace("{v}", v)
 
 
+@query(with_sql("request poi", VIEW_SQL + ", " + CLINIC_SQL.replace("{v}", "v") + " SELECT ward.request_id, ward.id, wi.base FROM ward JOIN wi ON wi.request_id = ward.request_id AND wi.id = ward.id WHERE state = 'keep'"))
+def clinic_merge(spark, sf_dir):
+    """A clinic's departments within 200 m of one that is kept count once for each request: the first by minutes, open ones
+    before closed ones."""
+    within = views(spark, sf_dir, "name").where("category = 'health' and raw_min <= minutes")
+    some = P.apart_in_order(within.where("clinic is not null"), ["request_id", "clinic"], ["raw_min", "closed", "seq"], C.HEALTH_MERGE_M)
+    return within.where("clinic is null").unionByName(some).select("request_id", "id", text.clinic_base(F.col("name")).alias("base"))
+
+
 @query(with_sql("request poi", VIEW_SQL + ", " + select_sql("v") + " SELECT request_id, category, id, rank, within_total FROM chosen"))
 def rank_select(spark, sf_dir):
     """What is shown: places within the minutes, merged, in their category's order, at most twenty."""
@@ -132,9 +146,11 @@ def rank_select(spark, sf_dir):
 
 COVER_SQL = (
     ", cat(cat_no, category) AS (VALUES " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(C.CATEGORIES)) + "), own AS (SELECT request_id, category, CAST(count(*) AS INTEGER) AS cnt, max(within_total) AS within_count, max(cat_total) AS total, min(raw_min) AS any_min, "
-    "min(raw_min) FILTER (category = 'transport' AND transport_kind = 'metro') AS metro_min FROM chosen GROUP BY 1, 2), "
-    "cover AS (SELECT q.request_id, q.minutes, cat.category, cat_no, coalesce(cnt, 0) AS cnt, coalesce(within_count, 0) AS within_count, coalesce(total, 0) AS total, coalesce(metro_min, any_min) AS nearest_minutes, metro_min IS NOT NULL AS by_metro, "
-    "coalesce(coalesce(metro_min, any_min) <= q.minutes, false) AND (cat.category <> 'convenience' OR coalesce(within_count, 0) >= 3) AS passed FROM request q, cat LEFT JOIN own ON own.request_id = q.request_id AND own.category = cat.category)"
+    "min(raw_min) FILTER (category = 'transport' AND transport_kind = 'metro') AS metro_min, min(raw_min) FILTER (category = 'transport' AND coalesce(transport_kind, 'bus') = 'bus') AS bus_min FROM chosen GROUP BY 1, 2), "
+    "cover AS (SELECT *, CASE category WHEN 'transport' THEN coalesce(metro_min <= minutes, false) OR coalesce(bus_min <= minutes, false) WHEN 'convenience' THEN in_time AND within_count >= 3 ELSE in_time END AS passed, "
+    "CASE WHEN category = 'transport' THEN CASE WHEN metro_min <= minutes THEN 'metro' WHEN bus_min <= minutes THEN 'bus' END END AS mode FROM ("
+    "SELECT *, coalesce(nearest_minutes <= minutes, false) AS in_time FROM (SELECT q.request_id, q.minutes, cat.category, cat_no, coalesce(cnt, 0) AS cnt, coalesce(within_count, 0) AS within_count, coalesce(total, 0) AS total, metro_min, bus_min, "
+    "CASE WHEN cat.category = 'transport' THEN coalesce(metro_min, bus_min) ELSE any_min END AS nearest_minutes FROM request q, cat LEFT JOIN own ON own.request_id = q.request_id AND own.category = cat.category)))"
 )
 
 
@@ -147,10 +163,10 @@ def coverage_counts(spark, sf_dir):
     return straight_cover(spark, sf_dir).select("request_id", "category", "cnt", "within_count", "total")
 
 
-@query(with_sql("request poi", VIEW_SQL + ", " + select_sql("v") + COVER_SQL + " SELECT request_id, category, cnt, round(nearest_minutes, 6) AS nearest_minutes, passed, by_metro FROM cover"))
+@query(with_sql("request poi", VIEW_SQL + ", " + select_sql("v") + COVER_SQL + " SELECT request_id, category, cnt, round(nearest_minutes, 6) AS nearest_minutes, passed, in_time, mode FROM cover"))
 def coverage_full(spark, sf_dir):
     """A row for every category of every request, also where nothing is near."""
-    return straight_cover(spark, sf_dir).select("request_id", "category", "cnt", r6("nearest_minutes").alias("nearest_minutes"), "passed", "by_metro")
+    return straight_cover(spark, sf_dir).select("request_id", "category", "cnt", r6("nearest_minutes").alias("nearest_minutes"), "passed", "in_time", "mode")
 
 
 @query(with_sql("request poi", VIEW_SQL + ", " + select_sql("v") + COVER_SQL + " SELECT category, count(*) FILTER (passed) AS passed, count(*) AS requests FROM cover GROUP BY 1"))
@@ -160,8 +176,8 @@ def category_pass(spark, sf_dir):
 
 
 SCORE_SQL = (
-    ", sums AS (SELECT request_id, any_value(minutes)::DOUBLE AS m, count(*) FILTER (passed) AS p, count(*) FILTER (passed AND category IN ('convenience', 'health', 'education')) AS a, "
-    "avg(coalesce(nearest_minutes, minutes)) FILTER (category IN ('convenience', 'health', 'education')) AS near, max(CASE WHEN category = 'transport' AND coalesce(nearest_minutes <= minutes, false) THEN CASE WHEN by_metro THEN 1.0 ELSE 0.6 END ELSE 0 END)::DOUBLE AS t FROM cover GROUP BY 1)"
+    ", sums AS (SELECT request_id, any_value(minutes)::DOUBLE AS m, count(*) FILTER (in_time) AS p, count(*) FILTER (in_time AND category IN ('convenience', 'health', 'education')) AS a, "
+    "avg(coalesce(nearest_minutes, minutes)) FILTER (category IN ('convenience', 'health', 'education')) AS near, max(CASE mode WHEN 'metro' THEN 1.0 WHEN 'bus' THEN 0.6 ELSE 0 END)::DOUBLE AS t FROM cover GROUP BY 1)"
 )
 POINTS = "0.4::DOUBLE * p / 7 + 0.2::DOUBLE * a / 3 + 0.15::DOUBLE * (1 - least(1.0::DOUBLE, near / m)) + 0.15::DOUBLE * t"
 
@@ -174,22 +190,40 @@ def life_score(spark, sf_dir):
 
 # The flagship: the same over walking costs.
 
-NODE_PAIR_SQL = ", near AS (SELECT p.id, b.nid, sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)) / 70.0::DOUBLE AS rest FROM clean p JOIN lattice_node b ON sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)) <= 250)"
-WALK_SQL = graphs.COST_SQL + VIEW_SQL + NODE_PAIR_SQL + (
-    ", g AS (SELECT request_id, near.id, min(cost_s / 60.0::DOUBLE + rest) AS gm FROM near JOIN cost USING (nid) GROUP BY 1, 2), walk AS (SELECT v.* EXCLUDE (raw_min), coalesce(gm, d / 70.0::DOUBLE) AS raw_min, gm IS NULL AS estimated FROM v LEFT JOIN g USING (request_id, id))"
+NODE_PAIR_SQL = ", near AS (SELECT p.id, b.nid, sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)) AS leg FROM clean p JOIN lattice_node b ON sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)) <= 250)"
+FACE_SQL = (
+    f", green AS ({BOXES_SQL}), face AS (SELECT id, arg_max(box, [(x1 - x0) * (y1 - y0), -box]) AS face FROM clean, green WHERE {BOXD} <= {C.AREA_ATTACH_M} GROUP BY id), "
+    f"face_node AS (SELECT box AS face, nid, greatest({BOXD} - {C.GAP_MERGE_M}, 0) AS leg FROM lattice_node, green WHERE {BOXD} <= {C.AREA_LEG_M + C.GAP_MERGE_M}), "
+    "f AS (SELECT request_id, face, min(cost_s / 60.0::DOUBLE + leg / 70.0::DOUBLE) AS fm FROM face_node JOIN cost USING (nid) GROUP BY 1, 2)"
 )
+WALK_SQL = graphs.COST_SQL + VIEW_SQL + NODE_PAIR_SQL + FACE_SQL + (
+    ", g AS (SELECT request_id, near.id, min(cost_s / 60.0::DOUBLE + leg / 70.0::DOUBLE) FILTER (leg <= 30) AS nm, min(cost_s / 60.0::DOUBLE + leg / 70.0::DOUBLE) FILTER (leg > 30) AS xm FROM near JOIN cost USING (nid) GROUP BY 1, 2), "
+    "reach AS (SELECT v.* EXCLUDE (raw_min), nm, xm, fm, least(nm, xm, fm) AS raw_min FROM v LEFT JOIN g USING (request_id, id) LEFT JOIN face USING (id) LEFT JOIN f USING (request_id, face)), "
+    "walk AS (SELECT * EXCLUDE (nm, xm, fm), raw_min IS NULL AS estimated, coalesce(least(xm, fm) < nm, least(xm, fm) IS NOT NULL) AS edge_arrival, coalesce(raw_min, d / 70.0::DOUBLE) AS shown_min FROM reach)"
+)
+FIXED_SQL = ", fixed AS (SELECT walk.* REPLACE (CASE WHEN measured_min IS NOT NULL AND NOT edge_arrival THEN measured_min ELSE raw_min END AS raw_min) FROM walk LEFT JOIN measured USING (request_id, id))"
+
 
+def green_faces(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(id, face) of places in or beside a green face, and (face, nid, leg) of the nodes around each face, widened by the gap
+    between neighbouring faces."""
+    faces = boxes(spark, sf_dir)
+    area = (F.col("x1_") - F.col("x0_")) * (F.col("y1_") - F.col("y0_"))
+    own = near_boxes(D.poi(spark, sf_dir).select("id", "x", "y"), faces, C.AREA_ATTACH_M).groupBy("id").agg(F.max(F.struct(area.alias("a"), (-F.col("box")).alias("b"))).alias("m"))
+    nodes = near_boxes(D.lattice_nodes(spark, sf_dir).select("nid", "x", "y"), faces, C.AREA_LEG_M + C.GAP_MERGE_M)
+    return own.select("id", (-F.col("m.b")).alias("face")), nodes.select(F.col("box").alias("face"), "nid", F.greatest(F.col("d") - C.GAP_MERGE_M, F.lit(0.0)).alias("leg"))
 
-def walked(spark, sf_dir) -> DataFrame:
-    from footreach.operators.graph import written
 
-    return P.walk_minutes(views(spark, sf_dir), written(graphs.costs_by_start(spark, sf_dir)), D.lattice_nodes(spark, sf_dir))
+def walked(spark, sf_dir, asked: DataFrame | None = None, costs: DataFrame | None = None) -> DataFrame:
+    costs = written(graphs.costs_by_start(spark, sf_dir, asked)) if costs is None else costs
+    return P.walk_minutes(views(spark, sf_dir, asked=asked), costs, D.lattice_nodes(spark, sf_dir), **dict(zip(("faces", "face_nodes"), green_faces(spark, sf_dir), strict=True)))
 
 
-@query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + " SELECT request_id, id, round(raw_min, 6) AS raw_min, estimated FROM walk", recursive=True))
+@query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + " SELECT request_id, id, round(raw_min, 6) AS raw_min, round(shown_min, 6) AS shown_min, estimated, edge_arrival FROM walk"))
 def walk_minutes(spark, sf_dir):
-    """Minutes on foot to each place: over the graph and straight from the last node, or straight all the way."""
-    return walked(spark, sf_dir).select("request_id", "id", r6("raw_min").alias("raw_min"), "estimated")
+    """Minutes on foot to each place: over the graph and straight from the last node, or to the edge of the face it lies in.
+    Where no node near it can be reached there are none, and only what is shown goes by the straight way."""
+    return walked(spark, sf_dir).select("request_id", "id", r6("raw_min").alias("raw_min"), r6("shown_min").alias("shown_min"), "estimated", "edge_arrival")
 
 
 AREA_SQL = ", area AS (SELECT request_id, least(1.0::DOUBLE, count(*) * {cell!r}::DOUBLE / (pi() * 1440000)) AS area_ratio FROM cost GROUP BY 1)".format(cell=100 * D.KX * 100 * D.KY)
@@ -204,7 +238,7 @@ def area_ratios(costs: DataFrame) -> DataFrame:
 
 
 @query(
-    with_sql("request poi lattice_node lattice_edge", WALK_SQL + ", " + select_sql("walk") + COVER_SQL + SCORE_SQL + AREA_SQL + f" SELECT request_id, round(({POINTS} + 0.1::DOUBLE * coalesce(area_ratio, 0)) * 100, 1) AS score, p AS all_passed, a AS anchors_passed FROM sums LEFT JOIN area USING (request_id)", recursive=True)
+    with_sql("request poi lattice_node lattice_edge measured", WALK_SQL + FIXED_SQL + ", " + select_sql("fixed") + COVER_SQL + SCORE_SQL + AREA_SQL + f" SELECT request_id, round(({POINTS} + 0.1::DOUBLE * coalesce(area_ratio, 0)) * 100, 1) AS score, p AS all_passed, a AS anchors_passed FROM sums LEFT JOIN area USING (request_id)")
 )
 def life_circle(spark, sf_dir):
     """From a point and minutes to a score: costs, minutes to places, selection, coverage, score."""
@@ -213,10 +247,8 @@ def life_circle(spark, sf_dir):
 
 def circles(spark, sf_dir, asked: DataFrame) -> DataFrame:
     """The scores of these requests (request_id, minutes, xi, yi, x, y)."""
-    from footreach.operators.graph import written
-
     costs = written(graphs.costs_by_start(spark, sf_dir, asked))
-    walk = P.walk_minutes(views(spark, sf_dir, asked=asked), costs, D.lattice_nodes(spark, sf_dir))
+    walk = P.calibrated(walked(spark, sf_dir, asked, costs), D.measured(spark, sf_dir))
     cover = V.coverage(asked, P.selected(walk), V.category_rows(spark))
     ratios = area_ratios(costs).join(graphs.sources(spark, sf_dir, asked).withColumnRenamed("nid", "start"), "start").select("request_id", "area_ratio")
     return V.score(cover, ratios)
@@ -272,7 +304,7 @@ def sectors(spark, sf_dir) -> DataFrame:
 RATIO = f"round(least(1.0::DOUBLE, cells * {100 * D.KX * 100 * D.KY!r}::DOUBLE / {WEDGE!r}::DOUBLE), 6)"
 
 
-@query(with_sql("request lattice_node lattice_edge", SECTOR_SQL + f" SELECT request_id, direction, cells, {RATIO} AS gap_ratio FROM sec", recursive=True))
+@query(with_sql("request lattice_node lattice_edge", SECTOR_SQL + f" SELECT request_id, direction, cells, {RATIO} AS gap_ratio FROM sec"))
 def sector_gap(spark, sf_dir):
     return sectors(spark, sf_dir)
 
@@ -280,7 +312,7 @@ def sector_gap(spark, sf_dir):
 @query(
     with_sql("request lattice_node lattice_edge", SECTOR_SQL + f", r AS (SELECT request_id, direction, {RATIO} AS g, list_position({D._list(C.DIRECTIONS)}, direction) AS k FROM sec), w AS (SELECT request_id, arg_min(direction, [g, k]) AS worst, min(g) AS g FROM r GROUP BY 1), "
     f"n AS (SELECT *, map {{{', '.join(f"'{k}': '{v}'" for k, v in V.DIRECTION_NAMES.items())}}}[worst] AS cn FROM w) SELECT request_id, worst, CASE WHEN g >= 0.95 THEN '各方向可达性均衡，无明显缺口。' WHEN worst IN ('N', 'S') THEN cn || '被河流+rail切断，需绕桥（达成率 ' || CAST(round(g * 100) AS BIGINT) || '%）。' "
-    "ELSE cn || '方向等时圈缺口最大（达成率 ' || CAST(round(g * 100) AS BIGINT) || '%），建议实地核查阻隔。' END AS worst_text FROM n", recursive=True)
+    "ELSE cn || '方向等时圈缺口最大（达成率 ' || CAST(round(g * 100) AS BIGINT) || '%），建议实地核查阻隔。' END AS worst_text FROM n")
 )
 def worst_sector(spark, sf_dir):
     """The direction with the largest gap, in words."""
@@ -288,7 +320,7 @@ def worst_sector(spark, sf_dir):
     return V.worst_sector(sectors(spark, sf_dir).withColumn("labels", labels))
 
 
-@query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + f", k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM walk WHERE NOT estimated AND raw_min <= minutes) SELECT request_id, round(avg(raw_min / (d / 80.0::DOUBLE)), 6) AS mean, round(max(raw_min / (d / 80.0::DOUBLE)), 6) AS most, count(*) AS places FROM k WHERE n <= 10 AND d > 0 GROUP BY 1", recursive=True))
+@query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + f", k AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY id) AS n FROM walk WHERE NOT estimated AND raw_min <= minutes) SELECT request_id, round(avg(raw_min / (d / 80.0::DOUBLE)), 6) AS mean, round(max(raw_min / (d / 80.0::DOUBLE)), 6) AS most, count(*) AS places FROM k WHERE n <= 10 AND d > 0 GROUP BY 1"))
 def detour_ratio(spark, sf_dir):
     """Minutes on foot over the straight way's, for ten places of each request."""
     ten = walked(spark, sf_dir).where("not estimated and raw_min <= minutes").withColumn("n", F.row_number().over(Window.partitionBy("request_id").orderBy("id"))).where("n <= 10 and d > 0")

@@ -106,7 +106,7 @@ def start_node(spark, sf_dir):
     return near.join(ends, "nid").select("request_id", "nid", r6(F.col("d") / C.WALK_SPEED * 60).alias("detour_s"), "streets", "least")
 
 
-@query(with_sql("request lattice_edge", graphs.COST_SQL + " SELECT request_id, arg_min(nid, [cost_s, nid]) AS nid FROM cost GROUP BY 1", recursive=True))
+@query(with_sql("request lattice_edge", graphs.COST_SQL + " SELECT request_id, arg_min(nid, [cost_s, nid]) AS nid FROM cost GROUP BY 1"))
 def least_cost_node(spark, sf_dir):
     """The node of the least cost, the first of equal ones: the one that the search began at."""
     return graphs.costs(spark, sf_dir).groupBy("request_id").agg(F.min_by("nid", F.struct("cost_s", "nid")).alias("nid"))

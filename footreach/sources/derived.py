@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footreach import config as C
+from footreach.functions import text as T
 
 LNG0, LAT0 = 116.42, 39.86
 #: Metres a unit, east and north.
@@ -52,17 +53,24 @@ def located(df: DataFrame, key: str, spark: SparkSession, sf_dir: str, wide: boo
 
 
 def poi(spark: SparkSession, sf_dir: str, wide: bool = False, spread: bool = False) -> DataFrame:
-    """Places: part keys with a category, a name and, for some kinds, a subtype."""
+    """Places: part keys with a category, a name and, for some kinds, a subtype. Some stand where another of their category
+    does, without a uid, and some are closed."""
     k = F.col("p_partkey")
     category = F.element_at(F.array(*map(F.lit, C.CATEGORIES)), (k % 7 + 1).cast("int"))
     suffix = F.element_at(F.array(*(F.array(*map(F.lit, SUFFIXES[c])) for c in C.CATEGORIES)), (k % 7 + 1).cast("int"))
-    name = F.concat("p_brand", F.element_at(suffix, (F.floor(k / 7) % 4 + 1).cast("int")))
+    name = F.concat("p_brand", F.element_at(suffix, (F.floor(k / 7) % 4 + 1).cast("int")), F.when(k % 17 == 5, T.CLOSED).otherwise(""))
     rows = table(spark, sf_dir, "part").select(
         k.alias("id"), F.when(k % 5 != 0, F.concat(F.lit("u"), (k % 1777).cast("string"))).alias("uid"), k.alias("seq"), category.alias("category"), name.alias("name"),
         F.when(k % 7 == 3, F.when(F.floor(k / 7) % 4 == 0, "kindergarten").otherwise("school")).alias("edu_kind"), F.when(k % 7 == 6, F.when(k % 3 == 0, "metro").otherwise("bus")).alias("transport_kind"),
-        F.when(k % 11 == 0, "购物;商铺").when(k % 13 == 0, "旅游景点;公园").alias("tag"),
+        F.when(k % 11 == 0, "购物;商铺").when(k % 13 == 0, "旅游景点;公园").alias("tag"), F.when((k % 35 == 0) & (k > 28), k - 28).otherwise(k).alias("spot"),
     )
-    return located(rows, "id", spark, sf_dir, wide, spread)
+    return located(rows, "spot", spark, sf_dir, wide, spread).drop("spot")
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes that a routing service has measured for some requests and places: a customer's orders of a part."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return lines.groupBy(F.col("o_custkey").alias("request_id"), F.col("l_partkey").alias("id")).agg(F.min(1 + F.col("l_quantity") % 20).alias("measured_min"))
 
 
 def community(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
@@ -127,11 +135,12 @@ def _located_sql(inner: str, key: str, wide: bool = False, spread: bool = False)
 
 _POI = (
     "SELECT p_partkey AS id, CASE WHEN p_partkey % 5 <> 0 THEN 'u' || (p_partkey % 1777) END AS uid, p_partkey AS seq, "
-    f"{_list(C.CATEGORIES)}[p_partkey % 7 + 1] AS category, p_brand || (CASE p_partkey % 7 {' '.join(f'WHEN {i} THEN {_list(SUFFIXES[c])}' for i, c in enumerate(C.CATEGORIES))} END)[(p_partkey // 7) % 4 + 1] AS name, "
+    f"{_list(C.CATEGORIES)}[p_partkey % 7 + 1] AS category, p_brand || (CASE p_partkey % 7 {' '.join(f'WHEN {i} THEN {_list(SUFFIXES[c])}' for i, c in enumerate(C.CATEGORIES))} END)[(p_partkey // 7) % 4 + 1] || CASE WHEN p_partkey % 17 = 5 THEN '已关闭' ELSE '' END AS name, "
     "CASE WHEN p_partkey % 7 = 3 THEN CASE WHEN (p_partkey // 7) % 4 = 0 THEN 'kindergarten' ELSE 'school' END END AS edu_kind, "
     "CASE WHEN p_partkey % 7 = 6 THEN CASE WHEN p_partkey % 3 = 0 THEN 'metro' ELSE 'bus' END END AS transport_kind, "
-    "CASE WHEN p_partkey % 11 = 0 THEN '购物;商铺' WHEN p_partkey % 13 = 0 THEN '旅游景点;公园' END AS tag FROM part"
+    "CASE WHEN p_partkey % 11 = 0 THEN '购物;商铺' WHEN p_partkey % 13 = 0 THEN '旅游景点;公园' END AS tag, CASE WHEN p_partkey % 35 = 0 AND p_partkey > 28 THEN p_partkey - 28 ELSE p_partkey END AS spot FROM part"
 )
+_MEASURED = "SELECT o_custkey AS request_id, l_partkey AS id, min(1 + l_quantity % 20)::DOUBLE AS measured_min FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2"
 _COMMUNITY = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS district, c_acctbal AS sale_avg FROM customer"
 _REQUEST = "SELECT c_custkey AS request_id, {m} AS minutes FROM customer"
 _TOWN = f"SELECT CAST(greatest(1, ceil(sqrt(count(*) / {PLACES}.0))) AS BIGINT) AS s FROM part"
@@ -143,7 +152,7 @@ _EDGES = (
 )
 
 SQL = {
-    "town": _TOWN, "poi": _located_sql(_POI, "id"), "poi_wide": _located_sql(_POI, "id", True), "poi_spread": _located_sql(_POI, "id", spread=True), "request_spread": _located_sql(_REQUEST.format(m="15"), "request_id", spread=True), "community": _located_sql(_COMMUNITY, "id"), "community_wide": _located_sql(_COMMUNITY, "id", True),
+    "town": _TOWN, "poi": _located_sql(_POI, "spot"), "poi_wide": _located_sql(_POI, "spot", True), "poi_spread": _located_sql(_POI, "spot", spread=True), "measured": _MEASURED, "request_spread": _located_sql(_REQUEST.format(m="15"), "request_id", spread=True), "community": _located_sql(_COMMUNITY, "id"), "community_wide": _located_sql(_COMMUNITY, "id", True),
     "request": _located_sql(_REQUEST.format(m="15"), "request_id"), "request_wide": _located_sql(_REQUEST.format(m="15"), "request_id", True),
     "request_varied": _located_sql(_REQUEST.format(m="CAST(5 + c_custkey % 26 AS INTEGER)"), "request_id"), "lattice_node": _NODES, "lattice_edge": _EDGES,
     "hub": _located_sql("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'metro' ELSE 'bus' END AS kind FROM supplier", "id"),
@@ -151,8 +160,8 @@ SQL = {
 }
 
 
-def with_sql(names: str, rest: str, recursive: bool = False) -> str:
+def with_sql(names: str, rest: str) -> str:
     """A query over derived tables: their common table expressions, then `rest`, which may begin with more of them."""
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in ["town", *names.split()])
     more = rest.strip()
-    return f"WITH {'RECURSIVE ' if recursive else ''}{head}" + (f", {more[1:]}" if more.startswith(",") else f" {more}")
+    return f"WITH RECURSIVE {head}" + (f", {more[1:]}" if more.startswith(",") else f" {more}")
