@@ -243,7 +243,7 @@ def divergences(docs: DataFrame, min_docs: int = 3, top: int = 200, shard_terms:
     counts = term_counts(rows).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     kept = counts.select("lang", "term", "source", "count", F.sum("docs").over(of_term).alias("docs"), F.sum("count").over(of_term).alias("total"), F.min("source").over(of_term).alias("least"))
-    kept = materialize(by_core(kept.where(F.col("docs") >= min_docs).select("lang", "term", "source", "count", "total", (F.col("source") == F.col("least")).cast("long").alias("fresh"))))
+    kept = materialize(kept.where(F.col("docs") >= min_docs).select("lang", "term", "source", "count", "total", (F.col("source") == F.col("least")).cast("long").alias("fresh")))
 
     # totals of each source and language; a source without kept terms has none
     own = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.sum("fresh").alias("fresh"))
