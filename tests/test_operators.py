@@ -277,7 +277,7 @@ def test_outlines(spark, seed):
         assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in turns) and [s.area for s in stats if s.grp == r.grp and s.ring == r.ring] == [area]
 
 
-SELECT = "request_id long, minutes int, id long, seq long, name string, category string, edu_kind string, transport_kind string, cat_total int, raw_min double"
+SELECT = "request_id long, minutes int, id long, seq long, name string, category string, edu_kind string, transport_kind string, cat_total int, raw_min double, x double, y double"
 
 
 def test_selection_orders(spark):
@@ -288,14 +288,14 @@ def test_selection_orders(spark):
         (1, 15, 11, 11, "便利店(已关闭)", "convenience", None, None, 9, 1.0), (1, 15, 12, 12, "便利店", "convenience", None, None, 9, 1.0),
     ]
     got = {}
-    for r in poi.selected(poi.ranked_traits(spark.createDataFrame(rows, SELECT))).orderBy("category", "rank").collect():
+    for r in poi.selected(poi.ranked_traits(spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], SELECT)).withColumns({"x2": F.col("x"), "y2": F.col("y")})).orderBy("category", "rank").collect():
         got.setdefault(r.category, []).append(r.id)
     assert got == {"convenience": [12, 11], "education": [2, 1, 3], "public": [10, 8], "transport": [7, 5]}
 
 
 def test_cap_and_total(spark):
     rows = [(1, 15, i, i, f"店{i}", "leisure", None, None, 50, float(i % 15)) for i in range(1, 31)]
-    out = poi.selected(poi.ranked_traits(spark.createDataFrame(rows, SELECT))).collect()
+    out = poi.selected(poi.ranked_traits(spark.createDataFrame([(*r, 0.0, 0.0) for r in rows], SELECT)).withColumns({"x2": F.col("x"), "y2": F.col("y")})).collect()
     assert len(out) == 20 and {r.within_total for r in out} == {30}
 
 
@@ -305,13 +305,6 @@ def cover(spark, chosen):
     return coverage.coverage(asked, spark.createDataFrame(chosen, "request_id long, category string, transport_kind string, raw_min double, within_total int, cat_total int"), cats)
 
 
-@pytest.mark.parametrize(("metro", "bus", "want"), [(4.0, 22.0, (4.0, True, True)), (None, 14.0, (14.0, True, False)), (28.0, 35.0, (28.0, False, True)), (28.0, 3.0, (28.0, False, True))])
-def test_ticket(spark, metro, bus, want):
-    rows = [(1, "transport", k, m, 2, 2) for k, m in (("metro", metro), ("bus", bus)) if m is not None]
-    r = cover(spark, rows).where("category = 'transport'").first()
-    assert (r.nearest_minutes, r.passed, r.by_metro) == want
-
-
 def test_coverage_has_all_categories_and_score_is_bounded(spark):
     empty = cover(spark, [])
     assert empty.count() == 7 and empty.where("passed or cnt > 0 or nearest_minutes is not null").count() == 0
