@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,59 +34,87 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return arcs.where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
-class Arcs:
-    """A graph as sorted arrays; a worker makes its lists of neighbours once."""
-
-    def __init__(self, u: np.ndarray, v: np.ndarray, w: np.ndarray):
-        self.nodes = np.unique(np.concatenate((u, v)))
-        order = np.argsort(u, kind="stable")
-        self.starts = np.append(np.searchsorted(u[order], self.nodes), len(u))
-        self.to, self.weight = np.searchsorted(self.nodes, v[order]), w[order]
-
-    @cached_property
-    def neighbours(self) -> list[list[tuple[int, float]]]:
-        arcs = list(zip(self.to.tolist(), self.weight.tolist(), strict=True))
-        return [arcs[a:b] for a, b in itertools.pairwise(self.starts.tolist())]
-
-    def within(self, node: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
-        """The nodes within the cutoff of a node, and their costs. A node without arcs reaches itself."""
-        at = int(np.searchsorted(self.nodes, node))
-        if at == len(self.nodes) or self.nodes[at] != node:
-            return np.array([node], np.int64), np.zeros(1)
-        best, queue, neighbours = {at: 0.0}, [(0.0, at)], self.neighbours
-        while queue:
-            cost, k = heapq.heappop(queue)
-            if cost > best[k]:
-                continue
-            for m, w in neighbours[k]:
-                new = cost + w
-                if new <= cutoff and new < best.get(m, np.inf):
-                    best[m] = new
-                    heapq.heappush(queue, (new, m))
-        return self.nodes[list(best)], np.array(list(best.values()))
-
-
-def costs_by_heap(sources: DataFrame, arcs: DataFrame, cutoff: float, rows: int = 20_000) -> DataFrame:
-    """Each source's search runs in a task, over arrays of the whole graph. For graphs of a checked size only."""
-    own = arcs.toPandas()
-    sent = sources.sparkSession.sparkContext.broadcast(Arcs(own.u.to_numpy(), own.v.to_numpy(), own.w.to_numpy()))
+def local_costs(starts: np.ndarray, arcs: tuple[np.ndarray, np.ndarray, np.ndarray], cutoff: float, cells: int = 1 << 22) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, node, cost) of all nodes within the cutoff of each start, by arcs (u, v, w), for some starts at a time.
+
+    All starts relax together: a round takes every pair of start and node whose cost has just improved along its arcs, until
+    none improves. `cells` bounds the table of starts by nodes. A start without arcs reaches itself."""
+    u, v, w = arcs
+    nodes = np.unique(np.concatenate([u, v, starts]))
+    order = np.argsort(u, kind="stable")
+    first = np.searchsorted(u[order], np.append(nodes, nodes[-1] + 1) if len(nodes) else nodes)
+    to, weight = np.searchsorted(nodes, v[order]), w[order].astype(np.float64)
+    size = len(nodes)
+    for some in np.array_split(starts, max(1, -(-len(starts) * size // cells))):
+        best = np.full(len(some) * size, np.inf)
+        front = np.arange(len(some)) * size + np.searchsorted(nodes, some)
+        best[front] = 0.0
+        while len(front):
+            at = front % size
+            many = first[at + 1] - first[at]
+            i = np.repeat(np.arange(len(front)), many)
+            arc = np.arange(len(i)) + np.repeat(first[at] - (np.cumsum(many) - many), many)
+            key, cost = (front - at)[i] + to[arc], best[front][i] + weight[arc]
+            better = (cost <= cutoff) & (cost < best[key])
+            key, cost = key[better], cost[better]
+            np.minimum.at(best, key, cost)
+            front = np.unique(key)
+        found = np.flatnonzero(np.isfinite(best))
+        yield some[found // size], nodes[found % size], best[found]
+
+
+def costs_by_tiles(sources: DataFrame, arcs: DataFrame, nodes: DataFrame, cutoff: float, tile_m: float | None = None) -> DataFrame:
+    """(request_id, nid, cost_s) by searches inside tiles. No task sees more of the graph than a tile and its margin.
+
+    What a search can reach lies no farther, straight, than the cutoff times the graph's largest speed. Each tile gets the
+    arcs inside it and that far around it, so a source's search in its own tile is whole. A tile is twice the margin wide
+    unless told, which sends an arc to about four tiles; tiles without sources get nothing. Sources at one node share a
+    search. nodes: (nid, x, y) in metres, of all ends of arcs and all sources."""
+    place = lambda k: nodes.select(F.col("nid").alias(k), F.col("x").alias(f"x_{k}"), F.col("y").alias(f"y_{k}"))
+    placed = arcs.join(place("u"), "u").join(place("v"), "v")
+    metres = F.sqrt(F.pow(F.col("x_u") - F.col("x_v"), F.lit(2.0)) + F.pow(F.col("y_u") - F.col("y_v"), F.lit(2.0)))
+    speed = placed.agg(F.max(F.when(metres > 0, metres / F.col("w").cast("double")))).first()[0] or 0.0
+    margin = cutoff * speed * (1 + 1e-9) + 1.0  # a little more, as sums are rounded
+    if not np.isfinite(margin):
+        raise ValueError("an arc that takes no time has two ends: what it reaches has no bound")
+    size = tile_m or 2 * margin
+    starts = sources.select("nid").distinct().join(nodes.select("nid", "x", "y"), "nid").select("nid", F.floor(F.col("x") / size).alias("tx"), F.floor(F.col("y") / size).alias("ty"))
+    # tiles whose margin holds both ends
+    span = lambda c: F.explode(F.sequence(F.floor((F.greatest(f"{c}_u", f"{c}_v") - margin) / size), F.floor((F.least(f"{c}_u", f"{c}_v") + margin) / size)))
+    inside = lambda c: F.greatest(f"{c}_u", f"{c}_v") - F.least(f"{c}_u", f"{c}_v") <= 2 * margin
+    around = placed.where(inside("x") & inside("y")).withColumn("tx", span("x")).withColumn("ty", span("y"))
+    around = around.join(starts.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi")
+    rows = around.select("tx", "ty", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), F.col("w").cast("double").alias("w")).unionByName(starts.select("tx", "ty", F.col("nid").cast("long").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("w")))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = sent.value
-        names = ["request_id", "nid", "cost_s"]
-        parts, size = [], 0
+        """Rows by tile, arcs first, then sources (v null)."""
+        tile, parts = None, []
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            if parts:
+                table = pa.Table.from_batches(parts)
+                ends = table.column("v").is_null().to_numpy()
+                u, v, w = (table.column(c).to_numpy() for c in ("u", "v", "w"))
+                for found in local_costs(u[ends], (u[~ends], v[~ends].astype(np.int64), w[~ends]), cutoff):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["start", "nid", "cost_s"])
+            parts.clear()
+
         for batch in batches:
-            for request, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes, costs = graph.within(node, cutoff)
-                parts.append((np.full(len(nodes), request, np.int64), nodes, costs))
-                size += len(nodes)
-                if size >= rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
-                    parts, size = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
+            if not batch.num_rows:
+                continue
+            tx, ty = (batch.column(c).to_numpy() for c in ("tx", "ty"))
+            cuts = [0, *(np.flatnonzero((tx[1:] != tx[:-1]) | (ty[1:] != ty[:-1])) + 1).tolist(), len(tx)]
+            for a, b in itertools.pairwise(cuts):
+                if (own := (tx[a], ty[a])) != tile:
+                    yield from answers()
+                    tile = own
+                parts.append(batch.slice(a, b - a))
+        yield from answers()
 
-    return sources.select(F.col("request_id").cast("long"), F.col("nid").cast("long")).mapInArrow(search, "request_id long, nid long, cost_s double")
+    # a search takes far longer than its rows are long: tiles are spread by number
+    own = rows.repartition(4 * sources.sparkSession.sparkContext.defaultParallelism, "tx", "ty").sortWithinPartitions("tx", "ty", F.col("v").asc_nulls_last())
+    found = own.mapInArrow(search, "start long, nid long, cost_s double")
+    return sources.select("request_id", F.col("nid").cast("long").alias("start")).join(found, "start").select("request_id", "nid", "cost_s")
 
 
 def costs_by_frontier(sources: DataFrame, arcs: DataFrame, cutoff: float, rounds: int = 10_000) -> DataFrame:
@@ -106,14 +132,11 @@ def costs_by_frontier(sources: DataFrame, arcs: DataFrame, cutoff: float, rounds
     raise RuntimeError(f"costs have not settled in {rounds} rounds")
 
 
-def costs_within(sources: DataFrame, edges: DataFrame, cutoff: float, heap_arcs: int = 2_000_000) -> DataFrame:
+def costs_within(sources: DataFrame, edges: DataFrame, cutoff: float, nodes: DataFrame | None = None) -> DataFrame:
     """(request_id, nid, cost_s) of all nodes within the cutoff of each source (request_id, nid); a node that has no
-    row cannot be reached. Graphs of at most `heap_arcs` arcs are searched in tasks, larger ones in rounds."""
+    row cannot be reached. With the nodes' places the graph is searched tile by tile, else in rounds of joins."""
     arcs = both_ways(edges)
-    if arcs.count() <= heap_arcs:
-        # a search takes far longer than its row is long: rows are spread by number, not by size
-        return costs_by_heap(sources.repartition(4 * edges.sparkSession.sparkContext.defaultParallelism), arcs, cutoff)
-    return costs_by_frontier(sources, written(arcs), cutoff)
+    return costs_by_frontier(sources, written(arcs), cutoff) if nodes is None else costs_by_tiles(sources, arcs, nodes, cutoff)
 
 
 def reachable_edges(costs: DataFrame, edges: DataFrame) -> DataFrame:

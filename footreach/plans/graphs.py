@@ -31,7 +31,7 @@ def sources(spark, sf_dir, asked: DataFrame | None = None) -> DataFrame:
 def costs_by_start(spark, sf_dir, asked: DataFrame | None = None) -> DataFrame:
     """(start, nid, cost_s) from each node at which a request begins."""
     starts = sources(spark, sf_dir, asked).select("nid").distinct().select(F.col("nid").alias("request_id"), "nid")
-    return G.costs_within(starts, D.lattice_edges(spark, sf_dir), CUTOFF).withColumnRenamed("request_id", "start")
+    return G.costs_within(starts, D.lattice_edges(spark, sf_dir), CUTOFF, D.lattice_nodes(spark, sf_dir)).withColumnRenamed("request_id", "start")
 
 
 def costs(spark, sf_dir) -> DataFrame:

@@ -172,17 +172,44 @@ def dijkstra(edges, start, cutoff):
     return best
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_costs(spark, limit):
+@pytest.mark.parametrize("by_tiles", [True, False])
+def test_costs(spark, by_tiles):
     edges = lattice(random.Random(5))
-    sources = [(1, 0), (2, 24), (3, 48), (4, 999)]
-    rows = graph.costs_within(spark.createDataFrame(sources, "request_id long, nid long"), spark.createDataFrame([*edges, (3, 3, 1.0), *edges[:3]], "u long, v long, w double"), 15.0, heap_arcs=limit).collect()
+    sources = [(1, 0), (2, 24), (3, 48), (4, 999), (5, 24)]
+    nodes = spark.createDataFrame([*((k, k // 7 * 10.0, k % 7 * 10.0) for k in range(49)), (999, 5000.0, -70.0)], "nid long, x double, y double")
+    rows = graph.costs_within(spark.createDataFrame(sources, "request_id long, nid long"), spark.createDataFrame([*edges, (3, 3, 1.0), *edges[:3]], "u long, v long, w double"), 15.0, nodes if by_tiles else None).collect()
     got = {}
     for r in rows:
         got.setdefault(r.request_id, {})[r.nid] = r.cost_s
     assert got == {k: dijkstra(edges, s, 15.0) for k, s in sources}
 
 
+@pytest.mark.parametrize("tile", [None, 37.0, 400.0])
+def test_costs_over_many_tiles(spark, tile):
+    rng = random.Random(11)
+    at = [(k, rng.uniform(-900, 900), rng.uniform(-900, 900)) for k in range(500)]
+    edges = [(i, j, math.hypot(x - u, y - v) / rng.uniform(1.0, 1.5)) for i, x, y in at for j, u, v in at if i < j and math.hypot(x - u, y - v) < 90]
+    sources = [(k, rng.randrange(500)) for k in range(40)]
+    arcs = graph.both_ways(spark.createDataFrame(edges, "u long, v long, w double"))
+    got = {}
+    for r in graph.costs_by_tiles(spark.createDataFrame(sources, "request_id long, nid long"), arcs, spark.createDataFrame(at, "nid long, x double, y double"), 180.0, tile).collect():
+        got.setdefault(r.request_id, {})[r.nid] = r.cost_s
+    assert got == {k: dijkstra(edges, s, 180.0) for k, s in sources}
+
+
+def test_searches_in_bounded_tables():
+    import numpy as np
+
+    edges = lattice(random.Random(5))
+    arcs = tuple(np.array(c) for c in zip(*(e for u, v, w in edges for e in ((u, v, w), (v, u, w)))))
+    for cells in (1, 100, 10**6):
+        got = {}
+        for start, node, cost in graph.local_costs(np.array([0, 24, 48, 999]), arcs, 15.0, cells):
+            for a, b, c in zip(start.tolist(), node.tolist(), cost.tolist()):
+                got.setdefault(a, {})[b] = c
+        assert got == {s: dijkstra(edges, s, 15.0) for s in (0, 24, 48, 999)}
+
+
 def test_layers_are_nested(spark):
     edges = lattice(random.Random(6), blocked=0.1)
     costs = dijkstra(edges, 24, 20.0)
