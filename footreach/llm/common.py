@@ -48,11 +48,15 @@ def by_core(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Removes the files of a table that materialize() has returned, once nothing reads it any more."""
+    """Removes the files of a table that materialize() has returned, once nothing reads it any more.
+
+    Shuffles and broadcasts of the plans behind it stay on the executors' disks and in the driver until the driver's garbage
+    is collected, which in a loop of small jobs may be late: it is asked for."""
     spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark._jvm.System.gc()
 
 
 def held(df: DataFrame) -> DataFrame:
