@@ -94,8 +94,8 @@ def costs_by_tiles(sources: DataFrame, arcs: DataFrame, nodes: DataFrame, cutoff
             if parts:
                 table = pa.Table.from_batches(parts)
                 ends = table.column("v").is_null().to_numpy()
-                u, v, w = (table.column(c).to_numpy() for c in ("u", "v", "w"))
-                for found in local_costs(u[ends], (u[~ends], v[~ends].astype(np.int64), w[~ends]), cutoff):
+                u, v, w = (table.column(c).fill_null(0).to_numpy() for c in ("u", "v", "w"))
+                for found in local_costs(u[ends], (u[~ends], v[~ends], w[~ends]), cutoff):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["start", "nid", "cost_s"])
             parts.clear()
 

@@ -187,9 +187,9 @@ def test_costs(spark, by_tiles):
 @pytest.mark.parametrize("tile", [None, 37.0, 400.0])
 def test_costs_over_many_tiles(spark, tile):
     rng = random.Random(11)
-    at = [(k, rng.uniform(-900, 900), rng.uniform(-900, 900)) for k in range(500)]
+    at = [((1 << 60) + k, rng.uniform(-900, 900), rng.uniform(-900, 900)) for k in range(500)]  # ids that no float holds
     edges = [(i, j, math.hypot(x - u, y - v) / rng.uniform(1.0, 1.5)) for i, x, y in at for j, u, v in at if i < j and math.hypot(x - u, y - v) < 90]
-    sources = [(k, rng.randrange(500)) for k in range(40)]
+    sources = [(k, (1 << 60) + rng.randrange(500)) for k in range(40)]
     arcs = graph.both_ways(spark.createDataFrame(edges, "u long, v long, w double"))
     got = {}
     for r in graph.costs_by_tiles(spark.createDataFrame(sources, "request_id long, nid long"), arcs, spark.createDataFrame(at, "nid long, x double, y double"), 180.0, tile).collect():
