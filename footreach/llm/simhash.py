@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footreach.llm.common import arrow_schema, by_core, connected_components, extended, held, slices, with_columns
+from footreach.llm.common import LocalComponents, arrow_schema, by_core, connected_components, extended, held, slices, with_columns
 
 SEED = 42
 
@@ -81,28 +81,6 @@ def fingerprints_of(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
 
 
-class LocalComponents:
-    """Union-find over positions 0..n-1 whose links come in arrays."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.parent[self.parent]
-            if np.array_equal(up, self.parent):
-                return up
-            self.parent = up
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            roots = self.roots()
-            a, b = roots[a], roots[b]
-            open_ = a != b
-            a, b = a[open_], b[open_]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def tile_links(fps: np.ndarray, radius: int, tile: int = 512, left: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (a, b) among fps (uint64, sorted by population count), or between fps[:left] and the rest."""
     n = len(fps)
