@@ -8,7 +8,8 @@ group with p lies from one with q at a term by floor((p - q) * (p - q) / q). All
 How it runs:
 1. Tasks count terms by (lang, source) in maps of bounded size; only counts are shuffled. Kept counts are written.
 2. Terms are cut into shards by hash, sources into tiles, and (language, two tiles, shard) is a key: its rows are the
-   counts of both tiles' sources, after header rows with every source's totals, those without kept terms too.
+   counts of both tiles' sources, after header rows with every source's totals, those without kept terms too, and
+   the number of the shard's terms, as those that neither tile has count as well.
 3. A task reads the terms of a key block by block, sets up dense int64 tiles of sources by terms, and broadcasts all
    pairs of sources per block. Blocks add up to one partial matrix of pairs per key, and each source keeps a heap of its
    `top` terms.
@@ -97,31 +98,32 @@ class Tile:
 
     CELLS = 1 << 20  #: numbers of a broadcast block
 
-    def __init__(self, top: int):
-        self.top = top
-        self.sides: tuple[list[str], list[str]] = ([], [])  #: sources; a tile beside itself has the first side only
+    def __init__(self, top: int, alone: bool):
+        self.top, self.alone = top, alone
+        self.sides: tuple[list[str], list[str]] = ([], [])  #: sources; a tile beside itself (alone) has the first side only
         self.totals: tuple[list[int], list[int]] = ([], [])
-        self.kept = self.all = 0
+        self.kept = self.all = self.terms = self.seen = 0  #: terms: of the shard, those that no source of the two tiles has too
         self.pairs: np.ndarray | None = None
         self.heaps: list[tuple[np.ndarray, np.ndarray]] = []
 
     def headers(self, rows: pa.Table) -> None:
-        for side, source, total, kept, all_ in zip(*(rows.column(c).to_pylist() for c in ("side", "source", "total", "kept", "all")), strict=True):
+        for side, source, self.terms, total, kept, all_ in zip(*(rows.column(c).to_pylist() for c in ("side", "source", "count", "total", "kept", "all")), strict=True):
             self.sides[side].append(source)
             self.totals[side].append(total)
             self.kept, self.all = kept, all_
 
     def add(self, rows: pa.Table, term: np.ndarray, names: np.ndarray) -> None:
         """A block of rows: numbers of their terms from 0, and the terms' names."""
+        self.seen += len(names)
         count, total, side = (rows.column(c).to_numpy() for c in ("count", "total", "side"))
         shares = []
-        for s in (0, 1) if self.sides[1] else (0,):
+        for s in (0,) if self.alone else (0, 1):
             own = np.flatnonzero(side == s)
             source = pc.index_in(rows.column("source").take(pa.array(own)), pa.array(self.sides[s], pa.string())).to_numpy()
             dense = np.zeros((len(self.sides[s]), len(names)), np.int64)
             dense[source, term[own]] = count[own]
             shares.append(share(dense, np.array(self.totals[s], np.int64)[:, None], np.int64(self.kept)))
-            if not self.sides[1]:
+            if self.alone:
                 whole = np.zeros(len(names), np.int64)
                 whole[term] = total
                 self.best(names, dense, shares[0], share(whole, np.int64(self.all), np.int64(self.kept)))
@@ -154,9 +156,12 @@ class Tile:
 
     def result(self, lang: str) -> pa.RecordBatch:
         """(lang, source, part, item, value) of this key."""
-        left, right = np.array(self.sides[0], object), np.array(self.sides[1] or self.sides[0], object)
+        left, right = np.array(self.sides[0], object), np.array(self.sides[0 if self.alone else 1], object)
         if self.pairs is None:
             self.pairs = np.zeros((len(left), len(right)), np.int64)
+        if self.terms > self.seen:
+            p, q = (share(np.zeros(len(t), np.int64), np.array(t, np.int64), np.int64(self.kept)) for t in (self.totals[0], self.totals[0 if self.alone else 1]))
+            self.pairs += (self.terms - self.seen) * apart(p[:, None], q[None, :])
         a, b = np.nonzero(left[:, None] != right[None, :])
         source, item, value = [left[a]], [right[b]], [self.pairs[a, b]]
         part = ["pair"] * len(a)
@@ -190,7 +195,7 @@ def compare_tiles(top: int, block_terms: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: list | None = None
-        tile = Tile(top)
+        tile = Tile(top, True)
 
         def take(some: pa.Table) -> Iterator[pa.RecordBatch]:
             """Rows that end with a term's last one."""
@@ -201,7 +206,7 @@ def compare_tiles(top: int, block_terms: int):
                 if (own := [run.column(c)[0].as_py() for c in KEY]) != key:
                     if key is not None:
                         yield tile.result(key[0])
-                    key, tile = own, Tile(top)
+                    key, tile = own, Tile(top, own[1] == own[2])
                 heads = run.column("term").null_count
                 tile.headers(run.slice(0, heads))
                 body = run.slice(heads)
@@ -260,10 +265,12 @@ def divergences(docs: DataFrame, min_docs: int = 3, top: int = 200, shard_terms:
         ends = F.concat(F.transform(t, lambda x: F.struct(one, own.alias("ta"), x.alias("tb"))), F.transform(F.filter(t, lambda x: x != own), lambda x: F.struct(two, x.alias("ta"), own.alias("tb"))))
         return df.withColumn("x", F.explode(ends)).select("*", "x.side", "x.ta", "x.tb").drop("x")
 
-    headers = paired(sources).withColumn("shard", F.explode(copies(F.col("shards"))))
-    headers = headers.select(*KEY, F.lit(None).cast("string").alias("term"), "side", "source", F.lit(None).cast("long").alias("count"), F.col("n").alias("total"), "kept", "all")
+    shard = F.pmod(F.xxhash64("term"), F.col("shards")).alias("shard")
+    terms = kept.where("fresh = 1").join(langs.select("lang", "shards"), "lang").groupBy("lang", shard).agg(F.count("*").alias("terms"))
+    headers = paired(sources).withColumn("shard", F.explode(copies(F.col("shards")))).join(terms, ["lang", "shard"], "left")
+    headers = headers.select(*KEY, F.lit(None).cast("string").alias("term"), "side", "source", F.coalesce("terms", F.lit(0)).alias("count"), F.col("n").alias("total"), "kept", "all")
     known = kept.join(sources.select("lang", "source", "tile", "tiles", "shards"), ["lang", "source"])
-    cells = paired(known.withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards"))))
+    cells = paired(known.withColumn("shard", shard))
     none = F.lit(None).cast("long")
     cells = cells.select(*KEY, "term", "side", "source", "count", "total", none.alias("kept"), none.alias("all"))
     both = headers.unionByName(cells).repartition(*KEY).sortWithinPartitions(*KEY, F.col("term").asc_nulls_first())
