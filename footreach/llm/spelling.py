@@ -48,7 +48,8 @@ def runs_of(text: str) -> Iterator[list[bytes]]:
         folded = text[at:end].encode("latin-1", "replace").translate(FOLD)
         if end < whole:
             cut = folded.rfind(b" ")
-            if cut < 0:  # one run longer than a chunk: it is taken to its end
+            if cut <= 0:  # one run longer than a chunk: it is taken to its end
+                cut = -1
                 step = CHUNK_BYTES
                 while end < whole and cut < 0:
                     more = text[end : end + step].encode("latin-1", "replace").translate(FOLD)
