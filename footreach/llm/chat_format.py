@@ -5,7 +5,7 @@ A conversation becomes one string. Each turn is
     <s>[role] text</s>
 
 with `&` as the start of an escape. The parser cuts the string at every `</s>`, and a piece into role and text at
-its first `] `; then it undoes the escapes `&s;` (for `<s>`), `&e;` (for `</s>`), `&b;` (for `]`) and `&a;` (for
+its first `] `; a piece with a second `<s>` is no turn, so that no text can open a turn of its own. Then it undoes the escapes `&s;` (for `<s>`), `&e;` (for `</s>`), `&b;` (for `]`) and `&a;` (for
 `&`). Each turn is first rendered as it stands, then parsed; a turn that does not come back identical has its
 control strings and `&` escaped, which is minimal, and one that still does not has every `<`, `>`, `]` and `&`
 escaped (`&l;` and `&g;` beside those above). The result tells the level of each turn, and is checked again as a whole.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BEGIN, END, ROLE_END = "<s>[", "</s>", "] "
+OPEN, BEGIN, END, ROLE_END = "<s>", "<s>[", "</s>", "] "
 LOSS_ROLE = "assistant"
 
 
@@ -56,7 +56,7 @@ def parsed(formatted: F.Column) -> F.Column:
         body = F.substr(piece, F.lit(len(BEGIN) + 1))
         at = F.instr(body, ROLE_END)
         role, text = F.substr(body, F.lit(1), at - 1), F.substr(body, at + len(ROLE_END))
-        ok = F.startswith(piece, F.lit(BEGIN)) & (at > 0)
+        ok = F.startswith(piece, F.lit(BEGIN)) & (at > 0) & ~F.contains(body, F.lit(OPEN))
         return F.struct(F.when(ok, unescaped(role)).alias("role"), F.when(ok, unescaped(text)).alias("text"))
 
     return F.transform(pieces, turn)

@@ -135,7 +135,7 @@ WITH own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 risky AS (
-  SELECT *, contains(text, '</s>') OR regexp_matches(text, '&[esblga];') OR regexp_matches(role, '</s>|&[esblga];|\] ') AS escapes FROM own),
+  SELECT *, regexp_matches(text, '</?s>|&[esblga];') OR regexp_matches(role, '</?s>|&[esblga];|\] ') AS escapes FROM own),
 parts AS (
   SELECT *, CASE WHEN escapes THEN replace(replace(replace(replace(role, '&', '&a;'), '</s>', '&e;'), '<s>', '&s;'), ']', '&b;') ELSE role END AS r,
     CASE WHEN escapes THEN replace(replace(replace(replace(text, '&', '&a;'), '</s>', '&e;'), '<s>', '&s;'), ']', '&b;') ELSE text END AS t FROM risky)
