@@ -59,8 +59,11 @@ TRAITS = ("id", "seq", "category", "transport_kind", "merge", "lead", "closed",
 
 
 def views(spark, sf_dir, *more: str, radius: float = REACH, asked: DataFrame | None = None) -> DataFrame:
-    """Pairs of requests and clean places within the radius, with straight minutes. Names stay behind unless asked for."""
-    asked = (D.request(spark, sf_dir) if asked is None else asked).select("request_id", "minutes", "x", "y", D.node_of(F.col("xi"), F.col("yi")).alias("start"))
+    """Pairs of requests and clean places within the radius, with straight minutes. Names stay behind unless asked for.
+    A request that doesn't tell its start begins at its cell's node."""
+    asked = D.request(spark, sf_dir) if asked is None else asked
+    start = F.col("start") if "start" in asked.columns else D.node_of(F.col("xi"), F.col("yi")).alias("start")
+    asked = asked.select("request_id", "minutes", "x", "y", start)
     places = as2(P.cleaned(D.poi(spark, sf_dir)), **{c: c for c in (*TRAITS, *more)})
     return S.radius_join(asked, places, radius).withColumn("raw_min", F.col("d") / C.WALK_SPEED)
 
@@ -196,27 +199,30 @@ FACE_SQL = (
     f"face_node AS (SELECT box AS face, nid, greatest({BOXD} - {C.GAP_MERGE_M}, 0) AS leg FROM lattice_node, green WHERE {BOXD} <= {C.AREA_LEG_M + C.GAP_MERGE_M}), "
     "f AS (SELECT request_id, face, min(cost_s / 60.0::DOUBLE + leg / 70.0::DOUBLE) AS fm FROM face_node JOIN cost USING (nid) GROUP BY 1, 2)"
 )
-WALK_SQL = graphs.COST_SQL + VIEW_SQL + NODE_PAIR_SQL + FACE_SQL + (
+MINUTES_SQL = VIEW_SQL + NODE_PAIR_SQL + FACE_SQL + (
     ", g AS (SELECT request_id, near.id, min(cost_s / 60.0::DOUBLE + leg / 70.0::DOUBLE) FILTER (leg <= 30) AS nm, min(cost_s / 60.0::DOUBLE + leg / 70.0::DOUBLE) FILTER (leg > 30) AS xm FROM near JOIN cost USING (nid) GROUP BY 1, 2), "
     "reach AS (SELECT v.* EXCLUDE (raw_min), nm, xm, fm, least(nm, xm, fm) AS raw_min FROM v LEFT JOIN g USING (request_id, id) LEFT JOIN face USING (id) LEFT JOIN f USING (request_id, face)), "
     "walk AS (SELECT * EXCLUDE (nm, xm, fm), raw_min IS NULL AS estimated, coalesce(least(xm, fm) < nm, least(xm, fm) IS NOT NULL) AS edge_arrival, coalesce(raw_min, d / 70.0::DOUBLE) AS shown_min FROM reach)"
 )
+WALK_SQL = graphs.COST_SQL + MINUTES_SQL
 FIXED_SQL = ", fixed AS (SELECT walk.* REPLACE (CASE WHEN measured_min IS NOT NULL AND NOT edge_arrival THEN measured_min ELSE raw_min END AS raw_min) FROM walk LEFT JOIN measured USING (request_id, id))"
 
 
-def green_faces(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def green_faces(spark, sf_dir, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, face) of places in or beside a green face, and (face, nid, leg) of the nodes around each face, widened by the gap
     between neighbouring faces."""
     faces = boxes(spark, sf_dir)
     area = (F.col("x1_") - F.col("x0_")) * (F.col("y1_") - F.col("y0_"))
     own = near_boxes(D.poi(spark, sf_dir).select("id", "x", "y"), faces, C.AREA_ATTACH_M).groupBy("id").agg(F.max(F.struct(area.alias("a"), (-F.col("box")).alias("b"))).alias("m"))
-    nodes = near_boxes(D.lattice_nodes(spark, sf_dir).select("nid", "x", "y"), faces, C.AREA_LEG_M + C.GAP_MERGE_M)
+    nodes = near_boxes((D.lattice_nodes(spark, sf_dir) if nodes is None else nodes).select("nid", "x", "y"), faces, C.AREA_LEG_M + C.GAP_MERGE_M)
     return own.select("id", (-F.col("m.b")).alias("face")), nodes.select(F.col("box").alias("face"), "nid", F.greatest(F.col("d") - C.GAP_MERGE_M, F.lit(0.0)).alias("leg"))
 
 
-def walked(spark, sf_dir, asked: DataFrame | None = None, costs: DataFrame | None = None) -> DataFrame:
+def walked(spark, sf_dir, asked: DataFrame | None = None, costs: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """Walking minutes of requests to places: over the lattice, or the graph of these nodes and costs."""
     costs = written(graphs.costs_by_start(spark, sf_dir, asked)) if costs is None else costs
-    return P.walk_minutes(views(spark, sf_dir, asked=asked), costs, D.lattice_nodes(spark, sf_dir), **dict(zip(("faces", "face_nodes"), green_faces(spark, sf_dir), strict=True)))
+    nodes = D.lattice_nodes(spark, sf_dir) if nodes is None else nodes
+    return P.walk_minutes(views(spark, sf_dir, asked=asked), costs, nodes, **dict(zip(("faces", "face_nodes"), green_faces(spark, sf_dir, nodes), strict=True)))
 
 
 @query(with_sql("request poi lattice_node lattice_edge", WALK_SQL + " SELECT request_id, id, round(raw_min, 6) AS raw_min, round(shown_min, 6) AS shown_min, estimated, edge_arrival FROM walk"))

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footreach import config as C
+from footreach.operators import coverage as V
 from footreach.operators import geometry as Y
 from footreach.operators import graph as G
+from footreach.operators import poi as P
 from footreach.operators import streets as W
-from footreach.plans import joins
+from footreach.plans import joins, ranking
 from footreach.plans.registry import query
 from footreach.plans.scalar import r6
 from footreach.sources import derived as D
@@ -209,6 +211,31 @@ def iso_ground(spark, sf_dir):
     return starts.select("request_id", F.col("nid").alias("start")).join(area, "start").select("request_id", "area_m2", r6(ratio).alias("area_ratio"))
 
 
+FIVE = with_sql("request poi measured vertex line_tag corner outline", GROUND_SQL + (
+    ", cost AS (SELECT request_id, d.n AS nid, c AS cost_s FROM sn JOIN d ON d.s = sn.nid), lattice_node AS (SELECT nid, x, y FROM nd), begun AS (SELECT * FROM request SEMI JOIN sn USING (request_id))"
+    + (ranking.MINUTES_SQL + ranking.FIXED_SQL + ", " + ranking.select_sql("fixed") + ranking.COVER_SQL + ranking.SCORE_SQL).replace("FROM request a JOIN", "FROM begun a JOIN").replace("FROM request q, cat", "FROM begun q, cat")
+    + f", area AS (SELECT request_id, least(1, count(*) * {CELL * CELL}::DOUBLE / (pi() * {(5 * C.CIRCLE_SPEED) ** 2})) AS area_ratio FROM sn JOIN touched ON s = nid GROUP BY 1) "
+    f"SELECT request_id, round(({ranking.POINTS} + 0.1::DOUBLE * coalesce(area_ratio, 0)) * 100, 1) AS score, p AS all_passed, a AS anchors_passed FROM sums LEFT JOIN area USING (request_id)"
+)).replace(D.SQL["request"], D.SQL["request"].replace("15 AS minutes", "5 AS minutes"))
+
+
+@query(FIVE)
+def street_circle(spark, sf_dir):
+    """The flagship over streets: five minutes from where a request snaps to the graph of street lines, with the ground
+    that is reached as its area. Requests that snap to no street have no row."""
+    edges = G.written(street_graph_edges(spark, sf_dir))
+    nodes = G.written(W.edge_nodes(edges))
+    starts, costs = street_costs_by_start(spark, sf_dir, edges)
+    costs = G.written(costs)
+    asked = D.request(spark, sf_dir).withColumn("minutes", F.lit(LIMIT_S // 60)).join(starts.select("request_id", F.col("nid").alias("start")), "request_id")
+    walk = P.calibrated(ranking.walked(spark, sf_dir, asked, costs, nodes), D.measured(spark, sf_dir))
+    cover = V.coverage(asked, P.selected(walk), V.category_rows(spark))
+    ground = ground_cells(edges, outlines(spark, sf_dir).where("use <> 'green'"))
+    circle = math.pi * (LIMIT_S / 60 * C.CIRCLE_SPEED) ** 2
+    ratios = reached_cells(costs, ground).groupBy("start").agg(F.least(F.lit(1.0), F.count("*") * CELL * CELL / circle).alias("area_ratio"))
+    return V.score(cover, asked.select("request_id", "start").join(ratios, "start").select("request_id", "area_ratio"))
+
+
 @query(with_sql("poi corner outline", f" SELECT id, poly, use FROM (SELECT p.id, e.poly, e.use FROM poi p JOIN outline e ON {ODD_SQL} GROUP BY ALL HAVING count(*) % 2 = 1)"))
 def polygon_points(spark, sf_dir):
     """The polygons, with holes, that cover each place."""
