@@ -6,6 +6,9 @@ row. Coordinates are planar metres."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +109,54 @@ def cells_around(segments: DataFrame, key: str, radius: float, cell: float) -> D
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
     gone = lambda p, a, d: p - F.col(a) - t * d
     return rows.where(gone(px, "x1", dx) * gone(px, "x1", dx) + gone(py, "y1", dy) * gone(py, "y1", dy) <= radius * radius).select(key, "ix", "iy")
+
+
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The corners of the convex hull, anticlockwise from the leftmost, lowest one; points on its sides are none."""
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+    chains = []
+    for order in (points, points[::-1]):
+        chain: list[tuple[float, float]] = []
+        for p in order:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(p)
+        chains += chain[:-1]
+    return chains
+
+
+def convex_hulls(points: DataFrame, key: str) -> DataFrame:
+    """(key, corners) of points (key long, x, y). Batches send the corners of their own hulls only, and whoever closes a key
+    keeps no more than its hull so far, so no key is ever held whole. Points without extent have one or two corners."""
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[tuple[float, float]]]]:
+        by: dict[int, list[tuple[float, float]]] = {}
+        for k, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by.setdefault(k, []).append((x, y))
+        yield from by.items()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *p) for k, own in runs(batch) for p in hull(own)]
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.float64(), pa.float64()), strict=True)], names=[key, "x", "y"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(k: int, own: list[tuple[float, float]]) -> pa.RecordBatch:
+            corners = pa.array([[{"x": x, "y": y} for x, y in own]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+            return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), corners], names=[key, "corners"])
+
+        last: tuple[int, list[tuple[float, float]]] | None = None
+        for batch in batches:
+            for k, own in runs(batch):
+                if last and last[0] != k:
+                    yield out(*last)
+                    last = None
+                last = (k, hull(own + (last[1] if last else [])))
+        if last:
+            yield out(*last)
+
+    some = points.select(F.col(key).cast("long").alias(key), "x", "y").mapInArrow(partial, f"{key} long, x double, y double")
+    return some.repartition(key).sortWithinPartitions(key).mapInArrow(whole, f"{key} long, corners array<struct<x:double,y:double>>")

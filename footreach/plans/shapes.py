@@ -211,6 +211,26 @@ def iso_ground(spark, sf_dir):
     return starts.select("request_id", F.col("nid").alias("start")).join(area, "start").select("request_id", "area_m2", r6(ratio).alias("area_ratio"))
 
 
+HULL_SQL = REACH_SQL + (
+    ", hp AS (SELECT DISTINCT s, x, y FROM (SELECT s, unnest([u, v]) AS nid FROM (SELECT s, u, v FROM d JOIN edge ON d.n = u UNION SELECT s, u, v FROM d JOIN edge ON d.n = v)) JOIN nd USING (nid)), "
+    "pair AS (SELECT a.s, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM hp a JOIN hp b ON a.s = b.s AND (a.x <> b.x OR a.y <> b.y)), "
+    "off AS (SELECT *, (bx - ax) * (p.y - ay) - (byy - ay) * (p.x - ax) AS c, ((p.x - ax) * (bx - ax) + (p.y - ay) * (byy - ay)) / (pow(bx - ax, 2) + pow(byy - ay, 2)) AS t FROM pair JOIN hp p ON p.s = pair.s), "
+    "hull AS (SELECT s, sum(ax * byy - bx * ay) / 2 AS area_m2 FROM (SELECT s, ax, ay, bx, byy FROM off GROUP BY ALL HAVING min(c) >= -1e-6 AND bool_and(abs(c) > 1e-6 OR t BETWEEN -1e-9 AND 1 + 1e-9)) GROUP BY s)"
+)
+
+
+@query(with_sql("request vertex line_tag corner outline", HULL_SQL + " SELECT request_id, round(area_m2, 2) AS area_m2 FROM sn JOIN hull ON s = nid WHERE area_m2 > 1"))
+def fast_hull(spark, sf_dir):
+    """The quick answer: the area of the convex hull of all edges with an end that is reached in five minutes. Obstacles
+    stay in it."""
+    edges = G.written(street_graph_edges(spark, sf_dir))
+    starts, costs = street_costs_by_start(spark, sf_dir, edges)
+    ends = edges.select(F.explode(F.array("u", "v")).alias("nid"), F.array("u", "v").alias("ends"))
+    near = costs.join(ends, "nid").select("start", F.explode("ends").alias("nid")).distinct().join(W.edge_nodes(edges), "nid")
+    hulls = Y.convex_hulls(near.select("start", "x", "y"), "start").select("start", Y.ring_area(F.col("corners")).alias("area_m2"))
+    return starts.select("request_id", F.col("nid").alias("start")).join(hulls, "start").where("area_m2 > 1").select("request_id", F.round("area_m2", 2).alias("area_m2"))
+
+
 FIVE = with_sql("request poi measured vertex line_tag corner outline", GROUND_SQL + (
     ", cost AS (SELECT request_id, d.n AS nid, c AS cost_s FROM sn JOIN d ON d.s = sn.nid), lattice_node AS (SELECT nid, x, y FROM nd), begun AS (SELECT * FROM request SEMI JOIN sn USING (request_id))"
     + (ranking.MINUTES_SQL + ranking.FIXED_SQL + ", " + ranking.select_sql("fixed") + ranking.COVER_SQL + ranking.SCORE_SQL).replace("FROM request a JOIN", "FROM begun a JOIN").replace("FROM request q, cat", "FROM begun q, cat")

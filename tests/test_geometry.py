@@ -167,3 +167,20 @@ def test_snapping_moves_to_the_grid_first(spark):
     nodes = spark.createDataFrame([(1, 12.5, 12.5), (2, 37.5, 12.5), (3, 12.5, 40.0), (4, 112.5, 41.0)], "nid long, x double, y double")
     points = spark.createDataFrame([(1, 24.9, 1.0), (2, 25.1, 1.0), (3, 12.0, 26.0), (4, 100.0, 5.0), (5, 300.0, 300.0)], "rid long, x double, y double")
     assert {r.rid: (r.nid, r.d) for r in streets.snapped(points, nodes, "rid").collect()} == {1: (1, 0.0), 2: (2, 0.0), 3: (3, 2.5), 4: (4, 28.5)}
+
+
+@few
+@given(st.integers(0, 10**6))
+def test_hulls(spark, seed):
+    rng = random.Random(seed)
+    groups = {k: [(float(rng.randrange(-9, 10)), float(rng.randrange(-9, 10))) for _ in range(rng.randrange(1, 60))] for k in range(6)}
+    rows = [(k, x, y) for k, own in groups.items() for x, y in own]
+    rng.shuffle(rows)
+    cross = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    for r in geometry.convex_hulls(spark.createDataFrame(rows, "k long, x double, y double").repartition(5), "k").collect():
+        corners, points = [(c.x, c.y) for c in r.corners], set(groups[r.k])
+        assert set(corners) <= points and len(set(corners)) == len(corners)
+        for a, b, c in zip(corners, corners[1:] + corners[:1], corners[2:] + corners[:2]) if len(corners) > 2 else ():
+            assert cross(a, b, c) > 0 and all(cross(a, b, p) >= 0 for p in points)
+        if len(corners) < 3:
+            assert len(points) < 3 or all(cross(corners[0], corners[-1], p) == 0 for p in points)
