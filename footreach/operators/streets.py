@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach import config as C
-from footreach.operators.geometry import met, span
+from footreach.operators.geometry import met, side, span
+from footreach.operators.graph import written
 from footreach.operators.spatial import segments_cross
 
 #: Events closer than this to a line's end are the end.
@@ -119,3 +120,33 @@ def snapped(points: DataFrame, nodes: DataFrame, key: str, radius: float = C.SNA
     pairs = radius_join(cells, nodes.select("nid", F.col("x").alias("x2"), F.col("y").alias("y2")), radius)
     best = nearest(pairs, "cell", [F.col("d"), -F.col("nid")], ["nid", "d"])
     return moved.join(best.select("cell.x", "cell.y", "nid", "d"), ["x", "y"]).select(key, "nid", "d")
+
+
+def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> DataFrame:
+    """The vertices (line, k, x, y), k from 0, that a line keeps so that none of the others is farther than the tolerance from
+    the kept segment over it: both ends, and again and again the farthest one in between.
+
+    A round looks for the farthest vertex of every open stretch at once and splits the stretch there, as rows, so neither
+    a line nor its depth has to fit a task; of equally far ones the first. Stretches that are close enough are done."""
+    ends = vertices.groupBy("line").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    place = lambda n: vertices.select("line", F.col("k").alias(n), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}"))
+    open_ = written(vertices.join(ends, "line").where("k > lo and k < hi"))
+    kept = [ends.select("line", F.explode(F.array("lo", "hi")).alias("k")).distinct()]
+    a, b, p = (F.col("x_lo"), F.col("y_lo")), (F.col("x_hi"), F.col("y_hi")), (F.col("x"), F.col("y"))
+    length = (b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1])
+    along = ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / F.nullif(length, F.lit(0.0))
+    to = lambda q: F.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]))
+    away = F.when(along.isNull() | (along <= 0), to(a)).when(along >= 1, to(b)).otherwise(F.abs(side(*a, *b, *p)) / F.sqrt(length))
+    for _ in range(rounds):
+        far = open_.join(place("lo"), ["line", "lo"]).join(place("hi"), ["line", "hi"]).select("line", "lo", "hi", "k", away.alias("away"))
+        best = far.groupBy("line", "lo", "hi").agg(F.max("away").alias("away"), F.max_by("k", F.struct("away", -F.col("k"))).alias("m"))
+        split = written(best.where(F.col("away") > tolerance).select("line", "lo", "hi", "m"))
+        if split.isEmpty():
+            rest = kept[0]
+            for more in kept[1:]:
+                rest = rest.unionByName(more)
+            return vertices.join(rest, ["line", "k"], "left_semi")
+        kept.append(split.select("line", F.col("m").alias("k")))
+        half = open_.join(split, ["line", "lo", "hi"]).where("k <> m")
+        open_ = written(half.select("line", "k", "x", "y", F.when(F.col("k") < F.col("m"), F.col("lo")).otherwise(F.col("m")).alias("lo"), F.when(F.col("k") < F.col("m"), F.col("m")).otherwise(F.col("hi")).alias("hi")))
+    raise RuntimeError(f"lines are split deeper than {rounds} times")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach import config as C
@@ -15,7 +15,7 @@ from footreach.operators import poi as P
 from footreach.operators import streets as W
 from footreach.plans import joins, ranking
 from footreach.plans.registry import query
-from footreach.plans.scalar import r6
+from footreach.plans.scalar import paths, r6
 from footreach.sources import derived as D
 from footreach.sources.derived import with_sql
 
@@ -271,6 +271,22 @@ def polygon_segments(spark, sf_dir):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+TRACK_SQL = "SELECT o_custkey AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS k, (o_orderkey * 7919 % 6700)::DOUBLE AS x, (o_orderkey * 104729 % 5000)::DOUBLE AS y FROM orders"
+
+
+@query(
+    f"WITH RECURSIVE p AS ({TRACK_SQL}), e AS (SELECT line, 0::BIGINT AS lo, max(k) AS hi FROM p GROUP BY 1), s(line, lo, hi) AS (SELECT * FROM e UNION ALL SELECT line, unnest([lo, m]), unnest([m, hi]) FROM ("
+    "SELECT line, lo, hi, max(w) AS w, arg_max(k, [w, -k]) AS m FROM (SELECT s.line, s.lo, s.hi, p.k, CASE WHEN len2 = 0 OR dot <= 0 THEN sqrt(pow(p.x - a.x, 2) + pow(p.y - a.y, 2)) WHEN dot >= len2 THEN sqrt(pow(p.x - b.x, 2) + pow(p.y - b.y, 2)) "
+    "ELSE abs((b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x)) / sqrt(len2) END AS w FROM s JOIN p a ON a.line = s.line AND a.k = s.lo JOIN p b ON b.line = s.line AND b.k = s.hi JOIN p ON p.line = s.line AND p.k > s.lo AND p.k < s.hi, "
+    "LATERAL (SELECT pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS len2, (p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y) AS dot)) GROUP BY 1, 2, 3) WHERE w > 1500) SELECT line, k FROM (SELECT line, lo AS k FROM s UNION SELECT line, hi FROM s)"
+)
+def simplify_tracks(spark, sf_dir):
+    """Each customer's track with fewer corners: what is left out lies within 1,500 units of what is kept."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = paths(spark, sf_dir).select(F.col("o_custkey").alias("line"), (F.row_number().over(order) - 1).cast("long").alias("k"), "x", "y")
+    return W.simplified(G.written(rows), 1500.0).select("line", "k")
+
+
 TILE = (600.0, 500.0)
 # what an edge cuts off a box: the integral of x, held within the box, over the part of its y that lies in the box
 _G = "CASE WHEN {v} < x0 THEN x0 * {v} WHEN {v} > x1 THEN (x1 * x1 + x0 * x0) / 2 + x1 * ({v} - x1) ELSE ({v} * {v} + x0 * x0) / 2 END"

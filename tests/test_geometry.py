@@ -184,3 +184,31 @@ def test_hulls(spark, seed):
             assert cross(a, b, c) > 0 and all(cross(a, b, p) >= 0 for p in points)
         if len(corners) < 3:
             assert len(points) < 3 or all(cross(corners[0], corners[-1], p) == 0 for p in points)
+
+
+@few
+@given(st.integers(0, 10**6))
+def test_simplified_lines(spark, seed):
+    rng = random.Random(seed)
+    lines = {k: [(float(rng.randrange(0, 400)), float(rng.randrange(0, 400))) for _ in range(rng.randrange(2, 40))] for k in range(5)}
+    lines[9] = [(0.0, 0.0), (50.0, 0.0), (0.0, 0.0)]
+
+    def away(p, a, b):
+        d = math.dist(a, b) ** 2
+        t = max(0, min(1, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / d)) if d else 0
+        return math.hypot(p[0] - a[0] - t * (b[0] - a[0]), p[1] - a[1] - t * (b[1] - a[1]))
+
+    def keep(line, lo, hi):
+        own = [(away(line[k], line[lo], line[hi]), -k) for k in range(lo + 1, hi)]
+        if not own or max(own)[0] <= 60:
+            return {lo, hi}
+        m = -max(own)[1]
+        return keep(line, lo, m) | keep(line, m, hi)
+
+    rows = spark.createDataFrame([(k, n, x, y) for k, own in lines.items() for n, (x, y) in enumerate(own)], "line long, k long, x double, y double")
+    got = {}
+    for r in streets.simplified(rows, 60.0).collect():
+        got.setdefault(r.line, set()).add(r.k)
+    for k, own in lines.items():
+        assert all(min(away(own[n], own[a], own[b]) for a, b in zip(sorted(got[k]), sorted(got[k])[1:]) if a <= n <= b) <= 60 + 1e-9 for n in range(len(own)))
+        assert got[k] == keep(own, 0, len(own) - 1)
