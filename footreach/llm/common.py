@@ -201,7 +201,7 @@ def connected_components(edges: DataFrame, rounds: int = 60, task_rows: int = 50
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         seen = Observation()
-        new = materialize(new.coalesce(-(-before[0] // task_rows)).observe(seen, *marks))
+        new = materialize(new.coalesce(1 + before[0] // max(1, task_rows)).observe(seen, *marks))
         if e is first:
             first.unpersist()
         else:

@@ -159,10 +159,11 @@ def test_keep_one(spark):
     assert sorted(kept) == sorted({c for _, _, c in brute_components(simple, fps)})
 
 
-def test_components_of_long_paths(spark):
+@pytest.mark.parametrize("task_rows", [500_000, 0])
+def test_components_of_long_paths(spark, task_rows):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 500)] + [(7, 7)]
     random.Random(4).shuffle(edges)
-    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "u long, v long"), task_rows=task_rows).collect()}
     assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1500), 1000)}
 
 
