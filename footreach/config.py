@@ -8,6 +8,7 @@ M_PER_DEG = math.pi / 180 * EARTH_RADIUS_M
 WALK_SPEED, STEPS_SPEED, CORRIDOR_SPEED, MALL_FACTOR = 70.0, 44.0, 60.0, 1.1
 CIRCLE_SPEED = 80.0
 SNAP_GRID_M, SNAP_MAX_M = 25.0, 30.0
+CORRIDOR_LINK_M, CORRIDOR_HALF_M, CORRIDOR_HUB_M, CORRIDOR_LEAST_DIRECTIONS = 20.0, 50.0, 100.0, 3
 EDGE_ACCESS_M, AREA_ATTACH_M, AREA_LEG_M, GAP_MERGE_M = 250.0, 60.0, 250.0, 15.0
 CAP_PER_CATEGORY = 20
 HEALTH_MERGE_M, UID_MERGE_M = 200.0, 30.0
