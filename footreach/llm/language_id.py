@@ -8,8 +8,8 @@ per character wins; ties go to the name that sorts first.
 A letter is a character of the Unicode categories L; a word may also hold numbers that are no decimal digits.
 
 Training. Rows with a language and a text are labelled rows. A value of `lang` is a language if at least
-`LEAST_ROWS` of them and one in `LEAST_SHARE` carry it, or as many as the commonest value if that has fewer; of more than
-`MOST_LANGUAGES` the commonest are learned. So junk values make no models. The models learn from a bounded sample, at most about `sample_docs` whole documents a language, chosen by a
+`LEAST_ROWS` of them carry it, or as many as the commonest value if that has fewer, however large the corpus; there is no
+other bound on the number of languages, and the models grow with it. The models learn from a bounded sample, at most about `sample_docs` whole documents a language, chosen by a
 hash of the id; gram counts are summed by Spark and their number is bounded by the sample. A tenth of the sample is held back for calibration: it fixes the
 slope that turns the lead of the best language over the second into a score, and, for each length class, a limit
 of cross-entropy: half way between what texts reach in their own language and what they reach when it is left out.
@@ -39,9 +39,7 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDER = 5
 MARK = 2  # stands before and after a word; no letter has this code
 NEW = ("lang_pred", "score", "entropy", "rejected")
-LEAST_ROWS = 3  # labelled rows that make a language,
-LEAST_SHARE = 10_000  # or one in so many of all, if that is more
-MOST_LANGUAGES = 400
+LEAST_ROWS = 3  # labelled rows that make a language
 
 
 def words_of(text: str | None) -> Counter:
@@ -234,9 +232,10 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 def training_sample(docs: DataFrame, sample_docs: int) -> DataFrame:
     """(lang, text, calibrates): about sample_docs labelled rows of each language, chosen by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    least = min(common[0][1], max(LEAST_ROWS, sum(r[1] for r in common) // LEAST_SHARE)) if common else 0
-    sizes = {r[0]: r[1] for r in common if r[1] >= least}
+    counts = held(known.groupBy("lang").agg(F.count("*").alias("n")))
+    most = counts.agg(F.max("n")).first()[0]
+    sizes = {r[0]: r[1] for r in counts.where(F.col("n") >= min(most or 0, LEAST_ROWS)).collect()}
+    counts.unpersist()
     if not sizes:
         return known.select("lang", "text", F.lit(False).alias("calibrates")).where("false")
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))))

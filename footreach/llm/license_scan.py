@@ -3,8 +3,8 @@
 Texts are cut into sentences at line breaks and after `.`, `!`, `?` or `;` before white space, and once more with the
 single line breaks of a paragraph joined, as licence texts are often wrapped; a rule may hold in either. A sentence is normalised (lower case,
 no brackets, punctuation or list marks; programs, holders, years and organisations as placeholders) and looked up in a map
-from sentences to identifiers: whole, by its first words where the known sentence goes on in several ways, or by the
-licence and version that it names after words such as `licensed under`. The identifiers of a text,
+from sentences to identifiers: whole, by its first words where the known sentence goes on in several ways, by the
+licences and versions that it names after words such as `licensed under`, or by the expression of an SPDX line. The identifiers of a text,
 in order, are matched against ordered rules: a rule holds if its identifiers stand one after the other in the
 text, with no more than `gap` unknown sentences between two of them. Longer rules win over the shorter ones
 inside them, for the same licence.
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footreach.llm.common import scratch
+
 #: Words one of which every known sentence holds. Fixed values.
 ANCHORS = "licen[sc]e|copyright|spdx|permission|warrant|redistribut|public\\s+domain|unlicense|liab|all\\s+rights\\s+reserved|free\\s+software|cc0|cc[ -]by|creative\\s+commons|\\smpl\\s|under\\s+(?:the\\s+)?(?:gnu|[al]?gpl|mit|expat|bsd|isc|apache)\\b"
 
@@ -44,21 +46,60 @@ SENTENCES: dict[str, str] = {
     "this is free and unencumbered software released into the public domain": "unlicense",
     "this software is provided as-is without any express or implied warranty": "zlib-asis",
     "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
-    "spdx-license-identifier apache-2.0": "spdx-apache2",
-    "spdx-license-identifier mit": "spdx-mit",
-    "spdx-license-identifier bsd-3-clause": "spdx-bsd3",
-    **{f"spdx-license-identifier gpl-{v}.0{end}": f"spdx-gpl{v}" for v in (2, 3) for end in ("", "+", "-only", "-or-later")},
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl3-body",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "agpl-body",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "lgpl-body",
+    "the accompanying program is provided under the terms of this eclipse public license": "epl-body",
+    "apache license version 2.0": "apache2-title",
+    "apache license version 2.0 january 2004": "apache2-title",
+    "mozilla public license version 2.0": "mpl2-title",
+    "eclipse public license v 2.0": "epl2-title",
+    "eclipse public license v 1.0": "epl1-title",
+    "cc0 1.0 universal": "cc0-title",
     "copyright all rights reserved": "reserved",
     "all rights reserved": "reserved",
     "copyright": "copyright",
 }
 
+#: Creative Commons licences by the rest of their titles. Fixed values.
+COMMONS: dict[str, str] = {
+    "attribution": "CC-BY",
+    "attribution-sharealike": "CC-BY-SA",
+    "attribution-noderivatives": "CC-BY-ND",
+    "attribution-noncommercial": "CC-BY-NC",
+    "attribution-noncommercial-sharealike": "CC-BY-NC",
+    "attribution-noncommercial-noderivatives": "CC-BY-NC",
+}
+for _kind, _licence in COMMONS.items():
+    SENTENCES[f"creative commons {_kind} 4.0 international public license"] = f"{_licence.lower()}-title"
+    SENTENCES[f"by exercising the licensed rights you accept and agree to be bound by the terms and conditions of this creative commons {_kind} 4.0 international public license"] = f"{_licence.lower()}-body"
+
+#: SPDX short identifiers, lower-cased, and their licences. Fixed values.
+SPDX: dict[str, str] = {
+    "apache-2.0": "Apache-2.0",
+    "mit": "MIT",
+    "bsd-2-clause": "BSD-2-Clause",
+    "bsd-3-clause": "BSD-3-Clause",
+    "isc": "ISC",
+    "zlib": "Zlib",
+    "bsl-1.0": "BSL-1.0",
+    "mpl-2.0": "MPL-2.0",
+    "epl-1.0": "EPL-1.0",
+    "epl-2.0": "EPL-2.0",
+    "unlicense": "Unlicense",
+    "cc0-1.0": "CC0-1.0",
+    **{f"{name}-{v}{end}": licence for name, v, licence in (("gpl", "2.0", "GPL-2.0"), ("gpl", "3.0", "GPL-3.0"), ("lgpl", "2.0", "LGPL"), ("lgpl", "2.1", "LGPL"), ("lgpl", "3.0", "LGPL"), ("agpl", "3.0", "AGPL-3.0")) for end in ("", "+", "-only", "-or-later")},
+    **{f"cc-{kind}-{v}": f"CC-{kind.upper()[:5]}" for kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for v in ("1.0", "2.0", "2.5", "3.0", "4.0")},
+}
+
 #: Beginnings of known sentences that go on in several ways or with an address. Fixed values of public licence texts.
 HEADS: dict[str, str] = {
     "you may obtain a copy of the license at": "apache2-copy",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction": "mit-grant",
     "the software is provided as is without warranty of any kind express or implied": "mit-asis",
     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl-grant",
+    "by contrast the gnu general public license is intended to guarantee your freedom to share and change free": "gpl2-body",
+    "this license the lesser general public license applies to some specially designated software": "lgpl-body",
     "if a copy of the mpl was not distributed with this file you can obtain one at": "mpl2-copy",
 }
 
@@ -70,8 +111,10 @@ NAMES: list[tuple[str, list[str], list[str]]] = [
     ("lgpl-notice", ["gnu lesser general public", "gnu lgpl", "lgpl"], ["", "2", "2.1", "3"]),
     ("agpl-notice", ["gnu affero general public", "gnu agpl", "agpl"], ["", "3"]),
     ("mpl2-notice", ["mozilla public", "mpl"], ["2"]),
+    ("epl1-notice", ["eclipse public", "epl"], ["1"]),
+    ("epl2-notice", ["eclipse public", "epl"], ["2"]),
     ("mit-notice", ["mit", "expat", "mit x11"], [""]),
-    ("bsd-notice", ["bsd", "3-clause bsd", "2-clause bsd", "bsd 3-clause", "bsd 2-clause", "new bsd", "modified bsd", "simplified bsd"], [""]),
+    ("bsd-notice", ["bsd", "3-clause bsd", "2-clause bsd", "bsd 3-clause", "bsd 2-clause", "new bsd", "modified bsd", "simplified bsd", "bsd-style"], [""]),
     ("isc-notice", ["isc"], [""]),
     ("unlicense", ["unlicense"], [""]),
     ("cc0-notice", ["cc0", "creative commons zero"], ["", "1"]),
@@ -86,15 +129,12 @@ NOTICES = {f"{name} {version}".strip(): id_ for id_, names, versions in NAMES fo
 RULES: list[tuple[str, str, list[str]]] = [
     ("Apache-2.0", "full", ["apache2-notice", "apache2-comply", "apache2-copy", "apache2-asis"]),
     ("Apache-2.0", "notice", ["apache2-notice"]),
-    ("Apache-2.0", "tag", ["spdx-apache2"]),
     ("GPL-3.0", "full", ["gpl-free", "gpl-redistribute3"]),
     ("GPL-3.0", "notice", ["gpl-redistribute3"]),
     ("GPL-3.0", "notice", ["gpl3-notice"]),
-    ("GPL-3.0", "tag", ["spdx-gpl3"]),
     ("GPL-2.0", "full", ["gpl-free", "gpl-redistribute2"]),
     ("GPL-2.0", "notice", ["gpl-redistribute2"]),
     ("GPL-2.0", "notice", ["gpl2-notice"]),
-    ("GPL-2.0", "tag", ["spdx-gpl2"]),
     ("LGPL", "notice", ["lgpl-notice"]),
     ("AGPL-3.0", "notice", ["agpl-notice"]),
     ("MPL-2.0", "full", ["mpl2-notice", "mpl2-copy"]),
@@ -102,9 +142,7 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("MIT", "full", ["mit-grant", "mit-condition", "mit-asis"]),
     ("MIT", "notice", ["mit-notice"]),
     ("MIT", "title", ["mit-title"]),
-    ("MIT", "tag", ["spdx-mit"]),
     ("BSD-3-Clause", "full", ["bsd-permit", "bsd-source", "bsd-binary", "bsd-name"]),
-    ("BSD-3-Clause", "tag", ["spdx-bsd3"]),
     ("BSD-2-Clause", "full", ["bsd-permit", "bsd-source", "bsd-binary"]),
     ("BSD", "notice", ["bsd-notice"]),
     ("ISC", "full", ["isc-grant"]),
@@ -117,6 +155,20 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("CC-BY-ND", "notice", ["cc-by-nd-notice"]),
     ("CC-BY-NC", "notice", ["cc-by-nc-notice"]),
     ("CC-BY", "notice", ["cc-by-notice"]),
+    ("Apache-2.0", "title", ["apache2-title"]),
+    ("GPL-3.0", "body", ["gpl3-body"]),
+    ("GPL-2.0", "body", ["gpl2-body"]),
+    ("LGPL", "body", ["lgpl-body"]),
+    ("AGPL-3.0", "body", ["agpl-body"]),
+    ("MPL-2.0", "title", ["mpl2-title"]),
+    ("EPL", "body", ["epl-body"]),
+    ("EPL-1.0", "title", ["epl1-title"]),
+    ("EPL-1.0", "notice", ["epl1-notice"]),
+    ("EPL-2.0", "title", ["epl2-title"]),
+    ("EPL-2.0", "notice", ["epl2-notice"]),
+    ("CC0-1.0", "title", ["cc0-title"]),
+    *((licence, kind, [f"{licence.lower()}-{kind}"]) for licence in dict.fromkeys(COMMONS.values()) for kind in ("title", "body")),
+    *((licence, "tag", [f"spdx-{licence.lower()}"]) for licence in dict.fromkeys(SPDX.values())),
     ("proprietary", "notice", ["reserved"]),
 ]
 
@@ -151,15 +203,28 @@ def normalised(sentence: F.Column) -> F.Column:
     return F.regexp_replace(words, "^neither the name of .* may be used", "neither the name of any may be used")
 
 
-def notice(sentence: F.Column) -> F.Column:
-    """What a sentence says that something is licensed under: the licence's name and version, or an empty text."""
-    under = "\\b(?:licensed|released|distributed|available|published|provided|dedicated|subject|covered) (?:under|to|by|with)(?: the)?(?: terms of)?(?: the| an?)? (.*)$"
+def notices(sentence: F.Column) -> F.Column:
+    """What a sentence says that something is licensed under: names and versions of licences, several where they are joined
+    by `or` or `and`; one empty name if it says nothing of the kind."""
+    under = "\\b(?:licensed|released|distributed|available|published|provided|dedicated|subject|covered|governed) (?:under|to|by|with)(?: the)?(?: terms of)?(?: (?:either|both)(?: of)?)?(?: the| an?)? (.*)$"
     name = F.trim(F.regexp_extract(F.regexp_replace(_plain(sentence), " +", " "), under, 1))
-    name = F.regexp_replace(F.regexp_replace(name, ",? ?\\b(?:version|v)[. ]*(?=\\d)", " "), ",.*$| as published by the free software foundation", "")
-    name = F.regexp_replace(name, "\\b(?:licenses?|international|unported|generic|only)\\b|(?: or| and)*(?: any)? later(?: version)?$|[.]0(?![0-9.])", " ")
-    name = F.regexp_replace(F.regexp_replace(name, "\\bcreative commons attribution\\b|\\bcc[ -]by\\b", "cc-by"), "[ -](?:share ?alike|sa)\\b", "-sa")
-    name = F.regexp_replace(F.regexp_replace(name, "[ -](?:non-?commercial|nc)\\b", "-nc"), "[ -](?:no-?deriv\\w*|nd)\\b", "-nd")
-    return F.trim(F.regexp_replace(name, " +", " "))
+    name = F.regexp_replace(F.regexp_replace(name, ",? ?\\b(?:version|v)[. ]*(?=\\d)", " "), ",.*$| that (?:can|may) be found .*$| at your option\\b| as published by the free software foundation", "")
+    name = F.regexp_replace(name, "-(?:only|or-later)\\b|(?: or| and)*(?: any)? later(?: versions?)?(?= |$)|(?<=[a-z])-(?=\\d[.])", " ")
+
+    def one(part: F.Column) -> F.Column:
+        part = F.regexp_replace(part, "^ *(?:the|an?) |\\b(?:licenses?|international|unported|generic|only)\\b|[.]0(?![0-9.])", " ")
+        part = F.regexp_replace(F.regexp_replace(part, "\\bcreative commons attribution\\b|\\bcc[ -]by\\b", "cc-by"), "[ -](?:share ?alike|sa)\\b", "-sa")
+        part = F.regexp_replace(F.regexp_replace(part, "[ -](?:non-?commercial|nc)\\b", "-nc"), "[ -](?:no-?deriv\\w*|nd)\\b", "-nd")
+        return F.trim(F.regexp_replace(part, " +", " "))
+
+    return F.transform(F.split(name, " (?:and/or|or|and) "), one)
+
+
+def tags(sentence: F.Column) -> F.Column:
+    """The identifiers of an SPDX line's expression, without its operators, brackets and exceptions."""
+    expression = F.regexp_extract(sentence, "(?i)spdx-license-identifier:?\\s*([\\w.+()\\t -]*)", 1)
+    names = F.split(F.regexp_replace(expression, "(?i)[()]|\\bwith\\s+\\S+", " "), "(?i)\\s+(?:and|or)\\s+")
+    return F.filter(F.transform(names, lambda x: _map({k: f"spdx-{v.lower()}" for k, v in SPDX.items()})[F.lower(F.trim(x))]), lambda x: x.isNotNull())
 
 
 def _map(values: dict[str, str]) -> F.Column:
@@ -167,14 +232,21 @@ def _map(values: dict[str, str]) -> F.Column:
 
 
 def sentence_ids(sentences_: F.Column) -> F.Column:
-    """The identifiers of sentences: null for one without an anchor word or an unknown one. First that of the whole
-    sentence counts, then that of its beginning, then that of the licence that it names."""
+    """The identifiers of sentences: null for one without an anchor word or an unknown one. First those of an SPDX line count,
+    then that of the whole sentence, then that of its beginning, then those of the licences that it names, of which
+    the first must be known. A sentence has several only in the first and the last case."""
     sizes = sorted({k.count(" ") + 1 for k in HEADS})
     heads = lambda own: [_map({k: v for k, v in HEADS.items() if k.count(" ") + 1 == n})[F.substring_index(own, " ", n)] for n in sizes]
     anchored = F.transform(sentences_, lambda x: F.when(x.rlike(f"(?i){ANCHORS}"), x))
     # normalised once for all look-ups
-    forms = F.transform(anchored, lambda x: F.struct(normalised(x).alias("own"), notice(x).alias("names")))
-    return F.transform(forms, lambda x: F.coalesce(_map(SENTENCES)[x["own"]], *heads(x["own"]), _map(NOTICES)[x["names"]]))
+    forms = F.transform(anchored, lambda x: F.struct(F.when(x.rlike("(?i)spdx-license-identifier"), tags(x)).alias("tags"), normalised(x).alias("own"), F.transform(notices(x), lambda n: _map(NOTICES)[n]).alias("names")))
+
+    def ids(x: F.Column) -> F.Column:
+        one = F.coalesce(_map(SENTENCES)[x["own"]], *heads(x["own"]))
+        several = F.when(x["names"][0].isNotNull(), F.array_distinct(F.filter(x["names"], lambda n: n.isNotNull())))
+        return F.coalesce(F.when(F.size(x["tags"]) > 0, x["tags"]), F.when(one.isNotNull(), F.array(one)), several, F.array(F.lit(None).cast("string")))
+
+    return F.flatten(F.transform(forms, ids))
 
 
 def _encoded(ids: F.Column) -> F.Column:
@@ -193,14 +265,15 @@ def scan_licenses(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast("array<string>")
-    held = docs.withColumn("__has", text.rlike(f"(?i){ANCHORS}"))
-    ids = lambda t, more: F.when(F.col("__has") & more, sentence_ids(sentences(t))).otherwise(none)
-    rows = held.withColumn("__lines", ids(text, F.lit(True))).withColumn("__whole", ids(joined(text), F.contains(text, F.lit("\n"))))
-    rows = rows.withColumn("__code", F.concat(_encoded(F.col("__lines")), F.lit("\n"), _encoded(F.col("__whole"))))
+    has, lines, both, code, known, named_ = (scratch(docs, n) for n in ("has", "lines", "whole", "code", "ids", "rules"))
+    held = docs.withColumn(has, text.rlike(f"(?i){ANCHORS}"))
+    ids = lambda t, more: F.when(F.col(has) & more, sentence_ids(sentences(t))).otherwise(none)
+    rows = held.withColumn(lines, ids(text, F.lit(True))).withColumn(both, ids(joined(text), F.contains(text, F.lit("\n"))))
+    rows = rows.withColumn(code, F.concat(_encoded(F.col(lines)), F.lit("\n"), _encoded(F.col(both))))
     # those that only the joined text has come after the others
-    only = F.filter("__whole", lambda x: ~F.coalesce(F.array_contains("__lines", x), F.lit(False)))
-    rows = rows.withColumn("__ids", F.concat("__lines", only))
-    hit = {k: F.col("__code").rlike(rule_pattern(names, gap)) for k, (_, _, names) in enumerate(RULES)}
+    only = F.filter(both, lambda x: ~F.coalesce(F.array_contains(lines, x), F.lit(False)))
+    rows = rows.withColumn(known, F.concat(lines, only))
+    hit = {k: F.col(code).rlike(rule_pattern(names, gap)) for k, (_, _, names) in enumerate(RULES)}
     inside = lambda short, long: any(long[i : i + len(short)] == short for i in range(len(long)))
     found = []
     for k, (license_, evidence, names) in enumerate(RULES):
@@ -210,9 +283,9 @@ def scan_licenses(docs: DataFrame, gap: int = GAP) -> DataFrame:
         for j in over:
             own = own & ~hit[j]
         found.append(F.when(own, F.lit(f"{license_}:{evidence}")))
-    rules = F.when(F.size(F.filter("__ids", lambda x: x.isNotNull())) > 0, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(none)
+    rules = F.when(F.size(F.filter(known, lambda x: x.isNotNull())) > 0, F.filter(F.array(*found), lambda x: x.isNotNull())).otherwise(none)
     rules = F.array_distinct(rules)
-    named = rows.withColumn("__rules", rules)
-    licenses = F.array_distinct(F.transform("__rules", lambda x: F.substring_index(x, ":", 1)))
-    new = {"sentence_ids": F.filter("__ids", lambda x: x.isNotNull()), "rules": F.col("__rules"), "licenses": licenses, "n_licenses": F.size(licenses)}
+    named = rows.withColumn(named_, rules)
+    licenses = F.array_distinct(F.transform(named_, lambda x: F.substring_index(x, ":", 1)))
+    new = {"sentence_ids": F.filter(known, lambda x: x.isNotNull()), "rules": F.col(named_), "licenses": licenses, "n_licenses": F.size(licenses)}
     return named.select(*(c for c in docs.columns if c not in new), *(v.alias(k) for k, v in new.items()))
