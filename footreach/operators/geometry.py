@@ -43,8 +43,9 @@ def span(a: Column, b: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(F.least(a, b) / size).cast("long"), F.floor(F.greatest(a, b) / size).cast("long")))
 
 
-def covered(points: DataFrame, edges: DataFrame, key: str, size: float = 200.0) -> DataFrame:
-    """(key, poly): the points (key, x, y) that polygons cover, borders included.
+def covered(points: DataFrame, edges: DataFrame, key: str, size: float = 200.0, border: bool = True) -> DataFrame:
+    """(key, poly): the points (key, x, y) that polygons cover, borders included, or by parity alone: then of two polygons that
+    share a side just one covers a point on it.
 
     A point meets a polygon if its bounding box, spread over cells, holds it, and then only the edges in its band of y."""
     boxes = edges.groupBy("poly").agg(F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"))
@@ -53,8 +54,8 @@ def covered(points: DataFrame, edges: DataFrame, key: str, size: float = 200.0)
     x, y, x1, y1, x2, y2 = map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))
     crossed = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
     near = lambda v, a, b: (v >= F.least(a, b) - TOUCH) & (v <= F.greatest(a, b) + TOUCH)
-    border = (F.abs(side(x1, y1, x2, y2, x, y)) <= TOUCH * F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))) & near(x, x1, x2) & near(y, y1, y2)
-    marked = pairs.join(banded, ["poly", "band"]).select(key, "poly", crossed.cast("int").alias("crossed"), border.cast("int").alias("border"))
+    on = (F.abs(side(x1, y1, x2, y2, x, y)) <= TOUCH * F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))) & near(x, x1, x2) & near(y, y1, y2)
+    marked = pairs.join(banded, ["poly", "band"]).select(key, "poly", crossed.cast("int").alias("crossed"), (on if border else F.lit(False)).cast("int").alias("border"))
     return marked.groupBy(key, "poly").agg((F.sum("crossed") % 2 + F.max("border")).alias("n")).where("n > 0").select(key, "poly")
 
 

@@ -3,9 +3,19 @@
 from pyspark.sql import functions as F
 
 from footreach.functions import text
+from footreach.operators import geometry as Y
 
 
 def test_lines_keep_their_first_characters(spark):
     """The line's number is no trim characters: digits at its ends stay."""
     rows = spark.createDataFrame([("0a0\n 1b1 \n\n22",)], "t string")
     assert rows.select(text.text_lines(F.col("t")).alias("l")).first().l == ["0a0", "1b1", "22"]
+
+
+def test_parity_alone_gives_a_border_to_one_side(spark):
+    square = lambda poly, x: [(poly, float(a), float(b), float(c), float(d)) for a, b, c, d in ((x, 0, x + 10, 0), (x + 10, 0, x + 10, 10), (x + 10, 10, x, 10), (x, 10, x, 0))]
+    edges = spark.createDataFrame(square(1, 0) + square(2, 10), "poly int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 10.0, 5.0), (2, 5.0, 5.0), (3, 20.0, 5.0)], "id int, x double, y double")
+    found = lambda border: sorted(tuple(r) for r in Y.covered(points, edges, "id", border=border).collect())
+    assert found(True) == [(1, 1), (1, 2), (2, 1), (3, 2)]
+    assert found(False) == [(1, 2), (2, 1)]
