@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footreach.operators.spatial import bbox_join
+from footreach.operators.spatial import bbox_join, shuffled
 
 #: How far off a border may be through rounding, in metres.
 TOUCH = 1e-9
@@ -49,13 +49,13 @@ def covered(points: DataFrame, edges: DataFrame, key: str, size: float = 200.0,
 
     A point meets a polygon if its bounding box, spread over cells, holds it, and then only the edges in its band of y."""
     boxes = edges.groupBy("poly").agg(F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"), F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1"))
-    pairs = bbox_join(points.select(key, "x", "y"), boxes, size).select(key, "x", "y", "poly", F.floor(F.col("y") / size).cast("long").alias("band"))
+    pairs = bbox_join(points.select(key, "x", "y"), shuffled(boxes), size).select(key, "x", "y", "poly", F.floor(F.col("y") / size).cast("long").alias("band"))
     banded = edges.select("poly", "x1", "y1", "x2", "y2").withColumn("band", span(F.col("y1"), F.col("y2"), size))
     x, y, x1, y1, x2, y2 = map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))
     crossed = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
     near = lambda v, a, b: (v >= F.least(a, b) - TOUCH) & (v <= F.greatest(a, b) + TOUCH)
     on = (F.abs(side(x1, y1, x2, y2, x, y)) <= TOUCH * F.greatest(F.abs(x2 - x1), F.abs(y2 - y1))) & near(x, x1, x2) & near(y, y1, y2)
-    marked = pairs.join(banded, ["poly", "band"]).select(key, "poly", crossed.cast("int").alias("crossed"), (on if border else F.lit(False)).cast("int").alias("border"))
+    marked = pairs.join(shuffled(banded), ["poly", "band"]).select(key, "poly", crossed.cast("int").alias("crossed"), (on if border else F.lit(False)).cast("int").alias("border"))
     return marked.groupBy(key, "poly").agg((F.sum("crossed") % 2 + F.max("border")).alias("n")).where("n > 0").select(key, "poly")
 
 
@@ -64,7 +64,7 @@ def met(segments: DataFrame, edges: DataFrame, key: str, size: float = 200.0) ->
     own = segments.select(key, *(F.col(c).alias(f"s{c}") for c in ("x1", "y1", "x2", "y2")))
     cut = own.withColumn("cx", span(F.col("sx1"), F.col("sx2"), size)).withColumn("cy", span(F.col("sy1"), F.col("sy2"), size))
     other = edges.select("x1", "y1", "x2", "y2").withColumn("cx", span(F.col("x1"), F.col("x2"), size)).withColumn("cy", span(F.col("y1"), F.col("y2"), size))
-    hit = cut.join(other, ["cx", "cy"]).where(touches(*map(F.col, ("sx1", "sy1", "sx2", "sy2", "x1", "y1", "x2", "y2")))).select(key)
+    hit = cut.join(shuffled(other), ["cx", "cy"]).where(touches(*map(F.col, ("sx1", "sy1", "sx2", "sy2", "x1", "y1", "x2", "y2")))).select(key)
     # one that meets no border lies inside with both ends, or outside
     start = covered(own.select(key, F.col("sx1").alias("x"), F.col("sy1").alias("y")), edges, key, size).select(key)
     return hit.unionByName(start).distinct()

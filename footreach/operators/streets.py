@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footreach import config as C
 from footreach.operators.geometry import met, side, span
 from footreach.operators.graph import written
-from footreach.operators.spatial import segments_cross
+from footreach.operators.spatial import segments_cross, shuffled
 
 #: Events closer than this to a line's end are the end.
 END_M = 1e-6
@@ -23,7 +23,7 @@ def node_id(x: Column, y: Column) -> Column:
 def segments_of(vertices: DataFrame) -> DataFrame:
     """(line, k, x1, y1, x2, y2) of vertices (line, k, x, y), k counting from 0: by a join on the next number, as a line may be long."""
     after = vertices.select("line", (F.col("k") - 1).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return vertices.select("line", "k", F.col("x").alias("x1"), F.col("y").alias("y1")).join(after, ["line", "k"])
+    return vertices.select("line", "k", F.col("x").alias("x1"), F.col("y").alias("y1")).join(shuffled(after), ["line", "k"])
 
 
 def crossing_points(segments: DataFrame, size: float = 250.0, eps: float = 1e-9) -> DataFrame:
@@ -38,7 +38,7 @@ def crossing_points(segments: DataFrame, size: float = 250.0, eps: float = 1e-9)
     rx, ry, sx, sy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
     qx, qy = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")
     den = rx * sy - ry * sx
-    pairs = own.join(other, ["cx", "cy"]).where((F.col("line") < F.col("o_line")) & first("cx", "x") & first("cy", "y") & (den != 0))
+    pairs = own.join(shuffled(other), ["cx", "cy"]).where((F.col("line") < F.col("o_line")) & first("cx", "x") & first("cy", "y") & (den != 0))
     pairs = pairs.withColumns({"t": (qx * sy - qy * sx) / den, "o_t": (qx * ry - qy * rx) / den}).where(F.col("t").between(-eps, 1 + eps) & F.col("o_t").between(-eps, 1 + eps))
     pairs = pairs.withColumns({"x": F.col("x1") + F.col("t") * rx, "y": F.col("y1") + F.col("t") * ry})
     both = F.array(F.struct(F.col("line"), F.col("k"), F.col("t"), F.sqrt(rx * rx + ry * ry).alias("m")), F.struct(F.col("o_line").alias("line"), F.col("o_k").alias("k"), F.col("o_t").alias("t"), F.sqrt(sx * sx + sy * sy).alias("m")))
@@ -50,7 +50,7 @@ def noded(vertices: DataFrame, size: float = 250.0) -> DataFrame:
     millimetre the first stays, so a line that comes back to itself is left open there."""
     segments = segments_of(vertices)
     ends = vertices.groupBy("line").agg(F.max("k").alias("last"))
-    cuts = crossing_points(segments, size).join(ends, "line")
+    cuts = crossing_points(segments, size).join(shuffled(ends), "line")
     # not those at a line's own ends
     cuts = cuts.where(((F.col("k") > 0) | (F.col("t") * F.col("m") > END_M)) & ((F.col("k") < F.col("last") - 1) | ((1 - F.col("t")) * F.col("m") > END_M)))
     points = vertices.select("line", F.col("k").cast("double").alias("at"), "x", "y").unionByName(cuts.select("line", (F.col("k") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("t")))).alias("at"), "x", "y"))
@@ -82,7 +82,7 @@ def walkable(pieces: DataFrame, walls: DataFrame | None = None, water: DataFrame
         ends = [F.col(c) for c in ("x1", "y1", "x2", "y2", "r_x1", "r_y1", "r_x2", "r_y2")]
         gone.append(cells(open_, "").join(cells(lines, "r_"), ["cx", "cy"]).where(segments_cross(*ends) | along(*ends)).select("piece").distinct())
     for bad in gone:
-        own = own.join(bad, "piece", "left_anti")
+        own = own.join(shuffled(bad), "piece", "left_anti")
     return own.drop("piece")
 
 
@@ -119,7 +119,7 @@ def snapped(points: DataFrame, nodes: DataFrame, key: str, radius: float = C.SNA
     cells = moved.select("x", "y", F.struct("x", "y").alias("cell")).dropDuplicates(["x", "y"])
     pairs = radius_join(cells, nodes.select("nid", F.col("x").alias("x2"), F.col("y").alias("y2")), radius)
     best = nearest(pairs, "cell", [F.col("d"), -F.col("nid")], ["nid", "d"])
-    return moved.join(best.select("cell.x", "cell.y", "nid", "d"), ["x", "y"]).select(key, "nid", "d")
+    return moved.join(shuffled(best.select("cell.x", "cell.y", "nid", "d")), ["x", "y"]).select(key, "nid", "d")
 
 
 def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> DataFrame:
@@ -130,7 +130,7 @@ def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> D
     a line nor its depth has to fit a task; of equally far ones the first. Stretches that are close enough are done."""
     ends = vertices.groupBy("line").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     place = lambda n: vertices.select("line", F.col("k").alias(n), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}"))
-    open_ = written(vertices.join(ends, "line").where("k > lo and k < hi"))
+    open_ = written(vertices.join(shuffled(ends), "line").where("k > lo and k < hi"))
     kept = [ends.select("line", F.explode(F.array("lo", "hi")).alias("k")).distinct()]
     a, b, p = (F.col("x_lo"), F.col("y_lo")), (F.col("x_hi"), F.col("y_hi")), (F.col("x"), F.col("y"))
     length = (b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1])
@@ -138,15 +138,15 @@ def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> D
     to = lambda q: F.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]))
     away = F.when(along.isNull() | (along <= 0), to(a)).when(along >= 1, to(b)).otherwise(F.abs(side(*a, *b, *p)) / F.sqrt(length))
     for _ in range(rounds):
-        far = open_.join(place("lo"), ["line", "lo"]).join(place("hi"), ["line", "hi"]).select("line", "lo", "hi", "k", away.alias("away"))
+        far = open_.join(shuffled(place("lo")), ["line", "lo"]).join(shuffled(place("hi")), ["line", "hi"]).select("line", "lo", "hi", "k", away.alias("away"))
         best = far.groupBy("line", "lo", "hi").agg(F.max("away").alias("away"), F.max_by("k", F.struct("away", -F.col("k"))).alias("m"))
         split = written(best.where(F.col("away") > tolerance).select("line", "lo", "hi", "m"))
         if split.isEmpty():
             rest = kept[0]
             for more in kept[1:]:
                 rest = rest.unionByName(more)
-            return vertices.join(rest, ["line", "k"], "left_semi")
+            return vertices.join(shuffled(rest), ["line", "k"], "left_semi")
         kept.append(split.select("line", F.col("m").alias("k")))
-        half = open_.join(split, ["line", "lo", "hi"]).where("k <> m")
+        half = open_.join(shuffled(split), ["line", "lo", "hi"]).where("k <> m")
         open_ = written(half.select("line", "k", "x", "y", F.when(F.col("k") < F.col("m"), F.col("lo")).otherwise(F.col("m")).alias("lo"), F.when(F.col("k") < F.col("m"), F.col("m")).otherwise(F.col("hi")).alias("hi")))
     raise RuntimeError(f"lines are split deeper than {rounds} times")

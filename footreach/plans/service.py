@@ -103,7 +103,7 @@ def start_node(spark, sf_dir):
     pairs = S.radius_join(D.request(spark, sf_dir).select("request_id", "x", "y"), joins.as2(D.lattice_nodes(spark, sf_dir), nid="nid"), 90.0)
     near = S.nearest(pairs, "request_id", [F.col("d"), F.col("nid")], ["nid", "d"])
     ends = D.lattice_edges(spark, sf_dir).select("w", F.explode(F.array("u", "v")).alias("nid")).groupBy("nid").agg(F.count("*").alias("streets"), F.min("w").alias("least"))
-    return near.join(ends, "nid").select("request_id", "nid", r6(F.col("d") / C.WALK_SPEED * 60).alias("detour_s"), "streets", "least")
+    return near.join(S.shuffled(ends), "nid").select("request_id", "nid", r6(F.col("d") / C.WALK_SPEED * 60).alias("detour_s"), "streets", "least")
 
 
 @query(with_sql("request lattice_edge", graphs.COST_SQL + " SELECT request_id, arg_min(nid, [cost_s, nid]) AS nid FROM cost GROUP BY 1"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from footreach.functions import text
 from footreach.operators import geometry as Y
+from footreach.operators import spatial as S
 
 
 def test_lines_keep_their_first_characters(spark):
@@ -19,3 +20,10 @@ def test_parity_alone_gives_a_border_to_one_side(spark):
     found = lambda border: sorted(tuple(r) for r in Y.covered(points, edges, "id", border=border).collect())
     assert found(True) == [(1, 1), (1, 2), (2, 1), (3, 2)]
     assert found(False) == [(1, 2), (2, 1)]
+
+
+def test_cells_of_a_radius_join_are_not_sent_to_all_tasks(spark):
+    points = lambda *c: spark.range(50).select(F.col("id").alias(c[0]), (F.col("id") * 7 % 50).cast("double").alias(c[1]), (F.col("id") * 3 % 50).cast("double").alias(c[2]))
+    pairs = S.radius_join(points("a", "x", "y"), points("b", "x2", "y2"), 10.0)
+    assert pairs.count() == sum((7 * a % 50 - 7 * b % 50) ** 2 + (3 * a % 50 - 3 * b % 50) ** 2 <= 100 for a in range(50) for b in range(50))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
