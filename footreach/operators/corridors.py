@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footreach import config as C
 from footreach.operators.geometry import cells_around, covered, met
+from footreach.operators.graph import by_group
 from footreach.operators.spatial import bbox_join
 from footreach.operators.streets import node_id
 
@@ -124,15 +127,84 @@ def cut_routes(routes: DataFrame, layers: DataFrame, speed: float = C.CIRCLE_SPE
     return walked.select("request_id", "minutes", "x1", "y1", (F.col("x1") + (F.col("x2") - F.col("x1")) * share).alias("x2"), (F.col("y1") + (F.col("y2") - F.col("y1")) * share).alias("y2"))
 
 
+def ground_ways(routes: DataFrame, layers: DataFrame, centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cut steps and hubs (layer, x1, y1, x2, y2), layer being request_id and minutes, which the ground along routes is made of in each layer. A hub lies around
+    the request's centre (request_id, x, y).
+
+    Requests with routes in fewer than three directions have no rows, as have layers without any step; a route needs two points."""
+    usable = routes.groupBy("request_id", "direction").agg(F.count("*").alias("n")).where("n > 1").groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= C.CORRIDOR_LEAST_DIRECTIONS)
+    ways = cut_routes(routes.join(usable.select("request_id"), "request_id", "left_semi"), layers).select(F.struct("request_id", "minutes").alias("layer"), "x1", "y1", "x2", "y2")
+    at = centres.select("request_id", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    hubs = ways.select("layer").distinct().join(at, F.col("layer.request_id") == F.col("request_id"))
+    return ways, hubs.select("layer", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+
+
 def corridor_cells(routes: DataFrame, layers: DataFrame, centres: DataFrame, cell: float = 10.0) -> DataFrame:
     """(request_id, minutes, ix, iy): the ground that routes stand for where there is no street network, as cells whose centres lie
     within the half-width of a cut route or within the hub around the request's centre (request_id, x, y).
 
-    Requests with routes in fewer than three directions have no rows, as have layers without any step; a route needs two
-    points. The cells' total area is off by at most half a cell's diagonal times the outline's length."""
-    usable = routes.groupBy("request_id", "direction").agg(F.count("*").alias("n")).where("n > 1").groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= C.CORRIDOR_LEAST_DIRECTIONS)
-    own = F.struct("request_id", "minutes").alias("layer")
-    ways = cut_routes(routes.join(usable.select("request_id"), "request_id", "left_semi"), layers).select(own, "x1", "y1", "x2", "y2")
-    hubs = ways.select("layer").distinct().join(centres.select("request_id", F.col("x").alias("x1"), F.col("y").alias("y1")), F.col("layer.request_id") == F.col("request_id")).select("layer", "x1", "y1", F.col("x1").alias("x2"), F.col("y1").alias("y2"))
+    The cells' total area is off by at most half a cell's diagonal times the outline's length. Who only needs their number
+    takes corridor_counts(), which sends no cell."""
+    ways, hubs = ground_ways(routes, layers, centres)
     cells = cells_around(ways, "layer", C.CORRIDOR_HALF_M, cell).unionByName(cells_around(hubs, "layer", C.CORRIDOR_HUB_M, cell))
     return cells.distinct().select("layer.request_id", "layer.minutes", "ix", "iy")
+
+
+def corridor_counts(routes: DataFrame, layers: DataFrame, centres: DataFrame, cell: float = 10.0) -> DataFrame:
+    """(request_id, minutes, cells): how many cells corridor_cells() has for each layer. Steps are dealt out by layer, a few for each, and
+    their cells, a thousand times as many, are made and counted inside the task: a walk's length bounds those of a layer."""
+    of = lambda df, r: df.select(F.col("layer.request_id").cast("long").alias("request_id"), F.col("layer.minutes").cast("long").alias("minutes"), *(F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")), F.lit(float(r)).alias("r"))
+    ways, hubs = ground_ways(routes, layers, centres)
+    rows = of(ways, C.CORRIDOR_HALF_M).unionByName(of(hubs, C.CORRIDOR_HUB_M))
+
+    def count(request: np.ndarray, minutes: np.ndarray, *way: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.r_[True, (request[1:] != request[:-1]) | (minutes[1:] != minutes[:-1])])
+        columns = (request[first], minutes[first], layer_sizes(first, *way, cell))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["request_id", "minutes", "cells"])
+
+    return by_group(rows, ["request_id", "minutes"], count, "request_id long, minutes long, cells long")
+
+
+def layer_sizes(first: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, r: np.ndarray, cell: float, room: int = 1 << 16) -> np.ndarray:
+    """The number of cells around the ways of each layer, which begin at `first`; about `room` cells are looked at at once."""
+    low = lambda a, b: np.floor((np.minimum(a, b) - r) / cell).astype(np.int64)
+    high = lambda a, b: np.floor((np.maximum(a, b) + r) / cell).astype(np.int64)
+    ix, iy = low(x1, x2), low(y1, y2)
+    wide, tall = high(x1, x2) - ix + 1, high(y1, y2) - iy + 1
+    # the box of each layer, and its place in a map of all layers that are looked at together
+    west, south = (np.minimum.reduceat(c, first) for c in (ix, iy))
+    across, up = (np.maximum.reduceat(c, first) - least for c, least in ((ix + wide, west), (iy + tall, south)))
+    layer = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x1))))
+    looked = np.append(0, np.cumsum(wide * tall))
+    work = np.append(0, np.cumsum(across * up)) + looked[np.append(first, len(x1))]
+    sizes = np.zeros(len(first), np.int64)
+    a = 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(work, work[a] + room, side="right")) - 1)
+        area = np.append(0, np.cumsum(across[a:b] * up[a:b]))
+        mapped = area[-1] <= 256 * room
+        marks = np.zeros(area[-1] if mapped else 0, bool)
+        some: list[np.ndarray] = []
+        i, end = first[a], first[b] if b < len(first) else len(x1)
+        while i < end:
+            j = min(end, max(i + 1, int(np.searchsorted(looked, looked[i] + room, side="right")) - 1))
+            many = wide[i:j] * tall[i:j]
+            way = np.repeat(np.arange(i, j), many)
+            nth = np.arange(len(way)) - np.repeat(np.cumsum(many) - many, many)
+            cx, cy = ix[way] + nth // tall[way], iy[way] + nth % tall[way]
+            px, py, ax, ay, dx, dy = (cx + 0.5) * cell, (cy + 0.5) * cell, x1[way], y1[way], (x2 - x1)[way], (y2 - y1)[way]
+            square = dx * dx + dy * dy
+            t = np.clip(np.divide((px - ax) * dx + (py - ay) * dy, square, out=np.zeros(len(way)), where=square != 0), 0.0, 1.0)
+            gx, gy = px - ax - t * dx, py - ay - t * dy
+            near = gx * gx + gy * gy <= (r * r)[way]
+            own = layer[way[near]]
+            at = area[own - a] + (cx[near] - west[own]) * up[own] + cy[near] - south[own]
+            if mapped:
+                marks[at] = True
+            else:  # a layer whose ways lie far apart
+                some.append(np.unique(at))
+            i = j
+        held = np.flatnonzero(marks) if mapped else np.unique(np.concatenate(some))
+        sizes[a:b] = np.diff(np.searchsorted(held, area))
+        a = b
+    return sizes

@@ -11,6 +11,7 @@ from footreach import config as C
 from footreach.operators import corridors as K
 from footreach.operators import graph as G
 from footreach.operators import streets as W
+from footreach.operators.spatial import shuffled
 from footreach.plans import shapes
 from footreach.plans.registry import query
 from footreach.sources import derived as D
@@ -94,10 +95,10 @@ def routes(spark, sf_dir):
 def corridor_ground(spark, sf_dir):
     """Where there is no street network: the ground along routes in up to eight directions that is reached in 5, 10 and 15
     minutes, and its share of the circle. Requests with fewer than three directions have no row."""
-    ways = G.written(routes(spark, sf_dir))
+    ways = shuffled(G.written(routes(spark, sf_dir)))
     asked = ways.select("request_id").distinct()
     layers = asked.select("request_id", F.explode(F.array(*map(F.lit, LAYERS))).alias("minutes"))
-    cells = K.corridor_cells(ways, layers, asked.select("request_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
-    area = cells.groupBy("request_id", "minutes").agg((F.count("*") * 100.0).alias("area_m2"))
+    cells = K.corridor_counts(ways, layers, asked.select("request_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    area = cells.select("request_id", F.col("minutes").cast("int").alias("minutes"), (F.col("cells") * 100.0).alias("area_m2"))
     circle = math.pi * F.pow(F.col("minutes") * C.CIRCLE_SPEED, F.lit(2.0))
     return area.select("request_id", "minutes", "area_m2", F.round(F.least(F.lit(1.0), F.col("area_m2") / circle), 6).alias("area_ratio"))

@@ -102,3 +102,14 @@ def test_fewer_than_three_directions_give_no_ground(spark):
     layers, centres = spark.createDataFrame([(1, 5)], "request_id long, minutes int"), spark.createDataFrame([(1, 0.0, 0.0)], "request_id long, x double, y double")
     assert corridors.corridor_cells(routes, layers, centres).count() == 0
     assert corridors.corridor_cells(routes.unionByName(route(spark, (1, "S", [(0, 0), (0, -300)]))), layers, centres).where(F.col("minutes") == 5).count() > 0
+
+
+def test_cells_are_counted_where_they_are_made(spark):
+    """No cell is shuffled or made a row, also where a layer's ways lie far apart; the numbers are those of corridor_cells()."""
+    routes = route(spark, *((r, str(d), [(r * 7 + 90 * k * math.cos(d), -50 * r + (90 + r) * k * math.sin(d)) for k in range(9)]) for r in range(6) for d in range(2 + r % 3)), (9, "N", [(0, 0), (0, 3)]), (9, "S", [(0, 0), (0, 0), (0, -3)]), (9, "E", [(1e7, 1e7), (1e7, 1e7 + 77)]))
+    layers = routes.select("request_id").distinct().join(spark.createDataFrame([(5,), (10,)], "minutes int"))
+    centres = layers.select("request_id", F.col("request_id").cast("double").alias("x"), F.lit(3.0).alias("y")).distinct()
+    want = {(r.request_id, r.minutes): r["count"] for r in corridors.corridor_cells(routes, layers, centres).groupBy("request_id", "minutes").count().collect()}
+    counts = corridors.corridor_counts(routes, layers, centres)
+    assert {(r.request_id, r.minutes): r.cells for r in counts.collect()} == want and len(want) == 10
+    assert "Generate explode(sequence" not in counts._jdf.queryExecution().executedPlan().toString()
