@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from footreach import config as C
 from footreach.functions import sql, text
+from footreach.operators import graph as G
 from footreach.operators import spatial as S
 from footreach.plans import graphs, joins
 from footreach.plans.registry import query
@@ -109,7 +110,7 @@ def start_node(spark, sf_dir):
 @query(with_sql("request lattice_edge", graphs.COST_SQL + " SELECT request_id, arg_min(nid, [cost_s, nid]) AS nid FROM cost GROUP BY 1"))
 def least_cost_node(spark, sf_dir):
     """The node of the least cost, the first of equal ones: the one that the search began at."""
-    return graphs.costs(spark, sf_dir).groupBy("request_id").agg(F.min_by("nid", F.struct("cost_s", "nid")).alias("nid"))
+    return G.least_found(graphs.costs(spark, sf_dir))
 
 
 @query(with_sql("poi", f", n AS (SELECT id, category, name, lng, lat FROM poi) SELECT id, {GROUP_SQL} AS grp, lng < 73 OR lng > 135 OR lat < 18 OR lat > 54 AS abroad FROM n"))

@@ -48,3 +48,23 @@ def test_bounded_groups_are_closed_without_rounds(spark, monkeypatch):
         assert sorted(tuple(r) for r in O.shapes_within(cells).collect()) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_edges_at_what_is_found_are_counted_in_its_tile(spark):
+    """Requests travel with their search: several at one node, one without arcs, and sums of edges that equal the join's."""
+    rng = np.random.default_rng(5)
+    at = rng.uniform(0, 900, (60, 2))
+    near = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 58, (150, 2)) if a != b})
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "nid long, x double, y double")
+    edges = spark.createDataFrame([(a, b, float(np.hypot(*(at[a] - at[b])) * rng.uniform(0.5, 1))) for a, b in near], "u long, v long, w double")
+    sources = spark.createDataFrame([(i, n, i / 2) for i, n in enumerate([3, 3, 3, 11, 25, 59, 40])], "request_id long, nid long, far double")
+    for room in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", room)
+        found = G.found_in_tiles(sources, G.both_ways(edges), nodes, 400.0, 150.0, ("far",), True)
+        rows = found.collect()
+        assert {(r.request_id, r.nid): round(r.cost_s, 6) for r in rows} == {(r.request_id, r.nid): round(r.cost_s, 6) for r in G.costs_within(sources, edges, 400.0).collect()}
+        assert all(r.far == r.request_id / 2 and (r.nx, r.ny) == tuple(at[r.nid]) for r in rows)
+        want = dict(G.reachable_edges(found.select("request_id", "nid", "cost_s"), edges).groupBy("request_id").count().collect())
+        assert {r.request_id: r.n for r in found.groupBy("request_id").agg(F.sum("edges").alias("n")).collect() if r.n} == want
+        assert dict(G.least_found(found).collect()) == {r.request_id: r.nid for r in sources.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
