@@ -33,11 +33,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays, the one with the smallest id.
+    """One document of each group stays, the one with the smallest id. Groups are those of op6, by its fingerprints and radius,
+    joined where texts of two of them are near copies (five-word shingles, Jaccard 0.8 or more).
 
     Texts without words, null ones too, are copies of each other. A null id stays only in a group of nothing else; of
     rows with equal ids and near copies one stays, while an id may stay twice with different texts."""
-    return near_copies.keep_one(docs)
+    return near_copies.keep_one(docs, radius=2)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ How it runs:
    others and are similar to none still meet all of them.
 4. Candidates are confirmed on their whole sets, made again from their texts as sets take more room than texts, and components are closed over the confirmed links.
 
-No fingerprints here: at similarity 0.8 they differ by 10 bits in the middle, and by any number where texts repeat
-themselves, so no radius would hold every pair.
+With a radius, op6's fingerprints link texts first (`fingerprint_links`), and the joins only look for pairs between their
+components. Fingerprints alone would not do: at similarity 0.8 they differ by 10 bits in the middle, and by any number where
+texts repeat themselves, so no radius would hold every pair.
 
 Defined cases: texts without words are copies of each other; the smallest doc_id of a component stays, a null one
 only where all are null, and of rows with equal ids one.
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from footreach.llm import simhash
 from footreach.llm.common import by_core, connected_components, discard, held, materialize, scratch, slices
 
 SAMPLE = 10_000  # texts that tell how rare a shingle is
@@ -80,8 +82,8 @@ def _sampled_counts(rows: DataFrame, words: int, total: int) -> tuple[np.ndarray
     return counted.column(0).to_numpy(), counted.column(1).to_numpy()
 
 
-def first_shingles(rows: DataFrame, words: int, share: tuple[int, int], total: int) -> DataFrame:
-    """(__row, doc_id, key, n, least, most, s, m, h): least and most are the set's ends, key is 128 bits of the set of n shingles, s the first of them, rare ones first; m
+def first_shingles(rows: DataFrame, words: int, share: tuple[int, int], total: int, prints: bool = False) -> DataFrame:
+    """(__row, doc_id, key, n, least, most, s, m, h, fp): fp is op6's fingerprint if asked for, else null, least and most are the set's ends, key is 128 bits of the set of n shingles, s the first of them, rare ones first; m
     tells for each of a power of two of residues, 2n or more, whether the set has an odd number of shingles there, and h
     the same for half as many residues."""
     p, q = share
@@ -90,9 +92,10 @@ def first_shingles(rows: DataFrame, words: int, share: tuple[int, int], total: i
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = counted.value
         for batch in slices(batches, "text"):
-            keys, sets, sizes, maps, halves, ends = [], [], [], [], [], []
+            keys, sets, sizes, maps, halves, ends, fps = [], [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingles(text, words)
+                fps.append(simhash.fingerprint(text) if prints else None)
                 keys.append(xxhash.xxh128_digest(own.tobytes()))
                 odd = parities(own)
                 ends.append((own[0], own[-1]) if len(own) else (0, 0))
@@ -103,9 +106,9 @@ def first_shingles(rows: DataFrame, words: int, share: tuple[int, int], total: i
                     own = own[np.argsort(np.where(common[at] == own, counts[at], 0), kind="stable")]
                 sizes.append(len(own))
                 sets.append(own[: len(own) + 1 + -len(own) * p // q])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(e, pa.int64()) for e in zip(*ends, strict=True)), lists_of(sets), lists_of(maps), lists_of(halves)], names=["__row", "doc_id", "key", "n", "least", "most", "s", "m", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), *(pa.array(e, pa.int64()) for e in zip(*ends, strict=True)), lists_of(sets), lists_of(maps), lists_of(halves), pa.array(fps, pa.uint64()).view(pa.int64())], names=["__row", "doc_id", "key", "n", "least", "most", "s", "m", "h", "fp"])
 
-    return rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "__row long, doc_id long, key binary, n int, least long, most long, s array<long>, m array<long>, h array<long>")
+    return rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "__row long, doc_id long, key binary, n int, least long, most long, s array<long>, m array<long>, h array<long>, fp long")
 
 
 def written(df: DataFrame, total: int) -> DataFrame:
@@ -156,8 +159,19 @@ def with_roots(keys: DataFrame, members: DataFrame | None) -> DataFrame:
     return keys.join(members, keys["__row"] == members["node"], "left").withColumn("root", F.coalesce("root", "__row")).drop("node")
 
 
-def similar_links(firsts: DataFrame, rows: DataFrame, words: int, share: tuple[int, int], total: int) -> DataFrame:
-    """(u, v): links among the rows of firsts (__row, n, s, m) whose components are those of all similar pairs."""
+def fingerprint_links(firsts: DataFrame, groups: DataFrame, radius: int) -> DataFrame:
+    """(u, v): links of groups (key, __row) whose texts' fingerprints (key, fp in firsts) are connected by steps within the radius: each
+    of a component to its smallest row."""
+    fps = firsts.select("key", "fp").distinct()
+    near = connected_components(simhash.links(held(fps.select("fp").distinct()), radius))
+    named = held(fps.join(near, fps.fp == near.node, "left").select("key", F.coalesce("root", "fp").alias("print")).distinct().join(groups.select("key", "__row"), "key"))
+    least = held(named.groupBy("print").agg(F.min("__row").alias("u"), F.max("__row").alias("most")).where("u < most").select("print", "u"))
+    return materialize(by_core(named.join(F.broadcast(least) if least.count() <= SENT else least, "print").where(F.col("u") < F.col("__row")).select("u", F.col("__row").alias("v")).distinct()))
+
+
+def similar_links(firsts: DataFrame, rows: DataFrame, words: int, share: tuple[int, int], total: int, links: DataFrame | None = None) -> DataFrame:
+    """(u, v): links among the rows of firsts (__row, n, s, m) whose components are those of all similar pairs, and of the links
+    that there are already."""
     p, q = share
     keys = firsts.select("__row", "n", "least", "most", F.posexplode("s").alias("at", "s"))
     # most shingles are in one text alone: they needn't travel with their places
@@ -168,7 +182,7 @@ def similar_links(firsts: DataFrame, rows: DataFrame, words: int, share: tuple[i
     fits = lambda a, b: (F.col(f"{a}n") * q >= F.col(f"{b}n") * p) & (F.col(f"{b}n") * q >= F.col(f"{a}n") * p) & (left(a, b) * (p + q) >= (F.col(f"{a}n") + F.col(f"{b}n")) * p)
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     sent = lambda df, most: F.broadcast(df) if df.count() <= most else df
-    links = members = None
+    members = None if links is None else connected_components(links)
     for order in (F.xxhash64("s", "__row"),):
         rooted = with_roots(keys.where(F.col("texts") >= CHAINED), members and sent(members, SENT))
         # by chance, so that each shingle gives other neighbours; more orders link few more and cost the driver memory
@@ -188,19 +202,21 @@ def similar_links(firsts: DataFrame, rows: DataFrame, words: int, share: tuple[i
     return links
 
 
-def keep_one(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """docs with one document of each group of near copies."""
+def keep_one(docs: DataFrame, words: int = 5, share: tuple[int, int] = (4, 5), radius: int | None = None) -> DataFrame:
+    """docs with one document of each group of near copies; with a radius, of each group that op6's fingerprints within the
+    radius and near copies connect."""
     if "__row" in docs.columns:
         other = scratch(docs, "__own")
-        return keep_one(docs.withColumnRenamed("__row", other), words, share).withColumnRenamed(other, "__row")
+        return keep_one(docs.withColumnRenamed("__row", other), words, share, radius).withColumnRenamed(other, "__row")
     total, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     # ids that name rows need no second copy of the texts
     rows = docs.withColumn("__row", F.col("doc_id").cast("long")) if total == ids and isinstance(docs.schema["doc_id"].dataType, T.LongType) else materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    firsts = held(first_shingles(rows, words, share, total))
+    firsts = held(first_shingles(rows, words, share, total, radius is not None))
     least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))).alias("least")
-    groups = written(firsts.groupBy("key").agg(least).select(F.col("least.__row").alias("__row"), F.col("least.doc_id").alias("doc_id")), total)
+    groups = written(firsts.groupBy("key").agg(least).select("key", F.col("least.__row").alias("__row"), F.col("least.doc_id").alias("doc_id")), total)
     distinct = among(firsts.select("__row", "n", "least", "most", "s", "m", "h"), groups.select("__row"), total)
-    members = connected_components(similar_links(distinct, rows, words, share, total))
+    linked = None if radius is None else fingerprint_links(firsts, groups, radius)
+    members = connected_components(similar_links(distinct, rows, words, share, total, linked))
     named = groups.join(members, groups["__row"] == members["node"], "left").select("__row", "doc_id", F.coalesce("root", "__row").alias("group"))
     stays = named.groupBy("group").agg(least).select(F.col("least.__row").alias("__row"))
     return among(rows, stays, total).select(*docs.columns)
