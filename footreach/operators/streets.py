@@ -127,10 +127,13 @@ def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> D
     the kept segment over it: both ends, and again and again the farthest one in between.
 
     A round looks for the farthest vertex of every open stretch at once and splits the stretch there, as rows, so neither
-    a line nor its depth has to fit a task; of equally far ones the first. Stretches that are close enough are done."""
-    ends = vertices.groupBy("line").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    place = lambda n: vertices.select("line", F.col("k").alias(n), F.col("x").alias(f"x_{n}"), F.col("y").alias(f"y_{n}"))
-    open_ = written(vertices.join(shuffled(ends), "line").where("k > lo and k < hi"))
+    a line nor its depth has to fit a task; of equally far ones the first. Stretches that are close enough are done. Open
+    vertices carry the places of their stretch's ends, so a round shuffles what is still open and no other vertices."""
+    at = F.struct("x", "y")
+    ends = vertices.groupBy("line").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min_by(at, "k").alias("a"), F.max_by(at, "k").alias("b"))
+    own = ("line", "k", "x", "y", "lo", "hi", "x_lo", "y_lo", "x_hi", "y_hi")
+    ends = written(ends.select("line", "lo", "hi", F.col("a.x").alias("x_lo"), F.col("a.y").alias("y_lo"), F.col("b.x").alias("x_hi"), F.col("b.y").alias("y_hi")))
+    open_ = written(vertices.join(shuffled(ends), "line").where("k > lo and k < hi").select(*own))
     kept = [ends.select("line", F.explode(F.array("lo", "hi")).alias("k")).distinct()]
     a, b, p = (F.col("x_lo"), F.col("y_lo")), (F.col("x_hi"), F.col("y_hi")), (F.col("x"), F.col("y"))
     length = (b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1])
@@ -138,9 +141,10 @@ def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> D
     to = lambda q: F.sqrt((p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]))
     away = F.when(along.isNull() | (along <= 0), to(a)).when(along >= 1, to(b)).otherwise(F.abs(side(*a, *b, *p)) / F.sqrt(length))
     for _ in range(rounds):
-        far = open_.join(shuffled(place("lo")), ["line", "lo"]).join(shuffled(place("hi")), ["line", "hi"]).select("line", "lo", "hi", "k", away.alias("away"))
-        best = far.groupBy("line", "lo", "hi").agg(F.max("away").alias("away"), F.max_by("k", F.struct("away", -F.col("k"))).alias("m"))
-        split = written(best.where(F.col("away") > tolerance).select("line", "lo", "hi", "m"))
+        # what is near needn't travel
+        far = open_.withColumn("away", away).where(F.col("away") > tolerance)
+        best = far.groupBy("line", "lo", "hi").agg(F.max_by(F.struct("k", "x", "y"), F.struct("away", -F.col("k"))).alias("m"))
+        split = written(best.select("line", "lo", "hi", F.col("m.k").alias("m"), F.col("m.x").alias("x_m"), F.col("m.y").alias("y_m")))
         if split.isEmpty():
             rest = kept[0]
             for more in kept[1:]:
@@ -148,5 +152,6 @@ def simplified(vertices: DataFrame, tolerance: float, rounds: int = 10_000) -> D
             return vertices.join(shuffled(rest), ["line", "k"], "left_semi")
         kept.append(split.select("line", F.col("m").alias("k")))
         half = open_.join(shuffled(split), ["line", "lo", "hi"]).where("k <> m")
-        open_ = written(half.select("line", "k", "x", "y", F.when(F.col("k") < F.col("m"), F.col("lo")).otherwise(F.col("m")).alias("lo"), F.when(F.col("k") < F.col("m"), F.col("m")).otherwise(F.col("hi")).alias("hi")))
+        low, high = (lambda p: F.when(F.col("k") < F.col("m"), F.col(f"{p}lo")).otherwise(F.col(f"{p}m")).alias(f"{p}lo")), (lambda p: F.when(F.col("k") < F.col("m"), F.col(f"{p}m")).otherwise(F.col(f"{p}hi")).alias(f"{p}hi"))
+        open_ = written(half.select("line", "k", "x", "y", *(end(p) for end in (low, high) for p in ("", "x_", "y_"))).select(*own))
     raise RuntimeError(f"lines are split deeper than {rounds} times")

@@ -76,3 +76,33 @@ def test_requests_settle_where_they_are_read_and_rings_are_dealt_out(spark):
     sf = "/root/testdata/sf0.001"
     assert "hashpartitioning" not in plan(joins.pick_region(spark, sf))
     assert "REPARTITION_BY_NUM" in plan(shapes.tile_clip(spark, sf))
+
+
+def test_open_vertices_carry_their_ends(spark, monkeypatch):
+    """Tracks of several rounds, equally far vertices among them; a round reads no vertex that isn't open."""
+    from footreach.operators import streets as W
+
+    rng = np.random.default_rng(2)
+    tracks = {i: [(float(x), float(y)) for x, y in rng.integers(0, 9, (int(n), 2))] for i, n in enumerate(rng.integers(1, 30, 25))}
+    tracks[50] = [(0.0, 0.0), (1.0, 5.0), (2.0, 5.0), (3.0, 0.0)]
+
+    def keep(p, lo, hi):
+        (ax, ay), (bx, by) = p[lo], p[hi]
+
+        def away(q):
+            size = (bx - ax) ** 2 + (by - ay) ** 2
+            t = ((q[0] - ax) * (bx - ax) + (q[1] - ay) * (by - ay)) / size if size else 0.0
+            return np.hypot(q[0] - ax, q[1] - ay) if t <= 0 else np.hypot(q[0] - bx, q[1] - by) if t >= 1 else abs((bx - ax) * (q[1] - ay) - (by - ay) * (q[0] - ax)) / np.sqrt(size)
+
+        far = [away(p[k]) for k in range(lo + 1, hi)]
+        if not far or max(far) <= 2.5:
+            return {lo, hi}
+        m = lo + 1 + next(i for i, d in enumerate(far) if d >= max(far) - 1e-12)
+        return keep(p, lo, m) | keep(p, m, hi)
+
+    seen = []
+    monkeypatch.setattr(W, "written", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange")) or G.written(df))
+    rows = spark.createDataFrame([(i, k, *q) for i, p in tracks.items() for k, q in enumerate(p)], "line long, k long, x double, y double")
+    got = sorted((r.line, r.k) for r in W.simplified(G.written(rows), 2.5).collect())
+    assert got == sorted((i, k) for i, p in tracks.items() for k in keep(p, 0, len(p) - 1))
+    assert len(seen) > 6 and max(seen) <= 2
