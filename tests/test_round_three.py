@@ -78,6 +78,24 @@ def test_requests_settle_where_they_are_read_and_rings_are_dealt_out(spark):
     assert "REPARTITION_BY_NUM" in plan(shapes.tile_clip(spark, sf))
 
 
+def test_cells_of_discs_are_made_where_it_is_known_that_they_are_blind(spark):
+    """The same cells as the anti join's, for requests at borders of tiles, without places and without a place of their own; no cell is
+    shuffled."""
+    rng = np.random.default_rng(8)
+    at = np.round(rng.uniform(-7000, 7000, (60, 2)), 1)
+    asked = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(90, 0.0, 0.0), (91, 2001.0, -2001.0), (92, 50000.0, 0.0), (93, None, 1.0), (5, 3.0, 3.0)], "request_id long, x double, y double").repartition(4)
+    places = spark.createDataFrame([("abc"[int(g)], float(x), float(y)) for g, x, y in zip(rng.integers(0, 3, 150), *np.round(rng.uniform(-8000, 8000, (2, 150)), 1), strict=True)] + [("a", 2000.0, 0.0), ("b", 0.0, -2000.0), ("x", 0.0, 0.0)], "grp string, x2 double, y2 double")
+    own = B.blind_discs(asked, places, ["a", "b"])
+    assert own.schema.simpleString() == "struct<request_id:bigint,grp:string,ix:int,iy:int>"
+    want = sorted(map(tuple, B.blind_cells(B.disc_cells(asked), places, ["a", "b"]).collect()))
+    for room in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", room)
+        assert sorted(map(tuple, own.collect())) == want and 10_000 < len(want) < 2 * 317 * 65
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = joins.blind(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+
+
 def test_open_vertices_carry_their_ends(spark, monkeypatch):
     """Tracks of several rounds, equally far vertices among them; a round reads no vertex that isn't open."""
     from footreach.operators import streets as W
