@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from footreach import config as C
 from footreach.operators.geometry import cells_around, covered, met
 from footreach.operators.graph import by_group
-from footreach.operators.spatial import bbox_join
+from footreach.operators.spatial import bbox_join, shuffled
 from footreach.operators.streets import node_id
 
 #: Slack of a crossing's place on a segment, as a share of its length.
@@ -39,15 +39,15 @@ def entrances(sides: DataFrame, nodes: DataFrame, radius: float = C.CORRIDOR_LIN
     """(poly, nid, x, y, ex, ey, mileage): nodes in or at most `radius` from a polygon, and the place on its outer ring that is
     nearest to each, the first along the ring of equally near ones."""
     boxes = sides.groupBy("poly").agg((F.min("x1") - radius).alias("x0"), (F.min("y1") - radius).alias("y0"), (F.max("x1") + radius).alias("x1"), (F.max("y1") + radius).alias("y1"))
-    pairs = bbox_join(nodes.select("nid", "x", "y"), boxes, 200.0).select("poly", "nid", "x", "y")
+    pairs = bbox_join(nodes.select("nid", "x", "y"), shuffled(boxes), 200.0).select("poly", "nid", "x", "y")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (dx * dx + dy * dy)))
-    at = pairs.join(sides, "poly").withColumn("t", t).withColumns({"ex": F.col("x1") + F.col("t") * dx, "ey": F.col("y1") + F.col("t") * dy, "mileage": F.col("before") + F.col("t") * span_m()})
+    at = pairs.join(shuffled(sides), "poly").withColumn("t", t).withColumns({"ex": F.col("x1") + F.col("t") * dx, "ey": F.col("y1") + F.col("t") * dy, "mileage": F.col("before") + F.col("t") * span_m()})
     gx, gy = F.col("x") - F.col("ex"), F.col("y") - F.col("ey")
     outer = F.when(F.col("ring") == 0, F.struct(F.sqrt(gx * gx + gy * gy).alias("d"), "mileage", "ex", "ey"))
     best = at.groupBy("poly", "nid", "x", "y").agg(F.min(F.sqrt(gx * gx + gy * gy)).alias("d"), F.min(outer).alias("e"))
     inside = covered(nodes, sides, "nid").select("poly", "nid", F.lit(True).alias("inside"))
-    near = best.join(inside, ["poly", "nid"], "left").where((F.col("d") <= radius) | F.col("inside"))
+    near = best.join(shuffled(inside), ["poly", "nid"], "left").where((F.col("d") <= radius) | F.col("inside"))
     return near.select("poly", "nid", "x", "y", "e.ex", "e.ey", "e.mileage")
 
 
@@ -71,13 +71,13 @@ def held_inside(chords: DataFrame, sides: DataFrame, key: str) -> DataFrame:
     den = F.nullif(rx * sy - ry * sx, F.lit(0.0))
     t, u = (qx * sy - qy * sx) / den, (qx * ry - qy * rx) / den
     inner = t.between(0.0, 1.0) & u.between(-EPS, 1 + EPS)
-    cut = own.join(sides.select("poly", "x1", "y1", "x2", "y2"), "poly").groupBy(key, "poly", "c_x1", "c_y1", "c_x2", "c_y2").agg(F.collect_set(F.when(inner, t)).alias("ts"))
+    cut = own.join(shuffled(sides.select("poly", "x1", "y1", "x2", "y2")), "poly").groupBy(key, "poly", "c_x1", "c_y1", "c_x2", "c_y2").agg(F.collect_set(F.when(inner, t)).alias("ts"))
     cut = cut.withColumn("ts", F.array_sort(F.array_union("ts", F.array(F.lit(0.0), F.lit(1.0)))))
     middle = F.transform(F.sequence(F.lit(0), F.size("ts") - 2), lambda i: (F.get("ts", i) + F.get("ts", i + 1)) / 2)
     parts = cut.select(key, "poly", F.posexplode(middle).alias("i", "m"), "c_x1", "c_y1", "c_x2", "c_y2")
     parts = parts.select(F.struct(key, "poly", "i").alias("part"), (F.col("c_x1") + F.col("m") * rx).alias("x"), (F.col("c_y1") + F.col("m") * ry).alias("y"))
     inside = covered(parts, sides, "part").where("part.poly = poly").select("part", F.lit(1).alias("inside"))
-    whole = parts.select("part").join(inside, "part", "left").groupBy(f"part.{key}").agg(F.min(F.coalesce("inside", F.lit(0))).alias("all_in"))
+    whole = parts.select("part").join(shuffled(inside), "part", "left").groupBy(f"part.{key}").agg(F.min(F.coalesce("inside", F.lit(0))).alias("all_in"))
     return whole.where("all_in = 1").select(key)
 
 
@@ -91,7 +91,7 @@ def through_buildings(rings: DataFrame, nodes: DataFrame, walls: DataFrame | Non
     sides = ring_sides(rings)
     found = entrances(sides, nodes)
     links = found.select("poly", "nid", node_id(F.col("ex"), F.col("ey")).alias("v"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("ex").alias("x2"), F.col("ey").alias("y2"), F.struct("poly", "nid").alias("link"))
-    links = reduce(lambda df, bad: df.join(met(links, bad, "link"), "link", "left_anti"), [b for b in (walls, water) if b is not None], links)
+    links = reduce(lambda df, bad: df.join(shuffled(met(links, bad, "link")), "link", "left_anti"), [b for b in (walls, water) if b is not None], links)
     links = edges_of(links.withColumn("u", F.col("nid")), "link", C.WALK_SPEED)
 
     doors = found.groupBy("poly", node_id(F.col("ex"), F.col("ey")).alias("eid")).agg(F.min(F.struct("mileage", "ex", "ey")).alias("e")).select("poly", "eid", "e.*")
@@ -101,8 +101,8 @@ def through_buildings(rings: DataFrame, nodes: DataFrame, walls: DataFrame | Non
     # two entrances have one way between them
     chords = doors.where("n > 2 or n = 2 and k = 1").select(F.struct("poly", "k").alias("chord"), "poly", F.col("a.eid").alias("u"), F.col("b.eid").alias("v"), F.col("a.ex").alias("x1"), F.col("a.ey").alias("y1"), F.col("b.ex").alias("x2"), F.col("b.ey").alias("y2"))
     straight = held_inside(chords, sides, "chord")
-    direct = chords.join(straight, "chord", "left_semi")
-    rest = chords.join(straight, "chord", "left_anti").join(centroids(sides), "poly").withColumn("c", node_id(F.col("cx"), F.col("cy")))
+    direct = chords.join(shuffled(straight), "chord", "left_semi")
+    rest = chords.join(shuffled(straight), "chord", "left_anti").join(shuffled(centroids(sides)), "poly").withColumn("c", node_id(F.col("cx"), F.col("cy")))
     half = lambda u, x1, y1, v, x2, y2: rest.select(F.col(u).alias("u"), F.col(v).alias("v"), F.col(x1).alias("x1"), F.col(y1).alias("y1"), F.col(x2).alias("x2"), F.col(y2).alias("y2"))
     over = half("u", "x1", "y1", "c", "cx", "cy").unionByName(half("c", "cx", "cy", "v", "x2", "y2"))
     corridors = direct.select("u", "v", "x1", "y1", "x2", "y2").unionByName(over)

@@ -124,3 +124,10 @@ def test_open_vertices_carry_their_ends(spark, monkeypatch):
     got = sorted((r.line, r.k) for r in W.simplified(G.written(rows), 2.5).collect())
     assert got == sorted((i, k) for i, p in tracks.items() for k in keep(p, 0, len(p) - 1))
     assert len(seen) > 6 and max(seen) <= 2
+
+
+def test_ways_through_buildings_are_not_sent_to_all_tasks(spark):
+    from footreach.plans import corridors
+
+    plan = corridors.mall_corridors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
