@@ -131,3 +131,10 @@ def test_ways_through_buildings_are_not_sent_to_all_tasks(spark):
 
     plan = corridors.mall_corridors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_requests_of_reports_are_not_sent_to_all_tasks(spark):
+    from footreach.plans import ingest, ranking
+
+    for query in (ingest.case_report, ranking.diagnosis):
+        assert "BroadcastHashJoin" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
