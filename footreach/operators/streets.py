@@ -69,7 +69,8 @@ def walkable(pieces: DataFrame, walls: DataFrame | None = None, water: DataFrame
     """pieces (line, n, x1, y1, x2, y2, kind) without those that touch a wall and, but for bridges and tunnels, water, or that
     cross a rail line or run along it. walls, water: edges of polygons; rails: (cx1, cy1, cx2, cy2)."""
     key = F.struct("line", "n").alias("piece")
-    own = pieces.select("*", key)
+    # each kind of obstacle reads all pieces: cut lines once, not for each
+    own = written(pieces).select("*", key)
     gone = []
     open_ = own.where("kind = 'road'")
     if walls is not None:
