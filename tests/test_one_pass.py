@@ -33,3 +33,10 @@ def test_lines_are_cut_once_for_all_obstacles(spark, tmp_path):
 def test_requests_are_snapped_once(spark):
     starts, _ = shapes.street_costs_by_start(spark, SF, shapes.street_graph_edges(spark, SF).limit(200))
     assert "Join" not in plan(starts)
+
+
+def test_places_are_told_apart_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(P, "greedy_apart", lambda rows, *_, **__: seen.append(plan(rows)) or rows)
+    P.cleaned(D.poi(spark, SF))
+    assert "Window" not in seen[0]
