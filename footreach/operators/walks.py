@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footreach import config as C
-from footreach.operators.geometry import TOUCH
+from footreach.operators.geometry import TOUCH, hull
 from footreach.operators.graph import local_found
 
 #: Kinds of rows, in the order in which a task reads them.
@@ -393,3 +393,29 @@ def ground(lines: DataFrame, obstacles: DataFrame, rails: DataFrame, asked: Data
 
     tables, _ = street_tiles(lines, obstacles, rails, asked, cutoff, radius + cell)
     return in_tiles(tables, prepare, answer, "request_id long, cells long")
+
+
+def hulls(lines: DataFrame, obstacles: DataFrame, rails: DataFrame, asked: DataFrame, cutoff: float) -> DataFrame:
+    """(request_id, area_m2): the area of the convex hull of all edges with an end that a request reaches."""
+
+    def prepare(tables: dict[int, Rows]) -> tuple:
+        g = streets_of(tables)
+        return g, grouped(np.concatenate([g.a, g.a, g.b, g.b]), np.concatenate([g.a, g.b, g.a, g.b]), len(g.nodes))
+
+    def area(points: list[tuple[float, float]]) -> float:
+        corners, twice = hull(points), 0.0
+        for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1], strict=True):
+            twice = twice + x1 * y2 - x2 * y1
+        return twice / 2 if len(corners) > 2 else 0.0
+
+    def answer(ready: tuple, key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, own = ready
+        node = snapped(values[:, 0], values[:, 1], g)
+        for start, found, _ in searched(g, node, cutoff):
+            for at, end in different(start, found, own):
+                cuts = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
+                areas = [area(list(zip(g.x[end[a:b]].tolist(), g.y[end[a:b]].tolist(), strict=True))) for a, b in itertools.pairwise(cuts)]
+                yield to_requests(key, node, at[cuts[:-1]], np.array(areas), "area_m2")
+
+    tables, _ = street_tiles(lines, obstacles, rails, asked, cutoff)
+    return in_tiles(tables, prepare, answer, "request_id long, area_m2 double")

@@ -72,3 +72,15 @@ def test_ground_is_made_in_the_task_of_its_tile(spark, world, joined):
     assert "Join" not in plan and plan.count("hashpartitioning") == 1
     none = [df.limit(0) for df in world]
     assert K.ground(*none[:3], world[3], 300, 30.0, 15.0).count() == K.ground(*world[:3], none[3], 300, 30.0, 15.0).count() == 0
+
+
+def test_hulls_are_made_in_the_task_of_their_tile(spark, world, joined):
+    edges, nodes, _, starts, costs = joined
+    ends = edges.select(F.explode(F.array("u", "v")).alias("nid"), F.array("u", "v").alias("ends"))
+    near = costs.join(ends, "nid").select("start", F.explode("ends").alias("nid")).distinct().join(nodes, "nid")
+    areas = Y.convex_hulls(near.select("start", "x", "y"), "start").select("start", Y.ring_area(F.col("corners")).alias("area"))
+    want = dict(map(tuple, starts.join(areas, starts.nid == areas.start).select("request_id", "area").collect()))
+    for got in by_batches(spark, lambda: K.hulls(*world, 300)):
+        assert got == pytest.approx(want, abs=1e-6) and 300 < len(want) < world[3].count()
+    plan = shapes.fast_hull(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
