@@ -20,7 +20,7 @@ from footreach.operators.geometry import TOUCH, hull
 from footreach.operators.graph import local_found
 
 #: Kinds of rows, in the order in which a task reads them.
-LINE, RING, RAIL, ASKED = range(4)
+LINE, RING, RAIL, EDGE, PLACE, FACE, MEASURED, ASKED = range(8)
 ROAD, BRIDGE, TUNNEL = range(3)
 WALL, WATER = range(2)
 #: Events closer than this to a line's end are the end.
@@ -337,7 +337,7 @@ def street_tiles(lines: DataFrame, obstacles: DataFrame, rails: DataFrame, asked
         to_tiles(lines, LINE, "line", F.concat(numbers(kind, speed), flat), box, size, margin),
         to_tiles(obstacles.where(F.col("use").isin("wall", "water")), RING, "poly", F.concat(numbers(use), flat), box, size, margin),
         to_tiles(rails.withColumn("__key", F.lit(0)), RAIL, "__key", numbers("cx1", "cy1", "cx2", "cy2"), track, size, margin),
-        to_tiles(asked, ASKED, "request_id", numbers(*middle, "x", "y"), (*middle, *middle), size),
+        to_tiles(asked, ASKED, "request_id", numbers(*middle, *(c for c in ("x", "y", "minutes") if c in asked.columns)), (*middle, *middle), size),
     ], size
 
 
@@ -419,3 +419,243 @@ def hulls(lines: DataFrame, obstacles: DataFrame, rails: DataFrame, asked: DataF
 
     tables, _ = street_tiles(lines, obstacles, rails, asked, cutoff)
     return in_tiles(tables, prepare, answer, "request_id long, area_m2 double")
+
+
+class Places(NamedTuple):
+    """A tile's places with what their order depends on, as in poi.ranked_traits(). Categories count from 0 in their fixed order; clinic
+    and face are -1 where there is none."""
+
+    id: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    category: np.ndarray
+    seq: np.ndarray
+    merge: np.ndarray
+    lead: np.ndarray
+    closed: np.ndarray
+    clinic: np.ndarray
+    metro: np.ndarray
+    total: np.ndarray
+    face: np.ndarray
+
+
+class Access(NamedTuple):
+    """How places are reached from nodes: of node n the rows from first[n] to first[n + 1], each a place, or a face, and its leg."""
+
+    first: np.ndarray
+    to: np.ndarray
+    leg: np.ndarray
+
+
+class Around(NamedTuple):
+    """What a tile's requests may reach: places, their nodes and those of faces, and measured minutes (request, row of place, minutes)."""
+
+    places: Places
+    near: Access
+    faces: Access
+    many: int
+    measured: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def access(node: np.ndarray, to: np.ndarray, leg: np.ndarray, nodes: int) -> Access:
+    order = np.argsort(node, kind="stable")
+    return Access(np.searchsorted(node[order], np.arange(nodes + 1)), to[order], leg[order])
+
+
+def around_of(tables: dict[int, Rows], g: Streets, radius: float = C.EDGE_ACCESS_M) -> Around:
+    keys, _, flat = tables[PLACE]
+    x, y, category, seq, merge, lead, closed, clinic, metro, total, face = flat.reshape(-1, 11).T
+    boxes_at, _, sides = tables[FACE]
+    box, whole = sides.reshape(-1, 4).T, np.stack([g.x, g.y, g.x, g.y])
+    order = np.argsort(boxes_at)
+    f = np.searchsorted(boxes_at[order], face)
+    known = (f < len(boxes_at)) & (face >= 0)
+    known[known] = boxes_at[order][f[known]] == face[known]
+    of_face = np.full(len(face), -1)
+    of_face[known] = order[f[known]]
+    places = Places(keys, x, y, *(c.astype(np.int64) for c in (category, seq, merge, lead, closed, clinic, metro, total)), of_face)
+    p, n = meeting(boxes(x, y, x, y, wider=radius + 1e-3), whole, radius)
+    d = np.sqrt((x[p] - g.x[n]) * (x[p] - g.x[n]) + (y[p] - g.y[n]) * (y[p] - g.y[n]))
+    near = d <= radius
+    wide = C.AREA_LEG_M + C.GAP_MERGE_M
+    b, m = meeting(boxes(*box, wider=wide + 1e-3), whole, radius)
+    dx, dy = (np.maximum(np.maximum(box[i][b] - c[m], 0.0), c[m] - box[i + 2][b]) for i, c in ((0, g.x), (1, g.y)))
+    gap = np.sqrt(dx * dx + dy * dy)
+    beside = gap <= wide
+    request, _, pair = tables[MEASURED]
+    pid, minutes = pair.reshape(-1, 2).T
+    at = np.argsort(keys)
+    i = np.minimum(np.searchsorted(keys[at], pid), max(0, len(keys) - 1))
+    here = keys[at][i] == pid if len(keys) else np.zeros(len(pid), bool)
+    request, row, minutes = request[here], at[i[here]] if len(keys) else NO, minutes[here]
+    order = np.lexsort((minutes, row, request))
+    least = order[np.r_[True, (request[order][1:] != request[order][:-1]) | (row[order][1:] != row[order][:-1])]] if len(order) else order
+    return Around(places, access(n[near], p[near], d[near], len(g.nodes)), access(m[beside], b[beside], np.maximum(gap[beside] - C.GAP_MERGE_M, 0.0), len(g.nodes)), len(boxes_at), (request[least], row[least], minutes[least]))
+
+
+def least_minutes(start: np.ndarray, node: np.ndarray, cost: np.ndarray, own: Access, n: int, many: int, snapped: bool | None = None, room: int = 1 << 21) -> np.ndarray:
+    """The least of a node's minutes and the leg on, for each of n starts and of many places; only legs that do or don't snap, if told."""
+    best = np.full(n * many, np.inf)
+    sizes = np.cumsum(own.first[node + 1] - own.first[node])
+    a = 0
+    while a < len(node):
+        b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + room, side="right")))
+        i, at = runs(own.first[node[a:b]], own.first[node[a:b] + 1] - 1)
+        if snapped is not None:
+            some = (own.leg[at] <= C.SNAP_MAX_M) == snapped
+            i, at = i[some], at[some]
+        np.minimum.at(best, start[a:b][i] * many + own.to[at], cost[a:b][i] / 60 + own.leg[at] / C.WALK_SPEED)
+        a = b
+    return best.reshape(n, many)
+
+
+def shown(request: np.ndarray, place: np.ndarray, raw: np.ndarray, p: Places, n: int, cap: int = C.CAP_PER_CATEGORY) -> tuple[np.ndarray, ...]:
+    """For each of n requests and category what coverage() counts of poi.selected(): places, places before the cut, the total of the category,
+    and the least minutes of all, of metro and of bus stops. Rows are places within the minutes."""
+    travel, public = (C.CATEGORIES.index(c) for c in ("transport", "public"))
+    some = np.isin(p.category, (travel, public))
+    same = np.where(p.clinic >= 0, -1, np.where(some, p.merge, p.id))
+    order = np.lexsort((p.seq[place], p.closed[place], raw, same[place], p.clinic[place], p.category[place], request))
+    request, place, raw = request[order], place[order], raw[order]
+    differ = lambda *columns: np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    first = np.r_[True, differ(request, p.category[place], p.clinic[place], same[place])] if len(place) else np.zeros(0, bool)
+    stays = first | ~some[place] | (p.clinic[place] >= 0)
+    begin = np.flatnonzero(first)
+    for a, b in zip(begin, np.r_[begin[1:], len(place)], strict=True) if (p.clinic[place] >= 0).any() else ():
+        if b - a > 1 and p.clinic[place[a]] >= 0:
+            kept: list[tuple[float, float]] = []
+            for i in range(a, b):
+                x, y = p.x[place[i]], p.y[place[i]]
+                stays[i] = all((x - u) * (x - u) + (y - v) * (y - v) > C.HEALTH_MERGE_M * C.HEALTH_MERGE_M for u, v in kept)
+                if stays[i]:
+                    kept.append((x, y))
+    request, place, raw = request[stays], place[stays], raw[stays]
+    schools = np.where(p.category == C.CATEGORIES.index("education"), p.closed, 0)
+    order = np.lexsort((p.seq[place], p.closed[place], raw, schools[place], p.lead[place], p.category[place], request))
+    place, raw = place[order], raw[order]
+    at = request[order] * len(C.CATEGORIES) + p.category[place]
+    slots = n * len(C.CATEGORIES)
+    total = np.bincount(at, minlength=slots)
+    rank = np.arange(len(at)) - (np.cumsum(total) - total)[at]
+    at, place, raw = at[rank < cap], place[rank < cap], raw[rank < cap]
+    whole = np.zeros(slots, np.int64)
+    np.maximum.at(whole, at, p.total[place])
+    least = []
+    for own in (np.ones(len(at), bool), (p.category[place] == travel) & (p.metro[place] > 0), (p.category[place] == travel) & (p.metro[place] == 0)):
+        least.append(np.full(slots, np.inf))
+        np.minimum.at(least[-1], at[own], raw[own])
+    return np.minimum(total, cap), total, whole, *least
+
+
+CIRCLE = "request_id long, minutes int, cat_no int, cnt int, within_count int, total int, any_min double, metro_min double, bus_min double, cells long"
+
+
+def circle_rows(g: Streets, around: Around, key: np.ndarray, node: np.ndarray, x: np.ndarray, y: np.ndarray, minutes: np.ndarray, cutoff: float, reach: float, cells: tuple[np.ndarray, np.ndarray] | None, room: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Rows of CIRCLE, one for each category of each request that has a node; cells of the ground, or nodes, count as area."""
+    p, many = around.places, len(around.places.id)
+    order = np.argsort(node, kind="stable")
+    order = order[node[order] >= 0]
+    for start, found, cost in searched(g, node, cutoff):
+        own, at = np.unique(start, return_inverse=True)
+        area = np.bincount(at, minlength=len(own))
+        if cells is not None:
+            area = np.zeros(len(own), np.int64)
+            for some, _ in different(at, found, cells):
+                area += np.bincount(some, minlength=len(own))
+        # requests of some starts at a time, as tables are of starts by places and rows of requests by places
+        asked = order[np.searchsorted(node[order], own[0]) : np.searchsorted(node[order], own[-1], side="right")]
+        begin = np.searchsorted(at, np.arange(len(own) + 1))
+        step = max(1, room // max(1, many))
+        for a in range(0, len(own), step):
+            b = min(len(own), a + step)
+            rows = slice(begin[a], begin[b])
+            near, far = (least_minutes(at[rows] - a, found[rows], cost[rows], around.near, b - a, many, s) for s in (True, False))
+            face = least_minutes(at[rows] - a, found[rows], cost[rows], around.faces, b - a, around.many)
+            late = far
+            if around.many:
+                inside = p.face >= 0
+                late[:, inside] = np.minimum(far[:, inside], face[:, p.face[inside]])
+            raw = np.minimum(near, late)
+            i, to = np.nonzero(np.isfinite(raw))
+            ends = np.searchsorted(i, np.arange(b - a + 1))
+            mine = asked[np.searchsorted(node[asked], own[a]) : np.searchsorted(node[asked], own[b - 1], side="right")]
+            most = max(1, room // max(1, int(np.diff(ends).max(initial=0))))
+            for c in range(0, len(mine), most):
+                r = mine[c : c + most]
+                s = np.searchsorted(own, node[r]) - a
+                q, row = runs(ends[s], ends[s + 1] - 1)
+                place, took = to[row], raw[i[row], to[row]]
+                # measured minutes, but not where an edge was reached
+                k, line = runs(*(np.searchsorted(around.measured[0], key[r], side=e) - (e == "right") for e in ("left", "right")))
+                other = around.measured[1][line]
+                use = ~(late[s[k], other] < near[s[k], other])
+                k, other, line = k[use], other[use], line[use]
+                keep = ~np.isin(q * many + place, k * many + other)
+                q, place, took = np.r_[q[keep], k], np.r_[place[keep], other], np.r_[took[keep], around.measured[2][line]]
+                dx, dy = x[r[q]] - p.x[place], y[r[q]] - p.y[place]
+                within = (np.sqrt(dx * dx + dy * dy) <= reach) & (took <= minutes[r[q]])
+                cnt, total, whole, *least = shown(q[within], place[within], took[within], p, len(r))
+                times = len(C.CATEGORIES)
+                columns = [pa.array(np.repeat(key[r], times)), *(pa.array(v.astype(np.int32)) for v in (np.repeat(minutes[r], times), np.tile(np.arange(times), len(r)), cnt, total, whole))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, mask=np.isinf(v)) for v in least), pa.array(np.repeat(area[s + a], times))], names=[f.split()[0] for f in CIRCLE.split(", ")])
+
+
+def place_tiles(places: DataFrame, faces: DataFrame, measured: DataFrame, size: float, reach: float, margin: float) -> list[DataFrame]:
+    """Rows for around_of(): places that lie within reach of a tile and faces that its graph meets. places: (id, x, y, cat_no, face) and traits, of which
+    clinic is a number; faces: (box, x0, y0, x1, y1); measured: (request_id, id, measured_min, tile_x, tile_y), the place by which the request has its tile."""
+    at, own = (F.col("x"), F.col("y"), F.col("x"), F.col("y")), (F.col("tile_x"), F.col("tile_y"), F.col("tile_x"), F.col("tile_y"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    metro = (F.coalesce("transport_kind", F.lit("bus")) == "metro").cast("int")
+    return [
+        to_tiles(places, PLACE, "id", numbers("x", "y", "cat_no", "seq", "merge", "lead", "closed", none("clinic"), metro, "cat_total", none("face")), at, size, reach),
+        to_tiles(faces, FACE, "box", numbers("x0", "y0", "x1", "y1"), tuple(map(F.col, ("x0", "y0", "x1", "y1"))), size, margin + C.AREA_LEG_M + C.GAP_MERGE_M + 1.0),
+        to_tiles(measured, MEASURED, "request_id", numbers("id", "measured_min"), own, size),
+    ]
+
+
+def edge_circles(edges: DataFrame, places: DataFrame, faces: DataFrame, measured: DataFrame, asked: DataFrame, cutoff: float, reach: float, slack: float = 100.0) -> DataFrame:
+    """Rows of CIRCLE over a graph of edges (u, v, w, x1, y1, x2, y2), whose area is the nodes that are reached. asked: (request_id, nid, tile_x, tile_y,
+    x, y, minutes), of which tile is the place of the node nid, no farther than the slack from the request."""
+    metres = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("y2") - F.col("y1")) * (F.col("y2") - F.col("y1")))
+    margin = cutoff * (edges.agg(F.max(F.when(metres > 0, metres / F.col("w")))).first()[0] or 0.0) * (1 + 1e-9) + 1.0
+    if not np.isfinite(margin):
+        raise ValueError("an edge that takes no time has two ends: what it reaches has no bound")
+    size = 4 * margin
+    at = (F.col("tile_x"), F.col("tile_y"), F.col("tile_x"), F.col("tile_y"))
+    # a node at which a request begins may have no edge
+    loops = asked.select(F.col("nid").alias("u"), F.col("nid").alias("v"), F.lit(0.0).alias("w"), *(F.col(f"tile_{c}").alias(f"{c}{k}") for k in (1, 2) for c in "xy")).distinct()
+    whole = edges.select("u", "v", F.col("w").cast("double").alias("w"), "x1", "y1", "x2", "y2").unionByName(loops)
+    box = tuple(f(f"{c}1", f"{c}2") for f in (F.least, F.greatest) for c in "xy")
+
+    def prepare(tables: dict[int, Rows]) -> tuple:
+        v, w, *place = tables[EDGE][2].reshape(-1, 6).T
+        u, v, place = tables[EDGE][0], v.astype(np.int64), np.stack(place)
+        nodes, first, at = np.unique(np.concatenate([u, v]), return_index=True, return_inverse=True)
+        x, y = (np.concatenate([place[i], place[i + 2]])[first] for i in (0, 1))
+        none = np.zeros((4, 0))
+        g = Streets(u, v, w, place, at[: len(u)], at[len(u) :], nodes, x, y, Rings(none, NO, NO, NO, none))
+        return g, around_of(tables, g)
+
+    def answer(ready: tuple, key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nid, x, y, minutes = values.T
+        yield from circle_rows(*ready, key, ready[0].at(nid.astype(np.int64)), x, y, minutes, cutoff, reach, None)
+
+    tables = [to_tiles(whole, EDGE, "u", numbers("v", "w", "x1", "y1", "x2", "y2"), box, size, margin), *place_tiles(places, faces, measured, size, reach + slack, margin)]
+    return in_tiles([*tables, to_tiles(asked, ASKED, "request_id", numbers("nid", "x", "y", "minutes"), at, size)], prepare, answer, CIRCLE)
+
+
+def street_circles(lines: DataFrame, obstacles: DataFrame, rails: DataFrame, places: DataFrame, faces: DataFrame, measured: DataFrame, asked: DataFrame, cutoff: float, reach: float, radius: float, cell: float) -> DataFrame:
+    """Rows of CIRCLE over streets, whose area is the ground within the radius, for requests (request_id, x, y, minutes) that snap to one. The tile of
+    measured minutes is that of the middle of the request's cell."""
+
+    def prepare(tables: dict[int, Rows]) -> tuple:
+        g = streets_of(tables)
+        return g, around_of(tables, g), ground_of(g, radius, cell)
+
+    def answer(ready: tuple, key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        g, around, cells = ready
+        mx, my, x, y, minutes = values.T
+        yield from circle_rows(g, around, key, snapped(mx, my, g), x, y, minutes, cutoff, reach, cells)
+
+    tables, size = street_tiles(lines, obstacles, rails, asked, cutoff, radius + cell)
+    return in_tiles([*tables, *place_tiles(places, faces, measured, size, reach + C.SNAP_GRID_M, size)], prepare, answer, CIRCLE)

@@ -5,11 +5,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from footreach import config as C
+from footreach.operators import coverage as V
 from footreach.operators import geometry as Y
 from footreach.operators import graph as G
+from footreach.operators import poi as P
+from footreach.operators import spatial as S
 from footreach.operators import streets as W
 from footreach.operators import walks as K
-from footreach.plans import shapes
+from footreach.plans import joins, shapes
 
 SF = "/root/testdata/sf0.001"
 POINTS = "array<struct<x: double, y: double>>"
@@ -84,3 +88,67 @@ def test_hulls_are_made_in_the_task_of_their_tile(spark, world, joined):
         assert got == pytest.approx(want, abs=1e-6) and 300 < len(want) < world[3].count()
     plan = shapes.fast_hull(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("hashpartitioning") == 1
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    """Clean places with traits, of which clinics, merges, closed ones and ties are frequent, faces, and measured minutes."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i, (x, y) in enumerate(rng.uniform((-7500, -3000), (7500, 4000), (6000, 2))):
+        category = ("convenience", "leisure", "mall", "education", "health", "public", "transport")[i % 7]
+        clinic = f"c{i % 3}" if category == "health" and i % 2 else None
+        merge = i - i % 70 if category in ("public", "transport") else i
+        rows.append((i, i, category, ("metro", "bus", None)[i % 3] if category == "transport" else None, merge, int(rng.integers(0, 3)), int(i % 4 == 0), clinic, 700 + i % 7, float(x), float(y)))
+    faces = [(k, float(x), float(y), float(x + 150 + 10 * k), float(y + 90)) for k, (x, y) in enumerate(rng.uniform((-7000, -2500), (7000, 3500), (60, 2)))]
+    inside = [(i, k) for i, *_, x, y in rows for k, x0, y0, x1, y1 in faces if max(x0 - x, x - x1, 0) ** 2 + max(y0 - y, y - y1, 0) ** 2 <= 3600]
+    frame = spark.createDataFrame(rows, "id long, seq long, category string, transport_kind string, merge long, lead int, closed int, clinic string, cat_total int, x double, y double")
+    return frame, spark.createDataFrame(faces, "box long, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(list(dict(inside).items()), "id long, face long")
+
+
+def by_joins(spark, places, asked, costs, nodes, measured):
+    """The scores' rows by joins of costs, places, faces and measured minutes."""
+    own, faces, inside = places
+    pairs = S.radius_join(asked, own.withColumnsRenamed({"x": "x2", "y": "y2"}), 1200.0)
+    legs = joins.near_boxes(nodes, faces, 265.0).select(F.col("box").alias("face"), "nid", F.greatest(F.col("d") - 15, F.lit(0.0)).alias("leg"))
+    walk = P.calibrated(P.walk_minutes(pairs, costs, nodes, faces=inside, face_nodes=legs), measured)
+    return {(r.request_id, r.category): r for r in V.coverage(asked, P.selected(walk), V.category_rows(spark)).collect()}
+
+
+def numbered(places):
+    own, _, inside = places
+    first = own.groupBy("clinic").agg(F.min("id").alias("first"))
+    number = F.array_position(F.array(*map(F.lit, C.CATEGORIES)), F.col("category")) - 1
+    return own.join(first, "clinic", "left").drop("clinic").withColumnRenamed("first", "clinic").withColumn("cat_no", number).join(inside, "id", "left")
+
+
+def same(spark, want, counted, cells):
+    """The same coverage for batches of all sizes, and the given cells."""
+    for room in ("40", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", room)
+        rows = counted.withColumn("category", F.element_at(F.array(*map(F.lit, C.CATEGORIES)), F.col("cat_no") + 1))
+        got = {(r.request_id, r.category): r for r in V.verdicts(rows, "cells").collect()}
+        assert got.keys() == want.keys()
+        for k, r in got.items():
+            for c in ("cnt", "within_count", "total", "passed", "in_time", "mode"):
+                assert r[c] == want[k][c], (k, c)
+            assert r.nearest_minutes == pytest.approx(want[k].nearest_minutes, abs=1e-9)
+            assert r.cells == cells.get(r.request_id, 0)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_street_circles_are_closed_in_the_task_of_their_tile(spark, world, joined, places):
+    edges, nodes, solid, starts, costs = joined
+    middle = lambda c: ((F.floor(F.col(c) / 25.0) + 0.5) * 25.0).alias(f"tile_{c}")
+    asked = world[3].select("*", (4 + F.col("request_id") % 3).cast("int").alias("minutes"), middle("x"), middle("y"))
+    measured = asked.crossJoin(places[0].select("id")).where("(request_id * 31 + id * 17) % 200 = 0").select("request_id", "id", (1.0 + F.col("id") % 9).alias("measured_min"))
+    own = asked.join(starts.select("request_id", F.col("nid").alias("start")), "request_id")
+    want = by_joins(spark, places, own, costs, nodes, measured)
+    ground = shapes.reached_cells(costs, shapes.ground_cells(edges, solid)).groupBy("start").count()
+    cells = dict(map(tuple, starts.join(ground, starts.nid == ground.start).select("request_id", "count").collect()))
+    counted = K.street_circles(*world[:3], numbered(places), places[1], measured.join(asked.select("request_id", "tile_x", "tile_y"), "request_id"), asked, 300, 1200.0, 30.0, 15.0)
+    same(spark, want, counted, cells)
+    assert sum(r.cnt for r in want.values()) > 500
+    # places, requests and minutes meet in joins, but neither pieces, costs, cells nor pairs of requests and places do
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "nid" not in plan and "cost_s" not in plan
