@@ -34,6 +34,16 @@ def numbers(*columns: Column | str) -> Column:
     return F.array(*(F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in columns))
 
 
+def halves(name: str) -> list[Column]:
+    """A long as two numbers: one double holds none above 2^53."""
+    c = F.col(name).cast("long")
+    return [F.shiftright(c, 32), c.bitwiseAND(F.lit((1 << 32) - 1))]
+
+
+def longs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.int64) * (1 << 32) + low.astype(np.int64)
+
+
 def to_tiles(rows: DataFrame, what: int, key: str, values: Column, box: tuple[Column, Column, Column, Column], size: float, margin: float = 0.0) -> DataFrame:
     """Rows for in_tiles(): each goes to all tiles that its box, widened by the margin, meets."""
     axis = lambda lo, hi: F.explode(F.sequence(F.floor((lo - margin) / size).cast("long"), F.floor((hi + margin) / size).cast("long")))
@@ -464,7 +474,8 @@ def access(node: np.ndarray, to: np.ndarray, leg: np.ndarray, nodes: int) -> Acc
 
 def around_of(tables: dict[int, Rows], g: Streets, radius: float = C.EDGE_ACCESS_M) -> Around:
     keys, _, flat = tables[PLACE]
-    x, y, category, seq, merge, lead, closed, clinic, metro, total, face = flat.reshape(-1, 11).T
+    x, y, category, lead, closed, metro, total, *ids = flat.reshape(-1, 15).T
+    seq, merge, clinic, face = map(longs, ids[::2], ids[1::2])
     boxes_at, _, sides = tables[FACE]
     box, whole = sides.reshape(-1, 4).T, np.stack([g.x, g.y, g.x, g.y])
     order = np.argsort(boxes_at)
@@ -483,7 +494,8 @@ def around_of(tables: dict[int, Rows], g: Streets, radius: float = C.EDGE_ACCESS
     gap = np.sqrt(dx * dx + dy * dy)
     beside = gap <= wide
     request, _, pair = tables[MEASURED]
-    pid, minutes = pair.reshape(-1, 2).T
+    high, low, minutes = pair.reshape(-1, 3).T
+    pid = longs(high, low)
     at = np.argsort(keys)
     i = np.minimum(np.searchsorted(keys[at], pid), max(0, len(keys) - 1))
     here = keys[at][i] == pid if len(keys) else np.zeros(len(pid), bool)
@@ -604,12 +616,12 @@ def place_tiles(places: DataFrame, faces: DataFrame, measured: DataFrame, size:
     """Rows for around_of(): places that lie within reach of a tile and faces that its graph meets. places: (id, x, y, cat_no, face) and traits, of which
     clinic is a number; faces: (box, x0, y0, x1, y1); measured: (request_id, id, measured_min, tile_x, tile_y), the place by which the request has its tile."""
     at, own = (F.col("x"), F.col("y"), F.col("x"), F.col("y")), (F.col("tile_x"), F.col("tile_y"), F.col("tile_x"), F.col("tile_y"))
-    none = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    ids = places.withColumns({c: F.coalesce(F.col(c), F.lit(-1)) for c in ("clinic", "face")})
     metro = (F.coalesce("transport_kind", F.lit("bus")) == "metro").cast("int")
     return [
-        to_tiles(places, PLACE, "id", numbers("x", "y", "cat_no", "seq", "merge", "lead", "closed", none("clinic"), metro, "cat_total", none("face")), at, size, reach),
+        to_tiles(ids, PLACE, "id", numbers("x", "y", "cat_no", "lead", "closed", metro, "cat_total", *(h for c in ("seq", "merge", "clinic", "face") for h in halves(c))), at, size, reach),
         to_tiles(faces, FACE, "box", numbers("x0", "y0", "x1", "y1"), tuple(map(F.col, ("x0", "y0", "x1", "y1"))), size, margin + C.AREA_LEG_M + C.GAP_MERGE_M + 1.0),
-        to_tiles(measured, MEASURED, "request_id", numbers("id", "measured_min"), own, size),
+        to_tiles(measured, MEASURED, "request_id", numbers(*halves("id"), "measured_min"), own, size),
     ]
 
 
@@ -628,8 +640,8 @@ def edge_circles(edges: DataFrame, places: DataFrame, faces: DataFrame, measured
     box = tuple(f(f"{c}1", f"{c}2") for f in (F.least, F.greatest) for c in "xy")
 
     def prepare(tables: dict[int, Rows]) -> tuple:
-        v, w, *place = tables[EDGE][2].reshape(-1, 6).T
-        u, v, place = tables[EDGE][0], v.astype(np.int64), np.stack(place)
+        high, low, w, *place = tables[EDGE][2].reshape(-1, 7).T
+        u, v, place = tables[EDGE][0], longs(high, low), np.stack(place)
         nodes, first, at = np.unique(np.concatenate([u, v]), return_index=True, return_inverse=True)
         x, y = (np.concatenate([place[i], place[i + 2]])[first] for i in (0, 1))
         none = np.zeros((4, 0))
@@ -637,11 +649,11 @@ def edge_circles(edges: DataFrame, places: DataFrame, faces: DataFrame, measured
         return g, around_of(tables, g)
 
     def answer(ready: tuple, key: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        nid, x, y, minutes = values.T
-        yield from circle_rows(*ready, key, ready[0].at(nid.astype(np.int64)), x, y, minutes, cutoff, reach, None)
+        high, low, x, y, minutes = values.T
+        yield from circle_rows(*ready, key, ready[0].at(longs(high, low)), x, y, minutes, cutoff, reach, None)
 
-    tables = [to_tiles(whole, EDGE, "u", numbers("v", "w", "x1", "y1", "x2", "y2"), box, size, margin), *place_tiles(places, faces, measured, size, reach + slack, margin)]
-    return in_tiles([*tables, to_tiles(asked, ASKED, "request_id", numbers("nid", "x", "y", "minutes"), at, size)], prepare, answer, CIRCLE)
+    tables = [to_tiles(whole, EDGE, "u", numbers(*halves("v"), "w", "x1", "y1", "x2", "y2"), box, size, margin), *place_tiles(places, faces, measured, size, reach + slack, margin)]
+    return in_tiles([*tables, to_tiles(asked, ASKED, "request_id", numbers(*halves("nid"), "x", "y", "minutes"), at, size)], prepare, answer, CIRCLE)
 
 
 def street_circles(lines: DataFrame, obstacles: DataFrame, rails: DataFrame, places: DataFrame, faces: DataFrame, measured: DataFrame, asked: DataFrame, cutoff: float, reach: float, radius: float, cell: float) -> DataFrame:

@@ -13,7 +13,7 @@ from footreach.operators import poi as P
 from footreach.operators import spatial as S
 from footreach.operators import streets as W
 from footreach.operators import walks as K
-from footreach.plans import joins, shapes
+from footreach.plans import joins, ranking, shapes
 
 SF = "/root/testdata/sf0.001"
 POINTS = "array<struct<x: double, y: double>>"
@@ -152,3 +152,24 @@ def test_street_circles_are_closed_in_the_task_of_their_tile(spark, world, joine
     # places, requests and minutes meet in joins, but neither pieces, costs, cells nor pairs of requests and places do
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "nid" not in plan and "cost_s" not in plan
+
+
+def test_circles_are_closed_in_the_task_of_their_tile(spark, world, joined, places):
+    """Over a graph of edges, with ids above 2^53 and a request at a node without an edge."""
+    edges, nodes, _, starts, costs = joined
+    at = lambda k, n: nodes.select(F.col("nid").alias(k), F.col("x").alias(f"x{n}"), F.col("y").alias(f"y{n}"))
+    graph = edges.select("u", "v", "w").join(at("u", 1), "u").join(at("v", 2), "v")
+    begin = starts.select("request_id", "nid").join(nodes.withColumnsRenamed({"x": "tile_x", "y": "tile_y"}), "nid").join(world[3], "request_id")
+    alone = spark.createDataFrame([(9500, 5, 3.0, 4.0, 3.5, 4.5)], "request_id long, nid long, tile_x double, tile_y double, x double, y double")
+    asked = G.written(begin.unionByName(alone).withColumn("minutes", (4 + F.col("request_id") % 3).cast("int")))
+    assert asked.agg(F.max(F.abs("nid"))).first()[0] > 1 << 53
+    measured = asked.crossJoin(places[0].select("id")).where("(request_id * 31 + id * 17) % 200 = 0").select("request_id", "id", (1.0 + F.col("id") % 9).alias("measured_min"))
+    lone = spark.createDataFrame([(5, 5, 0.0)], "start long, nid long, cost_s double")
+    spots = nodes.unionByName(spark.createDataFrame([(5, 3.0, 4.0)], "nid long, x double, y double"))
+    whole = costs.select("start", "nid", "cost_s").unionByName(lone)
+    want = by_joins(spark, places, asked.withColumnRenamed("nid", "start"), whole, spots, measured)
+    cells = dict(map(tuple, asked.join(whole.groupBy("start").count(), F.col("start") == F.col("nid")).select("request_id", "count").collect()))
+    counted = K.edge_circles(graph, numbered(places), places[1], measured.join(asked.select("request_id", "tile_x", "tile_y"), "request_id"), asked, 300, 1200.0)
+    same(spark, want, counted, cells)
+    plan = ranking.life_circle(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cost_s" not in plan
